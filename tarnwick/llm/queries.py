@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import mixing, quality, substrings
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.query,
+        "op5_substring_dedup": substrings.query,
         "op10_quality_rules": quality.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_quality_rules": quality.SQL}
+    return {
+        "op5_substring_dedup": substrings.SQL,
+        "op10_quality_rules": quality.SQL,
+    }
