@@ -18,12 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.session import stored
+
 BLOCK_BITS = 20
 #: Partition sketches that one merging group reads.
 FAN_IN = 32
 #: Cells of one row: at least, at most (2**29 cells are 64 MB of bitmap).
 LEAST_BITS, MOST_BITS = 21, 29
 
+#: Frequent values that are listed at most, and values that a partition counts at a time.
+HEAVY_MOST, HEAVY_HELD = 200_000, 8_000_000
+
 _SCHEMA = "block long, task long, once binary, twice binary"
 
 
@@ -111,35 +116,82 @@ class Repeats:
         return out
 
 
-def build(docs: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, bits: int) -> Repeats:
-    """Sketch what ``values`` yields for the record batches of ``docs``."""
+def build(
+    docs: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, bits: int, heavy: int = 0
+) -> tuple[Repeats, np.ndarray, np.ndarray]:
+    """Sketch what ``values`` yields for the record batches of ``docs``.
+
+    With ``heavy``, also the values that some partition holds at least so often: the
+    ``HEAVY_MOST`` most frequent ones, sorted, and the counts that such partitions
+    found. These serve as weights; a value that is not listed has a count below
+    ``heavy`` in every partition.
+    """
 
     def sketch(batches):
         from pyspark import TaskContext
 
-        part, any_rows = _Partition(rows, bits), False
+        part, held, size, any_rows = _Partition(rows, bits), [], 0, False
+        task = TaskContext.get().partitionId()
         for batch in batches:
             for v in values(batch):
                 any_rows = True
                 part.add(v)
+                if heavy:
+                    held.append(v)
+                    size += len(v)
+                    if size > HEAVY_HELD:
+                        yield from _heavy_rows(held, heavy, task)
+                        held, size = [], 0
+        if held:
+            yield from _heavy_rows(held, heavy, task)
         if any_rows:
-            task = TaskContext.get().partitionId()
             for block, one, two in part.blocks():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.array([task], pa.int64()), pa.array([one], pa.binary()), pa.array([two], pa.binary())],
-                    names=["block", "task", "once", "twice"],
-                )
+                yield _row(block, task, one, two)
 
     parts = docs.mapInArrow(sketch, _SCHEMA)
     n = docs.rdd.getNumPartitions()
+    if heavy:
+        parts = stored(parts, "sketch")
+    merged = parts.filter("block >= 0")
     while True:
         n = -(-n // FAN_IN)
-        parts = parts.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("block", "task").applyInPandas(_merge_group, _SCHEMA)
-        if n == 1:
+        merged = merged.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("block", "task").applyInPandas(_merge_group, _SCHEMA)
+        if n <= 1:
             break
     bitmaps = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(rows)]
     size = (1 << BLOCK_BITS) // 8
-    for x in parts.select("block", "twice").collect():  # of fixed size, whatever the input
+    for x in merged.select("block", "twice").collect():  # of fixed size, whatever the input
         r, b = x["block"] >> 32, x["block"] & 0xFFFFFFFF
         bitmaps[r][b * size : (b + 1) * size] = _unpack(x["twice"])
-    return Repeats(rows, bits, bitmaps)
+    top: tuple = ((), ())
+    if heavy:
+        counted = (
+            parts.filter("block < 0").select("once", "twice").mapInArrow(_heavy_values, "value long, n long")
+            .groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(HEAVY_MOST).collect()
+        )
+        top = tuple(zip(*counted)) or top
+    found = np.array(top[0], dtype=np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return Repeats(rows, bits, bitmaps), found[order], np.array(top[1], dtype=np.int64)[order]
+
+
+def _row(block: int, task: int, once: bytes, twice: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int64()), pa.array([task], pa.int64()), pa.array([once], pa.binary()), pa.array([twice], pa.binary())],
+        names=["block", "task", "once", "twice"],
+    )
+
+
+def _heavy_rows(held: list[np.ndarray], least: int, task: int) -> Iterator[pa.RecordBatch]:
+    x = np.sort(np.concatenate(held))
+    cut = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
+    n = np.diff(np.append(cut, len(x)))
+    often = n >= least
+    if often.any():
+        yield _row(-1, task, x[cut[often]].tobytes(), n[often].astype(np.int64).tobytes())
+
+
+def _heavy_values(batches):
+    for batch in batches:
+        for once, twice in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(once, dtype=np.int64)), pa.array(np.frombuffer(twice, dtype=np.int64))], names=["value", "n"])

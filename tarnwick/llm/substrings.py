@@ -7,16 +7,16 @@ window's count: an overestimate, at a seventh of the insertions. Windows that
 overlap an equal window by a run of words have one anchor for both; they show a
 repeated run within one window and are always candidates.
 
-The second pass hashes the candidate windows to 128 bits of their words and groups
-them exactly. A partition first settles what repeats inside itself, so that a
+The second pass hashes the candidate windows to 96 bits of their words and groups
+them by these, in buckets of anchors. A partition first settles what repeats inside itself, so that a
 window reaches the shuffle once per partition at most, however often it repeats.
 The first occurrence, by document id and place, stays; each other window's words go.
 
 Defined results: null and blank texts have no words and lose none; a null id sorts
 before all others; rows with equal id and place are no earlier than each other, so
-equal rows are treated alike; extra columns are not read, so names cannot clash; an
-empty table gives an empty result. Words longer than 256 bytes are compared by
-their 64-bit hash twice, like all others. The words of one document are held at a
+equal rows are treated alike (rows of one id with different texts are told apart by a
+64-bit hash of the text); extra columns are not read, so names cannot clash; an
+empty table gives an empty result. The words of one document are held at a
 time, whatever its length.
 """
 
@@ -27,18 +27,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
 from .repeats import build, cell_bits
-from .scan import join64, run_minimum, runs, words
+from .scan import join64, mix64, run_minimum, runs, words
 
 #: Words of the runs from which a window takes its anchor.
 ANCHOR = 8
 NO_ID = -(2**63)
-#: Words of one partition's candidate windows that are settled at a time.
-LOCAL_WINDOWS = 3_000_000
+#: A partition's candidate windows that are settled at a time.
+LOCAL_WINDOWS = 1_500_000
+#: Buckets of anchors in the second pass: one per so many characters of text.
+LEAST_BUCKETS, BUCKET_CHARS = 1024, 2_000_000
 
 
 def _anchors(h: np.ndarray, room: np.ndarray, size: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,31 +76,87 @@ def _sketched(size: int, anchor: int):
     return values
 
 
-_CANDIDATE = "h1 long, h2 long, id long, tkey long, start int, gone array<int>"
+#: A row is a bucket's windows from one partition (by runs: document, first place,
+#: number of places; h1 and h2 hold each place's hash), or, in a bucket below 0, the
+#: runs of one document that are already known to go.
+_CANDIDATE = "bucket long, id array<long>, tkey array<long>, start array<int>, n array<int>, h1 binary, h2 binary"
+_NAMES = ["bucket", "id", "tkey", "start", "n", "h1", "h2"]
+_GONE = "id long, tkey long, gone array<int>"
 
 
-def _candidates(size: int, anchor: int, sketch):
-    """Rows of two kinds: a window's first place in this partition, or (h1 null) a document's places already known to go."""
+def _run_starts(ids, keys, start, more=None) -> np.ndarray:
+    """Where, in rows sorted by document and place, a run of neighbouring places begins."""
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]) | (start[1:] != start[:-1] + 1)
+    if more is not None:
+        new[1:] |= more[1:] != more[:-1]
+    return np.flatnonzero(new)
+
+
+def _later(h1, h2, ids, start) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which rows were compared, and which of these rows start later than an equal window."""
+    order = np.lexsort((start, ids, h2, h1))
+    h1, h2, ids, start = h1[order], h2[order], ids[order], start[order]
+    new = np.ones(len(h1), dtype=bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return order, (ids != ids[first]) | (start != start[first])
+
+
+def _gone_rows(ids, keys, start) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Per document the runs (first place, number) of the places given."""
+    order = np.lexsort((start, keys, ids))
+    ids, keys, start = ids[order], keys[order], start[order]
+    at = _run_starts(ids, keys, start)
+    n = np.diff(np.append(at, len(ids)))
+    cut = np.flatnonzero(np.concatenate([[True], (ids[at][1:] != ids[at][:-1]) | (keys[at][1:] != keys[at][:-1])]))
+    flat = np.stack([start[at], n], axis=1).astype(np.int32).ravel()
+    return ids[at][cut], keys[at][cut], pa.ListArray.from_arrays(pa.array(2 * np.append(cut, len(at)), pa.int32()), pa.array(flat))
+
+
+def _lists(cut: np.ndarray, end: int, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(cut, end), pa.int32()), pa.array(values))
+
+
+def _candidates(size: int, anchor: int, buckets: int, sketch):
+    """Candidate windows by bucket of their anchor; what repeats within the partition is settled here."""
 
     def settle(parts):
-        h1, h2, ids, keys, start = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, ids, h2, h1))
-        h1, h2, ids, keys, start = (x[order] for x in (h1, h2, ids, keys, start))
-        new = np.concatenate([[True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (ids != ids[first]) | (start != start[first])
-        stay = np.flatnonzero(~later)
-        if len(stay):
-            none = pa.nulls(len(stay), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(x[stay].view(np.int64)) for x in (h1, h2, ids, keys)] + [pa.array(start[stay], pa.int32()), none], names=["h1", "h2", "id", "tkey", "start", "gone"])
-        go = np.flatnonzero(later)
+        low, h1, h2, ids, keys, start = (np.concatenate(x) for x in zip(*parts))
+        order, later = _later(h1, h2, ids, start)
+        go = order[later]
         if len(go):
-            order = go[np.lexsort((start[go], keys[go], ids[go]))]
-            ids, keys, start = ids[order], keys[order], start[order]
-            cut = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1])]))
-            gone = pa.ListArray.from_arrays(pa.array(np.append(cut, len(ids)), pa.int32()), pa.array(start, pa.int32()))
-            none = pa.nulls(len(cut), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[cut]), pa.array(keys[cut]), pa.nulls(len(cut), pa.int32()), gone], names=["h1", "h2", "id", "tkey", "start", "gone"])
+            i, k, gone = _gone_rows(ids[go], keys[go], start[go])
+            one = np.arange(len(i))
+            none = pa.nulls(len(i), pa.binary())
+            own = -1 - (mix64(i.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own), _lists(one, len(i), i), _lists(one, len(i), k), gone, pa.nulls(len(i), pa.list_(pa.int32())), none, none], names=_NAMES
+            )
+        stay = order[~later]
+        if len(stay):
+            bucket = (mix64(low[stay]) % np.uint64(buckets)).astype(np.int64)
+            by = np.lexsort((start[stay], keys[stay], ids[stay], bucket))
+            stay, bucket = stay[by], bucket[by]
+            ids, keys, start = ids[stay], keys[stay], start[stay]
+            at = _run_starts(ids, keys, start, bucket)
+            n = np.diff(np.append(at, len(stay))).astype(np.int32)
+            cut = np.flatnonzero(np.concatenate([[True], bucket[at][1:] != bucket[at][:-1]]))
+            place = np.append(at[cut], len(stay))
+            h1, h2 = h1[stay], h2[stay].astype(np.uint32)
+            for lo in range(0, len(cut), 256):  # a few buckets a batch
+                hi = min(lo + 256, len(cut))
+                r = slice(cut[lo], cut[hi] if hi < len(cut) else len(at))
+                where, end = cut[lo:hi] - cut[lo], r.stop - r.start
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket[at[cut[lo:hi]]]), _lists(where, end, ids[at[r]]), _lists(where, end, keys[at[r]]),
+                        _lists(where, end, start[at[r]]), _lists(where, end, n[r]),
+                        pa.array([h1[place[j] : place[j + 1]].tobytes() for j in range(lo, hi)], pa.binary()),
+                        pa.array([h2[place[j] : place[j + 1]].tobytes() for j in range(lo, hi)], pa.binary()),
+                    ],
+                    names=_NAMES,
+                )
 
     def find(batches):
         known, parts, n = sketch.value, [], 0
@@ -116,7 +175,7 @@ def _candidates(size: int, anchor: int, sketch):
                     continue
                 row = w.rows()[at]
                 place = (at - w.first[row - w.row]).astype(np.int32)
-                parts.append((runs(a, size)[at], runs(join64(w.hashes(1), a), size)[at], ids[row], keys[row], place))
+                parts.append((low[at], runs(a, size)[at], runs(join64(w.hashes(1), a), size)[at] & np.uint64(0xFFFFFFFF), ids[row], keys[row], place))
                 n += len(at)
                 if n > LOCAL_WINDOWS:
                     yield from settle(parts)
@@ -127,8 +186,28 @@ def _candidates(size: int, anchor: int, sketch):
     return find
 
 
+def _settle_bucket(table: pa.Table) -> pa.Table:
+    """The windows of one bucket, from all partitions, that start later than an equal one."""
+    if table.column("bucket")[0].as_py() < 0:
+        first = pa.compute.list_element
+        return pa.table({"id": first(table.column("id"), 0), "tkey": first(table.column("tkey"), 0), "gone": table.column("start")})
+    flat = {c: pa.concat_arrays([x.flatten() for x in table.column(c).chunks]).to_numpy() for c in ("id", "tkey", "start", "n")}
+    n = flat["n"]
+    run = np.repeat(np.arange(len(n)), n)
+    start = (flat["start"][run] + np.arange(len(run)) - (np.cumsum(n) - n)[run]).astype(np.int32)
+    ids, keys = flat["id"][run], flat["tkey"][run]
+    h1 = np.frombuffer(b"".join(table.column("h1").to_pylist()), dtype=np.uint64)
+    h2 = np.frombuffer(b"".join(table.column("h2").to_pylist()), dtype=np.uint32)
+    order, later = _later(h1, h2, ids, start)
+    go = order[later]
+    if not len(go):
+        return pa.table({"id": pa.array([], pa.int64()), "tkey": pa.array([], pa.int64()), "gone": pa.array([], pa.list_(pa.int32()))})
+    i, k, gone = _gone_rows(ids[go], keys[go], start[go])
+    return pa.table({"id": i, "tkey": k, "gone": gone})
+
+
 def _kept(size: int):
-    """Adds n_words, n_removed and the kept text to rows of id, text, gone (starts of windows that go)."""
+    """Adds n_words, n_removed and the kept text to rows of id, text, gone (runs of windows that go: first place, number)."""
 
     def cut(batches):
         for batch in batches:
@@ -140,9 +219,9 @@ def _kept(size: int):
                 n = len(w)
                 if starts:
                     edge = np.zeros(n + 1, dtype=np.int32)
-                    at = np.unique(np.asarray(starts))
+                    at, many = np.asarray(starts).reshape(-1, 2).T
                     np.add.at(edge, at, 1)
-                    np.add.at(edge, np.minimum(at + size, n), -1)
+                    np.add.at(edge, at + many - 1 + size, -1)
                     w = [w[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 out.append((n, n - len(w), b" ".join(w)))
             n, r, t = zip(*out) if out else ((), (), ())
@@ -165,15 +244,12 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = ANCHOR, rows:
     # The sketch is sized by all characters: about six a word, a window's anchor lasts some places.
     chars = rows_in.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bits = cell_bits(2.0 * chars / 6 / (size - anchor + 2))
-    sketch = spark.sparkContext.broadcast(build(rows_in.select("text"), _sketched(size, anchor), rows, bits))
-    found = keyed.select("id", "tkey", "text").mapInArrow(_candidates(size, anchor, sketch), _CANDIDATE)
-    key = Window.partitionBy("h1", "h2", F.col("h1").isNull(), F.when(F.col("h1").isNull(), F.col("id")))
+    sketch = spark.sparkContext.broadcast(build(rows_in.select("text"), _sketched(size, anchor), rows, bits)[0])
+    buckets = max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS))
+    found = keyed.select("id", "tkey", "text").mapInArrow(_candidates(size, anchor, buckets, sketch), _CANDIDATE)
     later = (
-        found.withColumn("first", F.min(F.struct("id", "start")).over(key))
-        .filter(F.col("h1").isNull() | (F.col("id") != F.col("first.id")) | (F.col("start") != F.col("first.start")))
-        .select("id", "tkey", F.coalesce("gone", F.array("start")).alias("gone"))
-        .groupBy("id", "tkey")
-        .agg(F.flatten(F.collect_list("gone")).alias("gone"))
+        found.groupBy("bucket").applyInArrow(_settle_bucket, _GONE)
+        .groupBy("id", "tkey").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     )
     return keyed.join(later, ["id", "tkey"], "left").select("doc_id", "text", "gone").mapInArrow(
         _kept(size), "doc_id long, n_words long, n_removed long, kept_text string"
