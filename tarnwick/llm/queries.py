@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, substrings
+from . import jaccard, mixing, quality, substrings
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.query,
         "op5_substring_dedup": substrings.query,
+        "op8_jaccard_components": jaccard.query,
         "op10_quality_rules": quality.query,
     }
 
@@ -16,5 +17,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_substring_dedup": substrings.SQL,
+        "op8_jaccard_components": jaccard.SQL,
         "op10_quality_rules": quality.SQL,
     }
