@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, quality, substrings
+from . import jaccard, mixing, packing, quality, substrings
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.query,
         "op5_substring_dedup": substrings.query,
+        "op6_best_fit_packing": packing.query,
         "op8_jaccard_components": jaccard.query,
         "op10_quality_rules": quality.query,
     }
