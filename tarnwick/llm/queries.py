@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, substrings
+from . import jaccard, mixing, packing, quality, substrings, topk
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.query,
+        "op4_exact_top_k": topk.query,
         "op5_substring_dedup": substrings.query,
         "op6_best_fit_packing": packing.query,
         "op8_jaccard_components": jaccard.query,
@@ -17,6 +18,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_exact_top_k": topk.SQL,
         "op5_substring_dedup": substrings.SQL,
         "op8_jaccard_components": jaccard.SQL,
         "op10_quality_rules": quality.SQL,
