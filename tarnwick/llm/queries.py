@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, substrings, topk
+from . import jaccard, mixing, packing, quality, substrings, topk, warc
 
 
 def queries() -> dict:
     return {
         "op2_mix_sources": mixing.query,
+        "op3_warc_captures": warc.query,
         "op4_exact_top_k": topk.query,
         "op5_substring_dedup": substrings.query,
         "op6_best_fit_packing": packing.query,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_warc_captures": warc.SQL,
         "op4_exact_top_k": topk.SQL,
         "op5_substring_dedup": substrings.SQL,
         "op8_jaccard_components": jaccard.SQL,
