@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, mixing, packing, quality, substrings, topk, warc
+from . import jaccard, language, mixing, packing, quality, substrings, topk, warc
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language.query,
         "op2_mix_sources": mixing.query,
         "op3_warc_captures": warc.query,
         "op4_exact_top_k": topk.query,

@@ -18,6 +18,8 @@ _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Letters of ASCII in lower case; bytes beyond ASCII as they are; all else a space.
+LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
 _KEEP = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _LONG = 256
@@ -79,6 +81,13 @@ class Words:
             h[i] = xxhash.xxh3_64_intdigest(self.data[self.starts[i] : self.ends[i]].tobytes(), seed=int(seed))
         return h
 
+    def prefix_hashes(self, n_bytes: int) -> np.ndarray:
+        """64-bit hash of each word's first bytes, eight at most."""
+        padded = np.concatenate([self.data, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray((len(self.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+        n = np.minimum(self.ends - self.starts, n_bytes)
+        return join64(eight[self.starts] & _KEEP[n], np.full(1, np.uint64(n_bytes)))
+
     def room(self, k: int) -> np.ndarray:
         """Whether a run of ``k`` words starts at each word of its row."""
         ends = np.repeat(self.first[1:], np.diff(self.first))
@@ -145,14 +154,18 @@ def pieces(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         row = to
 
 
-def words(column: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """The words of a text column, a few megabytes of whole rows at a time."""
+def words(column: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Iterator[Words]:
+    """The words of a text column, a few megabytes of whole rows at a time.
+
+    ``table`` maps each byte before words are cut; ``lower`` stands for A-Z to a-z.
+    """
+    table = _LOWER if table is None and lower else table
     data, offsets = column_bytes(column)
     for row, to in pieces(offsets):
         part = data[offsets[row] : offsets[to]]
         off = offsets[row : to + 1] - offsets[row]
-        if lower:
-            part = _LOWER[part]
+        if table is not None:
+            part = table[part]
         inside = ~_IS_SPACE[part]
         before = np.empty(len(part) + 1, dtype=bool)  # before[i]: the byte before i is in the same word
         before[0], before[1:] = False, inside
