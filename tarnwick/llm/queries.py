@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, quality, substrings, topk, warc
+from . import jaccard, language, mixing, packing, quality, substrings, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_substring_dedup": substrings.query,
         "op6_best_fit_packing": packing.query,
         "op8_jaccard_components": jaccard.query,
+        "op9_toxicity": toxicity.query,
         "op10_quality_rules": quality.query,
     }
 
