@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, quality, substrings, topk, toxicity, warc
+from . import jaccard, language, mixing, packing, pii, quality, substrings, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_exact_top_k": topk.query,
         "op5_substring_dedup": substrings.query,
         "op6_best_fit_packing": packing.query,
+        "op7_personal_data": pii.query,
         "op8_jaccard_components": jaccard.query,
         "op9_toxicity": toxicity.query,
         "op10_quality_rules": quality.query,
