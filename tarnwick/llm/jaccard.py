@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.session import stored
 
-from .common import documents
+from .common import SPACE, documents, free
 from .components import components, spread_join
 from .repeats import build, cell_bits
 from .scan import mix64, runs, words
@@ -87,7 +87,7 @@ def _digest(tokens: np.ndarray, n: int) -> bytes:
     return mix64(np.array([a, b], dtype=np.uint64)).astype(">u8").tobytes()
 
 
-_DOC = "doc_id long, n long, node binary, grp binary, token array<long>, pos array<int>, cells binary, tokens binary"
+_DOC = "doc_id long, tkey long, n long, node binary, grp binary, token array<long>, pos array<int>, cells binary, tokens binary"
 
 
 def _prefixes(k: int, percent: int, shared):
@@ -97,12 +97,12 @@ def _prefixes(k: int, percent: int, shared):
         known, heavy, weight = shared.value
         level = np.floor(np.log2(weight)).astype(np.uint8) + 2 if len(weight) else None
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
+            ids = list(zip(batch.column("doc_id").to_pylist(), batch.column("tkey").to_pylist()))
             out = []
             for row, s in _sets(batch.column("text"), k):
                 n = len(s)
                 if not n:
-                    out.append((ids[row], 0, None, None, None, None, None, None))
+                    out.append((*ids[row], 0, None, None, None, None, None, None))
                     continue
                 rank = known.maybe(s).astype(np.uint8)
                 if level is not None:
@@ -118,7 +118,7 @@ def _prefixes(k: int, percent: int, shared):
                     cells = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS).astype("<u4")
                     cells = np.minimum(cells, 255).astype(np.uint8).tobytes() if cells.max() < 255 else cells.tobytes()
                     blob = s.tobytes()
-                out.append((ids[row], n, _digest(s, n), _digest(prefix, n), prefix[post].view(np.int64), post.astype(np.int32), cells, blob))
+                out.append((*ids[row], n, _digest(s, n), _digest(prefix, n), prefix[post].view(np.int64), post.astype(np.int32), cells, blob))
                 if len(out) >= 2000:
                     yield _doc_batch(out)
                     out = []
@@ -129,8 +129,8 @@ def _prefixes(k: int, percent: int, shared):
 
 
 def _doc_batch(rows) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-    names = ["doc_id", "n", "node", "grp", "token", "pos", "cells", "tokens"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+    names = ["doc_id", "tkey", "n", "node", "grp", "token", "pos", "cells", "tokens"]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
@@ -195,13 +195,13 @@ def _passes(percent: int, n1: str, p1: str, n2: str, p2: str) -> str:
 
 
 def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable over links) of each row of ``docs``.
+    """doc_id, n_shingles, component_id (smallest id reachable over links), tkey of each row of ``docs``.
 
     Documents link when 100 * overlap >= percent * union of their sets of ``k``-word
-    shingles, words lower-cased in A-Z.
+    shingles, words lower-cased in A-Z. ``tkey`` is Spark's xxhash64 of the text (null: empty).
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), F.col("text").cast("string").alias("text"))
     chars = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     bits = cell_bits(chars / 6, per_value=1.0)
     shared = spark.sparkContext.broadcast(build(rows.select("text"), _sketched(k), 1, bits, heavy=HEAVY))
@@ -262,16 +262,39 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
 
     named = found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("d")).join(roots, "node", "left")
     named = stored(named.select("node", F.coalesce("root", "node").alias("root"), "d"), "named")
-    names = spread_join(named, named.groupBy("root").agg(F.min("d").alias("component_id")), ["root"]).select("node", "component_id")
+    names = spread_join(named, named.groupBy("root").agg(F.min("d").alias("component_id")), ["root"]).select("node", "component_id", F.col("root").alias("component"))
     return (
-        spread_join(found.select("doc_id", "n", "node"), names, ["node"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        spread_join(found.select("doc_id", "tkey", "n", "node"), names, ["node"], "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "tkey", "component")
     )
 
 
+def text_key():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without all but one of each component: that of the smallest id (null last).
+
+    Rows without words are in no component and all stay.
+    """
+    rows = stored(similar_components(docs, k, percent), "components")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
+    chosen = rows.filter("component is not null").groupBy("component").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.tkey").alias("tkey"))
+    chosen = stored(chosen, "chosen")
+    id_, key, own = free(docs, "_id"), free(docs, "_tkey"), [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(key, text_key())
+    wordless = F.coalesce(F.regexp_replace(F.col("text").cast("string"), SPACE + "+", ""), F.lit("")) == ""
+    match = (F.col("`doc_id`").cast("long").eqNullSafe(F.col(id_))) & (F.col(key) == F.col(key + "1"))
+    kept = keyed.filter(~wordless).join(chosen.select(F.col("doc_id").alias(id_), F.col("tkey").alias(key + "1")), match, "left_semi")
+    if rows.filter("component is not null").groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", key])  # equal rows: either stands for both
+    return kept.select(*own).unionByName(docs.filter(wordless).select(*own))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: components of all documents."""
-    return similar_components(documents(spark, sf_dir))
+    return similar_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 SQL = r"""

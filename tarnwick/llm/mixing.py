@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.session import stored
 
-from .common import n_words, unit_hash
+from .common import free, n_words, unit_hash
 
 #: Documents that one node of the reduction tree folds, on average.
 FAN_IN = 64
@@ -84,6 +84,12 @@ def _fold(seed: int) -> Column:
     return F.expr(f"aggregate(docs, struct(cast(array() as {kind}) as done, {none} as left), (acc, d) -> {step})")
 
 
+def row_key(seed: int) -> Column:
+    """A hash of a row's id, source and text."""
+    cols = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")]
+    return F.xxhash64(F.lit(seed), *cols, F.concat(*[c.isNull().cast("string") for c in cols]))
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[float, ...] = (3, 1, 2),
@@ -99,10 +105,10 @@ def mix(
     ``key`` is a hash of the row's id, source and text, for a join back to the rows.
     """
     sized = docs.select(
-        F.xxhash64(F.lit(seed), "doc_id", "source", F.coalesce("text", F.lit("\0"))).alias("key"),
+        row_key(seed).alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
-        n_words(F.col("text")).alias("size"),
+        n_words(F.col("text").cast("string")).alias("size"),
     )
     sized = stored(sized, "mix-sizes")
     targets = stored(source_targets(sized, weights, share, cap), "mix-targets")
@@ -154,15 +160,17 @@ def mix(
 
 def mixed_documents(docs: DataFrame, seed: int = 20240607, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, in whole copies."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    key, copies, rows_, n, nth = (free(docs, x) for x in ("_mix_key", "_mix_copies", "_mix_rows", "_mix_n", "_mix_nth"))
     plan = mix(docs, seed=seed, last="whole", **options)
-    plan = plan.groupBy("key").agg(F.sum("copies").alias("_mix_copies"), F.count(F.lit(1)).alias("_mix_rows"))
-    key = F.xxhash64(F.lit(seed), "doc_id", "source", F.coalesce("text", F.lit("\0")))
-    rows = docs.withColumn("_mix_key", key).join(plan.withColumnRenamed("key", "_mix_key"), "_mix_key")
+    plan = plan.groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows_))
+    keyed = docs.withColumn(key, row_key(seed)).join(plan, key)
     # Equal rows share what the mix gave them: the first ones get one more.
-    nth = F.when(F.col("_mix_rows") > 1, F.row_number().over(Window.partitionBy("_mix_key").orderBy(F.lit(0)))).otherwise(F.lit(1))
-    each = F.floor(F.col("_mix_copies") / F.col("_mix_rows")) + (nth <= F.col("_mix_copies") % F.col("_mix_rows")).cast("long")
-    rows = rows.withColumn("_mix_n", each.cast("int")).filter("_mix_n > 0")
-    return rows.withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = Window.partitionBy(key).orderBy(F.lit(0))
+    keyed = keyed.withColumn(nth, F.when(F.col(rows_) > 1, F.row_number().over(order)).otherwise(F.lit(1)))
+    each = F.floor(F.col(copies) / F.col(rows_)) + (F.col(nth) <= F.col(copies) % F.col(rows_)).cast("long")
+    keyed = keyed.withColumn(n, each.cast("int")).filter(F.col(n) > 0)
+    return keyed.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

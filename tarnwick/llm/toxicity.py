@@ -171,28 +171,35 @@ def fit(rows: DataFrame) -> Ordinal:
 
 def score(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
     """doc_id, severity (expected grade), grade (most probable), p_toxic (grade 1 or more), toxic of each row."""
-    return with_scores(docs.select("doc_id", "text"), model, reject).select(F.col("doc_id").cast("long"), "severity", "grade", "p_toxic", "toxic")
-
-
-def with_scores(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
-    """The rows of ``docs`` with severity, grade, p_toxic and toxic added (names of ``docs`` that clash give way)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    new = "severity double, grade int, p_toxic double, toxic boolean"
-    added = [x.split(" ")[0] for x in new.split(", ")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in added])
-    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL(new).fields)
 
     def rate(batches):
         m = shared.value
         for batch in batches:
-            at_least = m.grades(m.scores(batch.column("text").cast(pa.string())))
-            each = np.diff(np.hstack([-np.ones((len(at_least), 1)), -at_least, np.zeros((len(at_least), 1))]), axis=1)
+            at_least = m.grades(m.scores(batch.column("text")))
+            one = np.ones((len(at_least), 1))
+            each = np.diff(np.hstack([-one, -at_least, 0 * one]), axis=1)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(at_least.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(at_least[:, 0]), pa.array(at_least[:, 0] >= reject)],
-                names=[*batch.schema.names, *added],
+                [batch.column("doc_id"), pa.array(at_least.sum(axis=1)), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(at_least[:, 0]), pa.array(at_least[:, 0] >= reject)],
+                names=["doc_id", "severity", "grade", "p_toxic", "toxic"],
             )
 
-    return docs.mapInArrow(rate, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(rate, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose probability of grade 1 or more is below ``reject``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches):
+        m = shared.value
+        for batch in batches:
+            at_least = m.grades(m.scores(batch.column(at).cast(pa.string())))
+            yield batch.filter(pa.array(at_least[:, 0] < reject))
+
+    return docs.mapInArrow(keep, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
