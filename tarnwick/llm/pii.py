@@ -442,5 +442,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = find(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["base"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    n = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    n = [of(k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *n, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
