@@ -1,6 +1,360 @@
-"""Registered queries over the test tables, and the same in DuckDB SQL."""
+"""Registered queries over the test tables, and the same in DuckDB SQL.
+
+Every query runs over its whole tables. Questions of the vector search are the rows
+whose id is divisible by 100, against all rows.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import string
+
+from pyspark.sql import functions as F
+
+from tarnwick.functions.text import REFUSAL, exact_match, normalize_answer, passage_block, py_strip
+from tarnwick.operators import evaluate, generate, metrics, passages, vectors
+from tarnwick.operators.embed import HashingEmbedder, embed
+from tarnwick.operators.retrieve import gathered, top_k, top_k_sql, with_passages
+from tarnwick.plans import agent, rag
+from tarnwick.schemas import Config
+from tarnwick.session import new_table_path
+from tarnwick.sources import index as index_
+from tarnwick.sources.tables import examples_from_documents, question_answer_pairs, table
+from tarnwick.streaming.questions import answer_stream, read_questions
+
+#: Documented sample questions with their classes (fixed values).
+SAMPLES = (
+    ("COMPARISON", "Were Scott Derrickson and Ed Wood of the same nationality?"),
+    ("COMPARISON", "Which magazine was started first, Arthur's Magazine or First for Women?"),
+    ("COMPARISON", "Who is older, Elvis Presley or Michael Jackson?"),
+    ("COMPARISON", "Which band was formed first, Radiohead or Coldplay?"),
+    ("MULTI_HOP", "Who directed the film Sinister?"),
+    ("MULTI_HOP", "Who wrote the novel that the film The Shining is based on?"),
+    ("MULTI_HOP", "Who founded the company that makes the iPhone?"),
+    ("MULTI_HOP", "What nationality is the director of the film Saw?"),
+    ("SIMPLE", "What year was the Eiffel Tower built?"),
+    ("SIMPLE", "Who wrote the play Hamlet?"),
+    ("SIMPLE", "When was Wikipedia founded?"),
+    ("SIMPLE", "Where was Albert Einstein born?"),
+)
+CAPS = (-1, 0, 1, 10, 55, 300, 926, 1_000_000)
+
+
+def _flat(spark, d):
+    return passages.flatten(examples_from_documents(table(spark, d, "documents")))
+
+
+def passages_flatten(spark, d):
+    return _flat(spark, d)
+
+
+def passages_first_seen(spark, d):
+    return passages.first_seen(_flat(spark, d)).select("example_ord", "pos", "title", "text")
+
+
+def passages_capped(spark, d):
+    flat, out = _flat(spark, d), None
+    for cap in CAPS:
+        one = passages.capped(flat, cap).select(F.lit(cap).cast("long").alias("cap"), "example_ord", "pos", "title")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def l2_normalize(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.l2_normalize(F.col("embedding"))).alias("i", "x"))
+    return e.select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("passage_id"), "embedding")
+
+
+def _asked(v):
+    return v.filter("passage_id % 100 = 0").select(F.col("passage_id").alias("query_id"), "embedding")
+
+
+def _rounded(found):
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "passage_id", F.round("score", 6).alias("score"))
+
+
+def retrieve_topk_dense(spark, d):
+    v = _vectors(spark, d)
+    return _rounded(top_k(_asked(v), v, 10))
+
+
+def retrieve_topk_expressions(spark, d):
+    v = _vectors(spark, d)
+    return _rounded(top_k_sql(_asked(v), v, 10))
+
+
+def retrieve_topk_text(spark, d):
+    e = HashingEmbedder(1024)
+    docs = embed(table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text"), e, keep=("passage_id",))
+    asked = embed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), e, keep=("query_id",))
+    found = top_k(asked, docs, 10)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+def _found(spark, d, k=10):
+    """Retrieved passages for the question vectors: documents stand for the passages, without the question itself."""
+    v = _vectors(spark, d)
+    title = F.split("text", "\n")[0]
+    p = table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), title.alias("title"), "text")
+    # Vectors without a document of their id are no passages.
+    own = v.join(p.select("passage_id"), "passage_id", "left_semi")
+    return with_passages(top_k(_asked(v), own, k, skip_same=True), p)
+
+
+def _questions(spark, d):
+    return _asked(_vectors(spark, d)).select("query_id", F.concat(F.lit("Question "), F.col("query_id").cast("string")).alias("text"))
+
+
+def prompt_context(spark, d):
+    return generate.contexts(_found(spark, d))
+
+
+def prompt_full(spark, d):
+    return generate.prompts(_questions(spark, d), _found(spark, d))
+
+
+def normalized_answers(spark, d):
+    return table(spark, d, "documents").select("doc_id", normalize_answer(F.col("text")).alias("normalized"))
+
+
+def stripped_turns(spark, d):
+    padded = F.concat(F.lit(" \t\u00a0"), F.col("text"), F.lit("\u2003\n "))
+    return table(spark, d, "conversations").select("conv_id", "turn", py_strip(padded).alias("text"))
+
+
+def _predicted(spark, d):
+    """Pairs with a prediction: the answer in other writing for even pairs, the question for the rest."""
+    p = question_answer_pairs(table(spark, d, "conversations"))
+    even = (F.col("conv_id") + F.col("turn")) % 2 == 0
+    said = F.when(even, F.concat(F.lit(" "), F.lower("answer"), F.lit("!? "))).otherwise(F.col("question"))
+    return p.select("conv_id", "turn", "question", F.col("answer").alias("gold"), said.alias("predicted"))
+
+
+def question_pairs(spark, d):
+    return question_answer_pairs(table(spark, d, "conversations"))
+
+
+def exact_match_eval(spark, d):
+    return evaluate.scored(_predicted(spark, d)).select("conv_id", "turn", F.col("exact_match").cast("long").alias("exact_match"))
+
+
+def eval_summary(spark, d):
+    return evaluate.summary(evaluate.scored(_predicted(spark, d)))
+
+
+def eval_sample_prefix(spark, d):
+    first = evaluate.sample_prefix(_predicted(spark, d), Config().num_samples, ["conv_id", "turn"])
+    return evaluate.scored(first).select("conv_id", "turn", F.col("exact_match").cast("long").alias("exact_match"))
+
+
+def eval_report_line(spark, d):
+    return evaluate.report_lines(evaluate.scored(_predicted(spark, d)))
+
+
+def eval_report_files(spark, d):
+    """The report written as JSON and read back."""
+    path = new_table_path(spark, "report")
+    rows = evaluate.scored(_predicted(spark, d)).select("conv_id", "turn", "gold", "predicted", "exact_match")
+    evaluate.write_report(rows, path)
+    back = spark.read.schema("conv_id long, turn long, gold string, predicted string, exact_match long").json(f"{path}/results")
+    mean = spark.read.schema("n long, exact_match double").json(f"{path}/summary").select(F.col("exact_match").alias("mean"))
+    return back.crossJoin(F.broadcast(mean)).select("conv_id", "turn", "exact_match", F.round("mean", 6).alias("mean"))  # one row
+
+
+def rag_answer_stub(spark, d):
+    return generate.stub_answers(_questions(spark, d), _found(spark, d), Config().threshold)
+
+
+def retrieved_titles(spark, d):
+    t = gathered(_found(spark, d)).select("query_id", F.array_join(F.transform("retrieved", lambda r: r["title"]), " | ").alias("titles"))
+    return t
+
+
+def report_blocks(spark, d):
+    found = _found(spark, d)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), passage_block(F.col("rank"), F.col("title"), F.col("text")).alias("block"))
+
+
+def _labels(spark, d):
+    return table(spark, d, "labels").select(F.col("quality").alias("label"), (1 - F.col("toxic")).alias("predicted"))
+
+
+def macro_f1(spark, d):
+    return metrics.macro_f1(_labels(spark, d)).select(F.round("macro_f1", 9).alias("macro_f1"))
+
+
+def accuracy(spark, d):
+    return metrics.accuracy(_labels(spark, d))
+
+
+def query_class_samples(spark, d):
+    rows = spark.createDataFrame([(i, *s) for i, s in enumerate(SAMPLES)], "id long, label string, text string")
+    return rows.select("id", "label", agent.query_class(F.col("text")).alias("predicted"))
+
+
+def query_class(spark, d):
+    rows = table(spark, d, "conversations").filter("role = 'user'")
+    c = agent.query_class(F.col("text"))
+    return rows.select("conv_id", "turn", c.alias("class"), agent.top_k_of(c).cast("long").alias("k"))
+
+
+def index_build_load(spark, d):
+    """Build an index, load it again with the same configuration, and rebuild it with another."""
+    path, docs = new_table_path(spark, "index"), table(spark, d, "documents")
+    make = lambda: docs.select(F.col("doc_id").alias("passage_id"), F.split("text", "\n")[0].alias("title"), "text")
+    rows = []
+    for dim in (64, 64, 32):
+        config = Config(dimensions=dim).index_fields()
+        found, built = index_.build_or_load(spark, path, make, HashingEmbedder(dim), config)
+        rows.append((len(rows), built, vectors.dimension(found), index_.size(found)))
+    return spark.createDataFrame(rows, "step long, built boolean, dimensions long, vectors long")
+
+
+def _index(spark, d):
+    path, docs = new_table_path(spark, "index"), table(spark, d, "documents")
+    make = lambda: docs.select(F.col("doc_id").alias("passage_id"), F.split("text", "\n")[0].alias("title"), "text")
+    return index_.build_or_load(spark, path, make, HashingEmbedder(256), Config(dimensions=256).index_fields())[0]
+
+
+def rag_questions(spark, d):
+    """Every benchmark item asked of all documents; one row each, passages in rank order."""
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    out = rag.ask(questions, _index(spark, d), HashingEmbedder(256), Config(dimensions=256))
+    return out.select("query_id", F.size("retrieved").cast("long").alias("n_retrieved"), "answer")
+
+
+def stage_comparison(spark, d):
+    """Exact match of fixed and of class-wise retrieval over the question pairs, by stage."""
+    pairs = question_answer_pairs(table(spark, d, "conversations"))
+    pairs = pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("question").alias("text"), F.col("answer").alias("gold"))
+    e = HashingEmbedder(256)
+    index = _index(spark, d)
+    found = with_passages(top_k(embed(pairs, e, keep=("query_id",)), index, 10), index)
+    out = None
+    for stage, rows in ((1, found), (3, agent.adaptive(found, pairs))):
+        said = generate.stub_answers(pairs, rows, Config().threshold)
+        one = pairs.join(said, "query_id").select(F.lit(stage).alias("stage"), "query_id", exact_match(F.col("answer"), F.col("gold")).alias("exact_match"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.avg("exact_match").alias("exact_match"))
+
+
+def agent_loop(spark, d):
+    """Every benchmark item through the loop of answering, verifying and asking again."""
+    e, index = HashingEmbedder(256), _index(spark, d)
+    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+    def retrieve(pending):
+        found = with_passages(top_k(embed(pending, e, keep=("query_id",)), index, max(agent.TOP_K.values())), index)
+        return agent.adaptive(found, pending)
+
+    return agent.agent_loop(questions, retrieve, lambda q, found: generate.stub_answers(q, found, Config().threshold), max_iterations=Config().max_iterations)
+
+
+def question_stream(spark, d):
+    """All users' turns as a stream of questions, each micro-batch classified by the batch plan."""
+    source, out, checkpoint = (new_table_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
+    turns = table(spark, d, "conversations").filter("role = 'user'")
+    turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text").write.parquet(source)
+    answer = lambda batch: batch.select("query_id", agent.query_class(F.col("text")).alias("class"))
+    answer_stream(read_questions(spark, source), answer, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("query_id", "class")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        passages_flatten, passages_first_seen, passages_capped, l2_normalize, retrieve_topk_dense, retrieve_topk_expressions, retrieve_topk_text,
+        prompt_context, prompt_full, normalized_answers, stripped_turns, question_pairs, exact_match_eval, eval_summary, eval_sample_prefix,
+        eval_report_line, eval_report_files, rag_answer_stub, retrieved_titles, report_blocks, macro_f1, accuracy, query_class_samples, query_class,
+        index_build_load, rag_questions, stage_comparison, agent_loop, question_stream,
+    )
+}
+
+# --- the same in SQL -----------------------------------------------------------------
+
+_TITLE = "string_split(text, chr(10))[1]"
+_FLAT = f"select doc_id // 10 as example_ord, doc_id % 10 as pos, {_TITLE} as title, replace(text, chr(10), ' ') as text from documents"
+_FIRST = f"select * from (select *, row_number() over (partition by title order by example_ord, pos) as nth from ({_FLAT})) where nth = 1"
+_SCORES = """
+select q.vec_id as query_id, v.vec_id as passage_id,
+  list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda p: cast(p[1] as double) * cast(p[2] as double))) as score
+from embeddings q, embeddings v where q.vec_id % 100 = 0"""
+_DENSE = f"""
+select query_id, rank, passage_id, round(score, 6) as score from
+  (select *, row_number() over (partition by query_id order by score desc, passage_id) as rank from ({_SCORES})) where rank <= 10"""
+_FOUND = f"""
+select query_id, rank, title, text, score from (select query_id, passage_id, score,
+    row_number() over (partition by query_id order by score desc, passage_id) as rank
+  from ({_SCORES}) where query_id != passage_id and passage_id in (select doc_id from documents))
+join (select doc_id as passage_id, {_TITLE} as title, text from documents) using (passage_id) where rank <= 10"""
+_BLOCK = "'[' || rank || '] ' || title || ':' || chr(10) || text"
+_PUNCT = string.punctuation.replace("'", "''")
+_STRIP = r"regexp_replace(regexp_replace({}, '^[\s\x{{1c}}-\x{{1f}}\x{{85}}\x0b\p{{Z}}]+', ''), '[\s\x{{1c}}-\x{{1f}}\x{{85}}\x0b\p{{Z}}]+$', '')"
+_NORMAL = lambda x: _STRIP.format(f"translate(lower({x}), '{_PUNCT}', '')")
+_PAIRS = """
+select conv_id, turn, text as question, answer from (select *, lead(role) over w as next_role, lead(text) over w as answer
+  from conversations window w as (partition by conv_id order by turn)) where role = 'user' and next_role = 'assistant'"""
+_PREDICTED = f"""
+select conv_id, turn, answer as gold, case when (conv_id + turn) % 2 = 0 then ' ' || lower(answer) || '!? ' else question end as predicted from ({_PAIRS})"""
+_SCORED = f"select *, cast({_NORMAL('predicted')} = {_NORMAL('gold')} as bigint) as exact_match from ({_PREDICTED})"
+_CLASS = "case " + " ".join(f"when regexp_matches(lower(text), '{p}') then '{n}'" for n, p in agent.RULES) + " else 'SIMPLE' end"
+_K = "case {} " + " ".join(f"when '{n}' then {k}" for n, k in agent.TOP_K.items()) + " end"
+_PROMPT_PARTS = [f'Use nothing but the context below to answer. Where it does not hold the answer, reply "{REFUSAL}"\n\nContext:\n', "\n\nQuestion: ", "\n\nAnswer:"]
+_Q = lambda x: "'" + x.replace("'", "''") + "'"
+_TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t != '')"
+_SPARSE = """
+select id, b, c / sqrt(sum(c * c) over (partition by id)) as w from (
+  select id, cast('0x' || substr(md5(t), 1, 4) as int) % 1024 as b, cast(count(*) as double) as c from (select {id} as id, unnest({tokens}) as t from {table}) group by all)"""
+
+ORACLE_SQL = {
+    "passages_flatten": _FLAT,
+    "passages_first_seen": f"select example_ord, pos, title, text from ({_FIRST})",
+    "passages_capped": f"""
+with f as ({_FIRST}), n as (select e.example_ord, count(f.title) as n from (select distinct doc_id // 10 as example_ord from documents) e left join f using (example_ord) group by 1),
+b as (select example_ord, coalesce(sum(n) over (order by example_ord rows between unbounded preceding and 1 preceding), 0) as before, row_number() over (order by example_ord) as o from n)
+select cast(cap as bigint) as cap, example_ord, pos, title from f join b using (example_ord), unnest([{", ".join(map(str, CAPS))}]) c(cap) where o = 1 or before < cap""",
+    "l2_normalize": """
+select vec_id, i - 1 as i, round(case when n = 0 then x else x / n end, 6) as x from (
+  select vec_id, unnest(range(1, len(embedding) + 1)) as i, unnest(list_transform(embedding, lambda x: cast(x as double))) as x,
+    sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as n from embeddings)""",
+    "retrieve_topk_dense": _DENSE,
+    "retrieve_topk_expressions": _DENSE,
+    "retrieve_topk_text": f"""
+with d as ({_SPARSE.format(id='doc_id', tokens=_TOKENS, table='documents')}), q as ({_SPARSE.format(id='item_id', tokens=_TOKENS, table='benchmark')}),
+s as (select q.id as query_id, d.id as passage_id, sum(q.w * d.w) as score from q join d using (b) group by all)
+select query_id, rank, round(score, 4) as score from (select *, row_number() over (partition by query_id order by score desc, passage_id) as rank from s) where rank <= 10""",
+    "prompt_context": f"select query_id, string_agg({_BLOCK}, chr(10) || chr(10) order by rank) as context from ({_FOUND}) group by 1",
+    "prompt_full": f"""
+select query_id, 'Question ' || query_id as question, {_Q(_PROMPT_PARTS[0])} || string_agg({_BLOCK}, chr(10) || chr(10) order by rank) || {_Q(_PROMPT_PARTS[1])} || 'Question ' || query_id || {_Q(_PROMPT_PARTS[2])} as prompt
+from ({_FOUND}) group by query_id""",
+    "normalized_answers": f"select doc_id, {_NORMAL('text')} as normalized from documents",
+    "stripped_turns": "select conv_id, turn, " + _STRIP.format("(' ' || chr(9) || chr(160) || text || chr(8195) || chr(10) || ' ')") + " as text from conversations",
+    "question_pairs": _PAIRS,
+    "exact_match_eval": f"select conv_id, turn, exact_match from ({_SCORED})",
+    "eval_summary": f"select count(exact_match) as n, avg(exact_match) as exact_match from ({_SCORED})",
+    "eval_sample_prefix": f"select conv_id, turn, exact_match from ({_SCORED}) order by conv_id, turn limit {Config().num_samples}",
+    "eval_report_line": f"""
+select 'Exact match over ' || n || ' samples: ' || printf('%.4f', m) || ' (' || printf('%.1f', m * 100) || '%)' as line from (select count(exact_match) as n, avg(exact_match) as m from ({_SCORED}))""",
+    "eval_report_files": f"select conv_id, turn, exact_match, round(avg(exact_match) over (), 6) as mean from ({_SCORED})",
+    "rag_answer_stub": f"""
+select q.vec_id as query_id, coalesce(case when score >= {Config().threshold} then title end, {_Q(REFUSAL)}) as answer
+from (select vec_id from embeddings where vec_id % 100 = 0) q left join (select * from ({_FOUND}) where rank = 1) f on f.query_id = q.vec_id""",
+    "retrieved_titles": f"select query_id, string_agg(title, ' | ' order by rank) as titles from ({_FOUND}) group by 1",
+    "report_blocks": f"select query_id, rank, {_BLOCK} as block from ({_FOUND})",
+    "macro_f1": """
+with p as (select quality as label, 1 - toxic as predicted from labels),
+f as (select c, 2.0 * count(*) filter (label = c and predicted = c) / (count(*) filter (label = c) + count(*) filter (predicted = c)) as f1
+  from p, (select label as c from p union select predicted from p) group by c)
+select round(avg(f1), 9) as macro_f1 from f""",
+    "accuracy": "select avg(cast(quality = 1 - toxic as int)) as accuracy from labels",
+    "query_class_samples": "select cast(id as bigint) as id, label, " + _CLASS + " as predicted from (values "
+    + ", ".join(f"({i}, '{a}', {_Q(t)})" for i, (a, t) in enumerate(SAMPLES)) + ") v(id, label, text)",
+    "query_class": f"select conv_id, turn, class, cast({_K.format('class')} as bigint) as k from (select conv_id, turn, {_CLASS} as class from conversations where role = 'user')",
+    "index_build_load": """
+select cast(step as bigint) as step, built, cast(dim as bigint) as dimensions, (select count(*) from documents) as vectors
+from (values (0, true, 64), (1, false, 64), (2, true, 32)) v(step, built, dim)""",
+    "question_stream": f"select conv_id * 1000 + turn as query_id, {_CLASS} as class from conversations where role = 'user'",
+}
