@@ -37,6 +37,8 @@ from .components import spread_join
 
 DATE = "2024-01-01T00:00:00Z"
 BREAK = "\r\n"
+#: Stands for a null page_id.
+NO_ID = -(2**63)
 #: Records of one archive file at most.
 FILE_RECORDS = 15_000
 
@@ -60,19 +62,19 @@ def write_pages(pages: DataFrame, path: str, revisit_from: int = 0, compression:
     """Write the archive of ``pages`` (page_id, url, html) to the folder ``path``."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.regexp_replace("url", "[\r\n]+", " ").alias("url"),
-        html.alias("html"), F.sha2(html, 256).alias("same"), F.octet_length(html).alias("size"),
+        F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("id"),
+        F.regexp_replace("url", "[\r\n]+", " ").alias("url"), html.alias("html"), F.sha2(html, 256).alias("same"), F.octet_length(html).alias("size"),
     )
-    copy = Window.partitionBy("page_id", "same").orderBy(F.col("url").asc_nulls_first())
     # Which record is the response is settled on the keys alone; payloads move once, by page.
-    keys = rows.select("page_id", "same", "size")
-    id_ = F.coalesce("page_id", F.lit(-(2**63)))
-    first = keys.filter(F.col("size") >= revisit_from).groupBy("same").agg(F.max(id_).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    chosen = spread_join(keys.select("page_id", "same").distinct(), first, ["same"]).select("page_id", "same", "first")
-    joined = rows.join(chosen.withColumnRenamed("page_id", "p").withColumnRenamed("same", "s"), F.col("page_id").eqNullSafe(F.col("p")) & (F.col("same") == F.col("s")), "left")
-    joined = joined.withColumn("copy", F.row_number().over(copy)).withColumn("revisits", F.col("first").isNotNull() & ((id_ != F.col("first")) | (F.col("copy") > 1)))
+    keys = rows.select("id", "same", "size")
+    first = keys.filter(F.col("size") >= revisit_from).groupBy("same").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    chosen = spread_join(keys.select("id", "same").distinct(), first, ["same"]).select("id", "same", "first")
+    # Join and numbering of equal rows have the same keys and so share one shuffle.
+    copy = Window.partitionBy("id", "same").orderBy(F.col("url").asc_nulls_first())
+    joined = rows.join(chosen, ["id", "same"], "left").withColumn("copy", F.row_number().over(copy))
+    joined = joined.withColumn("revisits", F.col("first").isNotNull() & ((F.col("id") != F.col("first")) | (F.col("copy") > 1)))
     key = lambda page, copy: F.concat_ws("|", page.cast("string"), F.col("same"), copy.cast("string"))
-    own, target = key(id_, F.col("copy")), key(F.col("first"), F.lit(1))
+    own, target = key(F.col("id"), F.col("copy")), key(F.col("first"), F.lit(1))
     digest = F.concat(F.lit("sha1:"), base32_of_hex(F.sha1("html")))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit(BREAK + BREAK),
