@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space; a word is a maximal run of anything else.
@@ -44,3 +44,23 @@ def free(df: DataFrame, name: str) -> str:
     while name.lower() in used:
         name += "_"
     return name
+
+
+def bounded_sample(rows: DataFrame, by: str, keys: list[str], per_class: int, most_classes: int = 200) -> DataFrame:
+    """At most ``per_class`` rows of each value of ``by``: those with the smallest hashes of ``keys``.
+
+    The classes are counted first; rows whose hash is beyond what should hold twice as
+    many are left behind where they are, so a few times ``per_class`` rows of a class
+    move, however large it is. Classes beyond the ``most_classes`` most frequent, and
+    null, give no rows.
+    """
+    counted = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(most_classes).collect()
+    if not counted:
+        return rows.filter(F.lit(False))
+    u, bound = unit_hash(*[F.col(k) for k in keys]), F.lit(None).cast("double")
+    for value, n in counted:
+        bound = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, (2.0 * per_class + 50) / n))).otherwise(bound)
+    name = free(rows, "_nth")
+    near = rows.filter(u <= bound)
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(u, *keys))
+    return near.withColumn(name, nth).filter(F.col(name) <= per_class).drop(name)

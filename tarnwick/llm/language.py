@@ -24,10 +24,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import bounded_sample, documents
 from .scan import LETTERS, column_bytes, pieces
 
 BUCKET_BITS = 13
@@ -111,10 +111,9 @@ def cluster(x: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarray,
 
 def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
     """At most ``per_language`` texts of each language among the rows that ``learn`` holds for."""
-    rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    keys = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"), "text")
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    return keys.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("lang", "text")
+    rows = docs.filter(learn & F.col("text").isNotNull())
+    rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return bounded_sample(rows, "lang", ["doc_id", "text"], per_language).select("lang", "text")
 
 
 def fit(rows: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, slack: float = SLACK) -> Centroids:

@@ -28,11 +28,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from tarnwick.session import stored
+
+from .common import bounded_sample, documents
 from .scan import LETTERS, words
 
 PREFIXES = (4, 5, 6)
@@ -89,8 +91,7 @@ class Ordinal:
 def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL) -> DataFrame:
     """At most ``per_label`` texts of each label: columns label, doc_id, text."""
     given = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("label")).dropna()
-    nth = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("_id"), "_id"))
-    given = given.withColumn("nth", nth).filter(F.col("nth") <= per_label).drop("nth")
+    given = bounded_sample(given, "label", ["_id"], per_label)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     return rows.join(F.broadcast(given), F.col("doc_id") == F.col("_id")).select("label", "doc_id", "text")
 
@@ -123,12 +124,12 @@ def _train(names: np.ndarray, row: np.ndarray, col: np.ndarray, x: np.ndarray, y
     return Ordinal(names[keep], w[keep], theta)
 
 
-def fit(rows: DataFrame) -> Ordinal:
-    """Fit on a bounded sample (label, doc_id, text); features are made on the executors."""
+def _features_of(rows: DataFrame) -> DataFrame:
+    """label, doc_id, and each text's distinct features with their numbers of occurrences."""
 
     def extract(batches):
         for batch in batches:
-            label, ids = batch.column("label").to_numpy(), batch.column("doc_id").to_numpy()
+            label, ids = batch.column("label").to_numpy(), batch.column("doc_id").to_numpy(zero_copy_only=False)
             for first, kinds, rows_, end in features(batch.column("text")):
                 cut = np.searchsorted(rows_, np.arange(first, end + 1))
                 out = []
@@ -136,37 +137,71 @@ def fit(rows: DataFrame) -> Ordinal:
                     names, n = np.unique(kinds[:, a:b], return_counts=True)
                     out.append((names.tobytes(), n.astype(np.int32).tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(label[first:end]), pa.array(ids[first:end]), *(pa.array(list(c), pa.binary()) for c in zip(*out))],
+                    [pa.array(label[first:end]), pa.array(ids[first:end], pa.int64()), *(pa.array(list(c), pa.binary()) for c in zip(*out))],
                     names=["label", "doc_id", "names", "n"],
                 )
 
-    found = sorted(rows.mapInArrow(extract, "label int, doc_id long, names binary, n binary").collect())  # of bounded size
+    return rows.mapInArrow(extract, "label int, doc_id long, names binary, n binary")
+
+
+def _texts_with(batches):
+    """Of each feature, how many texts of this batch have it, with label 0 and with another."""
+    for batch in batches:
+        each = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("names").to_pylist()]
+        if sum(map(len, each)):
+            bad = np.repeat(batch.column("label").to_numpy() > 0, [len(e) for e in each])
+            names, at = np.unique(np.concatenate(each), return_inverse=True)
+            with_bad = np.bincount(at, weights=bad, minlength=len(names)).astype(np.int64)
+            with_any = np.bincount(at, minlength=len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(with_bad), pa.array(with_any - with_bad)], names=["name", "bad", "good"])
+
+
+def fit(rows: DataFrame) -> Ordinal:
+    """Fit on a bounded sample (label, doc_id, text).
+
+    Features are made, counted and screened on the executors; the driver gets the
+    chosen features and their occurrences in the sample.
+    """
     none = Ordinal(np.zeros(0, dtype=np.uint64), np.zeros(0), np.full(2, 30.0))
-    y = np.array([r[0] for r in found])
-    if not len(y) or len(set(y.tolist())) < 2:
+    made = stored(_features_of(rows), "toxicity-sample")
+    sizes = {r["label"]: r["count"] for r in made.groupBy("label").count().collect()}
+    n_bad = sum(n for y, n in sizes.items() if y > 0)
+    if len(sizes) < 2 or not n_bad:
         return none
-    each = [np.frombuffer(r[2], dtype=np.uint64) for r in found]
+    counts = made.select("label", "names").mapInArrow(_texts_with, "name long, bad long, good long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    odds = F.log((F.col("bad") + 0.5) / (n_bad + 1)) - F.log((F.col("good") + 0.5) / (sum(sizes.values()) - n_bad + 1))
+    z = odds / F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("good") + 0.5))
+    screened = counts.withColumn("odds", odds).withColumn("z", z).filter((F.col("bad") + F.col("good") >= LEAST_TEXTS) & (F.col("odds") > 0))
+    top = screened.orderBy(F.desc("z"), "name").limit(MOST_FEATURES).collect()
+    if not top:
+        return none
+    names = np.array([r["name"] for r in top], dtype=np.int64).view(np.uint64)
+    marked = np.array([r["odds"] > 2 and r["z"] > 4 for r in top])
+    order = np.argsort(names)
+    names, marked = names[order], marked[order]
+
+    def chosen(batches):
+        for batch in batches:
+            out = []
+            for x, n in zip(batch.column("names").to_pylist(), batch.column("n").to_pylist()):
+                x, n = np.frombuffer(x, dtype=np.uint64), np.frombuffer(n, dtype=np.int32)
+                at = np.minimum(np.searchsorted(names, x), len(names) - 1)
+                hit = names[at] == x
+                out.append((at[hit].astype(np.int32).tobytes(), n[hit].tobytes()))
+            cols = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("doc_id"), *(pa.array(list(c), pa.binary()) for c in cols)], names=["label", "doc_id", "at", "n"])
+
+    found = sorted(map(tuple, made.mapInArrow(chosen, "label int, doc_id long, at binary, n binary").collect()), key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2], r[3]))
+    y = np.array([r[0] for r in found])
+    col = np.concatenate([np.frombuffer(r[2], dtype=np.int32) for r in found]).astype(np.int64)
     times = np.concatenate([np.frombuffer(r[3], dtype=np.int32) for r in found])
-    row = np.repeat(np.arange(len(each)), [len(e) for e in each])
-    names, col = np.unique(np.concatenate(each), return_inverse=True)
+    row = np.repeat(np.arange(len(found)), [len(r[2]) // 4 for r in found])
     bad = y > 0
-    with_bad = np.bincount(col, weights=bad[row], minlength=len(names))
-    with_good = np.bincount(col, weights=~bad[row], minlength=len(names))
-    odds = np.log((with_bad + 0.5) / (bad.sum() + 1)) - np.log((with_good + 0.5) / ((~bad).sum() + 1))
-    z = odds / np.sqrt(1 / (with_bad + 0.5) + 1 / (with_good + 0.5))
-    fit_for = np.flatnonzero((with_bad + with_good >= LEAST_TEXTS) & (odds > 0))
-    chosen = np.sort(fit_for[np.argsort(-z[fit_for], kind="stable")[:MOST_FEATURES]])
-    if not len(chosen):
-        return none
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    use = place[col] >= 0
     if y.max() == 1:
-        marked = (odds > 2) & (z > 4)
         hits = np.bincount(row, weights=marked[col] * times, minlength=len(y))
         y = np.where(bad, 1 + (hits > np.median(hits[bad])), 0)
-        y = np.unique(y, return_inverse=True)[1]
-    return _train(names[chosen], row[use], place[col][use], _weight(times[use]), y)
+    y = np.unique(y, return_inverse=True)[1]
+    return _train(names, row, col, _weight(times), y)
 
 
 def score(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
