@@ -1,0 +1,36 @@
+import random
+import string
+
+from pyspark.sql import functions as F
+
+from tarnwick.functions.text import exact_match, fixed, normalize_answer, py_strip, score_line
+
+EDGES = [" Yes. ", "NO!", "a-b", "...", "", "a  b", " x ", "\x1cx\x1f", "Straße", "İ", "ΟΔΟΣ", "“q”", "  e 　", None]
+
+
+def _python(x):
+    if x is None:
+        return None
+    return x.lower().translate(str.maketrans("", "", string.punctuation)).strip()
+
+
+def test_normalize_as_python(spark):
+    rng = random.Random(5)
+    alphabet = string.printable + "éßÀñ  \u0085\x1c　¿…"
+    texts = EDGES + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for r in df.select("i", "t", normalize_answer(F.col("t")).alias("n"), py_strip(F.col("t")).alias("s")).collect():
+        assert r.n == _python(r.t), repr(r.t)
+        assert r.s == (r.t if r.t is None else r.t.strip()), repr(r.t)
+
+
+def test_exact_match(spark):
+    rows = [("Yes.", " yes", 1), ("a", "b", 0), ("...", "", 1), (None, "a", None)]
+    df = spark.createDataFrame(rows, "p string, g string, want int")
+    for r in df.select("*", exact_match(F.col("p"), F.col("g")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_formats_round_half_to_even(spark):
+    r = spark.range(1).select(fixed(F.lit(0.25), 1).alias("a"), fixed(F.lit(1234.5), 1).alias("b"), score_line(F.lit(1), F.lit("t"), F.lit(0.12345)).alias("c")).head()
+    assert (r.a, r.b, r.c) == ("0.2", "1234.5", "  [1] t (score: 0.1234)")
