@@ -16,8 +16,8 @@ def _plain(x):
 
 def compare(spark, query, sql, folder=FOLDER, views=None):
     con = duckdb.connect()
-    for t in TABLES:
-        con.sql(f"create view {t} as select * from '{(views or {}).get(t, f'{folder}/{t}.parquet')}'")
+    for t, path in (views or {t: f"{folder}/{t}.parquet" for t in TABLES}).items():
+        con.sql(f"create view {t} as select * from '{path}'")
     df = query(spark, folder)
     columns = sorted(df.columns)
     got = Counter(tuple(_plain(r[c]) for c in columns) for r in df.collect())
