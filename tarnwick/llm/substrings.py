@@ -39,7 +39,7 @@ from .scan import join64, mix64, run_minimum, runs, words
 ANCHOR = 8
 NO_ID = -(2**63)
 #: A partition's candidate windows that are settled at a time.
-LOCAL_WINDOWS = 1_500_000
+LOCAL_WINDOWS = 700_000
 #: Buckets of anchors in the second pass: one per so many characters of text.
 LEAST_BUCKETS, BUCKET_CHARS = 1024, 2_000_000
 
