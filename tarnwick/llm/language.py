@@ -5,7 +5,8 @@ hashed buckets, damped by the logarithm, weighted by inverse document frequency
 scaled to length one. Each language has several centroids, the clusters of its
 sample by spherical k-means. A text gets the language of the centroid with the
 largest cosine; it is rejected where the distance, one minus that cosine, is beyond
-the farthest that the centroid's own sample lies, with some slack.
+the farthest that a text of the centroid's sample lies from the others of its
+cluster, with some slack.
 
 The sample is bounded: ``PER_LANGUAGE`` texts of each language, those with the
 smallest hashes of id and text. Prediction reads the text alone.
@@ -109,6 +110,14 @@ def cluster(x: np.ndarray, k: int, rounds: int, seed: int) -> tuple[np.ndarray,
     return c, of
 
 
+def _reach(rows: np.ndarray) -> float:
+    """The largest distance of a row from the centroid of the others."""
+    if len(rows) < 2:
+        return 1.0
+    rest = rows.sum(axis=0) - rows
+    return float((1 - (rows * rest).sum(axis=1) / np.maximum(np.linalg.norm(rest, axis=1), 1e-12)).max())
+
+
 def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
     """At most ``per_language`` texts of each language among the rows that ``learn`` holds for."""
     rows = docs.filter(learn & F.col("text").isNotNull())
@@ -140,10 +149,9 @@ def fit(rows: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, slack:
     for i, lang in enumerate(langs):
         own = x[of == lang]
         c, at = cluster(own, clusters, rounds, seed=i)
-        gap = 1 - (own * c[at]).sum(axis=1)
         vectors.append(c)
         lang_of += [i] * len(c)
-        far += [min(1.0, slack * float(gap[at == j].max())) if (at == j).any() else 1.0 for j in range(len(c))]
+        far += [min(1.0, slack * _reach(own[at == j])) for j in range(len(c))]
     vectors = np.concatenate(vectors) if vectors else np.zeros((0, 1 << BUCKET_BITS))
     return Centroids(idf, langs, np.array(lang_of, dtype=np.int64), vectors.astype(np.float32), np.array(far))
 

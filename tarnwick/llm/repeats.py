@@ -92,7 +92,7 @@ def _distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-def _merge_group(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _merge_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     once = np.zeros((1 << BLOCK_BITS) // 8, dtype=np.uint8)
     twice = once.copy()
     for a, b in zip(pdf["once"], pdf["twice"]):

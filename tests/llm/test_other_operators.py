@@ -1,0 +1,170 @@
+"""Archives, vectors, components and the pipeline against brute force."""
+
+import base64
+import gzip
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from tarnwick.llm import topk, warc
+from tarnwick.llm.components import components
+from tarnwick.session import new_table_path
+from tests.llm.helpers import made_documents, saved, words
+
+PAGE = "page_id long, url string, html string, record_id string, type string"
+
+
+def _pages():
+    big = "<p>é\r\n\r\nWARC/1.1\r\n" * 20_000
+    rows = [(i, f"http://h{i % 3}/x\r\ny", ["<a>", "", None, "b\r\n\r\nc", big][i % 5], "clash", "clash") for i in range(30)]
+    return [*rows, rows[3], rows[3], (None, None, "<a>", None, None), (40, None, "only", None, None), (41, "u", "ü\x00\r\n\r\n", None, None)]
+
+
+def _expected(rows, least=0):
+    by = defaultdict(list)
+    for r in rows:
+        by[r[2] or ""].append(r[0])
+    out, seen = Counter(), Counter()
+    for page, _, html, *_ in rows:
+        raw = (html or "").encode()
+        last = max(by[html or ""], key=lambda x: -(2**63) if x is None else x)
+        seen[page, html or ""] += 1
+        first = page == last and seen[page, html or ""] == 1
+        response = first or len(raw) < least
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        out[page, len(raw), digest, "response" if response else "revisit", None if response else last] += 1
+    return out
+
+
+def test_archive_round_trip(spark, tmp_path):
+    rows = _pages()
+    got = warc.query(spark, saved(spark, rows, tmp_path, "pages", PAGE)).collect()
+    assert Counter(map(tuple, got)) == _expected(rows)
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_captures_keep_payloads_and_neighbours(spark, compression):
+    rows = [(i, f"http://h/{i}", "same" if i < 3 else f"p{i}\r\n\r\n", None, None) for i in range(6)]
+    path = new_table_path(spark, "warc")
+    warc.write_pages(spark.createDataFrame(rows, PAGE).repartition(2), path, revisit_from=5, compression=compression)
+    got = warc.assemble(warc.read_records(spark, path)).collect()
+    assert len(got) == 6 and all(len(r.requests) == 1 and len(r.metadata) == 1 for r in got)
+    payload = {r.metadata[0].fields["page-id"]: bytes(r.capture.payload).decode() for r in got}
+    assert payload == {str(i): h for i, _, h, *_ in rows}  # too small to revisit
+    assert {r.capture.url for r in got} == {f"http://h/{i}" for i in range(6)}
+    assert all(r.requests[0].http_header.startswith("GET http://h/") for r in got)
+
+
+def test_reads_archives_it_has_not_written(spark, tmp_path):
+    """One gzip member per record, headers in another case, records that are concurrent to nothing."""
+
+    def record(kind, id_, body, *more):
+        head = "\r\n".join(["WARC/1.0", f"warc-type: {kind}", f"WARC-Record-ID: <{id_}>", *more, f"Content-Length: {len(body)}"])
+        return gzip.compress(head.encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n\x00\xffbody"
+    raw = record("warcinfo", "i", b"software: x\r\n", "Content-Type: application/warc-fields") + record(
+        "response", "r", http, "Content-Type: application/http; msgtype=response"
+    ) + record("metadata", "m", b"k: v\r\nempty\r\n", "WARC-Concurrent-To: <r>", "Content-Type: application/warc-fields") + record("request", "q", b"GET /", "WARC-Concurrent-To: <zz>", "Content-Type: application/http")
+    (tmp_path / "part-a.warc.gz").write_bytes(raw)
+    got = warc.assemble(warc.read_records(spark, f"file://{tmp_path}")).collect()
+    assert len(got) == 1 and bytes(got[0].capture.payload) == b"\x00\xffbody" and got[0].requests == [] and got[0].metadata[0].fields == {"k": "v", "empty": ""}
+    (tmp_path / "part-a.warc.gz").write_bytes(gzip.compress(gzip.decompress(raw)[:-10]))
+    with pytest.raises(Exception, match="content length"):
+        warc.read_records(spark, f"file://{tmp_path}").collect()
+
+
+VECTOR = "vec_id long, embedding array<float>, label int, key int, q int, score int"
+
+
+def _scores(rows, k, scale=256):
+    part = [(i, [int(np.floor(float(np.float32(x)) * scale)) for x in v]) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and np.isfinite(np.float32(x)) for x in v)]
+    out = Counter()
+    for q, a in part:
+        if q % 50 == 0:
+            found = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b in part if i != q and len(a) == len(b))
+            for rank, (s, i) in enumerate(found[:k], 1):
+                out[q, rank, i, min(max(-s, -(2**63)), 2**63 - 1)] += 1
+    return out
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_top_k(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 50)
+    monkeypatch.setattr(topk, "SCORE_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=6) * (3 if i % 7 == 0 else 1)], 0, 0, 0, 0) for i in range(400)]
+    rows += [(1000 + i, rows[5][1], 0, 0, 0, 0) for i in range(9)]  # ties
+    rows += [rows[3], rows[8]]  # repeated rows
+    rows += [(2000, None, *[0] * 4), (2050, [None, *[1.0] * 5], *[0] * 4), (2100, [float("nan")] * 6, *[0] * 4), (2150, [float("-inf")] * 6, *[0] * 4), (None, [9.0] * 6, *[0] * 4)]
+    rows += [(3000, [1.0, 2.0], *[0] * 4), (3001, [1.0, -2.0], *[0] * 4), (3050, [], *[0] * 4), (3051, [], *[0] * 4), (4000, [2.0] * 3, *[0] * 4)]
+    got = topk.query(spark, saved(spark, rows, tmp_path, "embeddings", VECTOR)).collect()
+    assert Counter(map(tuple, got)) == _scores(rows, 5)
+
+
+def test_top_k_of_huge_components(spark, tmp_path):
+    rows = [(i, [3e38 if i % 3 else -1e9, float(i)], 0, 0, 0, 0) for i in range(60)]
+    got = topk.query(spark, saved(spark, rows, tmp_path, "embeddings", VECTOR)).collect()
+    assert Counter((r.query_id, r.rank, r.score) for r in got) == Counter((q, r, s) for q, r, _, s in _scores(rows, 5))
+
+
+def test_top_k_of_nothing(spark, tmp_path):
+    for rows in ([], [(50, [1.0], 0, 0, 0, 0)], [(7, [1.0], 0, 0, 0, 0)]):
+        assert topk.query(spark, saved(spark, rows, tmp_path, "embeddings", VECTOR)).collect() == []
+
+
+def test_components(spark):
+    rng = np.random.default_rng(6)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, size=(220, 2))] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
+    root = {x: x for link in links for x in link}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    want = {x: find(x) for link in links for x in link if link[0] != link[1]}
+    got = components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.root for r in got.collect()} == want
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on made rows with planted cases: what goes, what stays, and the columns."""
+    rng = np.random.default_rng(8)
+    plain = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(n))
+    texts = [plain(60) + (" grum vilest" if i % 5 == 0 else "") for i in range(100)]
+    near = texts[1].split()
+    near[10] = "changed"
+    texts += [texts[1], " ".join(near), texts[2] + " mail me@here.org", "", None]
+    rows = [(i, t, "en", "ab"[i % 2], 1, *[None] * 7) for i, t in enumerate(texts)]
+    folder = saved(spark, rows, tmp_path)
+    saved(spark, [(i, int(i % 5 == 0)) for i in range(80)], tmp_path, "labels", "doc_id long, toxic int")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, folder)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {i for i in range(105) if i >= 100 or i % 5}
+    single = stages["near_duplicates"](spark, clean, folder)
+    assert {r.doc_id for r in single.collect()} == {i for i in range(105) if (i % 5 and i < 100) or i in (103, 104)}
+    masked = stages["personal_data"](spark, docs, folder)
+    got = {r.doc_id: r.text for r in masked.collect()}
+    assert got[102] == texts[2] + " mail <email>" and all(got[i] == texts[i] for i in range(105) if i != 102)
+    mixed = stages["mixing"](spark, docs, folder)
+    assert mixed.columns == docs.columns
+    size = sum(len(words(t)) for t in texts)
+    assert sum(len(words(r.text)) for r in mixed.collect()) == pytest.approx(1.5 * size, rel=0.05)
+    packed = corpus_pipeline.run(spark, folder)
+    assert packed.columns[:3] == ["doc_id", "piece", "start"] and {r.doc_id for r in packed.collect()} <= {i for i in range(105) if (i % 5 and i < 100) or i in (103, 104)}
+
+
+def test_pipeline_of_edges(spark, tmp_path):
+    folder = saved(spark, made_documents(), tmp_path)
+    saved(spark, [(1, 1), (4, 0), (None, 1), (5, None), (4, 0)], tmp_path, "labels", "doc_id long, toxic int")
+    assert corpus_pipeline.run(spark, folder).count() > 0
+    assert corpus_pipeline.run(spark, saved(spark, [], tmp_path)).count() == 0
