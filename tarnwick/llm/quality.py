@@ -36,7 +36,7 @@ class Rule:
 RULES = (
     Rule("too_short", 0, "n_words < 10"),
     Rule("repeated_windows", 1, "100 * n_repeat_words > 20 * n_words"),
-    Rule("duplicate_lines", 2, "10 * n_dup_lines > 3 * n_lines"),
+    Rule("duplicate_lines", 2, "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
     Rule("symbols", 3, "10 * n_symbols > n_words"),
     Rule("word_length", 4, "word_chars < 2 * n_words or word_chars > 14 * n_words"),
     Rule("no_letters", 5, "5 * n_letter_words < 4 * n_words"),
