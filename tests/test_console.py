@@ -1,0 +1,24 @@
+from tarnwick.operators.embed import HashingEmbedder, embed
+from tarnwick.plans.console import commands, session
+from tarnwick.plans.progress import counted
+from tarnwick.schemas import Config
+
+
+def test_commands():
+    assert list(commands(["", "  ", " Eval ", " who? ", "QUIT", "never"])) == [("eval", ""), ("ask", "who?")]
+
+
+def test_session_shows_reports(spark):
+    e = HashingEmbedder(64)
+    p = spark.createDataFrame([(1, "red", "red apple"), (2, "blue", "blue sky")], "passage_id long, title string, text string")
+    index = embed(p, e, keep=("passage_id", "title", "text"))
+    examples = spark.createDataFrame([(1, "red apple", "red"), (2, "blue sky", "no")], "query_id long, question string, answer string")
+    shown = []
+    session(spark, ["red apple", "eval", "quit"], index, e, examples, Config(top_k=1), shown.append)
+    assert shown[0].startswith("Query: red apple\n  [1] red (score: 1.0000)") and shown[1] == "Exact match over 2 samples: 0.5000 (50.0%)"
+
+
+def test_counts_are_observed(spark):
+    df, seen = counted(spark.range(7), "passages")
+    df.collect()
+    assert seen.get["rows"] == 7
