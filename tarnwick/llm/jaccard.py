@@ -18,6 +18,9 @@ Any fixed order is right; this one keeps frequent shingles out of prefixes.
    paired and verified. So every similar pair is verified or already connected.
 4. Components over all links; the smallest document id names each.
 
+Sets are made again for the nodes that pairs can ask for, found by a bitmap of their
+identities, so that no table holds the shingles of all documents.
+
 Verification first bounds the overlap by counts of tokens in 256 cells, then
 intersects the sets. No step holds all pairs of a group; postings, pairs and links
 are joined by key, with hot keys left to adaptive splitting.
@@ -87,11 +90,12 @@ def _digest(tokens: np.ndarray, n: int) -> bytes:
     return mix64(np.array([a, b], dtype=np.uint64)).astype(">u8").tobytes()
 
 
-_DOC = "doc_id long, tkey long, n long, node binary, grp binary, token array<long>, pos array<int>, cells binary, tokens binary"
+_DOC = "doc_id long, tkey long, n long, node binary, grp binary, token array<long>, pos array<int>"
+_SET = "node binary, n long, cells binary, tokens binary"
 
 
 def _prefixes(k: int, percent: int, shared):
-    """Per document its set's identity, size, group, posted prefix tokens, and for those with any the set itself."""
+    """Per document its set's identity, size, group and posted prefix tokens (null if none)."""
 
     def find(batches):
         known, heavy, weight = shared.value
@@ -102,7 +106,7 @@ def _prefixes(k: int, percent: int, shared):
             for row, s in _sets(batch.column("text"), k):
                 n = len(s)
                 if not n:
-                    out.append((*ids[row], 0, None, None, None, None, None, None))
+                    out.append((*ids[row], 0, None, None, None, None))
                     continue
                 rank = known.maybe(s).astype(np.uint8)
                 if level is not None:
@@ -113,12 +117,8 @@ def _prefixes(k: int, percent: int, shared):
                 p = n + (-percent * n // 100) + 1
                 order = np.argsort(rank, kind="stable")[:p]
                 prefix, post = s[order], np.flatnonzero(rank[order] > 0)
-                cells = blob = None
-                if len(post):
-                    cells = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS).astype("<u4")
-                    cells = np.minimum(cells, 255).astype(np.uint8).tobytes() if cells.max() < 255 else cells.tobytes()
-                    blob = s.tobytes()
-                out.append((*ids[row], n, _digest(s, n), _digest(prefix, n), prefix[post].view(np.int64), post.astype(np.int32), cells, blob))
+                token, pos = (prefix[post].view(np.int64), post.astype(np.int32)) if len(post) else (None, None)
+                out.append((*ids[row], n, _digest(s, n), _digest(prefix, n), token, pos))
                 if len(out) >= 2000:
                     yield _doc_batch(out)
                     out = []
@@ -129,11 +129,50 @@ def _prefixes(k: int, percent: int, shared):
 
 
 def _doc_batch(rows) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-    names = ["doc_id", "tkey", "n", "node", "grp", "token", "pos", "cells", "tokens"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["doc_id", "tkey", "n", "node", "grp", "token", "pos"]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
+def _node_values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The first 64 bits of node identities."""
+    yield np.array([int.from_bytes(x[:8], "big") for x in batch.column(0).to_pylist()], dtype=np.uint64)
+
+
+def _chosen_sets(k: int, known):
+    """The sets of nodes that ``known`` may hold, each once per partition."""
+
+    def find(batches):
+        members, seen = known.value, set()
+        for batch in batches:
+            held = [(_digest(s, len(s)), s) for _, s in _sets(batch.column("text"), k) if len(s)]
+            if not held:
+                continue
+            first = np.array([int.from_bytes(d[:8], "big") for d, _ in held], dtype=np.uint64)
+            out, size = [], 0
+            for i in np.flatnonzero(members.maybe(first)):
+                node, s = held[i]
+                if node in seen:
+                    continue
+                seen.add(node)
+                cells = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS).astype("<u4")
+                cells = cells.astype(np.uint8).tobytes() if cells.max() <= 255 else cells.tobytes()
+                out.append((node, len(s), cells, s.tobytes()))
+                size += len(s)
+                if size > 250_000:
+                    yield _set_batch(out)
+                    out, size = [], 0
+            if out:
+                yield _set_batch(out)
+
+    return find
+
+
+def _set_batch(rows) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["node", "n", "cells", "tokens"])
+
+
 def _counts(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.uint8 if len(raw) == CELLS else "<u4").astype(np.int64)
 
@@ -171,10 +210,10 @@ def _similar(percent: int):
     return keep
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) of nodes that are similar, as a stored table."""
     pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct()
-    cells = nodes.select("node", "n", "cells")
+    cells = sets.select("node", "n", "cells")
     for side in ("1", "2"):
         key = "a" if side == "1" else "b"
         pairs = spread_join(pairs, cells.select(F.col("node").alias(key), F.col("n").alias(f"n{side}"), F.col("cells").alias(f"c{side}")), [key])
@@ -182,7 +221,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, percent: int, name: str) -> Da
     near = stored(near, f"{name}-near")
     for side in ("1", "2"):
         key = "a" if side == "1" else "b"
-        near = spread_join(near, nodes.select(F.col("node").alias(key), F.col("tokens").alias(f"s{side}")), [key])
+        near = spread_join(near, sets.select(F.col("node").alias(key), F.col("tokens").alias(f"s{side}")), [key])
     return stored(near.select("a", "b", "s1", "s2").mapInArrow(_similar(percent), "a binary, b binary"), f"{name}-links")
 
 
@@ -206,38 +245,39 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     bits = cell_bits(chars / 6, per_value=1.0)
     shared = spark.sparkContext.broadcast(build(rows.select("text"), _sketched(k), 1, bits, heavy=HEAVY))
     found = stored(rows.mapInArrow(_prefixes(k, percent, shared), _DOC), "sets")
-    posted = found.filter("tokens is not null")
-    # Equal sets have equal rows but for the id: any one stands for the node.
-    nodes = stored(
-        posted.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "grp", "cells", "tokens")]), "nodes"
-    )
+    posted = found.filter("token is not null")
+    nodes = stored(posted.select("node", "grp").distinct(), "nodes")
+    leads = stored(nodes.groupBy("grp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members")), "groups")
+    # Nodes of a group have equal prefixes and sizes: any one stands for the group.
     groups = posted.groupBy("grp").agg(F.first("n").alias("n"), F.first("token").alias("token"), F.first("pos").alias("pos"))
-    leads = nodes.groupBy("grp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members"))
-    posts = groups.join(leads, "grp").select("grp", "n", "lead", "members", F.explode(F.arrays_zip("token", "pos")).alias("t")).select(
-        "grp", "n", "lead", "members", "t.token", "t.pos"
-    )
+    posts = groups.select("grp", "n", F.explode(F.arrays_zip("token", "pos")).alias("t")).select("grp", "n", "t.token", "t.pos")
     size_class = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
-    alone = posts.groupBy("token").agg(F.count(F.lit(1)).alias("posts")).filter("posts > 1").select("token")
-    posts = stored(spread_join(posts, alone, ["token"]).withColumn("size_class", size_class), "posts")
+    met = posts.groupBy("token").agg(F.count(F.lit(1)).alias("posts")).filter("posts > 1").select("token")
+    posts = stored(spread_join(posts, met, ["token"]).withColumn("size_class", size_class), "posts")
+
+    # Only sets that some pair can ask for are made and kept.
+    asked = posts.select("grp").unionByName(leads.filter("members > 1").select("grp")).distinct()
+    asked = stored(nodes.join(asked, "grp", "left_semi").select("node"), "asked")
+    known = build(asked, _node_values, 1, cell_bits(asked.count(), per_value=16.0), least=1)[0]
+    made = rows.select("text").mapInArrow(_chosen_sets(k, spark.sparkContext.broadcast(known)), _SET)
+    sets = stored(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "cells", "tokens")]), "chosen-sets")
 
-    centres = posts.groupBy("token", "size_class").agg(F.min_by(F.struct("grp", "n", "pos", "lead"), F.struct("pos", "n", "grp")).alias("c"))
+    centres = posts.groupBy("token", "size_class").agg(F.min_by(F.struct("grp", "n", "pos"), F.struct("pos", "n", "grp")).alias("c"))
     spread = posts.withColumn("size_class", F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1)))
     stars = (
         spread_join(spread, centres, ["token", "size_class"]).filter("grp != c.grp")
-        .filter(_passes(percent, "n", "pos", "c.n", "c.pos")).select("grp", "members", "lead", F.col("c.lead").alias("b")).distinct()
+        .filter(_passes(percent, "n", "pos", "c.n", "c.pos")).select("grp", F.col("c.grp").alias("centre")).distinct()
     )
-    members = nodes.select("grp", "node")
-    one = "members = 1"
-    pairs = stars.filter(one).select(F.col("lead").alias("a"), "b")
-    pairs = pairs.unionByName(stars.filter(f"not {one}").join(members, "grp").select(F.col("node").alias("a"), "b"))
-    own = spread_join(members, leads.filter("members > 1"), ["grp"]).select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    links = _verified(pairs.unionByName(own), nodes, percent, "stars")
+    stars = spread_join(stars, leads.select(F.col("grp").alias("centre"), F.col("lead").alias("b")), ["centre"])
+    pairs = stars.join(nodes, "grp").select(F.col("node").alias("a"), "b")
+    own = spread_join(nodes, leads.filter("members > 1"), ["grp"]).select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    links = _verified(pairs.unionByName(own), sets, percent, "stars")
     roots = components(links)
 
     rooted = nodes.select("node", "grp").join(roots, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted")
     of = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    left = stored(spread_join(posts.drop("size_class", "lead"), of, ["grp"]), "posts-rooted")
+    left = stored(spread_join(posts.drop("size_class"), of, ["grp"]), "posts-rooted")
     several = left.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l != h").select("token")
     left = spread_join(left, several, ["token"])
     classes = left.groupBy("token", "n", "pos").agg(F.min("low").alias("low"), F.max("high").alias("high"))
@@ -256,7 +296,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     both = cross.select(F.least("grp1", "grp2").alias("grp1"), F.greatest("grp1", "grp2").alias("grp2")).distinct().unionByName(inside)
     m1, m2 = (rooted.select(F.col("grp").alias("grp" + i), F.col("node").alias("ab"[int(i) - 1]), F.col("root").alias("r" + i)) for i in "12")
     rest = both.join(m1, "grp1").join(m2, "grp2").filter("r1 != r2").select("a", "b")
-    more = _verified(rest, nodes, percent, "rest")
+    more = _verified(rest, sets, percent, "rest")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 

@@ -23,8 +23,8 @@ from tarnwick.session import stored
 BLOCK_BITS = 20
 #: Partition sketches that one merging group reads.
 FAN_IN = 32
-#: Cells of one row: at least, at most (2**29 cells are 64 MB of bitmap).
-LEAST_BITS, MOST_BITS = 21, 29
+#: Cells of one row: at least, at most (2**30 cells are 128 MB of bitmap).
+LEAST_BITS, MOST_BITS = 21, 30
 
 #: Frequent values that are listed at most, and values that a partition counts at a time.
 HEAVY_MOST, HEAVY_HELD = 200_000, 8_000_000
@@ -117,10 +117,12 @@ class Repeats:
 
 
 def build(
-    docs: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, bits: int, heavy: int = 0
+    docs: DataFrame, values: Callable[[pa.RecordBatch], Iterator[np.ndarray]], rows: int, bits: int, heavy: int = 0, least: int = 2
 ) -> tuple[Repeats, np.ndarray, np.ndarray]:
     """Sketch what ``values`` yields for the record batches of ``docs``.
 
+    ``least`` 1 makes the bitmaps those of cells hit at all: which values may be there.
+
     With ``heavy``, also the values that some partition holds at least so often: the
     ``HEAVY_MOST`` most frequent ones, sorted, and the counts that such partitions
     found. These serve as weights; a value that is not listed has a count below
@@ -160,9 +162,9 @@ def build(
             break
     bitmaps = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(rows)]
     size = (1 << BLOCK_BITS) // 8
-    for x in merged.select("block", "twice").collect():  # of fixed size, whatever the input
-        r, b = x["block"] >> 32, x["block"] & 0xFFFFFFFF
-        bitmaps[r][b * size : (b + 1) * size] = _unpack(x["twice"])
+    for x in merged.select("block", "once" if least == 1 else "twice").collect():  # of fixed size, whatever the input
+        r, b = x[0] >> 32, x[0] & 0xFFFFFFFF
+        bitmaps[r][b * size : (b + 1) * size] = _unpack(x[1])
     top: tuple = ((), ())
     if heavy:
         counted = (
