@@ -307,7 +307,20 @@ _Q = lambda x: "'" + x.replace("'", "''") + "'"
 _TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t != '')"
 _SPARSE = """
 select id, b, c / sqrt(sum(c * c) over (partition by id)) as w from (
-  select id, cast('0x' || substr(md5(t), 1, 4) as int) % 1024 as b, cast(count(*) as double) as c from (select {id} as id, unnest({tokens}) as t from {table}) group by all)"""
+  select id, cast('0x' || substr(md5(t), 1, 4) as int) % {buckets} as b, cast(count(*) as double) as c from (select {id} as id, unnest({tokens}) as t from {table}) group by all)"""
+
+_TURNS = f"(select conv_id * 1000 + turn as id, question as text, answer as gold from ({_PAIRS}))"
+
+
+def _best_title(questions: str, key: str) -> str:
+    """SQL: each question's stub answer from all documents in 256 buckets."""
+    return f"""
+d as ({_SPARSE.format(buckets=256, id='doc_id', tokens=_TOKENS, table='documents')}), q as ({_SPARSE.format(buckets=256, id=key, tokens=_TOKENS, table=questions)}),
+s as (select q.id as qid, d.id as did, round(sum(q.w * d.w), 9) as score from q join d using (b) group by all),
+best as (select qid, did, score from (select *, row_number() over (partition by qid order by score desc, did) as nth from s) where nth = 1),
+said as (select a.id as query_id, coalesce(case when score >= {Config().threshold} then {_TITLE} end, {_Q(REFUSAL)}) as answer
+  from (select {key} as id from {questions}) a left join best on a.id = best.qid left join documents on doc_id = did)"""
+
 
 ORACLE_SQL = {
     "passages_flatten": _FLAT,
@@ -323,7 +336,7 @@ select vec_id, i - 1 as i, round(case when n = 0 then x else x / n end, 6) as x
     "retrieve_topk_dense": _DENSE,
     "retrieve_topk_expressions": _DENSE,
     "retrieve_topk_text": f"""
-with d as ({_SPARSE.format(id='doc_id', tokens=_TOKENS, table='documents')}), q as ({_SPARSE.format(id='item_id', tokens=_TOKENS, table='benchmark')}),
+with d as ({_SPARSE.format(buckets=1024, id='doc_id', tokens=_TOKENS, table='documents')}), q as ({_SPARSE.format(buckets=1024, id='item_id', tokens=_TOKENS, table='benchmark')}),
 s as (select q.id as query_id, d.id as passage_id, sum(q.w * d.w) as score from q join d using (b) group by all)
 select query_id, rank, round(score, 4) as score from (select *, row_number() over (partition by query_id order by score desc, passage_id) as rank from s) where rank <= 10""",
     "prompt_context": f"select query_id, string_agg({_BLOCK}, chr(10) || chr(10) order by rank) as context from ({_FOUND}) group by 1",
@@ -356,5 +369,12 @@ select round(avg(f1), 9) as macro_f1 from f""",
     "index_build_load": """
 select cast(step as bigint) as step, built, cast(dim as bigint) as dimensions, (select count(*) from documents) as vectors
 from (values (0, true, 64), (1, false, 64), (2, true, 32)) v(step, built, dim)""",
+    "rag_questions": f"""
+with {_best_title('benchmark', 'item_id')}
+select query_id, least(10, (select count(*) from documents)) as n_retrieved, answer from said""",
+    "stage_comparison": f"""
+with {_best_title(_TURNS, 'id')},
+e as (select cast({_NORMAL('answer')} = {_NORMAL('gold')} as int) as m from said join {_TURNS} t on t.id = query_id)
+select cast(stage as int) as stage, count(*) as n, avg(m) as exact_match from e, (values (1), (3)) v(stage) group by 1""",
     "question_stream": f"select conv_id * 1000 + turn as query_id, {_CLASS} as class from conversations where role = 'user'",
 }
