@@ -31,6 +31,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.session import stored
+
 from .common import documents
 from .repeats import build, cell_bits
 from .scan import join64, mix64, run_minimum, runs, words
@@ -206,6 +208,25 @@ def _settle_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"id": i, "tkey": k, "gone": gone})
 
 
+_KEYED = "doc_id long, id long, tkey long, text string"
+
+
+def _keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    ids, keys = (batch.column(c).to_numpy().view(np.uint64) for c in ("id", "tkey"))
+    yield mix64(join64(ids, keys))
+
+
+def _split(losing, there: bool):
+    """The rows whose id and text the bitmap may hold, or the others."""
+
+    def keep(batches):
+        for batch in batches:
+            for key in _keys(batch):
+                yield batch.filter(pa.array(losing.value.maybe(key) == there))
+
+    return keep
+
+
 def _kept(size: int):
     """Adds n_words, n_removed and the kept text to rows of id, text, gone (runs of windows that go: first place, number)."""
 
@@ -251,9 +272,18 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = ANCHOR, rows:
         found.groupBy("bucket").applyInArrow(_settle_bucket, _GONE)
         .groupBy("id", "tkey").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     )
-    return keyed.join(later, ["id", "tkey"], "left").select("doc_id", "text", "gone").mapInArrow(
-        _kept(size), "doc_id long, n_words long, n_removed long, kept_text string"
-    )
+    later = stored(later, "gone")
+    # Texts that lose nothing are finished where they are; only the others move.
+    losing = build(later.select("id", "tkey"), _keys, 1, cell_bits(later.count(), per_value=16.0), least=1)[0]
+    losing = spark.sparkContext.broadcast(losing)
+
+    def whole(batches):
+        for batch in _split(losing, False)(batches):
+            yield from _kept(size)([pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.nulls(batch.num_rows, pa.list_(pa.int32()))], names=["doc_id", "text", "gone"])])
+
+    moved = keyed.select("doc_id", "id", "tkey", "text").mapInArrow(_split(losing, True), _KEYED).join(later, ["id", "tkey"], "left")
+    schema = "doc_id long, n_words long, n_removed long, kept_text string"
+    return keyed.select("doc_id", "id", "tkey", "text").mapInArrow(whole, schema).unionByName(moved.select("doc_id", "text", "gone").mapInArrow(_kept(size), schema))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
