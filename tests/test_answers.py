@@ -140,3 +140,9 @@ def test_pairs_and_typed_questions(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [(1, 1, "q", "a")]
     (tmp_path / "q.txt").write_text(" who? \n\n   \nwhat?\n")
     assert sorted(r.text for r in questions_from_lines(spark, f"file://{tmp_path}/q.txt").collect()) == ["what?", "who?"]
+
+
+def test_sample_questions_get_their_classes(spark):
+    from tarnwick.plans.queries import query_class_samples
+
+    assert all(r.label == r.predicted for r in query_class_samples(spark, "").collect())
