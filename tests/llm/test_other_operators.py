@@ -168,3 +168,16 @@ def test_pipeline_of_edges(spark, tmp_path):
     saved(spark, [(1, 1), (4, 0), (None, 1), (5, None), (4, 0)], tmp_path, "labels", "doc_id long, toxic int")
     assert corpus_pipeline.run(spark, folder).count() > 0
     assert corpus_pipeline.run(spark, saved(spark, [], tmp_path)).count() == 0
+
+
+def test_archive_of_nothing(spark, tmp_path):
+    folder = saved(spark, [], tmp_path, "pages", PAGE)
+    assert warc.query(spark, folder).collect() == []
+
+
+def test_toxicity_of_nothing(spark, tmp_path):
+    from tarnwick.llm import toxicity
+
+    folder = saved(spark, [], tmp_path)
+    saved(spark, [], tmp_path, "labels", "doc_id long, toxic int")
+    assert toxicity.query(spark, folder).collect() == []
