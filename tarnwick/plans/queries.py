@@ -14,7 +14,7 @@ from tarnwick.functions.text import REFUSAL, exact_match, normalize_answer, pass
 from tarnwick.operators import evaluate, generate, metrics, passages, vectors
 from tarnwick.operators.embed import HashingEmbedder, embed
 from tarnwick.operators.retrieve import gathered, top_k, top_k_sql, with_passages
-from tarnwick.plans import agent, rag
+from tarnwick.plans import agent, rag, stages
 from tarnwick.schemas import Config
 from tarnwick.session import new_table_path
 from tarnwick.sources import index as index_
@@ -253,6 +253,13 @@ def agent_loop(spark, d):
     return agent.agent_loop(questions, retrieve, lambda q, found: generate.stub_answers(q, found, Config().threshold), max_iterations=Config().max_iterations)
 
 
+def four_stage_eval(spark, d):
+    """All four stages over the first question pairs, as many as an evaluation samples."""
+    pairs = question_answer_pairs(table(spark, d, "conversations"))
+    pairs = pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "question", "answer")
+    return stages.compared(stages.four_stages(pairs, _index(spark, d), HashingEmbedder(256), Config(dimensions=256)))
+
+
 def question_stream(spark, d):
     """All users' turns as a stream of questions, each micro-batch classified by the batch plan."""
     source, out, checkpoint = (new_table_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
@@ -269,7 +276,7 @@ QUERIES = {
         passages_flatten, passages_first_seen, passages_capped, l2_normalize, retrieve_topk_dense, retrieve_topk_expressions, retrieve_topk_text,
         prompt_context, prompt_full, normalized_answers, stripped_turns, question_pairs, exact_match_eval, eval_summary, eval_sample_prefix,
         eval_report_line, eval_report_files, rag_answer_stub, retrieved_titles, report_blocks, macro_f1, accuracy, query_class_samples, query_class,
-        index_build_load, rag_questions, stage_comparison, agent_loop, question_stream,
+        index_build_load, rag_questions, stage_comparison, agent_loop, four_stage_eval, question_stream,
     )
 }
 
