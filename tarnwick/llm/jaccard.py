@@ -74,7 +74,7 @@ def _sketched(k: int):
         for _, s in _sets(batch.column("text"), k):
             held.append(s)
             n += len(s)
-            if n > 500_000:
+            if n > 200_000:
                 yield np.concatenate(held)
                 held, n = [], 0
         if n:
@@ -142,28 +142,31 @@ def _node_values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 def _chosen_sets(k: int, known):
     """The sets of nodes that ``known`` may hold, each once per partition."""
 
-    def find(batches):
-        members, seen = known.value, set()
-        for batch in batches:
-            held = [(_digest(s, len(s)), s) for _, s in _sets(batch.column("text"), k) if len(s)]
-            if not held:
-                continue
-            first = np.array([int.from_bytes(d[:8], "big") for d, _ in held], dtype=np.uint64)
-            out, size = [], 0
-            for i in np.flatnonzero(members.maybe(first)):
-                node, s = held[i]
-                if node in seen:
-                    continue
+    def some(held, members, seen):
+        first = np.array([int.from_bytes(d[:8], "big") for d, _ in held], dtype=np.uint64)
+        out = []
+        for i in np.flatnonzero(members.maybe(first)):
+            node, s = held[i]
+            if node not in seen:
                 seen.add(node)
                 cells = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=CELLS).astype("<u4")
                 cells = cells.astype(np.uint8).tobytes() if cells.max() <= 255 else cells.tobytes()
                 out.append((node, len(s), cells, s.tobytes()))
-                size += len(s)
-                if size > 250_000:
-                    yield _set_batch(out)
-                    out, size = [], 0
-            if out:
-                yield _set_batch(out)
+        return [_set_batch(out)] if out else []
+
+    def find(batches):
+        members, seen = known.value, set()
+        for batch in batches:
+            held, size = [], 0
+            for _, s in _sets(batch.column("text"), k):
+                if len(s):
+                    held.append((_digest(s, len(s)), s))
+                    size += len(s)
+                if size > 200_000:
+                    yield from some(held, members, seen)
+                    held, size = [], 0
+            if held:
+                yield from some(held, members, seen)
 
     return find
 

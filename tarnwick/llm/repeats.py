@@ -27,7 +27,7 @@ FAN_IN = 32
 LEAST_BITS, MOST_BITS = 21, 30
 
 #: Frequent values that are listed at most, and values that a partition counts at a time.
-HEAVY_MOST, HEAVY_HELD = 200_000, 8_000_000
+HEAVY_MOST, HEAVY_HELD = 200_000, 2_000_000
 
 _SCHEMA = "block long, task long, once binary, twice binary"
 
@@ -67,7 +67,7 @@ class _Partition:
         for r in range(self.rows):
             self.new[r].append(cells_of(values, r, self.bits))
         self.size += len(values)
-        if self.size > 4_000_000:
+        if self.size > 2_000_000:
             self.merge()
 
     def merge(self) -> None:

@@ -23,7 +23,8 @@ LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128
 _KEEP = np.array([(1 << 8 * i) - 1 for i in range(8)] + [2**64 - 1], dtype=np.uint64)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _LONG = 256
-CHUNK = 4 << 20
+#: Bytes of text that are scanned at a time; what is made of them takes some twenty times as much.
+CHUNK = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -155,7 +156,7 @@ def pieces(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 
 def words(column: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Iterator[Words]:
-    """The words of a text column, a few megabytes of whole rows at a time.
+    """The words of a text column, about a megabyte of whole rows at a time.
 
     ``table`` maps each byte before words are cut; ``lower`` stands for A-Z to a-z.
     """
