@@ -99,29 +99,33 @@ _SPACES = " \t\n\r\x0b\x0c"
 def stretches(text: str) -> list[list[tuple[int, int]]]:
     """Tokens (start, end) of each stretch around triggers; neighbours within reach share one."""
     out: list = []
-    reach = 0
-    lo = None
+    word = reach = 0
     for m in _TRIGGER.finditer(text):
         at = m.start()
-        if lo is not None and at < reach:
+        if at < word:  # in the word of the trigger before, which reaches as far
             continue
         end = at
-        for _ in range(CONTEXT + 1):  # to the end of this word and some after it
+        for k in range(CONTEXT + 1):  # to the end of this word and some after it
             while end < len(text) and text[end] not in _SPACES:
                 end += 1
+            if k == 0:
+                word = end
             while end < len(text) and text[end] in _SPACES:
                 end += 1
+        if out and at < reach:
+            out[-1][1] = reach = end
+            continue
         start = at
         for _ in range(CONTEXT + 1):
             while start > 0 and text[start - 1] in _SPACES:
                 start -= 1
             while start > 0 and text[start - 1] not in _SPACES:
                 start -= 1
-        if lo is not None and start <= reach:
+        if out and start <= reach:
             out[-1][1] = end
         else:
             out.append([start, end])
-        lo, reach = start, end
+        reach = end
     return [[t.span() for t in _TOKEN.finditer(text, a, b)] for a, b in out]
 
 

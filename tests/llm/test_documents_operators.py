@@ -286,6 +286,17 @@ def test_best_segmentation_is_the_best_of_all():
         assert model.best(text, tokens, lead=0.0) == spans
 
 
+def test_a_trigger_within_reach_moves_the_end():
+    """A spelled-out address right after a word with a digit is read whole."""
+    model = pii.SemiMarkov()
+    model.w = pii.fitted()
+    for text in ("12 jane (at) example.org", "see 12 jane [at] example.org today"):
+        a, b = text.index("jane"), text.index("org") + 3
+        assert max(t for s in pii.stretches(text) for _, t in s) >= b
+        assert [s for s in pii.spans_of(text, model) if s[1] == 0] == [(a, 0, b, False)]
+        assert pii.masked(text, pii.spans_of(text, model)) == text.replace(text[a:b], "<email>")
+
+
 def test_redact(spark):
     rows = [(1, "write a@b.org or +1 (743) 555-3824!", *[None] * 10), (2, None, *[None] * 10), (3, "", *[None] * 10)]
     got = {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}
