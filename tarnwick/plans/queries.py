@@ -16,7 +16,7 @@ from tarnwick.operators.embed import HashingEmbedder, embed
 from tarnwick.operators.retrieve import gathered, top_k, top_k_sql, with_passages
 from tarnwick.plans import agent, rag, stages
 from tarnwick.schemas import Config
-from tarnwick.session import new_table_path
+from tarnwick.session import new_table_path, stored
 from tarnwick.sources import index as index_
 from tarnwick.sources.tables import examples_from_documents, question_answer_pairs, table
 from tarnwick.streaming.questions import answer_stream, read_questions
@@ -226,10 +226,26 @@ def rag_questions(spark, d):
     return out.select("query_id", F.size("retrieved").cast("long").alias("n_retrieved"), "answer")
 
 
+def _numbered_pairs(spark, d):
+    """The question pairs with a query_id for each row, in order of conv_id and turn; stored, so that a row keeps its number."""
+    pairs = question_answer_pairs(table(spark, d, "conversations")).orderBy("conv_id", "turn")
+    return stored(pairs.select(F.monotonically_increasing_id().alias("query_id"), "question", "answer"), "pairs")
+
+
+def _turn_id(turns):
+    """conv_id * 1000 + turn; where turns span more than 1000, times that, and beyond a long a number for each row (to be written once)."""
+    low, high, first, last = turns.agg(F.min("turn"), F.max("turn"), F.min("conv_id"), F.max("conv_id")).first()
+    step = 1000
+    if None not in (low, first):
+        step = max(step, high - low + 1)
+        if any(abs(c * step + t) >= 1 << 63 or abs(c * step) >= 1 << 63 for c in (first, last) for t in (low, high)):
+            return F.monotonically_increasing_id()
+    return F.col("conv_id").cast("long") * F.lit(step) + F.col("turn")
+
+
 def stage_comparison(spark, d):
     """Exact match of fixed and of class-wise retrieval over the question pairs, by stage."""
-    pairs = question_answer_pairs(table(spark, d, "conversations"))
-    pairs = pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("question").alias("text"), F.col("answer").alias("gold"))
+    pairs = _numbered_pairs(spark, d).select("query_id", F.col("question").alias("text"), F.col("answer").alias("gold"))
     e = HashingEmbedder(256)
     index = _index(spark, d)
     found = with_passages(top_k(embed(pairs, e, keep=("query_id",)), index, 10), index)
@@ -255,8 +271,7 @@ def agent_loop(spark, d):
 
 def four_stage_eval(spark, d):
     """All four stages over the first question pairs, as many as an evaluation samples."""
-    pairs = question_answer_pairs(table(spark, d, "conversations"))
-    pairs = pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "question", "answer")
+    pairs = _numbered_pairs(spark, d)
     return stages.compared(stages.four_stages(pairs, _index(spark, d), HashingEmbedder(256), Config(dimensions=256)))
 
 
@@ -264,7 +279,7 @@ def question_stream(spark, d):
     """All users' turns as a stream of questions, each micro-batch classified by the batch plan."""
     source, out, checkpoint = (new_table_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
     turns = table(spark, d, "conversations").filter("role = 'user'")
-    turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text").write.parquet(source)
+    turns.select(_turn_id(turns).alias("query_id"), "text").write.parquet(source)
     answer = lambda batch: batch.select("query_id", agent.query_class(F.col("text")).alias("class"))
     answer_stream(read_questions(spark, source), answer, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).select("query_id", "class")

@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tarnwick.plans.queries import ORACLE_SQL, QUERIES
+from tests.llm.helpers import saved
 from tests.oracle import FOLDER, compare
 
 
@@ -34,3 +35,26 @@ def test_nothing_else_needs_the_optional_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**__import__("os").environ, "PYTHONPATH": str(tmp_path)})
     assert done.returncode == 0 and int(done.stdout) == len(QUERIES), done.stderr
+
+
+def _long_conversations(spark, tmp_path, more=()):
+    """Turn 1000 of conversation 0 beside turn 0 of conversation 1; every question's best document has its answer as title."""
+    texts = {"red": "red\napple", "blue": "blue\nsky", "green": "green\ngrass"}
+    saved(spark, [(i, t, *[None] * 10) for i, t in enumerate(texts.values())], tmp_path)
+    asked = [(0, 0, "green"), (0, 1000, "red"), (1, 0, "blue"), *more]
+    rows = [x for c, t, a in asked for x in ((c, t, "user", texts[a].replace("\n", " ")), (c, t + 1, "assistant", a))]
+    return saved(spark, rows, tmp_path, "conversations", "conv_id long, turn long, role string, text string")
+
+
+def test_long_conversations_keep_their_pairs_apart(spark, tmp_path):
+    folder = _long_conversations(spark, tmp_path)
+    got = {r.stage: (r.n, r.exact_match) for r in QUERIES["stage_comparison"](spark, folder).collect()}
+    assert got == {1: (3, 1.0), 3: (3, 1.0)}
+    assert {r.stage: (r.n, r.exact_match) for r in QUERIES["four_stage_eval"](spark, folder).collect()} == {s: (3, 1.0) for s in (1, 2, 3, 4)}
+
+
+@pytest.mark.parametrize("far", [7, 1 << 60])
+def test_long_conversations_keep_their_stream_ids_apart(spark, tmp_path, far):
+    folder = _long_conversations(spark, tmp_path, [(far, 5, "red")])
+    ids = [r.query_id for r in QUERIES["question_stream"](spark, folder).collect()]
+    assert len(ids) == 4 and len(set(ids)) == 4
