@@ -87,13 +87,15 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "passage_id", "score")
 
 
-def top_k_sql(questions: DataFrame, vectors: DataFrame, k: int = 10, most_questions: int = QUERY_BLOCK) -> DataFrame:
-    """``top_k`` as expressions, for a number of questions that is checked before they are broadcast."""
-    if questions.limit(most_questions + 1).count() > most_questions:
-        raise ValueError(f"more than {most_questions} questions; use top_k")
-    q = F.broadcast(questions.select("query_id", F.col("embedding").alias("_q")))
-    scored = vectors.crossJoin(q).select("query_id", "passage_id", inner_product(F.col("_q"), F.col("embedding")).alias("score"))
-    return ranked(scored, k)
+def top_k_sql(questions: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+    """``top_k`` as expressions: the questions are broadcast in blocks of about QUERY_BLOCK."""
+    n_blocks = max(1, -(-questions.count() // QUERY_BLOCK))
+    asked, found = questions.select("query_id", F.col("embedding").alias("_q")), None
+    for b in range(n_blocks):
+        q = asked if n_blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
+        scored = vectors.crossJoin(F.broadcast(q)).select("query_id", "passage_id", inner_product(F.col("_q"), F.col("embedding")).alias("score"))
+        found = scored if found is None else found.unionByName(scored)
+    return ranked(found, k)
 
 
 def with_passages(found: DataFrame, passages: DataFrame) -> DataFrame:

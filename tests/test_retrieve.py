@@ -31,6 +31,14 @@ def test_both_forms_are_brute_force(spark, monkeypatch, k, block):
         assert sorted(tuple(r) for r in form(q, v.repartition(3), k).collect()) == want
 
 
+def test_more_questions_than_a_block_in_expressions(spark):
+    n = retrieve.QUERY_BLOCK + 1
+    q = spark.range(n).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    v = _vectors(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])])
+    got = retrieve.top_k_sql(q, v, 1)
+    assert got.count() == n and got.select("rank", "passage_id", "score").distinct().collect() == [(1, 1, 1.0)]
+
+
 def test_skips_itself_and_ranks_few(spark):
     v = _vectors(spark, [(1, [1.0, 0.0]), (2, [0.0, 1.0])])
     q = v.select(F.col("passage_id").alias("query_id"), "embedding")
