@@ -270,9 +270,9 @@ def agent_loop(spark, d):
 
 
 def four_stage_eval(spark, d):
-    """All four stages over the first question pairs, as many as an evaluation samples."""
+    """All four stages over all question pairs."""
     pairs = _numbered_pairs(spark, d)
-    return stages.compared(stages.four_stages(pairs, _index(spark, d), HashingEmbedder(256), Config(dimensions=256)))
+    return stages.compared(stages.four_stages(pairs, _index(spark, d), HashingEmbedder(256), Config(dimensions=256, num_samples=None)))
 
 
 def question_stream(spark, d):

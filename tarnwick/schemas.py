@@ -34,7 +34,7 @@ class Config:
     generator: str = "stub"
     top_k: int = 10
     max_passages: int = 90_000
-    num_samples: int = 100
+    num_samples: int | None = 100  # None: all
     threshold: float = 0.4
     max_iterations: int = 3
 

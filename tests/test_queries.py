@@ -58,3 +58,8 @@ def test_long_conversations_keep_their_stream_ids_apart(spark, tmp_path, far):
     folder = _long_conversations(spark, tmp_path, [(far, 5, "red")])
     ids = [r.query_id for r in QUERIES["question_stream"](spark, folder).collect()]
     assert len(ids) == 4 and len(set(ids)) == 4
+
+
+def test_four_stages_cover_all_pairs(spark, tmp_path):
+    folder = _long_conversations(spark, tmp_path, [(c, 0, "red") for c in range(2, 120)])
+    assert {r.stage: (r.n, r.exact_match) for r in QUERIES["four_stage_eval"](spark, folder).collect()} == {s: (121, 1.0) for s in (1, 2, 3, 4)}
