@@ -46,21 +46,19 @@ def free(df: DataFrame, name: str) -> str:
     return name
 
 
-def bounded_sample(rows: DataFrame, by: str, keys: list[str], per_class: int, most_classes: int = 200) -> DataFrame:
+def bounded_sample(rows: DataFrame, by: str, keys: list[str], per_class: int) -> DataFrame:
     """At most ``per_class`` rows of each value of ``by``: those with the smallest hashes of ``keys``.
 
     The classes are counted first; rows whose hash is beyond what should hold twice as
     many are left behind where they are, so a few times ``per_class`` rows of a class
-    move, however large it is. Classes beyond the ``most_classes`` most frequent, and
-    null, give no rows.
+    move, however large it is. Only classes of more than that are broadcast with their
+    bound, so there may be any number of classes. Null gives no rows.
     """
-    counted = rows.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(most_classes).collect()
-    if not counted:
-        return rows.filter(F.lit(False))
-    u, bound = unit_hash(*[F.col(k) for k in keys]), F.lit(None).cast("double")
-    for value, n in counted:
-        bound = F.when(F.col(by) == F.lit(value), F.lit(min(1.0, (2.0 * per_class + 50) / n))).otherwise(bound)
+    enough, columns, bound = 2.0 * per_class + 50, rows.columns, free(rows, "_bound")
+    rows = rows.filter(F.col(by).isNotNull())
+    large = rows.groupBy(by).agg((F.lit(enough) / F.count(F.lit(1))).alias(bound)).filter(F.col(bound) < 1)
+    u = unit_hash(*[F.col(k) for k in keys])
     name = free(rows, "_nth")
-    near = rows.filter(u <= bound)
+    near = rows.join(F.broadcast(large), by, "left").filter(u <= F.coalesce(F.col(bound), F.lit(1.0))).select(*columns)
     nth = F.row_number().over(Window.partitionBy(by).orderBy(u, *keys))
     return near.withColumn(name, nth).filter(F.col(name) <= per_class).drop(name)

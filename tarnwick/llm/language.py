@@ -19,6 +19,7 @@ an empty table gives an empty result. Whole texts are counted, whatever their le
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,7 +76,7 @@ def unit_rows(x: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Centroids:
-    """The fitted classifier: a few hundred kilobytes, whatever the corpus."""
+    """The fitted classifier: some hundred kilobytes a language, whatever the corpus."""
 
     idf: np.ndarray
     langs: list[str]
@@ -139,15 +140,18 @@ def fit(rows: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, slack:
                 )
 
     found = sorted(rows.mapInArrow(count, "lang string, at binary, n binary").collect())  # of bounded size
-    x = np.zeros((len(found), 1 << BUCKET_BITS), dtype=np.float32)
-    for row, (_, at, n) in zip(x, found):
-        row[np.frombuffer(at, dtype=np.uint16)] = np.frombuffer(n, dtype=np.float32)
-    idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(1)
-    x = unit_rows(x, idf)
-    of = np.array([r[0] for r in found])
-    langs, vectors, lang_of, far = sorted(set(of.tolist())), [], [], []
-    for i, lang in enumerate(langs):
-        own = x[of == lang]
+    seen = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+    for _, at, _ in found:
+        seen[np.frombuffer(at, dtype=np.uint16)] += 1
+    idf = np.log((1 + len(found)) / (1 + seen)).astype(np.float32) + np.float32(1)
+    langs, vectors, lang_of, far = [], [], [], []
+    for i, (lang, rows_of) in enumerate(itertools.groupby(found, key=lambda r: r[0])):  # one language's matrix at a time
+        parts = list(rows_of)
+        own = np.zeros((len(parts), 1 << BUCKET_BITS), dtype=np.float32)
+        for row, (_, at, n) in zip(own, parts):
+            row[np.frombuffer(at, dtype=np.uint16)] = np.frombuffer(n, dtype=np.float32)
+        own = unit_rows(own, idf)
+        langs.append(lang)
         c, at = cluster(own, clusters, rounds, seed=i)
         vectors.append(c)
         lang_of += [i] * len(c)

@@ -306,6 +306,16 @@ def test_redact(spark):
 # --- language ------------------------------------------------------------------------------
 
 
+def test_language_learns_every_language(spark):
+    """More than 200 languages, one of them with too many texts to learn from all."""
+    rows = [(i, f"{chr(97 + i % 230 // 15)}{chr(97 + i % 15)} " * 9, f"l{i % 230:03d}", *[None] * 9) for i in range(460)]
+    rows += [(1000 + i, "zz yy " * 5, "many", *[None] * 9) for i in range(300)]
+    got = {r.lang: r.n for r in language.sample(frame(spark, rows), F.lit(True), 5).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {**{f"l{i:03d}": 2 for i in range(230)}, "many": 5}
+    model = language.fit(language.sample(frame(spark, rows), F.lit(True), 5))
+    assert model.langs == sorted(got)
+
+
 def test_language_learns_clusters_and_rejects(spark):
     rng = np.random.default_rng(0)
     make = lambda letters: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(40))
