@@ -12,7 +12,8 @@ others (numbers without a plus, spelled-out at-signs), beside numbers that are n
 A CRF span that overlaps a base span, of any kind, is dropped; base spans stay.
 
 Defined results: a null text counts as empty and has no spans; a text of any length
-is read whole, in time linear in it; repeated rows give equal results; extra columns
+is read whole, in time linear in it and with some bytes a token beside it (see
+``Decoder``); repeated rows give equal results; extra columns
 are not read by ``find`` and are kept by ``redact``, which leaves null texts null; an
 empty table gives an empty result. Places are code points, the end exclusive.
 """
@@ -21,10 +22,13 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import math
 import random
 import re
-from collections import defaultdict
+from array import array
+from collections import defaultdict, deque
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,12 +45,13 @@ CONTEXT = 2
 EXAMPLES, PASSES, STEP, DECAY, LEAD = 360, 5, 0.4, 1e-4, 1.0
 SEED = 11
 
-_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+# Possessive, as no match needs to give back: long runs take no memory to retry.
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # The look-behind saves retries inside a run of digits, which can match no better.
-_IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-_CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 
@@ -94,10 +99,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 _TOKEN = re.compile(r"[^\W_]+|[^\w\x20\x09-\x0D]|_")
 _TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
 _SPACES = " \t\n\r\x0b\x0c"
+_WORD_END, _SPACE_END = re.compile(r"[^\x20\x09-\x0D]*+"), re.compile(r"[\x20\x09-\x0D]*+")
 
 
-def stretches(text: str) -> list[list[tuple[int, int]]]:
-    """Tokens (start, end) of each stretch around triggers; neighbours within reach share one."""
+def reaches(text: str) -> list[list[int]]:
+    """First and last place of each stretch around triggers; neighbours within reach share one."""
     out: list = []
     word = reach = 0
     for m in _TRIGGER.finditer(text):
@@ -106,12 +112,10 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
             continue
         end = at
         for k in range(CONTEXT + 1):  # to the end of this word and some after it
-            while end < len(text) and text[end] not in _SPACES:
-                end += 1
+            end = _WORD_END.match(text, end).end()
             if k == 0:
                 word = end
-            while end < len(text) and text[end] in _SPACES:
-                end += 1
+            end = _SPACE_END.match(text, end).end()
         if out and at < reach:
             out[-1][1] = reach = end
             continue
@@ -126,7 +130,12 @@ def stretches(text: str) -> list[list[tuple[int, int]]]:
         else:
             out.append([start, end])
         reach = end
-    return [[t.span() for t in _TOKEN.finditer(text, a, b)] for a, b in out]
+    return out
+
+
+def stretches(text: str) -> list[list[tuple[int, int]]]:
+    """Tokens (start, end) of each stretch."""
+    return [[t.span() for t in _TOKEN.finditer(text, a, b)] for a, b in reaches(text)]
 
 
 def _shape(span: str) -> str:
@@ -134,6 +143,10 @@ def _shape(span: str) -> str:
     return re.sub(r"[^\W\d_]{3,}", "w", re.sub(r"\s+", " ", s))[:24]
 
 
+def is_quad(span: str) -> bool:
+    return re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", span) is not None and all(int(p) < 256 for p in span.split("."))
+
+
 def span_features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
     """Features of a whole candidate span and of what stands beside it."""
     span = text[start:end]
@@ -149,7 +162,7 @@ def span_features(text: str, start: int, end: int, n_tokens: int) -> list[str]:
             out.append("luhn" if luhn(digits) else "noluhn")
         if 9 <= n <= 15:
             out.append("phonelength" + span[0].replace(" ", "s") if not span[0].isdigit() else "phonelength")
-        if re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", span) and all(int(p) < 256 for p in span.split(".")):
+        if is_quad(span):
             out.append("quad")
         groups = [len(g) for g in re.findall(r"[0-9]+", span)]
         if len(groups) > 1 and all(g == 4 for g in groups[:-1]):
@@ -215,26 +228,7 @@ class SemiMarkov:
 
     def best(self, text: str, tokens: list[tuple[int, int]], lead: float = LEAD) -> list[tuple[int, int, int]]:
         """(start, kind number, end) of the best segmentation's spans; a span must beat staying outside by ``lead``."""
-        n, labels = len(tokens), range(len(KINDS) + 1)
-        best = [[-math.inf] * len(labels) for _ in range(n + 1)]
-        back: list = [[None] * len(labels) for _ in range(n + 1)]
-        best[0][0] = 0.0
-        w = self.w
-        step = [[w.get((p, y), 0.0) for y in labels] for p in labels]
-        for j, segments in enumerate(self.segments(text, tokens)):
-            for i, y, s, _ in segments:
-                p = max(labels, key=lambda p: best[i][p] + step[p][y])
-                v = best[i][p] + step[p][y] + s - (lead if y else 0.0)
-                if v > best[j][y]:
-                    best[j][y], back[j][y] = v, (i, p)
-        out, j = [], n
-        y = max(labels, key=lambda y: best[n][y])
-        while j:
-            i, p = back[j][y]
-            if y:
-                out.append((tokens[i][0], y - 1, tokens[j - 1][1]))
-            j, y = i, p
-        return out[::-1]
+        return list(Decoder(self.w, lead).spans(text, tokens))
 
     def fit_one(self, text, tokens, gold: dict, rate: float, decay: float) -> None:
         """One step up the conditional log-likelihood: true counts less expected ones."""
@@ -289,6 +283,149 @@ class SemiMarkov:
             w[k] += rate * (d - decay * w[k])
 
 
+#: Tokens that are decoded before what all paths agree on is settled, and scores of spans that are remembered.
+SETTLE, REMEMBERED = 4096, 50_000
+_ZEROS, _NOT_DIGIT = {ord(c): "0" for c in "123456789"}, re.compile(r"[^0-9]+")
+#: Characters of the longest span. A span holds one at-sign at most, and one without holds 19 digits at most.
+LONGEST = 400
+
+
+class Decoder:
+    """Viterbi over bounded segments, token by token, in memory that does not grow with the text.
+
+    Per place it holds the best score of each label and one byte of back-pointer. Every
+    ``SETTLE`` tokens the paths of all labels of the last ``MOST_TOKENS`` places are traced back
+    to where they meet; what lies before is settled and given out. That is exact:
+    whatever follows, the best path goes through there.
+
+    A span's score depends on its digits only through a few checks, so scores are
+    remembered by the span with its digits written as zeros. A label is no candidate where staying
+    outside is better whatever stands beside it.
+    """
+
+    def __init__(self, weights: dict, lead: float = LEAD):
+        self.lead, labels = lead, range(len(KINDS) + 1)
+        get = weights.get
+        self.step = [[get((p, y), 0.0) for y in labels] for p in labels]
+        self.model = SemiMarkov()
+        self.model.w = weights
+        self.extra = {f: [get((f, y), 0.0) for y in labels] for f in ("luhn", "noluhn", "quad")}
+        step, n = self.step, len(labels)
+        # The least that a span of label y must score, beyond the lead, to be better than outside tokens somewhere.
+        self.least = [
+            [min(step[p][0] + (k - 1) * step[0][0] + step[0][q] - step[p][y] - step[y][q] for p in range(n) for q in range(n)) for k in range(MOST_TOKENS + 1)]
+            for y in labels
+        ]
+        # The last span of a text has no label after it.
+        self.least_last = [[min(step[p][0] + (k - 1) * step[0][0] - step[p][y] for p in range(n)) for k in range(MOST_TOKENS + 1)] for y in labels]
+        self.known: dict = {}
+
+    def _scores(self, text: str, start: int, end: int, n_tokens: int, n_digits: int, letters: bool) -> list[tuple[int, float]]:
+        """(label, score less the lead) of the labels that a span can have."""
+        key = (text[max(start - 1, 0) : end + 1].translate(_ZEROS), start > 0, end < len(text), n_tokens)
+        found = self.known.get(key)
+        if found is None:
+            found = self.model.scores([x for x in span_features(text, start, end, n_tokens) if x not in self.extra])
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[key] = found
+        more = []
+        if not letters and n_digits <= 19:
+            if n_digits >= 12:
+                more.append(self.extra["luhn" if luhn(_NOT_DIGIT.sub("", text[start:end])) else "noluhn"])
+            if n_tokens == 7 and is_quad(text[start:end]):
+                more.append(self.extra["quad"])
+        out = []
+        for y, s in enumerate(found, 1):
+            s += sum(m[y] for m in more) - self.lead
+            if s >= self.least[y][n_tokens] or s >= self.least_last[y][n_tokens]:
+                out.append((y, s))
+        return out
+
+    def spans(self, text: str, tokens) -> Iterator[tuple[int, int, int]]:
+        """(start, kind number, end) of the best segmentation's spans, from tokens in order."""
+        n_labels, step = len(KINDS) + 1, self.step
+        none = -math.inf
+        starts, ends = array("q"), array("q")  # of the tokens not settled yet
+        back = array("B", bytes(n_labels))  # (tokens << 3 | label before) of each place and label; 0: no path
+        best = deque([[0.0] + [none] * (n_labels - 1)], MOST_TOKENS + 1)
+        enter: deque = deque(maxlen=MOST_TOKENS)  # per begin: best score of a path that goes on with each label, and its label
+        window: deque = deque(maxlen=MOST_TOKENS)  # start, end, digits, letters, sign, may begin, may end, joins the one before
+        last_end = -1
+        for a, b in tokens:
+            own = text[a:b] if b - a <= LONGEST else ""
+            digits = 0 if own.isalpha() else sum(map(own.count, "0123456789")) if own else LONGEST
+            joined = last_end >= 0 and a - last_end <= 1 and (a == last_end or text[last_end] != "\n")
+            sign = own == "@" or (own == "at" and a > 0 and text[a - 1] in "([")
+            letters = not own or (len(own) > digits and any(map(str.isalpha, own)))
+            window.append((a, b, digits, letters, sign, own == "at" or own == "@", _may_begin(text[a]), text[b - 1].isalnum(), joined))
+            last_end = b
+            before = best[-1]
+            live = [p for p in range(n_labels) if before[p] > none]
+            into = [max((before[p] + step[p][y], -p) for p in live) for y in range(n_labels)]
+            enter.append(into)
+            now = [into[0][0]] + [none] * (n_labels - 1)
+            came = [1 << 3 | -into[0][1]] + [0] * (n_labels - 1)
+            if window[-1][7]:
+                n_digits, letters, signs, marks = 0, False, 0, False
+                for k in range(1, len(window) + 1):
+                    t = window[-k]
+                    n_digits += t[2]
+                    letters |= t[3]
+                    signs += t[4]
+                    marks |= t[5]
+                    if signs > 1 or b - t[0] > LONGEST:
+                        break
+                    if t[6] and (marks or (0 < n_digits <= 19 and not letters)):
+                        for y, s in self._scores(text, t[0], b, k, n_digits, letters):
+                            v, p = enter[-k][y]
+                            if v + s > now[y]:
+                                now[y], came[y] = v + s, k << 3 | -p
+                    if not t[8]:
+                        break
+            starts.append(a)
+            ends.append(b)
+            best.append(now)
+            back.extend(came)
+            if len(starts) >= SETTLE and len(starts) % SETTLE == 0:
+                done = _meeting(back, n_labels, [(len(starts) - d, y) for d in range(min(len(best), len(starts))) for y in range(n_labels) if best[-1 - d][y] > none])
+                if done[0] > 0:
+                    yield from _traced(back, n_labels, *done, starts, ends)
+                    del starts[: done[0]], ends[: done[0]], back[: done[0] * n_labels]
+        n = len(starts)
+        yield from _traced(back, n_labels, n, max(range(n_labels), key=lambda y: best[-1][y]), starts, ends)
+
+
+def _meeting(back: array, n_labels: int, live: list[tuple[int, int]]) -> tuple[int, int]:
+    """The last place and label that the paths to all of ``live`` have in common."""
+    heap = [(-j, y) for j, y in set(live)]
+    heapq.heapify(heap)
+    seen = set(heap)
+    while len(seen) > 1:
+        j, y = heapq.heappop(heap)
+        seen.discard((j, y))
+        x = back[-j * n_labels + y]
+        if not x:
+            return 0, 0
+        one = (j + (x >> 3), x & 7)
+        if one not in seen:
+            seen.add(one)
+            heapq.heappush(heap, one)
+    (j, y) = seen.pop()
+    return -j, y
+
+
+def _traced(back: array, n_labels: int, j: int, y: int, starts: array, ends: array) -> list[tuple[int, int, int]]:
+    out = []
+    while j > 0:
+        x = back[j * n_labels + y]
+        i = j - (x >> 3)
+        if y:
+            out.append((starts[i], y - 1, ends[j - 1]))
+        j, y = i, x & 7
+    return out[::-1]
+
+
 def examples(n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """Made sentences with their spans (start, end, kind number), all from the seed."""
     rng = random.Random(seed)
@@ -360,7 +497,7 @@ def fitted(n: int = EXAMPLES, passes: int = PASSES, seed: int = SEED) -> dict:
     return {k: v for k, v in model.w.items() if abs(v) > 1e-4}
 
 
-def spans_of(text: str, model: SemiMarkov) -> list[tuple[int, int, int, bool]]:
+def spans_of(text: str, decoder: Decoder) -> list[tuple[int, int, int, bool]]:
     """(start, kind number, end, by base pattern) of all spans of a text, by start, then kind."""
     base = base_spans(text)
     out = [(*s, True) for s in base]
@@ -371,8 +508,8 @@ def spans_of(text: str, model: SemiMarkov) -> list[tuple[int, int, int, bool]]:
                 merged[-1][1] = max(e, merged[-1][1])
             else:
                 merged.append([s, e])
-        for tokens in stretches(text):
-            for s, k, e in model.best(text, tokens) if tokens else ():
+        for a, b in reaches(text):
+            for s, k, e in decoder.spans(text, (t.span() for t in _TOKEN.finditer(text, a, b))):
                 if not _overlaps(merged, s, e):
                     out.append((s, k, e, False))
     return sorted(out)
@@ -397,8 +534,7 @@ def find(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights if weights is not None else fitted())
 
     def run(batches):
-        model = SemiMarkov()
-        model.w = shared.value
+        model = Decoder(shared.value)
         for batch in batches:
             found = [
                 [{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, k, e, b in spans_of(t, model)] if t else []
@@ -428,8 +564,7 @@ def redact(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields])
 
     def run(batches):
-        model = SemiMarkov()
-        model.w = shared.value
+        model = Decoder(shared.value)
         for batch in batches:
             texts = [t and masked(t, spans_of(t, model)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
@@ -448,4 +583,6 @@ def query(spark, sf_dir: str) -> DataFrame:
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
     n = [of(k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *n, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return found.select(
+        "doc_id", *n, F.size("spans").cast("long").alias("n_spans"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+    )

@@ -288,8 +288,7 @@ def test_best_segmentation_is_the_best_of_all():
 
 def test_a_trigger_within_reach_moves_the_end():
     """A spelled-out address right after a word with a digit is read whole."""
-    model = pii.SemiMarkov()
-    model.w = pii.fitted()
+    model = pii.Decoder(pii.fitted())
     for text in ("12 jane (at) example.org", "see 12 jane [at] example.org today"):
         a, b = text.index("jane"), text.index("org") + 3
         assert max(t for s in pii.stretches(text) for _, t in s) >= b
@@ -297,6 +296,75 @@ def test_a_trigger_within_reach_moves_the_end():
         assert pii.masked(text, pii.spans_of(text, model)) == text.replace(text[a:b], "<email>")
 
 
+def _plain_best(text, tokens, weights, lead):
+    """Viterbi over all candidate segments with whole tables of scores and paths."""
+    model = pii.SemiMarkov()
+    model.w = weights
+    step = lambda p, y: weights.get((p, y), 0.0)
+    best = [{0: (0.0, None)}]
+    for j, segments in enumerate(model.segments(text, tokens)):
+        if j:
+            now = {}
+            for i, y, s, _ in segments:
+                v, p = max((best[i][p][0] + step(p, y), -p) for p in best[i])
+                v += s - (lead if y else 0.0)
+                if y not in now or v > now[y][0]:
+                    now[y] = v, (i, -p)
+            best.append(now)
+    out, j = [], len(tokens)
+    y = max(best[j], key=lambda y: best[j][y][0])
+    while j:
+        i, p = best[j][y][1]
+        out += [(tokens[i][0], y - 1, tokens[j - 1][1])] * (y > 0)
+        j, y = i, p
+    return out[::-1]
+
+
+@pytest.mark.parametrize("settle", [17, 64, 4096])
+def test_settled_paths_are_the_best_of_all(monkeypatch, settle):
+    """Paths are settled now and then; the result is that of whole tables."""
+    monkeypatch.setattr(pii, "SETTLE", settle)
+    weights, rng = pii.fitted(), __import__("random").Random(5)
+    decoder = pii.Decoder(weights)
+    texts = [" ".join(t for t, _ in pii.examples(40, seed=seed)) for seed in (3, 4)]
+    texts += [" ".join(str(rng.randrange(10 ** rng.randrange(1, 8))) for _ in range(400)), "12 " * 500, "1.2.3.4, " * 100, "(743) 555-3824 " * 60]
+    for text in texts:
+        for tokens in pii.stretches(text):
+            assert list(decoder.spans(text, tokens)) == _plain_best(text, tokens, weights, pii.LEAD)
+
+
+@pytest.mark.parametrize("text", ["12 " * 100_000, " " * 2_000_000 + "5", "\t" * 2_000_000, "7" * 1_000_000, "@ab" * 100_000, "1." * 300_000, "a." * 400_000 + "@" + "b." * 100_000], ids=lambda t: repr(t[:4]))
+def test_personal_data_of_hostile_texts_takes_bounded_memory(text):
+    import time
+    import tracemalloc
+
+    decoder = pii.Decoder(pii.fitted())
+    began = time.process_time()
+    spans = pii.spans_of(text, decoder)
+    assert time.process_time() - began < 30
+    tracemalloc.start()
+    assert pii.spans_of(text[:30_000], decoder) is not None
+    assert tracemalloc.get_traced_memory()[1] < 30 << 20
+    tracemalloc.stop()
+    small = text[:2000]
+    assert [s[:3] for s in pii.spans_of(small, decoder) if s[3]] == _base_plainly(small)
+    assert len(spans) == {"1.": 300_000 // 4, "a.": 1}.get(text[:2], 0)
+
+
+def test_crf_alone_finds_the_planted_spans_of_the_test_tables():
+    """Recall on data that the examples did not make: what the patterns find in the documents, found by the model alone."""
+    import pandas as pd
+
+    decoder, hit, found, true = pii.Decoder(pii.fitted()), Counter(), Counter(), Counter()
+    for text in pd.read_parquet("/root/testdata/sf0.01/documents.parquet").text.dropna():
+        base = {x for x in pii.base_spans(text)}
+        own = {x for tokens in pii.stretches(text) for x in decoder.spans(text, tokens)}
+        for name, spans in ((true, base), (found, own), (hit, base & own)):
+            name.update(k for _, k, _ in spans)
+    assert sum(true.values()) > 20
+    assert all(hit[k] >= 0.9 * true[k] for k in range(4)) and sum(hit.values()) >= 0.9 * sum(found.values())
+
+
 def test_redact(spark):
     rows = [(1, "write a@b.org or +1 (743) 555-3824!", *[None] * 10), (2, None, *[None] * 10), (3, "", *[None] * 10)]
     got = {r.doc_id: r.text for r in pii.redact(frame(spark, rows)).collect()}
