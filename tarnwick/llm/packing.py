@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 import zlib
 from collections import defaultdict
 
@@ -37,25 +38,43 @@ from .common import documents
 SALTS = 256
 CAPACITY = 2048
 END = 0
-#: Texts of these characters alone are split alike by both libraries' tables of
-#: character classes; all other texts go to the tokenizer file's own library.
-_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
-#: How a byte-level vocabulary of this kind cuts text before merging (fixed value).
-_CUT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: A single space between characters that are no white space.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Words whose ids an encoder remembers, and the longest of them.
+REMEMBERED, LONGEST_WORD = 250_000, 48
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[int, str]:
     """The letter by which byte-level vocabularies write each byte: itself if printable, else the next free one from 256."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in printable]
-    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder:
-    """Token ids by a tokenizer file, without added special tokens.
+class _Words:
+    """Ids of words with ``before`` in front: those met lately, and those before them."""
+
+    def __init__(self, before: str):
+        self.before, self.new, self.old = before, {}, {}
+
+    def put(self, word: str, ids: bytes) -> bytes:
+        if len(word) <= LONGEST_WORD:
+            if len(self.new) >= REMEMBERED // 2:
+                self.new, self.old = {}, self.new
+            self.new[word] = ids
+        return ids
 
-    A byte-level BPE whose ids are in the order of its merges is run by the faster of
-    two libraries on plain texts; its ids are the same.
+
+class Encoder:
+    """Token ids by a tokenizer file and its own library, without added special tokens.
+
+    A byte-level pre-tokenizer always cuts before a single space, and before and after
+    a single line break, that stand between two other characters; what follows is cut
+    as if it stood alone. So lines whose words have single spaces between them are
+    taken word by word, and the library encodes each different word once: words
+    repeat. What has other white space is encoded in parts from one
+    such place to the next, texts with one of the file's added tokens, and all texts
+    by files of other kinds, in one.
     """
 
     def __init__(self, path: str):
@@ -68,23 +87,51 @@ class Encoder:
         self.whole.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.fast, self.special = None, [x["content"] for x in spec.get("added_tokens") or []]
         model, cut = spec["model"], spec.get("pre_tokenizer") or {}
-        plain_cut = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
-        if model.get("type") == "BPE" and plain_cut and not spec.get("normalizer") and not model.get("dropout"):
-            letters, vocab = _byte_letters(), {k: v for k, v in model["vocab"].items() if k not in self.special}
-            pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
-            ids = [vocab.get("".join(x), -1) for x in pairs]
-            if all(c in letters for k in vocab for c in k) and ids == sorted(set(ids)) and len(ids) + 256 == len(vocab) and min(ids, default=256) >= 256:
-                import tiktoken
-
-                ranks = {bytes(letters[c] for c in k): v for k, v in vocab.items()}
-                self.fast = tiktoken.Encoding("own", pat_str=_CUT, mergeable_ranks=ranks, special_tokens={})
+        byte_level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        self.by_word = byte_level and model.get("type") == "BPE" and not model.get("dropout") and not spec.get("normalizer")
+        self.model, self.letters = self.whole.model, byte_letters()
+        self.added = [x["content"] for x in spec.get("added_tokens") or []]
+        self.first, self.rest = _Words(""), _Words(" ")
+        self.line_break = self._encoded("\n")
+
+    def _encoded(self, text: str) -> bytes:
+        return struct.pack(f"<{len(ids := self.whole.encode(text, add_special_tokens=False).ids)}I", *ids)
+
+    def _word(self, known: _Words, word: str) -> bytes:
+        """Ids of a word: a sign at the end stands alone after a letter; letters alone are one piece, which goes to the model."""
+        if len(word) > 1 and word[-1] in ",.;:!?" and word[-2].isalpha() and word[-2] < "\u0250":
+            return self._of(known, [word[:-1]])[0] + self._of(self.first, [word[-1]])[0]
+        if word.isalpha() and max(word) < "\u0250":
+            ids = [t.id for t in self.model.tokenize((known.before + word).encode().decode("latin-1").translate(self.letters))]
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return self._encoded(known.before + word)
+
+    def _of(self, known: _Words, words: list[str]) -> list[bytes]:
+        """The ids of each word, with what stands before it in front."""
+        found = list(map(known.new.get, words))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None:
+                    w = words[i]
+                    found[i] = known.new.get(w) or known.put(w, known.old.get(w) or self._word(known, w))
+        return found
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is not None and not _PLAIN.search(text) and not any(s in text for s in self.special):
-            return self.fast.encode_to_numpy(text, disallowed_special=())
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
+        if not self.by_word or any(a in text for a in self.added):
+            return np.frombuffer(self._encoded(text), dtype="<u4")
+        out = []
+        for line in text.split("\n"):
+            words = line.split()
+            if not words or " ".join(words) != line:
+                break
+            out += self._of(self.first, words[:1])
+            out += self._of(self.rest, words[1:])
+            out.append(self.line_break)
+        else:
+            return np.frombuffer(b"".join(out[:-1]), dtype="<u4")
+        parts = _CUT.split(text)
+        return np.frombuffer(b"".join([*self._of(self.first, parts[:1]), *self._of(self.rest, parts[1:])]), dtype="<u4")
 
 
 @functools.lru_cache(maxsize=2)

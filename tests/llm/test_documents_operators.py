@@ -205,12 +205,29 @@ def test_packing(spark, capacity):
     assert len(bins) == _pack_plainly([r.length for r in got], capacity)
 
 
-def test_fast_encoder_equals_the_file():
-    enc = packing.encoder(packing.tokenizer_path())
-    assert enc.fast is not None
-    texts = [r[1] or "" for r in made_documents()] + ["don't  we'LL\n\n  x 123  ", "a" * 3000, " \t", "café naïve ÀÉ", "\x00\x7f", "　x"]
-    for t in texts:
-        assert enc.ids(t).tolist() == enc.whole.encode(t, add_special_tokens=False).ids
+def test_ids_by_word_equal_those_of_whole_texts(monkeypatch):
+    enc, rng = packing.Encoder(packing.tokenizer_path()), __import__("random").Random(3)
+    assert enc.by_word
+    texts = [r[1] or "" for r in made_documents()] + ["don't  we'LL\n\n  x 123  ", "a" * 3000, " \t", "café naïve ÀÉ", "\x00\x7f", "　x", " a", "a ", "a <|endoftext|> b", "it 's a b\x85 c\u2028 d \xa0 e \x1c f"]
+    alphabet = ["a", "b", "'s", " ", " ", " ", "\n", "\t", "\xa0", "\x85", "\x1c", "\u2003", "1", "22", ".", "é", "中", "\u0301", "\U0001f600", "'ll", "<|", "\u200b", "\ufeff", "\x0b", "x y", "\n"]
+    import pandas as pd
+
+    texts += pd.read_parquet("/root/testdata/sf0.001/documents.parquet").text.dropna().tolist()
+    alphabet += [chr(c) for c in range(0xA1, 0x24F, 3)] + [",", "?", "a.", "é!", "中.", "1,"]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 60))) for _ in range(4000)]
+    for most in (10, 200_000):
+        monkeypatch.setattr(packing, "REMEMBERED", most)
+        for t in texts[-500:] if most == 10 else texts:
+            assert enc.ids(t).tolist() == enc.whole.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\t" * 2_000_000, "x" * 100_000, " a" * 500_000, "1 " * 300_000], ids=lambda t: repr(t[:3]))
+def test_ids_of_hostile_texts(text):
+    import time
+
+    enc, began = packing.encoder(packing.tokenizer_path()), time.process_time()
+    ids = enc.ids(text)
+    assert time.process_time() - began < 30 and enc.whole.decode(ids.tolist(), skip_special_tokens=False) == text
 
 
 # --- personal data -------------------------------------------------------------------------
