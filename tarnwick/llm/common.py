@@ -20,11 +20,9 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Number of words: white-space characters that follow a non-space, plus an unfinished last word."""
-    text = F.coalesce(text, F.lit(""))
-    return F.size(F.split(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""), SPACE + "+")).cast("long") * (
-        F.when(F.length(F.regexp_replace(text, SPACE + "+", "")) > 0, F.lit(1)).otherwise(F.lit(0))
-    )
+    """Number of words, in one pass: each word, with the white space around it, becomes one mark."""
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    return F.when(marks.startswith("x"), F.length(marks)).otherwise(F.lit(0)).cast("long")
 
 
 def unit_hash(*cols: Column) -> Column:

@@ -8,11 +8,13 @@ changing either's expectation or the pair's sum of words, until one of the two i
 integral. What is left of a node, at most one fractional document, goes to the
 next level. So a source's words are kept exactly, down to the one document left at
 the root; that one is taken in part (``last="partial"``: its first words) or
-rounded to the nearer whole number of copies (``last="whole"``).
+rounded to the nearer whole number of copies (``last="whole"``). Equal rows are
+counted before they meet: of n such rows with fraction p, the whole part of n p get
+a copy each and one goes into the tree with what is left.
 
 Defined results: a null or blank text has size 0 and takes no words; null sources
-form one source, the last; repeated rows are rounded as separate documents, in an
-order that depends on their values alone; an empty table gives an empty result.
+form one source, the last; repeated rows are separate documents, and which of them
+get a copy more depends on their values alone; an empty table gives an empty result.
 Other columns of the input are not read, so their names cannot clash. Reruns agree:
 all random numbers are hashes of the seed and the documents' keys.
 """
@@ -20,9 +22,11 @@ all random numbers are hashes of the seed and the documents' keys.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from tarnwick.session import stored
 
@@ -33,6 +37,47 @@ FAN_IN = 64
 #: Sources up to this number are broadcast; more are joined by shuffle.
 BROADCAST_SOURCES = 100_000
 TINY = 1e-9
+#: Buckets of ratios that one step of the search for the level sums, and equal rows that one step of their numbering makes.
+BUCKETS, EQUAL_ROWS = 1024, 10_000
+#: Salts among which the rows of one key are numbered.
+SALTS = 256
+
+
+def _numbered(per: DataFrame) -> DataFrame:
+    """``per`` with ``place``, the number of sources before each by code point, null last: by ranges, then within them."""
+    name = F.concat(F.when(F.col("source").isNull(), "1").otherwise("0"), F.coalesce("source", F.lit("")))
+    ranged = stored(per.withColumn("_name", name).repartitionByRange("_name").withColumn("_range", F.spark_partition_id()), "mix-sources")
+    before = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # a row per range
+    before = before.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_name"))
+    return ranged.withColumn("_in", within).join(F.broadcast(before), "_range").withColumn("place", F.col("_base") + F.col("_in") - 1).drop("_range", "_in", "_base", "_name")
+
+
+def _level(per: DataFrame, total: float) -> float:
+    """The level at which all sources' smaller of cap and weight times level sum to ``total``.
+
+    The level lies among the ratios of cap to weight. Sums per bucket of ratios,
+    ``BUCKETS`` of them, tell the bucket; it is cut into buckets again until it holds one ratio.
+    """
+    ratio = F.col("cap") / F.col("w")
+    low, high = per.agg(F.min(ratio), F.max(ratio)).head()
+    full, rest = 0.0, None  # caps below the range looked at, weights above it
+    while True:
+        step = (high - low) / BUCKETS
+        inside = per.filter((ratio >= low) & (ratio <= high))
+        bucket = F.least(F.floor((ratio - low) / step), F.lit(BUCKETS - 1)) if step > 0 else F.lit(0)
+        sums = inside.groupBy(bucket.cast("int").alias("b")).agg(
+            F.sum("cap").alias("cap"), F.sum("w").alias("w"), F.min(ratio).alias("low"), F.max(ratio).alias("high")
+        ).orderBy("b").collect()  # a row per bucket
+        after = sum(r["w"] for r in sums) + (rest or 0.0)
+        for r in sums:
+            # With all of this bucket's sources at their caps, the level would be at least the bucket's largest ratio.
+            if full + r["cap"] + r["high"] * (after - r["w"]) >= total or r is sums[-1]:
+                break
+            full, after = full + r["cap"], after - r["w"]
+        if r["low"] == r["high"] or r["high"] - r["low"] >= high - low:
+            return (total - full) / after
+        low, high, rest = r["low"], r["high"], after - r["w"]
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: float) -> DataFrame:
@@ -40,24 +85,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, c
 
     ``sizes`` has ``source`` and ``size``. Resharing the excess by weight until none
     is above its cap ends where every source has the smaller of its cap and its
-    weight times one level; sorted by cap over weight, that level is in closed form.
+    weight times one level.
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    per = _numbered(sizes.groupBy("source").agg(F.sum("size").alias("source_size")))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     per = per.withColumn("w", weight).withColumn("cap", F.lit(float(cap)) * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, rest = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-    all_of = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per = per.withColumn("total", F.lit(float(share)) * F.sum("source_size").over(all_of))
-    level = (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
-    per = per.withColumn("level", level).withColumn("full", F.col("level") * F.col("w") >= F.col("cap"))
-    # The first source that stays below its cap sets the level; later rows of the
-    # running formula subtract caps that were not reached and so are lower.
-    free = F.max(F.when(~F.col("full"), F.col("level"))).over(all_of)
-    return per.select(
-        "source", "source_size", F.least(F.col("cap"), F.coalesce(free, F.col("level")) * F.col("w")).alias("target")
-    )
+    all_words = per.agg(F.sum("source_size")).head()[0] or 0
+    level = _level(per, share * all_words) if all_words else 0.0
+    return per.select("source", "source_size", F.least(F.col("cap"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def _fold(seed: int) -> Column:
@@ -84,9 +119,9 @@ def _fold(seed: int) -> Column:
     return F.expr(f"aggregate(docs, struct(cast(array() as {kind}) as done, {none} as left), (acc, d) -> {step})")
 
 
-def row_key(seed: int) -> Column:
-    """A hash of a row's id, source and text."""
-    cols = [F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string")]
+def row_key(docs: DataFrame, seed: int, names: Iterable[str]) -> Column:
+    """A hash of these columns of a row, nulls told apart from nothing."""
+    cols = [F.col(f"`{n}`") for n in names if not isinstance(docs.schema[n].dataType, MapType)]
     return F.xxhash64(F.lit(seed), *cols, F.concat(*[c.isNull().cast("string") for c in cols]))
 
 
@@ -97,23 +132,23 @@ def mix(
     cap: float = 2.0,
     seed: int = 20240607,
     last: str = "partial",
+    key: Column | None = None,
 ) -> DataFrame:
     """One row per document: key, doc_id, source, size, source_size, target, copies, partial_words, taken.
 
     ``docs`` needs ``doc_id``, ``text`` and ``source``. ``weights`` go to the sources
     by code point, null last, and repeat; together they get ``share`` of all words.
-    ``key`` is a hash of the row's id, source and text, for a join back to the rows.
+    ``key`` is a hash of the row, of its id, source and text unless given, for a join back to the rows.
     """
     sized = docs.select(
-        row_key(seed).alias("key"),
+        (row_key(docs, seed, ("doc_id", "source", "text")) if key is None else key).alias("key"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         n_words(F.col("text").cast("string")).alias("size"),
     )
     sized = stored(sized, "mix-sizes")
     targets = stored(source_targets(sized, weights, share, cap), "mix-targets")
-    n_sources, most = targets.count(), sized.groupBy("source").count().agg(F.max("count")).head()[0] or 0
-    if n_sources <= BROADCAST_SOURCES:
+    if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     same = sized["source"].eqNullSafe(targets["source"])
     rated = sized.join(targets, same).drop(targets["source"])
@@ -126,7 +161,15 @@ def mix(
         "key", "doc_id", "size", *about,
         F.when(F.col("p") > TINY, (unit_hash(F.lit(seed), F.col("key")) < F.col("p")).cast("double")).otherwise(F.lit(0.0)).alias("p"),
     )
-    live = rated.filter(~small).select("key", "doc_id", "size", *about, "p")
+    live = rated.filter(~small).groupBy("key", "doc_id", "size", *about, "p").agg(F.count(F.lit(1)).alias("n"))
+    live = stored(live.withColumn("whole", F.floor(F.col("n") * F.col("p") + TINY).cast("long")), "mix-live")
+    most = live.groupBy("source").count().agg(F.max("count")).head()[0] or 0
+    # Of n equal rows all but one are settled here, some at a time; the last one carries what is left.
+    equal = live.filter("n > 1").withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 2) div {EQUAL_ROWS})")))
+    equal = equal.withColumn("i", F.explode(F.expr(f"sequence(part * {EQUAL_ROWS} + 1, least(n - 1, (part + 1) * {EQUAL_ROWS}))")))
+    out = out.unionByName(equal.select("key", "doc_id", "size", *about, (F.col("i") <= F.col("whole")).cast("double").alias("p")))
+    left = F.greatest(F.col("n") * F.col("p") - F.col("whole"), F.lit(0.0))
+    live = live.select("key", "doc_id", "size", *about, F.when(F.col("n") > 1, left).otherwise(F.col("p")).alias("p"))
     level = 0
     while most > 0:
         nodes = max(1, math.ceil(most / FAN_IN))
@@ -162,15 +205,26 @@ def mixed_documents(docs: DataFrame, seed: int = 20240607, **options) -> DataFra
     """The rows of ``docs``, each as often as the mix takes it, in whole copies."""
     own = [F.col(f"`{c}`") for c in docs.columns]
     key, copies, rows_, n, nth = (free(docs, x) for x in ("_mix_key", "_mix_copies", "_mix_rows", "_mix_n", "_mix_nth"))
-    plan = mix(docs, seed=seed, last="whole", **options)
-    plan = plan.groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows_))
-    keyed = docs.withColumn(key, row_key(seed)).join(plan, key)
-    # Equal rows share what the mix gave them: the first ones get one more.
-    order = Window.partitionBy(key).orderBy(F.lit(0))
-    keyed = keyed.withColumn(nth, F.when(F.col(rows_) > 1, F.row_number().over(order)).otherwise(F.lit(1)))
-    each = F.floor(F.col(copies) / F.col(rows_)) + (F.col(nth) <= F.col(copies) % F.col(rows_)).cast("long")
-    keyed = keyed.withColumn(n, each.cast("int")).filter(F.col(n) > 0)
-    return keyed.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*own)
+    # Rows of one key are equal in every column, so it makes no difference which of them gets a copy more.
+    whole_row = row_key(docs, seed, docs.columns)
+    plan = mix(docs, seed=seed, last="whole", key=whole_row, **options)
+    plan = stored(plan.groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows_)), "mix-plan")
+    keyed = docs.withColumn(key, whole_row)
+    out = keyed.join(plan.filter(F.col(rows_) == 1).filter(F.col(copies) > 0).select(key, F.col(copies).cast("int").alias(n)), key)
+    several = plan.filter(F.col(rows_) > 1)
+    if not several.isEmpty():
+        # Rows of one key share what the mix gave them, some get one more: numbers are given within salts, and the salts'
+        # counts say how many come before. Rows are stored with their salts, so a lost task does not number them anew.
+        same = keyed.join(several, key).withColumn(nth + "i", F.monotonically_increasing_id())
+        same = stored(same.withColumn(nth + "s", F.pmod(F.col(nth + "i"), F.lit(SALTS))), "mix-equal")
+        counts = same.groupBy(key, nth + "s").agg(F.count(F.lit(1)).alias(n))
+        before = F.coalesce(F.sum(n).over(Window.partitionBy(key).orderBy(nth + "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select(key, nth + "s", before.alias(nth + "b"))
+        order = Window.partitionBy(key, nth + "s").orderBy(nth + "i")
+        same = same.withColumn(nth, F.row_number().over(order)).join(counts, [key, nth + "s"])
+        each = F.floor(F.col(copies) / F.col(rows_)) + (F.col(nth) + F.col(nth + "b") <= F.col(copies) % F.col(rows_)).cast("long")
+        out = out.unionByName(same.select(*own, key, each.cast("int").alias(n)).filter(F.col(n) > 0))
+    return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*own)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -64,6 +64,33 @@ def test_mix_is_unbiased(spark):
     assert total["a"] / total["b"] == pytest.approx(1, rel=0.02)
 
 
+@pytest.mark.parametrize("buckets", [2, 1024])
+def test_targets_of_many_sources(spark, monkeypatch, buckets):
+    monkeypatch.setattr(mixing, "BUCKETS", buckets)
+    rng = __import__("random").Random(7)
+    sizes = {f"host{i}é" if i else None: rng.choice([0, 1, 5, 5, rng.randrange(1, 10**6)]) for i in range(300)}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    for share, cap in ((1.5, 2.0), (0.5, 1.0), (3.0, 2.0), (0.0, 2.0)):
+        got = {r.source: (r.source_size, r.target) for r in mixing.source_targets(rows, (3, 1, 2), share, cap).collect()}
+        want = _targets(sizes, share=min(share, cap), cap=cap) if share < cap else {s: cap * n for s, n in sizes.items()}
+        assert got == {s: (n, pytest.approx(want[s], rel=1e-9, abs=1e-9)) for s, n in sizes.items()}
+
+
+def test_a_third_of_all_rows_equal(spark, monkeypatch):
+    """Equal rows are counted, not gathered, and share what their source's rate gives them."""
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 1000)
+    docs = spark.range(40_000).selectExpr("if(id < 30000, 7L, id) as doc_id", "if(id < 30000, 'a b c', 'x y') as text", "if(id % 2 = 0 or id < 30000, 'a', 'b') as source", "if(id < 10, null, 'en') as lang")
+    got = mixing.mix(docs).groupBy("doc_id", "source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("taken").alias("most"), F.max("target").alias("target")).collect()
+    same = next(r for r in got if r.doc_id == 7)
+    assert same.n == 30_000 and same.most <= 6 and len(got) == 10_001
+    for source in "ab":
+        assert abs(sum(r.taken for r in got if r.source == source) - next(r.target for r in got if r.source == source)) <= 1
+    rate = same.target / (90_000 + 10_000)
+    assert same.taken == pytest.approx(90_000 * rate, abs=3)
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.filter("doc_id = 7").count() == pytest.approx(30_000 * rate, abs=2)
+
+
 def test_mixed_documents_repeats_whole_rows(spark):
     rows = made_documents(100, long=False)
     docs = frame(spark, rows).withColumn("_mix_key", F.lit(1))
