@@ -41,7 +41,8 @@ END = 0
 #: A single space between characters that are no white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Words whose ids an encoder remembers, and the longest of them.
-REMEMBERED, LONGEST_WORD = 250_000, 48
+REMEMBERED, LONGEST_WORD = 600_000, 48
+_SIGNS, _FOUR = frozenset(",.;:!?"), struct.Struct("<I").pack
 
 
 def byte_letters() -> dict[int, str]:
@@ -55,14 +56,7 @@ class _Words:
     """Ids of words with ``before`` in front: those met lately, and those before them."""
 
     def __init__(self, before: str):
-        self.before, self.new, self.old = before, {}, {}
-
-    def put(self, word: str, ids: bytes) -> bytes:
-        if len(word) <= LONGEST_WORD:
-            if len(self.new) >= REMEMBERED // 2:
-                self.new, self.old = {}, self.new
-            self.new[word] = ids
-        return ids
+        self.before, self.mark, self.new, self.old = before, before.translate(byte_letters()), {}, {}
 
 
 class Encoder:
@@ -93,28 +87,36 @@ class Encoder:
         self.model, self.letters = self.whole.model, byte_letters()
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.first, self.rest = _Words(""), _Words(" ")
-        self.line_break = self._encoded("\n")
+        self.line_break, self.signs = self._encoded("\n"), {c: self._encoded(c) for c in _SIGNS}
 
     def _encoded(self, text: str) -> bytes:
         return struct.pack(f"<{len(ids := self.whole.encode(text, add_special_tokens=False).ids)}I", *ids)
 
     def _word(self, known: _Words, word: str) -> bytes:
-        """Ids of a word: a sign at the end stands alone after a letter; letters alone are one piece, which goes to the model."""
-        if len(word) > 1 and word[-1] in ",.;:!?" and word[-2].isalpha() and word[-2] < "\u0250":
-            return self._of(known, [word[:-1]])[0] + self._of(self.first, [word[-1]])[0]
-        if word.isalpha() and max(word) < "\u0250":
-            ids = [t.id for t in self.model.tokenize((known.before + word).encode().decode("latin-1").translate(self.letters))]
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return self._encoded(known.before + word)
+        """Ids of a word that is not among the latest: a sign at the end stands alone after a letter; letters alone are one piece, which goes to the model."""
+        last = word[-1:]
+        if last in _SIGNS and len(word) > 1 and "A" <= word[-2] < "\u0250" and word[-2].isalpha():
+            stem = word[:-1]
+            return (known.new.get(stem) or self._word(known, stem)) + self.signs[last]
+        ids = known.old.get(word)
+        if ids is None:
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = b"".join([_FOUR(t.id) for t in self.model.tokenize(known.mark + letters)])
+            else:
+                ids = self._encoded(known.before + word)
+        if len(word) <= LONGEST_WORD:
+            if len(known.new) >= REMEMBERED // 2:
+                known.new, known.old = {}, known.new
+            known.new[word] = ids
+        return ids
 
     def _of(self, known: _Words, words: list[str]) -> list[bytes]:
         """The ids of each word, with what stands before it in front."""
-        found = list(map(known.new.get, words))
-        if None in found:
-            for i, x in enumerate(found):
-                if x is None:
-                    w = words[i]
-                    found[i] = known.new.get(w) or known.put(w, known.old.get(w) or self._word(known, w))
+        found, i = list(map(known.new.get, words)), -1
+        for _ in range(found.count(None)):
+            i = found.index(None, i + 1)
+            found[i] = self._word(known, words[i])
         return found
 
     def ids(self, text: str) -> np.ndarray:
