@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnwick.llm import jaccard, mixing, packing, pii, toxicity
-from tarnwick.session import stored
+from tarnwick.session import drop_stored, stored
 
 #: No SQL expresses the fitted models and the random rounding; tests compare with brute force.
 ORACLE_SQL = None
@@ -56,7 +56,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:  # the table that this stage has read
+            drop_stored(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

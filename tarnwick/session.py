@@ -10,6 +10,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of one file of a table whose size is known, the number of files from which on they are left as they are, and the least.
+FILE_ROWS, MOST_FILES, LEAST_FILES = 10_000, 100, 6
+
+
 def local_session(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     os.environ.setdefault("SPARK_LOCAL_IP", "127.0.0.1")
@@ -35,9 +39,15 @@ def _own_folder(application: str) -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) is a temporary folder made.
+    Only where that is unset in local mode (tests, benchmarks) is a temporary folder
+    made; on a cluster no executor would see it, so there it is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _own_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
@@ -49,19 +59,36 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application, when no result that reads them is needed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_tables(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _tables(spark))
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Remove the files of a ``stored`` table that nothing reads any more."""
+    spark = df.sparkSession
+    own = _tables(spark).removeprefix("file:").lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if own in folder:
+            _delete(spark, folder)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Cuts the lineage with files that outlive any executor.
+    Cuts the lineage with files that outlive any executor. Where the caller knows that
+    there are ``rows`` rows at most, a small table is written as few files: one per
+    ``FILE_ROWS`` rows, however many partitions a shuffle was dealt over.
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
     schema = df.schema
+    if rows is not None and rows < FILE_ROWS * MOST_FILES:
+        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
