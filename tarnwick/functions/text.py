@@ -28,7 +28,9 @@ def exact_match(predicted: Column, gold: Column) -> Column:
 
 
 def passage_block(rank: Column, title: Column, text: Column) -> Column:
-    return F.concat(F.lit("["), rank.cast("string"), F.lit("] "), title, F.lit(":\n"), text)
+    """A passage as the prompt shows it; a null title or text is empty."""
+    none = F.lit("")
+    return F.concat(F.lit("["), rank.cast("string"), F.lit("] "), F.coalesce(title, none), F.lit(":\n"), F.coalesce(text, none))
 
 
 def prompt(context: Column, question: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tarnwick.schemas import Config
+
 
 class HashingEmbedder:
     """Counts of hashed words: plumbing that needs no model and that SQL can repeat."""
@@ -55,6 +57,22 @@ class ModelEmbedder:
         return np.concatenate(parts) if parts else np.zeros((0, 0), dtype=np.float32)
 
 
+def sentence_model(name: str) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """A loader of a sentence model by name, where its library is installed."""
+
+    def load():
+        from sentence_transformers import SentenceTransformer
+
+        return SentenceTransformer(name).encode
+
+    return load
+
+
+def embedder_of(config: Config):
+    """The embedding provider that a configuration names."""
+    return HashingEmbedder(config.dimensions) if config.embedder == "hashing" else ModelEmbedder(config.embedder, sentence_model(config.embedder))
+
+
 def embed(rows: DataFrame, embedder, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep`` and ``embedding`` (float, length one, zero vectors as they are) of each row's text."""
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("embedding", T.ArrayType(T.FloatType()))])

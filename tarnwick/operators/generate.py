@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnwick.functions.text import REFUSAL, passage_block, prompt, py_strip
+from tarnwick.schemas import Config
 from tarnwick.session import stored
 
 
@@ -62,6 +63,11 @@ def _asked(ask: Callable[[str], str], text: str, tries: int, wait: float) -> str
     raise AssertionError
 
 
+def connect_of(config: Config):
+    """How a configuration's generator is reached; None for the stub."""
+    return None if config.generator == "stub" else chat_service(config.service, config.generator)
+
+
 def chat_service(url: str, model: str, timeout: float = 120.0) -> Callable[[], Callable[[str], str]]:
     """A client of a local chat service: one user message in, ``message.content`` out."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +28,9 @@ def flatten(examples: DataFrame) -> DataFrame:
 def first_seen(flat: DataFrame) -> DataFrame:
     """Per title the passage of the earliest example and place; ``passage_id`` keeps that order."""
     first = F.min_by(F.struct("example_ord", "pos", "text"), F.struct("example_ord", "pos"))
+    place = F.when(F.col("f.pos") < PLACES, F.col("f.pos")).otherwise(F.raise_error(F.lit(f"an example holds more than {PLACES} passages")).cast("long"))
     return flat.groupBy("title").agg(first.alias("f")).select(
-        (F.col("f.example_ord") * PLACES + F.col("f.pos")).alias("passage_id"), "title", "f.text", "f.example_ord", "f.pos"
+        (F.col("f.example_ord") * PLACES + place).alias("passage_id"), "title", "f.text", "f.example_ord", "f.pos"
     )
 
 
@@ -41,16 +44,25 @@ def running_total(rows: DataFrame, by: str, value: str, name: str) -> DataFrame:
     return out.withColumn(name, F.col("_base") + F.col("_in")).drop("_range", "_in", "_base")
 
 
-def capped(flat: DataFrame, cap: int) -> DataFrame:
-    """First-seen passages of the examples read before the cap was reached.
+def capped_by(flat: DataFrame, caps: Iterable[int]) -> DataFrame:
+    """For each cap, as column ``cap``, the first-seen passages of the examples read before it was reached.
 
-    The cap is looked at after each whole example, so the result may exceed it, and
-    the first example is always in.
+    The cap is looked at after each whole example, so a result may exceed it, and the
+    first example is always in. The examples are read once, whatever the number of caps.
     """
     passages = first_seen(flat)
-    new = passages.groupBy("example_ord").agg(F.count(F.lit(1)).alias("n"))
-    every = flat.select("example_ord").distinct().join(new, "example_ord", "left").na.fill(0, ["n"])
-    first = flat.agg(F.min("example_ord").alias("first"))
-    counted = running_total(every, "example_ord", "n", "before").crossJoin(F.broadcast(first))  # one row
-    kept = counted.filter((F.col("example_ord") == F.col("first")) | (F.col("before") < cap)).select("example_ord")
-    return passages.join(kept, "example_ord", "left_semi")
+    # Examples without a new passage add nothing; the first of the others has none before it.
+    counted = running_total(passages.groupBy("example_ord").agg(F.count(F.lit(1)).alias("n")), "example_ord", "n", "before")
+    each = F.explode(F.array(*[F.lit(c).cast("long") for c in caps])).alias("cap")
+    kept = counted.select("example_ord", "before", each).filter("before = 0 or before < cap").select("example_ord", "cap")
+    return passages.join(kept, "example_ord")
+
+
+def capped(flat: DataFrame, cap: int) -> DataFrame:
+    """``capped_by`` for one cap."""
+    return capped_by(flat, [cap]).drop("cap")
+
+
+def unique(flat: DataFrame) -> DataFrame:
+    """One row: the number of different passages."""
+    return flat.agg(F.count_distinct(F.coalesce("title", F.lit("")), F.col("title").isNull()).alias("n"))

@@ -7,6 +7,7 @@ k rows per question and partition. ``top_k_sql`` is the same in expressions alon
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,9 +17,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnwick.operators.vectors import inner_product
+from tarnwick.session import stored
 
 #: Questions that are broadcast at a time; rows and questions that one product holds.
 QUERY_BLOCK, ROW_BLOCK, PART = 4096, 4096, 256
+#: Blocks that one plan scores, decimals of scores that are compared, and retrieved rows that are broadcast (some 40 bytes each).
+PLAN_BLOCKS, PLACES, BROADCAST_ROWS = 16, 9, 1_000_000
 SCHEMA = "query_id long, passage_id long, score double"
 
 
@@ -27,7 +31,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
-def _scan(ids: np.ndarray, questions: np.ndarray, k: int, skip_same: bool):
+def _scan(ids: np.ndarray, questions: np.ndarray, k: int, skip_same: bool, places: int):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in range(0, len(ids), PART)]
         for batch in batches:
@@ -38,11 +42,11 @@ def _scan(ids: np.ndarray, questions: np.ndarray, k: int, skip_same: bool):
                     s = questions[at : at + PART] @ v.T
                     if skip_same:
                         s[ids[at : at + PART, None] == own[None, :]] = -np.inf
-                    # Every score from the k-th on, ties included, so that ties go by id.
-                    kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+                    # Every score that rounds to the k-th or more, so that ties go by id.
+                    kth = np.partition(s, -k, axis=1)[:, -k] - 2 * 10.0**-places if s.shape[1] > k else np.full(len(s), -np.inf)
                     q, c = np.nonzero((s >= kth[:, None]) & (s > -np.inf))
                     q0, p0, s0 = held[b]
-                    q, p, s = np.append(q0, q), np.append(p0, own[c]), np.append(s0, s[q, c])
+                    q, p, s = np.append(q0, q), np.append(p0, own[c]), np.append(s0, np.round(s[q, c], places))
                     order = np.lexsort((p, -s, q))
                     q, p, s = q[order], p[order], s[order]
                     keep = np.arange(len(q)) - np.searchsorted(q, q) < k
@@ -54,29 +58,43 @@ def _scan(ids: np.ndarray, questions: np.ndarray, k: int, skip_same: bool):
     return best
 
 
-def top_k(questions: DataFrame, vectors: DataFrame, k: int = 10, skip_same: bool = False) -> DataFrame:
+def top_k(questions: DataFrame, vectors: DataFrame, k: int = 10, skip_same: bool = False, places: int = PLACES) -> DataFrame:
     """query_id, rank, passage_id, score of the min(k, n) best passages; ties to the smaller id.
 
     ``questions`` has query_id and embedding, ``vectors`` passage_id and embedding, all
     of one width. ``skip_same`` leaves out the passage whose id is the question's.
+    Scores are rounded to ``places`` decimals before they are compared, so that the
+    order in which products are summed decides nothing.
+
+    Questions are written once, numbered in blocks; a plan scores ``PLAN_BLOCKS`` blocks and
+    is written where there are more, so no plan grows with the questions.
     """
     spark = vectors.sparkSession
     asked = questions.select(F.col("query_id").cast("long").alias("query_id"), "embedding").filter("query_id is not null and embedding is not null")
     rows = vectors.select(F.col("passage_id").cast("long").alias("passage_id"), "embedding").filter("passage_id is not null and embedding is not null")
+    asked = stored(asked, "asked")
     n_blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
+    block_of = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks))
+    if n_blocks > 1:  # a block is read from its own files
+        asked = stored(asked.withColumn("block", block_of).repartition("block").sortWithinPartitions("block"), "asked-blocks")
+    parts, found = [], None
     for b in range(n_blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b).toArrow()  # about QUERY_BLOCK rows
+        block = (asked.filter(F.col("block") == b) if n_blocks > 1 else asked).toArrow()  # about QUERY_BLOCK rows
         ids = block.column("query_id").to_numpy().astype(np.int64)
-        if not len(ids):
-            continue
-        shared = spark.sparkContext.broadcast((ids, _matrix(block.column("embedding").combine_chunks())))
-
-        def run(batches, shared=shared):
-            yield from _scan(*shared.value, k, skip_same)(batches)
-
-        part = rows.mapInArrow(run, SCHEMA)
-        found = part if found is None else found.unionByName(part)
+        if len(ids):
+            shared = spark.sparkContext.broadcast((ids, _matrix(block.column("embedding").combine_chunks())))
+
+            def run(batches, shared=shared):
+                yield from _scan(*shared.value, k, skip_same, places)(batches)
+
+            parts.append((rows.mapInArrow(run, SCHEMA), shared))
+        if parts and (len(parts) == PLAN_BLOCKS or b == n_blocks - 1):
+            one = functools.reduce(DataFrame.unionByName, [p for p, _ in parts])
+            if n_blocks > PLAN_BLOCKS:
+                one = stored(ranked(one, k), "best").select("query_id", "passage_id", "score")
+                for _, shared in parts:
+                    shared.destroy()
+            found, parts = one if found is None else found.unionByName(one), []
     if found is None:
         found = spark.createDataFrame([], SCHEMA)
     return ranked(found, k)
@@ -93,17 +111,24 @@ def top_k_sql(questions: DataFrame, vectors: DataFrame, k: int = 10) -> DataFram
     asked, found = questions.select("query_id", F.col("embedding").alias("_q")), None
     for b in range(n_blocks):
         q = asked if n_blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        scored = vectors.crossJoin(F.broadcast(q)).select("query_id", "passage_id", inner_product(F.col("_q"), F.col("embedding")).alias("score"))
+        scored = vectors.crossJoin(F.broadcast(q)).select("query_id", "passage_id", F.round(inner_product(F.col("_q"), F.col("embedding")), PLACES).alias("score"))
         found = scored if found is None else found.unionByName(scored)
     return ranked(found, k)
 
 
 def with_passages(found: DataFrame, passages: DataFrame) -> DataFrame:
-    """Retrieved rows with title and text; the k rows per question meet the passages by id."""
-    return found.join(passages.select("passage_id", "title", "text"), "passage_id").select("query_id", "rank", "passage_id", "title", "text", "score")
+    """Retrieved rows with title and text.
+
+    The k rows per question are written, counted and, up to ``BROADCAST_ROWS`` of them, broadcast: the
+    passages stay where they are. More of them meet the passages by id in a shuffle.
+    """
+    found = stored(found.select("query_id", "rank", "passage_id", "score"), "found")
+    few = found.count() <= BROADCAST_ROWS
+    out = passages.select("passage_id", "title", "text").join(F.broadcast(found) if few else found, "passage_id")
+    return out.select("query_id", "rank", "passage_id", "title", "text", "score")
 
 
 def gathered(retrieved: DataFrame) -> DataFrame:
-    """Per question its passages in rank order, as one array of (rank, title, text, score)."""
-    one = F.struct("rank", "title", "text", "score")
+    """Per question its passages in rank order, as one array of (rank, passage_id, title, text, score)."""
+    one = F.struct("rank", "passage_id", "title", "text", "score")
     return retrieved.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("retrieved"))

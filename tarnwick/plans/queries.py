@@ -18,7 +18,7 @@ from tarnwick.plans import agent, rag, stages
 from tarnwick.schemas import Config
 from tarnwick.session import new_table_path, stored
 from tarnwick.sources import index as index_
-from tarnwick.sources.tables import examples_from_documents, question_answer_pairs, table
+from tarnwick.sources.tables import examples_from_documents, question_answer_pairs, questions_from_lines, read_examples, table, write_examples
 from tarnwick.streaming.questions import answer_stream, read_questions
 
 #: Documented sample questions with their classes (fixed values).
@@ -52,11 +52,29 @@ def passages_first_seen(spark, d):
 
 
 def passages_capped(spark, d):
-    flat, out = _flat(spark, d), None
-    for cap in CAPS:
-        one = passages.capped(flat, cap).select(F.lit(cap).cast("long").alias("cap"), "example_ord", "pos", "title")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return passages.capped_by(_flat(spark, d), CAPS).select("cap", "example_ord", "pos", "title")
+
+
+def unique_passages(spark, d):
+    return passages.unique(_flat(spark, d))
+
+
+def examples_scan(spark, d):
+    """The examples written as one split, the question pairs as another; the first read back by its name alone."""
+    path = new_table_path(spark, "examples")
+    write_examples(examples_from_documents(table(spark, d, "documents")), path, "train")
+    write_examples(_numbered_pairs(spark, d).withColumnRenamed("query_id", "example_ord"), path, "validation")
+    examples = read_examples(spark, path, "train")
+    return examples.select("example_ord", F.size("context.title").cast("long").alias("n_titles"), F.size("context.sentences").cast("long").alias("n_texts"))
+
+
+def typed_questions(spark, d):
+    """Benchmark items as typed lines, each followed by a blank one, read back as questions."""
+    path = new_table_path(spark, "typed")
+    line = F.translate("text", "\n\r", "  ")
+    rows = table(spark, d, "benchmark").select("item_id", F.explode(F.array(F.struct(F.lit(0).alias("i"), line.alias("value")), F.struct(F.lit(1).alias("i"), F.lit(" \t ").alias("value")))).alias("x"))
+    rows.select("item_id", "x.i", "x.value").repartition(1).sortWithinPartitions("item_id", "i").select("value").write.text(path)  # a typed file
+    return questions_from_lines(spark, path)
 
 
 def l2_normalize(spark, d):
@@ -91,7 +109,7 @@ def retrieve_topk_text(spark, d):
     docs = embed(table(spark, d, "documents").select(F.col("doc_id").alias("passage_id"), "text"), e, keep=("passage_id",))
     asked = embed(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), e, keep=("query_id",))
     found = top_k(asked, docs, 10)
-    return found.select("query_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "passage_id", F.round("score", 4).alias("score"))
 
 
 def _found(spark, d, k=10):
@@ -219,11 +237,57 @@ def _index(spark, d):
     return index_.build_or_load(spark, path, make, HashingEmbedder(256), Config(dimensions=256).index_fields())[0]
 
 
+def index_from_examples(spark, d):
+    """The index of the documents as nested examples, with a cap of passages; built, then read."""
+    config = Config(dimensions=64, max_passages=300)
+    found, _ = index_.from_examples(spark, new_table_path(spark, "index"), examples_from_documents(table(spark, d, "documents")), HashingEmbedder(64), config)
+    return found.select("passage_id", "title", F.length("text").cast("long").alias("n_chars"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first"))
+
+
+def _benchmark(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _asked_with_blanks(spark, d):
+    """Every benchmark item, and a blank question beside each."""
+    questions = _benchmark(spark, d)
+    blanks = questions.select((-1 - F.col("query_id")).alias("query_id"), F.lit(" \t\u00a0 ").alias("text"))
+    return rag.ask(questions.unionByName(blanks), _index(spark, d), HashingEmbedder(256), Config(dimensions=256))
+
+
 def rag_questions(spark, d):
     """Every benchmark item asked of all documents; one row each, passages in rank order."""
-    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    out = rag.ask(questions, _index(spark, d), HashingEmbedder(256), Config(dimensions=256))
-    return out.select("query_id", F.size("retrieved").cast("long").alias("n_retrieved"), "answer")
+    ids = F.array_join(F.transform("retrieved", lambda r: r["passage_id"].cast("string")), ",")
+    return _asked_with_blanks(spark, d).select("query_id", F.size("retrieved").cast("long").alias("n_retrieved"), ids.alias("passage_ids"), "answer")
+
+
+def rag_results(spark, d):
+    """The nested results, a row for each passage."""
+    out = _asked_with_blanks(spark, d).select("query_id", F.explode("retrieved").alias("r"), "answer")
+    return out.select("query_id", F.col("r.rank").cast("long").alias("rank"), "r.passage_id", "r.title", F.length("r.text").cast("long").alias("n_chars"), F.round("r.score", 6).alias("score"), "answer")
+
+
+def rag_report(spark, d):
+    """What the console shows of each question."""
+    return rag.shown(_asked_with_blanks(spark, d))
+
+
+def _evaluated(spark, d):
+    return rag.evaluate_questions(_numbered_pairs(spark, d), _index(spark, d), HashingEmbedder(256), Config(dimensions=256, num_samples=None))
+
+
+def evaluate_rag(spark, d):
+    """Every question pair answered through retrieval and scored."""
+    titles = F.array_join(F.transform("retrieved_titles", lambda t: F.coalesce(t, F.lit(""))), " | ")
+    return _evaluated(spark, d).select("question", "gold", "predicted", F.col("exact_match").cast("long").alias("exact_match"), titles.alias("retrieved_titles"))
+
+
+def eval_report_object(spark, d):
+    """The evaluation as one JSON object in one file, written, read back and taken apart."""
+    path = new_table_path(spark, "report-object")
+    evaluate.write_report_object(stored(_evaluated(spark, d), "evaluated"), path, ["query_id"], leave_out=("query_id",))
+    back = evaluate.read_report_object(spark, path).select(F.round("exact_match", 6).alias("mean"), F.posexplode("results").alias("place", "r"))
+    return back.select(F.col("place").cast("long").alias("place"), "r.question", "r.predicted", F.col("r.exact_match").cast("long").alias("exact_match"), F.size("r.retrieved_titles").cast("long").alias("n_titles"), "mean")
 
 
 def _numbered_pairs(spark, d):
@@ -244,23 +308,28 @@ def _turn_id(turns):
 
 
 def stage_comparison(spark, d):
-    """Exact match of fixed and of class-wise retrieval over the question pairs, by stage."""
+    """Exact match of fixed and of class-wise retrieval over the question pairs, and the passages that each reads."""
     pairs = _numbered_pairs(spark, d).select("query_id", F.col("question").alias("text"), F.col("answer").alias("gold"))
     e = HashingEmbedder(256)
     index = _index(spark, d)
-    found = with_passages(top_k(embed(pairs, e, keep=("query_id",)), index, 10), index)
+    found = stored(with_passages(top_k(embed(pairs, e, keep=("query_id",)), index, 10), index), "compared")
     out = None
     for stage, rows in ((1, found), (3, agent.adaptive(found, pairs))):
         said = generate.stub_answers(pairs, rows, Config().threshold)
-        one = pairs.join(said, "query_id").select(F.lit(stage).alias("stage"), "query_id", exact_match(F.col("answer"), F.col("gold")).alias("exact_match"))
+        read = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("read"), F.sum(F.col("passage_id") * F.col("rank")).alias("ids"))
+        one = pairs.join(said, "query_id").join(read, "query_id", "left").select(
+            F.lit(stage).alias("stage"), exact_match(F.col("answer"), F.col("gold")).alias("exact_match"), "read", "ids"
+        )
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.avg("exact_match").alias("exact_match"))
+    return out.groupBy("stage").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("exact_match").alias("exact_match"), F.sum("read").alias("n_passages"), F.sum("ids").alias("ids_by_rank")
+    )
 
 
 def agent_loop(spark, d):
     """Every benchmark item through the loop of answering, verifying and asking again."""
     e, index = HashingEmbedder(256), _index(spark, d)
-    questions = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    questions = _benchmark(spark, d)
 
     def retrieve(pending):
         found = with_passages(top_k(embed(pending, e, keep=("query_id",)), index, max(agent.TOP_K.values())), index)
@@ -288,10 +357,10 @@ def question_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        passages_flatten, passages_first_seen, passages_capped, l2_normalize, retrieve_topk_dense, retrieve_topk_expressions, retrieve_topk_text,
+        examples_scan, typed_questions, passages_flatten, passages_first_seen, passages_capped, unique_passages, l2_normalize, retrieve_topk_dense, retrieve_topk_expressions, retrieve_topk_text,
         prompt_context, prompt_full, normalized_answers, stripped_turns, question_pairs, exact_match_eval, eval_summary, eval_sample_prefix,
         eval_report_line, eval_report_files, rag_answer_stub, retrieved_titles, report_blocks, macro_f1, accuracy, query_class_samples, query_class,
-        index_build_load, rag_questions, stage_comparison, agent_loop, four_stage_eval, question_stream,
+        index_build_load, index_from_examples, rag_questions, rag_results, rag_report, evaluate_rag, eval_report_object, stage_comparison, agent_loop, four_stage_eval, question_stream,
     )
 }
 
@@ -328,20 +397,66 @@ _PROMPT_PARTS = [f'Use nothing but the context below to answer. Where it does no
 _Q = lambda x: "'" + x.replace("'", "''") + "'"
 _TOKENS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t != '')"
 _SPARSE = """
-select id, b, c / sqrt(sum(c * c) over (partition by id)) as w from (
+select id, b, cast(cast(c / sqrt(sum(c * c) over (partition by id)) as float) as double) as w from (
   select id, cast('0x' || substr(md5(t), 1, 4) as int) % {buckets} as b, cast(count(*) as double) as c from (select {id} as id, unnest({tokens}) as t from {table}) group by all)"""
+_NUMBERED = f"(select row_number() over (order by conv_id, turn) as id, question as text, answer as gold from ({_PAIRS}))"
 
-_TURNS = f"(select conv_id * 1000 + turn as id, question as text, answer as gold from ({_PAIRS}))"
+
+def _documents(buckets: int = 256) -> str:
+    """CTEs: the documents' vectors (dv), titles (dt) and the words that verification looks for (dw)."""
+    words = _WORDS.format(_NORMAL(f"({_TITLE} || ' ' || text)"))
+    return f"""
+dv as materialized ({_SPARSE.format(buckets=buckets, id='doc_id', tokens=_TOKENS, table='documents')}),
+dt as (select doc_id as did, {_TITLE} as title, text from documents), dw as materialized (select doc_id as did, {words} as words from documents)"""
+
+
+def _search(name: str, questions: str, key: str, buckets: int = 256) -> str:
+    """CTE ``name``: qid, did, score and rank of the ten best documents of each question, those without a common word included."""
+    return f"""
+{name} as materialized (select * from (select *, row_number() over (partition by qid order by score desc, did) as rank from (
+  select q.id as qid, d.doc_id as did, coalesce(s.score, 0) as score from (select {key} as id from {questions}) q cross join documents d left join (
+    select q.id as qid, d.id as did, round(sum(q.w * d.w), 9) as score
+    from ({_SPARSE.format(buckets=buckets, id=key, tokens=_TOKENS, table=questions)}) q join dv d using (b) group by all) s on s.qid = q.id and s.did = d.doc_id)) where rank <= 10)"""
+
+
+def _said(name: str, questions: str, key: str, found: str) -> str:
+    """CTE ``name``: query_id and the stub's answer from the passages found."""
+    return f"""
+{name} as (select a.id as query_id, coalesce(case when score >= {Config().threshold} then title end, {_Q(REFUSAL)}) as answer
+  from (select {key} as id from {questions}) a left join (select * from {found} where rank = 1) f on a.id = f.qid left join dt using (did))"""
 
 
-def _best_title(questions: str, key: str) -> str:
-    """SQL: each question's stub answer from all documents in 256 buckets."""
+def _verified(name: str, said: str, found: str) -> str:
+    """CTE ``name``: query_id, answer and the share of the answer's words in the passages found."""
     return f"""
-d as ({_SPARSE.format(buckets=256, id='doc_id', tokens=_TOKENS, table='documents')}), q as ({_SPARSE.format(buckets=256, id=key, tokens=_TOKENS, table=questions)}),
-s as (select q.id as qid, d.id as did, round(sum(q.w * d.w), 9) as score from q join d using (b) group by all),
-best as (select qid, did, score from (select *, row_number() over (partition by qid order by score desc, did) as nth from s) where nth = 1),
-said as (select a.id as query_id, coalesce(case when score >= {Config().threshold} then {_TITLE} end, {_Q(REFUSAL)}) as answer
-  from (select {key} as id from {questions}) a left join best on a.id = best.qid left join documents on doc_id = did)"""
+{name} as materialized (select query_id, answer, case when len(own) > 0 then len(list_intersect(own, coalesce(seen, []))) / len(own) else 0 end as confidence
+  from (select *, {_WORDS.format(_NORMAL('answer'))} as own from {said}) left join (select qid, flatten(list(words)) as seen from {found} join dw using (did) group by qid) on qid = query_id)"""
+
+
+def _loop(questions: str, key: str) -> str:
+    """CTEs of the loop; the last, ``looped``, has query_id, status, answer, iterations, confidence."""
+    parts, last = [f"p1 as (select {key} as qid, text from {questions})"], Config().max_iterations
+    for i in range(1, last + 1):
+        parts += [
+            _search(f"r{i}", f"p{i}", "qid"), f"k{i} as (select r{i}.* from r{i} join p{i} using (qid) where rank <= {_K.format(_CLASS)})",
+            _said(f"a{i}", f"p{i}", "qid", f"k{i}"), _verified(f"v{i}", f"a{i}", f"k{i}"),
+            f"p{i + 1} as (select qid, {_SHORTER} as text from p{i} join v{i} on qid = query_id where confidence < 0.8)",
+        ]
+    ends = [f"select query_id, 'SUPPORTED' as status, answer, {i} as iterations, confidence from v{i} where confidence >= 0.8" for i in range(1, last + 1)]
+    ends.append(f"select query_id, 'ABSTAINED' as status, null as answer, {last} as iterations, confidence from v{last} where confidence < 0.8")
+    return ",\n".join([*parts, "looped as (" + " union all ".join(ends) + ")"])
+
+
+_WORDS = r"list_distinct(list_filter(string_split_regex({}, '\s+'), lambda t: t != ''))"
+_SHORT = r"trim(regexp_replace(lower(text), '\b(what|which|who|where|when|was|were|is|are|the|of|did|does)\b|[?]', ' ', 'g'))"
+_SHORTER = rf"case when length({_SHORT}) > 0 then regexp_replace({_SHORT}, '\s+', ' ', 'g') else text end"
+_CLASSWISE = lambda found, questions: f"(select f.* from {found} f join (select id as qid, text from {questions}) using (qid) where rank <= {_K.format(_CLASS)})"
+_ITEMS = f"with {_documents()}, {_search('r', 'benchmark', 'item_id')}, {_said('said', 'benchmark', 'item_id', 'r')}"
+_MATCH = lambda x, gold: f"cast({_NORMAL(x)} = {_NORMAL(gold)} as int)"
+_EVALUATED = f"""
+with t as {_NUMBERED}, {_documents()}, {_search('r', 't', 'id')}, {_said('said', 't', 'id', 'r')},
+e as (select query_id, text as question, gold, answer as predicted, {_MATCH('answer', 'gold')} as m from said join t on id = query_id),
+titles as (select qid as query_id, string_agg(coalesce(title, ''), ' | ' order by rank) as titles, count(*) as n_titles from r join dt using (did) group by 1)"""
 
 
 ORACLE_SQL = {
@@ -358,9 +473,7 @@ select vec_id, i - 1 as i, round(case when n = 0 then x else x / n end, 6) as x
     "retrieve_topk_dense": _DENSE,
     "retrieve_topk_expressions": _DENSE,
     "retrieve_topk_text": f"""
-with d as ({_SPARSE.format(buckets=1024, id='doc_id', tokens=_TOKENS, table='documents')}), q as ({_SPARSE.format(buckets=1024, id='item_id', tokens=_TOKENS, table='benchmark')}),
-s as (select q.id as query_id, d.id as passage_id, sum(q.w * d.w) as score from q join d using (b) group by all)
-select query_id, rank, round(score, 4) as score from (select *, row_number() over (partition by query_id order by score desc, passage_id) as rank from s) where rank <= 10""",
+with {_documents(1024)}, {_search('r', 'benchmark', 'item_id', 1024)} select qid as query_id, rank, did as passage_id, round(score, 4) as score from r""",
     "prompt_context": f"select query_id, string_agg({_BLOCK}, chr(10) || chr(10) order by rank) as context from ({_FOUND}) group by 1",
     "prompt_full": f"""
 select query_id, 'Question ' || query_id as question, {_Q(_PROMPT_PARTS[0])} || string_agg({_BLOCK}, chr(10) || chr(10) order by rank) || {_Q(_PROMPT_PARTS[1])} || 'Question ' || query_id || {_Q(_PROMPT_PARTS[2])} as prompt
@@ -391,12 +504,43 @@ select round(avg(f1), 9) as macro_f1 from f""",
     "index_build_load": """
 select cast(step as bigint) as step, built, cast(dim as bigint) as dimensions, (select count(*) from documents) as vectors
 from (values (0, true, 64), (1, false, 64), (2, true, 32)) v(step, built, dim)""",
-    "rag_questions": f"""
-with {_best_title('benchmark', 'item_id')}
-select query_id, least(10, (select count(*) from documents)) as n_retrieved, answer from said""",
+    "unique_passages": f"select count(*) as n from (select distinct title from ({_FLAT}))",
+    "examples_scan": "select doc_id // 10 as example_ord, count(*) as n_titles, count(*) as n_texts from documents group by 1",
+    "typed_questions": "select 2 * (row_number() over (order by item_id) - 1) as query_id, " + _STRIP.format("translate(text, chr(10) || chr(13), '  ')") + " as text from benchmark",
+    "index_from_examples": f"""
+with f as ({_FIRST}), n as (select example_ord, count(*) as n from f group by 1),
+b as (select example_ord, coalesce(sum(n) over (order by example_ord rows between unbounded preceding and 1 preceding), 0) as before from n),
+v as ({_SPARSE.format(buckets=64, id='example_ord * 1048576 + pos', tokens=_TOKENS, table='f')})
+select example_ord * 1048576 + pos as passage_id, title, length(text) as n_chars, round(coalesce(w, 0), 6) as first
+from f join b using (example_ord) left join (select * from v where b = 0) x on x.id = example_ord * 1048576 + pos where before = 0 or before < 300""",
+    "rag_questions": _ITEMS + """
+select query_id, count(did) as n_retrieved, coalesce(string_agg(did, ',' order by rank), '') as passage_ids, any_value(answer) as answer from said left join r on qid = query_id group by query_id""",
+    "rag_results": _ITEMS + """
+select query_id, rank, did as passage_id, title, length(text) as n_chars, round(score, 6) as score, answer from said join r on qid = query_id join dt using (did)""",
+    "rag_report": _ITEMS + f""", q as (select item_id as query_id, {_STRIP.format('text')} as query from benchmark)
+select query_id, 'Query: ' || any_value(query) || chr(10) || coalesce(string_agg('  [' || rank || '] ' || title || ' (score: ' || printf('%.4f', score) || ')', chr(10) order by rank), '') || chr(10) || 'Answer: ' || any_value(answer) as report
+from said join q using (query_id) left join r on qid = query_id left join dt using (did) group by query_id""",
+    "evaluate_rag": _EVALUATED + """
+select question, gold, predicted, cast(m as bigint) as exact_match, coalesce(titles, '') as retrieved_titles from e left join titles using (query_id)""",
+    "eval_report_object": _EVALUATED + """
+select row_number() over (order by query_id) - 1 as place, question, predicted, cast(m as bigint) as exact_match, coalesce(n_titles, 0) as n_titles, round(avg(m) over (), 6) as mean from e left join titles using (query_id)""",
     "stage_comparison": f"""
-with {_best_title(_TURNS, 'id')},
-e as (select cast({_NORMAL('answer')} = {_NORMAL('gold')} as int) as m from said join {_TURNS} t on t.id = query_id)
-select cast(stage as int) as stage, count(*) as n, avg(m) as exact_match from e, (values (1), (3)) v(stage) group by 1""",
+with t as {_NUMBERED}, {_documents()}, {_search('r', 't', 'id')}, {_said('said', 't', 'id', 'r')},
+e as (select {_MATCH('answer', 'gold')} as m from said join t on id = query_id),
+u as (select 1 as stage, * from r union all select 3, * from {_CLASSWISE('r', 't')})
+select cast(stage as int) as stage, n, exact_match, n_passages, ids_by_rank from (select count(*) as n, avg(m) as exact_match from e)
+cross join (select stage, count(*) as n_passages, cast(sum(did * rank) as bigint) as ids_by_rank from u group by 1)""",
+    "agent_loop": f"""
+with {_documents()}, {_loop('benchmark', 'item_id')}
+select query_id, status, answer, cast(iterations as int) as iterations, confidence from looped""",
+    "four_stage_eval": f"""
+with t as {_NUMBERED}, {_documents()}, {_loop('t', 'id')}, {_search('r', 't', 'id')}, {_said('said', 't', 'id', 'r')}, {_verified('checked', 'said', 'r')},
+class_found as {_CLASSWISE('r', 't')}, {_said('class_said', 't', 'id', 'class_found')},
+s as (select 1 as stage, query_id, answer, null as status from said
+  union all select 2, query_id, answer, case when confidence >= 0.8 then 'SUPPORTED' when confidence >= 0.3 then 'PARTIAL' else 'UNSUPPORTED' end from checked
+  union all select 3, query_id, answer, null from class_said union all select 4, query_id, answer, status from looped)
+select cast(stage as int) as stage, count(*) as n, avg(coalesce({_MATCH('answer', 'gold')}, 0)) as exact_match,
+  avg(cast(coalesce(status, '') = 'SUPPORTED' as int)) as supported, avg(cast(coalesce(status, '') = 'ABSTAINED' as int)) as abstained
+from s join t on id = query_id group by 1""",
     "question_stream": f"select conv_id * 1000 + turn as query_id, {_CLASS} as class from conversations where role = 'user'",
 }

@@ -6,7 +6,7 @@ from dataclasses import asdict, dataclass
 
 from pyspark.sql import types as T
 
-_S, _L, _D = T.StringType(), T.LongType(), T.DoubleType()
+_S, _L = T.StringType(), T.LongType()
 
 
 def _struct(**fields: T.DataType) -> T.StructType:
@@ -15,23 +15,18 @@ def _struct(**fields: T.DataType) -> T.StructType:
 
 CONTEXT = _struct(title=T.ArrayType(_S), sentences=T.ArrayType(T.ArrayType(_S)))
 EXAMPLES = _struct(example_ord=_L, context=CONTEXT, question=_S, answer=_S)
-PASSAGES = _struct(passage_id=_L, title=_S, text=_S)
-VECTORS = _struct(passage_id=_L, embedding=T.ArrayType(T.FloatType()))
-QUERIES = _struct(query_id=_L, text=_S, embedding=T.ArrayType(T.FloatType()))
-RETRIEVED = _struct(query_id=_L, rank=T.IntegerType(), passage_id=_L, title=_S, text=_S, score=_D)
-ANSWERS = _struct(query_id=_L, prompt=_S, answer=_S)
-EVALUATED = _struct(
-    query_id=_L, question=_S, gold=_S, predicted=_S, exact_match=T.IntegerType(), retrieved_titles=T.ArrayType(_S)
-)
+INDEX = _struct(passage_id=_L, title=_S, text=_S, embedding=T.ArrayType(T.FloatType()))
+EVALUATED = _struct(question=_S, gold=_S, predicted=_S, exact_match=T.IntegerType(), retrieved_titles=T.ArrayType(_S))
 
 
 @dataclass(frozen=True)
 class Config:
     """What a run can choose. An index remembers the fields that shape it."""
 
-    embedder: str = "hashing"
+    embedder: str = "hashing"  # or the name of a sentence model
     dimensions: int = 1024
-    generator: str = "stub"
+    generator: str = "stub"  # or the name of a chat model
+    service: str = "http://localhost:11434/api/chat"
     top_k: int = 10
     max_passages: int = 90_000
     num_samples: int | None = 100  # None: all

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwick.operators.embed import embed
+from tarnwick.operators.passages import capped, flatten
+from tarnwick.schemas import INDEX, Config
 
 
 def _read_config(spark: SparkSession, path: str) -> dict | None:
@@ -30,7 +32,7 @@ def write_index(passages: DataFrame, path: str, embedder, config: dict) -> None:
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     """passage_id, title, text, embedding."""
-    return spark.read.parquet(f"{path}/vectors")
+    return spark.read.schema(INDEX).parquet(f"{path}/vectors")
 
 
 def build_or_load(spark: SparkSession, path: str, make_passages, embedder, config: dict) -> tuple[DataFrame, bool]:
@@ -41,5 +43,10 @@ def build_or_load(spark: SparkSession, path: str, make_passages, embedder, confi
     return load_index(spark, path), built
 
 
+def from_examples(spark: SparkSession, path: str, examples: DataFrame, embedder, config: Config) -> tuple[DataFrame, bool]:
+    """The index of nested examples: flattened, first-seen by title, capped by whole examples, embedded and written."""
+    return build_or_load(spark, path, lambda: capped(flatten(examples), config.max_passages).select("passage_id", "title", "text"), embedder, config.index_fields())
+
+
 def size(index: DataFrame) -> int:
     return index.agg(F.count("embedding")).head()[0]

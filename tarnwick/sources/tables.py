@@ -14,9 +14,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_examples(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
-    """Examples with the declared schema; ``example_ord`` gives their order."""
-    return spark.read.schema(EXAMPLES).format(file_format).load(path)
+def read_examples(spark: SparkSession, path: str, split: str | None = None, file_format: str = "parquet") -> DataFrame:
+    """Examples with the declared schema; ``example_ord`` gives their order.
+
+    A split is a folder ``split=<name>`` below ``path``: only its files are read.
+    """
+    return spark.read.schema(EXAMPLES).format(file_format).load(f"{path}/split={split}" if split else path)
+
+
+def write_examples(examples: DataFrame, path: str, split: str) -> None:
+    """Write examples as the split of that name; missing columns are null."""
+    have = set(examples.columns)
+    cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in EXAMPLES]
+    examples.select(*cols).write.mode("overwrite").parquet(f"{path}/split={split}")
 
 
 def examples_from_documents(docs: DataFrame, per_example: int = 10) -> DataFrame:
@@ -34,9 +44,15 @@ def examples_from_documents(docs: DataFrame, per_example: int = 10) -> DataFrame
 
 
 def questions_from_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Typed questions, one a line: stripped, blank ones ignored."""
-    lines = spark.read.text(path).select(py_strip(F.col("value")).alias("text"))
-    return lines.filter(~blank(F.col("text"))).withColumn("query_id", F.monotonically_increasing_id()).select("query_id", "text")
+    """Typed questions, one a line: stripped, blank ones ignored. ``query_id`` is the line's number, files by their path.
+
+    A file of typed questions is read whole, so a line's number does not depend on splits.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", "\n").alias("lines"))
+    files = files.withColumn("base", F.coalesce(F.sum(F.size("lines")).over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per file
+    lines = files.select("base", F.posexplode("lines").alias("pos", "value"))
+    lines = lines.select((F.col("base") + F.col("pos")).cast("long").alias("query_id"), py_strip(F.col("value")).alias("text"))
+    return lines.filter(~blank(F.col("text")))
 
 
 def question_answer_pairs(conversations: DataFrame) -> DataFrame:

@@ -51,10 +51,57 @@ def test_service_retries_and_strips(spark):
     assert [tuple(r) for r in generate.service_answers(p, connect, wait=0.0).collect()] == [(1, "said hello")]
 
 
+def test_chat_service_answers_over_http(spark):
+    """One user message per prompt, message.content back, against a server on this machine."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Chat(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append(body)
+            reply = json.dumps({"message": {"role": "assistant", "content": f" to {body['messages'][0]['content']} "}}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(reply)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Chat)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    config = Config(generator="small", service=f"http://127.0.0.1:{server.server_port}/api/chat")
+    prompts = spark.createDataFrame([(1, "red"), (2, "blue")], "query_id long, prompt string")
+    got = {r.query_id: r.answer for r in generate.service_answers(prompts, generate.connect_of(config)).collect()}
+    server.shutdown()
+    assert got == {1: "to red", 2: "to blue"} and len(asked) == 2
+    assert all(x["model"] == "small" and x["stream"] is False and [m["role"] for m in x["messages"]] == ["user"] for x in asked)
+    assert generate.connect_of(Config()) is None
+
+
+def test_null_titles_and_texts_stay_in_the_prompt(spark):
+    rows = spark.createDataFrame([(1, 1, 1, None, "x", 1.0), (1, 2, 2, "t", None, 0.5)], "query_id long, rank int, passage_id long, title string, text string, score double")
+    assert generate.contexts(rows).head().context == "[1] :\nx\n\n[2] t:\n"
+
+
 def test_mean_of_nothing_is_null(spark):
     rows = evaluate.scored(spark.createDataFrame([], "predicted string, gold string"))
     assert tuple(evaluate.summary(rows).head()) == (0, None)
-    assert json.loads(evaluate.report_object(rows)) == {"exact_match": None, "results": []}
+    path = new_table_path(spark, "object")
+    evaluate.write_report_object(rows, path, ["gold"])
+    assert "".join(r.value for r in spark.read.text(path, wholetext=True).collect()).split() == ['{"exact_match":null,"results":[', "]}"]
+
+
+def test_report_object_is_one_json_file(spark):
+    rows = evaluate.scored(spark.createDataFrame([(i, f"q{i}", "a", "A." if i % 2 else None) for i in range(9)], "query_id long, question string, gold string, predicted string")).repartition(4)
+    path = new_table_path(spark, "object")
+    evaluate.write_report_object(rows, path, ["query_id"], leave_out=("query_id",))
+    files = spark.read.text(path, wholetext=True).collect()
+    assert len(files) == 1
+    made = json.loads(files[0].value)
+    assert made["exact_match"] == 1.0 and [r["question"] for r in made["results"]] == [f"q{i}" for i in range(9)] and made["results"][0]["predicted"] is None
 
 
 def test_sample_prefix(spark):
@@ -139,7 +186,8 @@ def test_pairs_and_typed_questions(spark, tmp_path):
     got = question_answer_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     assert [tuple(r) for r in got.collect()] == [(1, 1, "q", "a")]
     (tmp_path / "q.txt").write_text(" who? \n\n   \nwhat?\n")
-    assert sorted(r.text for r in questions_from_lines(spark, f"file://{tmp_path}/q.txt").collect()) == ["what?", "who?"]
+    (tmp_path / "r.txt").write_text("why?")
+    assert sorted(tuple(r) for r in questions_from_lines(spark, f"file://{tmp_path}/*.txt").collect()) == [(0, "who?"), (3, "what?"), (5, "why?")]
 
 
 def test_sample_questions_get_their_classes(spark):

@@ -22,3 +22,24 @@ def test_counts_are_observed(spark):
     df, seen = counted(spark.range(7), "passages")
     df.collect()
     assert seen.get["rows"] == 7
+
+
+def test_program_builds_then_loads(spark, tmp_path):
+    """The program over a train and a validation split: an index built once, a question, an evaluation."""
+    from tarnwick.__main__ import main
+    from tarnwick.sources.tables import write_examples
+
+    context = "named_struct('title', array('red', 'blue', 'red'), 'sentences', array(array('red', 'apple'), array('blue', 'sky'), array('again')))"
+    write_examples(spark.sql(f"select 0L as example_ord, {context} as context"), f"file://{tmp_path}/examples", "train")
+    write_examples(spark.createDataFrame([(1, "red apple", "Red!"), (2, "blue sky", "x")], "example_ord long, question string, answer string"), f"file://{tmp_path}/examples", "validation")
+    for said in ("Built", "Loaded"):
+        shown = []
+        main([f"file://{tmp_path}/examples", f"file://{tmp_path}/index", "--dimensions", "64", "--top-k", "1"], ["red apple\n", "eval\n", "quit\n", "never\n"], shown.append)
+        assert shown == [f"{said} an index of 2 passages.", "Query: red apple\n  [1] red (score: 1.0000)\nAnswer: red", "Exact match over 2 samples: 0.5000 (50.0%)"]
+
+
+def test_embedder_by_configuration():
+    from tarnwick.operators.embed import ModelEmbedder, embedder_of
+
+    assert embedder_of(Config(dimensions=8)).dimensions == 8
+    assert isinstance(embedder_of(Config(embedder="some-model")), ModelEmbedder)

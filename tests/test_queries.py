@@ -48,8 +48,8 @@ def _long_conversations(spark, tmp_path, more=()):
 
 def test_long_conversations_keep_their_pairs_apart(spark, tmp_path):
     folder = _long_conversations(spark, tmp_path)
-    got = {r.stage: (r.n, r.exact_match) for r in QUERIES["stage_comparison"](spark, folder).collect()}
-    assert got == {1: (3, 1.0), 3: (3, 1.0)}
+    got = {r.stage: (r.n, r.exact_match, r.n_passages) for r in QUERIES["stage_comparison"](spark, folder).collect()}
+    assert got == {1: (3, 1.0, 9), 3: (3, 1.0, 9)}
     assert {r.stage: (r.n, r.exact_match) for r in QUERIES["four_stage_eval"](spark, folder).collect()} == {s: (3, 1.0) for s in (1, 2, 3, 4)}
 
 
@@ -63,3 +63,19 @@ def test_long_conversations_keep_their_stream_ids_apart(spark, tmp_path, far):
 def test_four_stages_cover_all_pairs(spark, tmp_path):
     folder = _long_conversations(spark, tmp_path, [(c, 0, "red") for c in range(2, 120)])
     assert {r.stage: (r.n, r.exact_match) for r in QUERIES["four_stage_eval"](spark, folder).collect()} == {s: (121, 1.0) for s in (1, 2, 3, 4)}
+
+
+@pytest.mark.parametrize("name", ["stage_comparison", "agent_loop", "four_stage_eval"])
+def test_queries_notice_a_broken_part(spark, monkeypatch, name):
+    """With another number of passages, another threshold or another verdict, the SQL no longer agrees."""
+    from tarnwick.plans import agent
+
+    if name == "stage_comparison":
+        monkeypatch.setattr(agent, "adaptive", lambda found, questions: found)
+    else:
+        whole = agent.verify
+        worse = lambda a, r: whole(a, r, supported=2.0)
+        monkeypatch.setattr(agent, "verify", worse)
+        monkeypatch.setattr(agent.agent_loop, "__defaults__", (worse, 3))
+    with pytest.raises(AssertionError):
+        compare(spark, QUERIES[name], ORACLE_SQL[name])

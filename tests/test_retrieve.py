@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from tarnwick.operators import retrieve
 from tarnwick.operators.vectors import dimension, l2_normalize
-from tarnwick.schemas import VECTORS
+
+VECTORS = "passage_id long, embedding array<float>"
 
 
 def _vectors(spark, rows):
@@ -18,9 +19,10 @@ def _made(spark, n=60, d=5):
 
 
 @pytest.mark.parametrize("k", [1, 7, 100])
-@pytest.mark.parametrize("block", [3, 4096])
-def test_both_forms_are_brute_force(spark, monkeypatch, k, block):
+@pytest.mark.parametrize("block,blocks", [(3, 2), (3, 16), (4096, 16)])
+def test_both_forms_are_brute_force(spark, monkeypatch, k, block, blocks):
     monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieve, "PLAN_BLOCKS", blocks)
     monkeypatch.setattr(retrieve, "ROW_BLOCK", 11)
     x, v = _made(spark)
     q = v.filter("passage_id % 9 = 0").select(F.col("passage_id").alias("query_id"), "embedding")
@@ -60,6 +62,18 @@ def test_plan_limits_before_the_shuffle_and_never_broadcasts_the_corpus(spark):
     assert "WindowGroupLimit" in plan and "BroadcastNestedLoopJoin" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("most", [1, 1_000_000])
+def test_passages_stay_where_they_are(spark, monkeypatch, most):
+    """A checked number of retrieved rows is broadcast; more meet the passages in a shuffle. Both give the same."""
+    monkeypatch.setattr(retrieve, "BROADCAST_ROWS", most)
+    p = spark.range(50).selectExpr("id as passage_id", "concat('t', id) as title", "concat('x', id) as text")
+    f = spark.createDataFrame([(1, 1, 7, 0.5), (1, 2, 60, 0.4), (2, 1, 7, 0.3)], "query_id long, rank int, passage_id long, score double")
+    out = retrieve.with_passages(f, p)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, 7, "t7", "x7", 0.5), (2, 1, 7, "t7", "x7", 0.3)]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert most == 1 or ("BroadcastHashJoin" in plan and "hashpartitioning" not in plan)
+
+
 def test_normalize_keeps_zero_vectors(spark):
     v = _vectors(spark, [(1, [3.0, 4.0]), (2, [0.0, 0.0])])
     got = {r.passage_id: r.n for r in v.select("passage_id", l2_normalize(F.col("embedding")).alias("n")).collect()}
