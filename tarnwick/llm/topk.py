@@ -3,19 +3,21 @@
 A vector's components are split into ``lists`` blocks; a block's inner product with
 the query's block is a local score, and the score is the sum of local scores.
 
-1. Every partition gathers, per query and list, its best local scores; merged, the
-   k best of each list and each list's smallest local score. Summing what is known of
-   a gathered row, with the smallest for what is not, bounds its score from below.
-   The k-th best bound is the query's cutoff: k rows reach it.
-2. The cutoff is broadcast. A row that reaches it has, above the lists' smallest
-   scores, at least an even share of it in some list; a partition collects the rows
-   that do, and drops those whose bound from above stays below the cutoff.
-3. What remains is scored exactly; k rows per partition and query are merged.
-
-Local scores that a partition holds together are compared there; only lists of k
-entries and cutoffs move. Queries go in blocks of bounded number, each against all
-rows. Components are scaled and floored to integers; sums are exact in doubles
-below 2**53 and in Python integers beyond.
+1. Every partition gathers, per query and list, the rows with its best local scores,
+   and the scores of these rows. The k-th best score of all gathered rows is the
+   query's cutoff: k rows reach it, so no row below it is wanted.
+2. The cutoff is broadcast. A row whose every local score is below an even share of the
+   cutoff is below the cutoff. So a partition collects the entries that reach that
+   share, in any list; a row's collected entries and the share for each other
+   list bound its score from above, and rows whose bound stays below the cutoff go.
+3. What remains is resolved: the entries not collected are looked up, summed exactly and compared;
+   k rows per partition and query are merged.
+
+A list of a partition is made where the rows are and never kept as a whole; only k
+scores a query and cutoffs move. Queries go in blocks of bounded number, each against
+all rows; a plan has ``PLAN_BLOCKS`` of them at most. Components are scaled and floored to integers.
+Products are made in the narrowest floats that hold every sum exactly (below
+2**24 or 2**53 by the vectors' lengths), in Python integers beyond.
 
 Defined results: rows with a null id, a null vector or a null or non-finite component
 take no part, neither as query nor as candidate; rows with the query's id are its
@@ -26,16 +28,18 @@ columns are not read, so names cannot clash; an empty table gives an empty resul
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwick.session import stored
+
 LISTS = 4
-#: Queries that are broadcast at a time, and rows and queries that are scored at a time.
-QUERY_BLOCK, ROW_BLOCK, SCORE_BLOCK = 4096, 4096, 256
+#: Queries that are broadcast at a time, rows and queries that are scored at a time, and query blocks of one plan.
+QUERY_BLOCK, ROW_BLOCK, SCORE_BLOCK, PLAN_BLOCKS = 4096, 4096, 256, 16
 
 
 def _integers(values: np.ndarray, scale: float) -> np.ndarray:
@@ -46,115 +50,147 @@ def _integers(values: np.ndarray, scale: float) -> np.ndarray:
     return np.array([int(v) for v in x.ravel()], dtype=object).reshape(x.shape)
 
 
-def _by_length(ids: np.ndarray, keys: np.ndarray, lists: pa.Array, scale: float):
-    """(length, ids, keys, matrix) of the rows of each vector length."""
+def _longest(matrix: np.ndarray) -> float:
+    """Length of the longest row; no sum of products of some components of two rows is beyond the product of their lengths."""
+    if matrix.dtype == object or not matrix.size:
+        return np.inf if matrix.dtype == object else 0.0
+    return float(np.sqrt((matrix * matrix).sum(axis=1).max()))
+
+
+def _by_length(ids: np.ndarray, lists: pa.Array, scale: float):
+    """(length, ids, matrix, longest row) of the rows of each vector length, some at a time."""
     offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
     length = np.diff(offsets)
     for d in np.unique(length):
         at = np.flatnonzero(length == d)
         for lo in range(0, len(at), ROW_BLOCK):
             rows = at[lo : lo + ROW_BLOCK]
-            matrix = values[offsets[rows][:, None] + np.arange(d)[None, :]]
-            yield int(d), ids[rows], keys[rows], _integers(matrix, scale)
+            matrix = _integers(values[offsets[rows][:, None] + np.arange(d)[None, :]], scale)
+            yield int(d), ids[rows], matrix, _longest(matrix)
+
+
+def _locals(q: np.ndarray, v: np.ndarray, reach: float, n_lists: int) -> list[np.ndarray]:
+    """The local scores of all pairs, a matrix for each list; ``reach`` bounds every sum."""
+    kind = np.float32 if reach < 2.0**24 else np.float64 if reach < 2.0**53 else object
+    if kind is object:
+        whole = lambda x: x if x.dtype == object else np.array([int(i) for i in x.ravel()], dtype=object).reshape(x.shape)
+        q, v = whole(q), whole(v)
+    else:
+        q, v = q.astype(kind), v.astype(kind)
+    edge = np.linspace(0, q.shape[1], n_lists + 1).astype(int)
+    return [q[:, a:b] @ v[:, a:b].T for a, b in zip(edge, edge[1:]) if b > a] or [np.zeros((len(q), len(v)))]
+
 
+def _sums(parts: list[np.ndarray], qi: np.ndarray, vi: np.ndarray) -> np.ndarray:
+    """Exact scores of chosen pairs."""
+    total = 0
+    for s in parts:
+        x = s[qi, vi]
+        total = total + (x if x.dtype == object else x.astype(np.float64))
+    return total
 
-def _product(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    if q.dtype == object or v.dtype == object:
-        if not q.shape[1]:
-            return np.zeros((len(q), len(v)))
-        return q.astype(object).dot(v.astype(object).T)
-    return q @ v.T
 
+class _Best:
+    """The k best rows of each query of a block so far, ties to the smaller id."""
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Column numbers of the k largest of each row."""
-    if scores.shape[1] <= k:
-        return np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
-    if scores.dtype == object:
-        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    def __init__(self, n: int, k: int):
+        self.k, self.q, self.v, self.score = k, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+        self.kth = np.full(n, -np.inf)
 
+    def add(self, qi: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if not len(qi):
+            return
+        q, v, score = np.append(self.q, qi), np.append(self.v, ids), np.append(self.score, score)
+        order = np.lexsort((v, -score, q)) if score.dtype != object else np.array(sorted(range(len(q)), key=lambda i: (q[i], -score[i], v[i])))
+        q, v, score = q[order], v[order], score[order]
+        nth = np.arange(len(q)) - np.searchsorted(q, q, side="left")
+        keep = nth < self.k
+        self.q, self.v, self.score = q[keep], v[keep], score[keep]
+        last = nth == self.k - 1
+        self.kth[q[last]] = [_below(float(x)) for x in score[last]]
 
-def _local(queries, k: int, n_lists: int, scale: float):
-    """Phase 1: best local scores per query and list, and the smallest."""
+
+def _below(x: float) -> float:
+    """A double that is not above a score that it was made from."""
+    return x if abs(x) < 2.0**50 else x - abs(x) * 1e-9
+
+
+def _gather(queries, k: int, n_lists: int, scale: float):
+    """Phase 1: per query the k best scores among the rows with the best local scores of some list."""
 
     def gather(batches):
-        held: dict = {}
+        best, kth = {}, {}
         for batch in batches:
-            ids, keys = (batch.column(c).to_numpy() for c in ("vec_id", "key"))
-            for d, row_ids, row_keys, matrix in _by_length(ids, keys, batch.column("embedding"), scale):
-                for at, q_ids, q in queries.value.get(d, ()):
-                    for j, cols in enumerate(np.array_split(np.arange(d), n_lists)):
-                        s = _product(q[:, cols], matrix[:, cols]).astype(np.float64)
-                        s[q_ids[:, None] == row_ids[None, :]] = -np.inf
-                        low = np.where(np.isneginf(s), np.inf, s).min(axis=1)
-                        top = _best(s, k)
-                        s, x = np.take_along_axis(s, top, 1), row_keys[top]
-                        if (at[0], j) in held:
-                            s0, x0, low0 = held[at[0], j]
-                            s, x, low = np.hstack([s0, s]), np.hstack([x0, x]), np.minimum(low0, low)
-                            top = _best(s, k)
-                            s, x = np.take_along_axis(s, top, 1), np.take_along_axis(x, top, 1)
-                        held[at[0], j] = s, x, low
-        where = {at[0]: at for blocks in queries.value.values() for at, _, _ in blocks}
-        for (first, j), (s, x, low) in held.items():
-            q = where[first]
-            n = np.full(len(q), s.shape[1]).cumsum()
-            lists = lambda v: pa.ListArray.from_arrays(pa.array(np.append(0, n), pa.int32()), pa.array(np.ascontiguousarray(v).ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), j, dtype=np.int32)), lists(x), lists(s), pa.array(low)], names=["q", "l", "keys", "scores", "low"])
+            for d, row_ids, matrix, far in _by_length(batch.column("vec_id").to_numpy(), batch.column("embedding"), scale):
+                for at, q_ids, q, q_far in queries.value.get(d, ()):
+                    parts = _locals(q, matrix, far * q_far, n_lists)
+                    held = best.setdefault(at[0], _Best(len(q), k))
+                    rows = []
+                    for j, s in enumerate(parts):
+                        # One entry more than k, as the query's own row is often among them.
+                        n = min(k + 1, s.shape[1])
+                        low = kth.get((at[0], j))
+                        if low is None or s.dtype == object:
+                            top = np.argsort(-s, axis=1, kind="stable")[:, :n] if s.dtype == object else np.argpartition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n :]
+                            qi, vi = np.repeat(np.arange(len(q)), n), top.ravel()
+                            kth[at[0], j] = s[qi, vi].reshape(len(q), n).min(axis=1) if n == k + 1 else None
+                        else:
+                            qi, vi = np.nonzero(s > low[:, None])
+                        rows.append(qi * len(row_ids) + vi)
+                    pair = np.unique(np.concatenate(rows))
+                    qi, vi = pair // len(row_ids), pair % len(row_ids)
+                    other = q_ids[qi] != row_ids[vi]
+                    held.add(qi[other], row_ids[vi[other]], _sums(parts, qi[other], vi[other]))
+        where = {at[0]: at for blocks in queries.value.values() for at, *_ in blocks}
+        for first, held in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array(where[first][held.q]), pa.array(held.score.astype(np.float64))], names=["q", "score"])
 
     return gather
 
 
-def _resolve(queries, cuts, k: int, n_lists: int, scale: float):
-    """Phases 2 and 3: rows above the cutoff's share in some list, scored exactly; the k best of each partition."""
+def _resolve(queries, cuts, k: int, n_lists: int, scale: float, counts=None):
+    """Phases 2 and 3: entries that reach the share are collected; rows that can reach the cutoff are scored exactly."""
 
     def collect(batches):
-        held: dict = {}
+        best: dict = {}
         for batch in batches:
-            ids, keys = (batch.column(c).to_numpy() for c in ("vec_id", "key"))
-            for d, row_ids, _, matrix in _by_length(ids, keys, batch.column("embedding"), scale):
-                for at, q_ids, q in queries.value.get(d, ()):
-                    cut, lows = cuts.value[0][at], cuts.value[1][at]
-                    share = (cut - lows.sum(axis=1)) / n_lists
-                    enough, above, exact = None, 0.0, None
-                    for j, cols in enumerate(np.array_split(np.arange(d), n_lists)):
-                        s = _product(q[:, cols], matrix[:, cols])
-                        exact = s if exact is None else exact + s
-                        over = s.astype(np.float64) - lows[:, j][:, None]
-                        has = over >= share[:, None]
-                        enough = has if enough is None else enough | has
-                        above = above + np.where(has, over, share[:, None])
-                    enough &= above >= (cut - lows.sum(axis=1))[:, None]
-                    enough &= q_ids[:, None] != row_ids[None, :]
+            for d, row_ids, matrix, far in _by_length(batch.column("vec_id").to_numpy(), batch.column("embedding"), scale):
+                for at, q_ids, q, q_far in queries.value.get(d, ()):
+                    held = best.setdefault(at[0], _Best(len(q), k))
+                    cut = np.maximum(cuts.value[at], held.kth)  # k rows of this partition may reach higher
+                    share = cut / n_lists - np.abs(cut) * 1e-12
+                    parts = _locals(q, matrix, far * q_far, n_lists)
+                    line = np.nextafter(share.astype(np.float32), np.float32(-np.inf))  # not above the share
+                    enough = np.zeros(parts[0].shape, dtype=bool)
+                    for s in parts:
+                        enough |= (s >= (line if s.dtype == np.float32 else share)[:, None]).astype(bool)
                     qi, vi = np.nonzero(enough)
-                    score = exact[qi, vi]
+                    bound = np.zeros(len(qi))
+                    for s in parts:
+                        x = s[qi, vi].astype(np.float64)
+                        bound += np.where(x >= share[qi], x, share[qi])
+                    keep = (bound >= cut[qi] - np.abs(cut[qi]) * 1e-9) & (q_ids[qi] != row_ids[vi])
+                    if counts is not None:
+                        for c, n in zip(counts, (enough.size, len(qi), int(keep.sum()))):
+                            c.add(n)
+                    qi, vi = qi[keep], vi[keep]
+                    score = _sums(parts, qi, vi)
                     reach = score.astype(np.float64) >= cut[qi]
-                    qi, vi, score = qi[reach], vi[reach], score[reach]
-                    if not len(qi):
-                        continue
-                    new = (qi, row_ids[vi], score)
-                    if at[0] in held:
-                        new = tuple(np.concatenate([a, b]) for a, b in zip(held[at[0]], new))
-                    qi, v, score = new
-                    order = np.lexsort((v, -score, qi)) if score.dtype != object else np.array(sorted(range(len(qi)), key=lambda i: (qi[i], -score[i], v[i])))
-                    qi, v, score = qi[order], v[order], score[order]
-                    first = np.searchsorted(qi, qi, side="left")
-                    keep = np.arange(len(qi)) - first < k
-                    held[at[0]] = qi[keep], v[keep], score[keep]
-        where = {at[0]: (at, q_ids) for blocks in queries.value.values() for at, q_ids, _ in blocks}
-        for first, (qi, v, score) in held.items():
+                    held.add(qi[reach], row_ids[vi[reach]], score[reach])
+        where = {at[0]: (at, q_ids) for blocks in queries.value.values() for at, q_ids, *_ in blocks}
+        for first, held in best.items():
             at, q_ids = where[first]
-            score = np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in score], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(at[qi]), pa.array(q_ids[qi]), pa.array(v), pa.array(score)], names=["q", "query_id", "vec_id", "score"])
+            score = np.array([min(max(int(x), -(2**63)), 2**63 - 1) for x in held.score], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(at[held.q]), pa.array(q_ids[held.q]), pa.array(held.v), pa.array(score)], names=["q", "query_id", "vec_id", "score"])
 
     return collect
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, lists: int = LISTS) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, lists: int = LISTS, counts=None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best rows for each row that ``is_query`` holds for.
 
-    ``vectors`` needs ``vec_id`` and ``embedding`` (array of numbers).
+    ``vectors`` needs ``vec_id`` and ``embedding`` (array of numbers). ``counts`` may be three
+    accumulators: pairs of a query and a row, those collected, and those resolved.
     """
     spark = vectors.sparkSession
     finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -162,46 +198,46 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
     asked = rows.filter("asks").select("vec_id", "embedding")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    rows = rows.select("vec_id", F.xxhash64("vec_id", "embedding").alias("key"), "embedding")
-    out = None
-    for b in range(blocks):
-        table = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow().combine_chunks()  # about QUERY_BLOCK rows
-        found = _one_block(spark, rows, table, k, scale, lists).withColumn("block", F.lit(b))
-        out = found if out is None else out.unionByName(found)
+    rows = rows.select("vec_id", "embedding")
+    if blocks > 1:  # a block is read from its own files
+        asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition("block").sortWithinPartitions("block"), "asked")
+    out, parts = None, []
     order = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
-    ranked = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    for b in range(blocks):
+        table = (asked.filter(F.col("block") == b).drop("block") if blocks > 1 else asked).toArrow().combine_chunks()  # about QUERY_BLOCK rows
+        parts.append(_one_block(spark, rows, table, k, scale, lists, counts).withColumn("block", F.lit(b)))
+        if len(parts) == PLAN_BLOCKS or b == blocks - 1:
+            one = functools.reduce(DataFrame.unionByName, parts)
+            if blocks > PLAN_BLOCKS:
+                one = stored(ranked(one).drop("rank"), "best")
+            out, parts = one if out is None else out.unionByName(one), []
+    return ranked(out).select("query_id", "rank", "vec_id", "score")
 
 
-def _one_block(spark, rows: DataFrame, table: pa.Table, k: int, scale: float, lists: int) -> DataFrame:
+def _one_block(spark, rows: DataFrame, table: pa.Table, k: int, scale: float, lists: int, counts) -> DataFrame:
     queries: dict = {}
     n = table.num_rows
     if n:
         table = table.to_batches()[0]
-        at = np.arange(n, dtype=np.int64)
-        for d, q_ids, q_at, matrix in _by_length(table.column("vec_id").to_numpy(), at, table.column("embedding"), scale):
+        ids, place = table.column("vec_id").to_numpy(), 0
+        # Rows of one length are taken in order, so places are told by counting within each length.
+        length = np.diff(table.column("embedding").offsets.to_numpy())
+        by_length = np.argsort(length, kind="stable")
+        for d, q_ids, matrix, far in _by_length(ids, table.column("embedding"), scale):
+            q_at, place = by_length[place : place + len(q_ids)].astype(np.int64), place + len(q_ids)
             for lo in range(0, len(q_ids), SCORE_BLOCK):
                 part = slice(lo, lo + SCORE_BLOCK)
-                queries.setdefault(d, []).append((q_at[part], q_ids[part], matrix[part]))
+                queries.setdefault(d, []).append((q_at[part], q_ids[part], matrix[part], far))
     queries = spark.sparkContext.broadcast(queries)
-    local = rows.mapInArrow(_local(queries, k, lists, scale), "q long, l int, keys array<long>, scores array<double>, low double")
-    best = local.groupBy("q", "l").agg(
-        F.min("low").alias("low"), F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("scores", "keys"))), asc=False), 1, k).alias("top")
-    )
-    known = best.select("q", "l", "low", F.explode("top").alias("t")).filter("t.scores > double('-inf')")
-    # A row is known by its key; equal rows are one here, which can only lower the cutoff.
-    known = known.groupBy("q", "l", F.col("t.keys").alias("key")).agg(F.max(F.col("t.scores") - F.col("low")).alias("gain"))
-    bounds = known.groupBy("q", "key").agg(F.sum("gain").alias("gain"))
-    bounds = bounds.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("gain"), asc=False), k, 1).alias("kth"))
-    lows = best.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("l", "low"))).alias("lows"))
-    cut, low = np.full(n, -np.inf), np.zeros((n, lists))
-    for r in lows.join(bounds, "q", "left").collect():  # a row per query of this block
-        low[r["q"], [x["l"] for x in r["lows"]]] = [x["low"] if np.isfinite(x["low"]) else 0.0 for x in r["lows"]]
+    gathered = rows.mapInArrow(_gather(queries, k, lists, scale), "q long, score double")
+    best = gathered.groupBy("q").agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), k, 1).alias("kth"))
+    cut = np.full(n, -(2.0**200))
+    for r in best.collect():  # a row per query of this block
         if r["kth"]:
-            c = r["kth"][0] + low[r["q"]].sum()
-            cut[r["q"]] = c if abs(c) < 2.0**50 else c - abs(c) * 1e-9
-    cuts = spark.sparkContext.broadcast((cut, low))
-    return rows.mapInArrow(_resolve(queries, cuts, k, lists, scale), "q long, query_id long, vec_id long, score long")
+            cut[r["q"]] = _below(r["kth"][0])
+    cuts = spark.sparkContext.broadcast(cut)
+    return rows.mapInArrow(_resolve(queries, cuts, k, lists, scale, counts), "q long, query_id long, vec_id long, score long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

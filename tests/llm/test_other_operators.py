@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tarnwick.llm import topk, warc
@@ -91,9 +92,10 @@ def _scores(rows, k, scale=256):
     return out
 
 
-@pytest.mark.parametrize("block", [2, 4096])
-def test_top_k(spark, tmp_path, monkeypatch, block):
+@pytest.mark.parametrize("block,blocks", [(2, 3), (4096, 16)])
+def test_top_k(spark, tmp_path, monkeypatch, block, blocks):
     monkeypatch.setattr(topk, "QUERY_BLOCK", block)
+    monkeypatch.setattr(topk, "PLAN_BLOCKS", blocks)
     monkeypatch.setattr(topk, "ROW_BLOCK", 50)
     monkeypatch.setattr(topk, "SCORE_BLOCK", 3)
     rng = np.random.default_rng(4)
@@ -106,6 +108,22 @@ def test_top_k(spark, tmp_path, monkeypatch, block):
     assert Counter(map(tuple, got)) == _scores(rows, 5)
 
 
+def test_top_k_resolves_few_pairs(spark):
+    """Of pairs of vectors without structure, which a threshold prunes weakly, most are never scored."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 64))
+    rows = spark.createDataFrame([(i, [float(a) for a in v / np.linalg.norm(v)]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    counts = [spark.sparkContext.accumulator(0) for _ in range(3)]
+    got = topk.top_k(rows, F.col("vec_id") % 50 == 0, counts=counts).collect()
+    ints = np.floor(256 * (x / np.linalg.norm(x, axis=1, keepdims=True))).astype(int)
+    for q in range(0, 3000, 50):
+        score = ints @ ints[q]
+        want = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:5]
+        assert sorted((-r.score, r.vec_id) for r in got if r.query_id == q) == want
+    pairs, collected, resolved = (c.value for c in counts)
+    assert pairs >= 60 * 3000 and resolved <= collected < 0.4 * pairs
+
+
 def test_top_k_of_huge_components(spark, tmp_path):
     rows = [(i, [3e38 if i % 3 else -1e9, float(i)], 0, 0, 0, 0) for i in range(60)]
     got = topk.query(spark, saved(spark, rows, tmp_path, "embeddings", VECTOR)).collect()
