@@ -14,6 +14,19 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of one batch of rows that goes to Python, where the session has Spark's own larger bound.
+BATCH_BYTES = 4 << 20
+_BATCH, _USUAL = "spark.sql.execution.arrow.maxBytesPerBatch", ("64MB", "67108864", "67108864b")
+
+
+def text_batches(rows: DataFrame) -> DataFrame:
+    """The same rows, after telling the session to send texts to Python in small batches: a worker holds a batch and what is made of it."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH, _USUAL[0]) in _USUAL:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return rows
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
@@ -50,7 +63,9 @@ def bounded_sample(rows: DataFrame, by: str, keys: list[str], per_class: int) ->
     The classes are counted first; rows whose hash is beyond what should hold twice as
     many are left behind where they are, so a few times ``per_class`` rows of a class
     move, however large it is. Only classes of more than that are broadcast with their
-    bound, so there may be any number of classes. Null gives no rows.
+    bound, so there may be any number of classes. A null class gives no rows, a table
+    without classes none; rows of equal keys are taken in any order, as they are alike;
+    columns added on the way take names that the table does not use.
     """
     enough, columns, bound = 2.0 * per_class + 50, rows.columns, free(rows, "_bound")
     rows = rows.filter(F.col(by).isNotNull())

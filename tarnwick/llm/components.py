@@ -25,15 +25,22 @@ def _stars(links: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).filter("out > 1 or (out = 1 and in = 1)").isEmpty()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, nodes: int | None = None, most_rounds: int = 60) -> DataFrame:
     """``node`` and ``root`` (the smallest node it reaches) of every node of ``links`` (columns a, b).
 
     Alternates large-star and small-star steps, each a minimum per node and a join
     back, until all links are stars around the smallest nodes. Every round's links are a table in the shared
-    folder, so a lost executor costs no earlier round.
+    folder, so a lost executor costs no earlier round; ``nodes``, if known, is the most
+    nodes there are, and sizes its files.
+
+    Defined results: links to itself and repeated links add nothing; a link with a null
+    end is left out; without links the result is empty. Rounds are as many as the
+    logarithm of the longest path squared at worst; beyond ``most_rounds``, which
+    that allows for paths of some 100 doublings, it raises an error.
     """
+    links = links.filter("a is not null and b is not null")
     links = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(links, "links")
+    links = stored(links, "links", rows=nodes if nodes is None else 4 * nodes)
     for _ in range(most_rounds):
         if _stars(links):
             break
@@ -47,7 +54,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
             .unionByName(low.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        links = stored(links, "links")
+        links = stored(links, "links", rows=nodes if nodes is None else 4 * nodes)
     else:
         raise RuntimeError("components did not settle")
     roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))

@@ -12,10 +12,10 @@ Any fixed order is right; this one keeps frequent shingles out of prefixes.
    the centre. Each member of the others, in its own and the next size classes, is
    paired with the centre's leader, and each member of a group with its own leader.
    Pairs that pass the size and position filters are verified.
-3. What the links so far connect needs no more pairs. Under each token, groups are
-   counted by size, position and component; where two such classes pass the filters
-   and are not of one component, the groups and members of different components are
-   paired and verified. So every similar pair is verified or already connected.
+3. What the links so far connect needs no more pairs. Under each token and size class, groups are
+   counted by size, position and component; where two such classes, of one size class or of
+   neighbouring ones, pass the filters and are not of one component, the groups and members of
+   different components are paired and verified. So every similar pair is verified or already connected.
 4. Components over all links; the smallest document id names each.
 
 Sets are made again for the nodes that pairs can ask for, found by a bitmap of their
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.session import stored
 
-from .common import SPACE, documents, free
+from .common import SPACE, documents, free, text_batches
 from .components import components, spread_join
 from .repeats import build, cell_bits
 from .scan import mix64, runs, words
@@ -243,27 +243,30 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     shingles, words lower-cased in A-Z. ``tkey`` is Spark's xxhash64 of the text (null: empty).
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), F.col("text").cast("string").alias("text"))
-    chars = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tkey"), F.col("text").cast("string").alias("text"))
+    chars, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).head()
     bits = cell_bits(chars / 6, per_value=1.0)
     shared = spark.sparkContext.broadcast(build(rows.select("text"), _sketched(k), 1, bits, heavy=HEAVY))
     found = stored(rows.mapInArrow(_prefixes(k, percent, shared), _DOC), "sets")
+    shared.destroy()
     posted = found.filter("token is not null")
-    nodes = stored(posted.select("node", "grp").distinct(), "nodes")
-    leads = stored(nodes.groupBy("grp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members")), "groups")
+    nodes = stored(posted.select("node", "grp").distinct(), "nodes", rows=n_rows)
+    leads = stored(nodes.groupBy("grp").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members")), "groups", rows=n_rows)
     # Nodes of a group have equal prefixes and sizes: any one stands for the group.
     groups = posted.groupBy("grp").agg(F.first("n").alias("n"), F.first("token").alias("token"), F.first("pos").alias("pos"))
     posts = groups.select("grp", "n", F.explode(F.arrays_zip("token", "pos")).alias("t")).select("grp", "n", "t.token", "t.pos")
-    size_class = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))).cast("int")
+    # Sizes that pass the size filter are of one class or of neighbouring ones, with a hundredth to spare.
+    size_class = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(max(percent - 1, 1) / 100))).cast("int")
     met = posts.groupBy("token").agg(F.count(F.lit(1)).alias("posts")).filter("posts > 1").select("token")
     posts = stored(spread_join(posts, met, ["token"]).withColumn("size_class", size_class), "posts")
 
     # Only sets that some pair can ask for are made and kept.
     asked = posts.select("grp").unionByName(leads.filter("members > 1").select("grp")).distinct()
-    asked = stored(nodes.join(asked, "grp", "left_semi").select("node"), "asked")
-    known = build(asked, _node_values, 1, cell_bits(asked.count(), per_value=16.0), least=1)[0]
-    made = rows.select("text").mapInArrow(_chosen_sets(k, spark.sparkContext.broadcast(known)), _SET)
+    asked = stored(nodes.join(asked, "grp", "left_semi").select("node"), "asked", rows=n_rows)
+    known = spark.sparkContext.broadcast(build(asked, _node_values, 1, cell_bits(asked.count(), per_value=16.0), least=1)[0])
+    made = rows.select("text").mapInArrow(_chosen_sets(k, known), _SET)
     sets = stored(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "cells", "tokens")]), "chosen-sets")
+    known.destroy()
 
     centres = posts.groupBy("token", "size_class").agg(F.min_by(F.struct("grp", "n", "pos"), F.struct("pos", "n", "grp")).alias("c"))
     spread = posts.withColumn("size_class", F.explode(F.array(F.col("size_class") - 1, F.col("size_class"), F.col("size_class") + 1)))
@@ -275,18 +278,19 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     pairs = stars.join(nodes, "grp").select(F.col("node").alias("a"), "b")
     own = spread_join(nodes, leads.filter("members > 1"), ["grp"]).select(F.col("node").alias("a"), F.col("lead").alias("b"))
     links = _verified(pairs.unionByName(own), sets, percent, "stars")
-    roots = components(links)
+    roots = components(links, n_rows)
 
     rooted = nodes.select("node", "grp").join(roots, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted, "rooted")
+    rooted = stored(rooted, "rooted", rows=n_rows)
     of = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    left = stored(spread_join(posts.drop("size_class"), of, ["grp"]), "posts-rooted")
+    left = stored(spread_join(posts, of, ["grp"]), "posts-rooted")
     several = left.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l != h").select("token")
     left = spread_join(left, several, ["token"])
-    classes = left.groupBy("token", "n", "pos").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    x, y = (classes.select("token", *[F.col(c).alias(c + i) for c in ("n", "pos", "low", "high")]) for i in "12")
+    classes = left.groupBy("token", "n", "pos", "size_class").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    x, y = (classes.select("token", "size_class", *[F.col(c).alias(c + i) for c in ("n", "pos", "low", "high")]) for i in "12")
+    x = x.withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)))  # the larger one is here or next
     open_pairs = (
-        x.join(y, "token").filter("n1 < n2 or (n1 = n2 and pos1 <= pos2)").filter(_passes(percent, "n1", "pos1", "n2", "pos2"))
+        x.join(y, ["token", "size_class"]).filter("n1 < n2 or (n1 = n2 and pos1 <= pos2)").filter(_passes(percent, "n1", "pos1", "n2", "pos2"))
         .filter("not (low1 = high1 and low2 = high2 and low1 = low2)").select("token", "n1", "pos1", "n2", "pos2")
     )
     open_pairs = stored(open_pairs, "open-classes")
@@ -301,10 +305,10 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     rest = both.join(m1, "grp1").join(m2, "grp2").filter("r1 != r2").select("a", "b")
     more = _verified(rest, sets, percent, "rest")
     if not more.isEmpty():
-        roots = components(links.unionByName(more))
+        roots = components(links.unionByName(more), n_rows)
 
     named = found.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("d")).join(roots, "node", "left")
-    named = stored(named.select("node", F.coalesce("root", "node").alias("root"), "d"), "named")
+    named = stored(named.select("node", F.coalesce("root", "node").alias("root"), "d"), "named", rows=n_rows)
     names = spread_join(named, named.groupBy("root").agg(F.min("d").alias("component_id")), ["root"]).select("node", "component_id", F.col("root").alias("component"))
     return (
         spread_join(found.select("doc_id", "tkey", "n", "node"), names, ["node"], "left")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, documents
+from .common import bounded_sample, documents, text_batches
 from .scan import LETTERS, column_bytes, pieces
 
 BUCKET_BITS = 13
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
                 names=["doc_id", "lang", "nearest_lang", "score", "rejected"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(predict, "doc_id long, lang string, nearest_lang string, score double, rejected boolean")
 
 

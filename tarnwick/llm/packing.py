@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.session import stored
 
-from .common import documents
+from .common import documents, text_batches
 
 SALTS = 256
 CAPACITY = 2048
@@ -235,7 +235,7 @@ def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids, if asked for)."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = _PIECE + ", ids array<long>" * with_ids
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(SALTS)).cast("int")
     pieces = stored(rows.mapInArrow(_pieces(path, capacity, end, with_ids), schema).withColumn("salt", salt), "pieces")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, text_batches
 
 KINDS = ("email", "ip", "card", "phone")
 MOST_TOKENS = 14
@@ -543,7 +543,7 @@ def find(docs: DataFrame, weights: dict | None = None) -> DataFrame:
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, kind)], names=["doc_id", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, _FOUND)
 
 
@@ -569,7 +569,7 @@ def redact(docs: DataFrame, weights: dict | None = None) -> DataFrame:
             texts = [t and masked(t, spans_of(t, model)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return text_batches(docs).mapInArrow(run, schema)
 
 
 def digest(kinds_starts_ends: str) -> str:

@@ -5,6 +5,10 @@ partition sends, per block of cells, one compressed bitmap of cells hit once or
 more and one of cells hit twice or more; blocks are merged by a tree of bounded
 groups. The merged bitmaps have a fixed size, ``rows * cells / 8`` bytes, whatever
 the input. ``Repeats.maybe`` never says no of a value that was added twice.
+
+Defined results: without rows, or without values, all bitmaps are empty and nothing
+may repeat; values repeat across rows, batches and partitions alike; what is null is
+for ``values`` to leave out.
 """
 
 from __future__ import annotations
@@ -151,20 +155,22 @@ def build(
                 yield _row(block, task, one, two)
 
     parts = docs.mapInArrow(sketch, _SCHEMA)
-    n = docs.rdd.getNumPartitions()
     if heavy:
         parts = stored(parts, "sketch")
     merged = parts.filter("block >= 0")
+    # Rounds for so many partitions; whatever they have left of a block, the last round merges.
+    last = docs.select(F.spark_partition_id().alias("p")).agg(F.max("p")).head()[0] or 0
     while True:
-        n = -(-n // FAN_IN)
-        merged = merged.withColumn("task", F.floor(F.col("task") / FAN_IN)).groupBy("block", "task").applyInPandas(_merge_group, _SCHEMA)
-        if n <= 1:
+        last //= FAN_IN
+        task = F.floor(F.col("task") / FAN_IN) if last else F.lit(0).cast("long")
+        merged = merged.withColumn("task", task).groupBy("block", "task").applyInPandas(_merge_group, _SCHEMA)
+        if not last:
             break
     bitmaps = [np.zeros((1 << bits) // 8, dtype=np.uint8) for _ in range(rows)]
     size = (1 << BLOCK_BITS) // 8
-    for x in merged.select("block", "once" if least == 1 else "twice").collect():  # of fixed size, whatever the input
-        r, b = x[0] >> 32, x[0] & 0xFFFFFFFF
-        bitmaps[r][b * size : (b + 1) * size] = _unpack(x[1])
+    for x in merged.select("block", "once" if least == 1 else "twice").collect():  # of fixed size, whatever the input: a row per block
+        part = bitmaps[x[0] >> 32][(x[0] & 0xFFFFFFFF) * size :][:size]
+        part |= _unpack(x[1])
     top: tuple = ((), ())
     if heavy:
         counted = (

@@ -3,6 +3,9 @@
 All functions work on the bytes of UTF-8 text. White space is the six ASCII
 characters of ``[\\x20\\x09-\\x0D]``, which never occur inside a longer UTF-8
 sequence, so words by bytes are words by characters.
+
+Defined results: a null text is an empty one; empty and blank texts have no words; a
+column of no rows gives nothing; texts of any length are scanned whole.
 """
 
 from __future__ import annotations

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.session import stored
 
-from .common import documents
+from .common import documents, text_batches
 from .repeats import build, cell_bits
 from .scan import join64, mix64, run_minimum, runs, words
 
@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = ANCHOR, rows:
     """doc_id, n_words, n_removed, kept_text (kept words joined by one space) of each row of ``docs``."""
     spark = docs.sparkSession
     anchor = max(1, min(anchor, size))
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows_in = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     keyed = rows_in.select(
         "doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "text"
     )
@@ -273,6 +273,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = ANCHOR, rows:
         .groupBy("id", "tkey").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     )
     later = stored(later, "gone")
+    sketch.destroy()
     # Texts that lose nothing are finished where they are; only the others move.
     losing = build(later.select("id", "tkey"), _keys, 1, cell_bits(later.count(), per_value=16.0), least=1)[0]
     losing = spark.sparkContext.broadcast(losing)

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from tarnwick.session import stored
 
-from .common import bounded_sample, documents
+from .common import bounded_sample, documents, text_batches
 from .scan import LETTERS, words
 
 PREFIXES = (4, 5, 6)
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> DataFrame:
                 names=["doc_id", "severity", "grade", "p_toxic", "toxic"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(rate, "doc_id long, severity double, grade int, p_toxic double, toxic boolean")
 
 
@@ -234,7 +234,7 @@ def without_toxic(docs: DataFrame, model: Ordinal, reject: float = REJECT) -> Da
             at_least = m.grades(m.scores(batch.column(at).cast(pa.string())))
             yield batch.filter(pa.array(at_least[:, 0] < reject))
 
-    return docs.mapInArrow(keep, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
+    return text_batches(docs).mapInArrow(keep, T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
