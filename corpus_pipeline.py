@@ -6,6 +6,18 @@ near_duplicates: one document of each component of similar texts stays
 personal_data: spans of personal data are masked in the text.
 mixing: documents repeat, or go, so that sources come near their target weights.
 packing: documents become pieces of sequences of at most 2048 tokens.
+
+Defined results, stage by stage, for the cases that the operators name:
+
+- nulls: a null text has no toxic words, no shingles and no personal data, so it passes
+  the first three stages as it is; its size is 0, so its copies are drawn alone; it
+  is packed as one end token. A null id, language or count is kept; a null source is the last source.
+- empty and very long texts: as nulls, but the text stays empty; whole texts are read at every stage.
+- ties and repeated rows: repeated rows are graded alike; of rows that are equal or
+  similar the smallest id stays, and of equal ids with equal texts one row; copies
+  that mixing makes are equal rows and are packed apart.
+- empty tables: every stage returns an empty table with its columns; without labels of both kinds no document goes.
+- extra columns: all but the last stage keep them, whatever their names; none is read.
 """
 
 from __future__ import annotations
@@ -20,28 +32,28 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that are not toxic, learned from the labels of documents still here."""
+    """The documents that are not toxic, learned from the labels of documents still here; all, if nothing can be learned."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.without_toxic(docs, toxicity.fit(toxicity.labelled(docs, labels)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of similar texts."""
+    """The document with the smallest id of each component of similar texts; all that have no words."""
     return jaccard.one_of_each(docs, k=5, percent=80)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All documents, with personal data masked; null and empty texts as they are."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it: 0, 1 or more equal rows; all columns kept."""
     return mixing.mixed_documents(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document with its place in a sequence."""
+    """One row per piece of a document with its place in a sequence; a null text is one end token."""
     return packing.pack(docs, packing.tokenizer_path())
 
 

@@ -69,13 +69,12 @@ def drop_tables(spark: SparkSession) -> None:
     _delete(spark, _tables(spark))
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Remove the files of a ``stored`` table that nothing reads any more."""
-    spark = df.sparkSession
-    own = _tables(spark).removeprefix("file:").lstrip("/")
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if own in folder:
-            _delete(spark, folder)
+def drop_stored(*tables: DataFrame) -> None:
+    """Remove the files of ``stored`` tables that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("_stored_at", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -91,4 +90,6 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None and rows < FILE_ROWS * MOST_FILES:
         df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
