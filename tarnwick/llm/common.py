@@ -27,15 +27,36 @@ def text_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def trimmed(run):
+    """``run`` over batches, after which the idle worker gives unused memory back to the system."""
+
+    def whole(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return whole
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts give none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")
 
 
 def n_words(text: Column) -> Column:
-    """Number of words, in one pass: each word, with the white space around it, becomes one mark."""
-    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
-    return F.when(marks.startswith("x"), F.length(marks)).otherwise(F.lit(0)).cast("long")
+    """Number of words, in one pass: each word, with the white space after it, becomes one mark.
+
+    Where no word starts the pattern fails at once, so white space of any length takes linear time.
+    """
+    marks = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    return F.length(F.ltrim(marks, F.lit(" \t\n\x0b\f\r"))).cast("long")
 
 
 def unit_hash(*cols: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.session import stored
+from tarnwick.session import drop_stored, stored
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -40,7 +40,7 @@ def components(links: DataFrame, nodes: int | None = None, most_rounds: int = 60
     """
     links = links.filter("a is not null and b is not null")
     links = links.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = stored(links, "links", rows=nodes if nodes is None else 4 * nodes)
+    given = links = stored(links, "links", rows=nodes if nodes is None else 4 * nodes)
     for _ in range(most_rounds):
         if _stars(links):
             break
@@ -54,7 +54,9 @@ def components(links: DataFrame, nodes: int | None = None, most_rounds: int = 60
             .unionByName(low.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        links = stored(links, "links", rows=nodes if nodes is None else 4 * nodes)
+        before, links = given, stored(links, "links", rows=nodes if nodes is None else 4 * nodes)
+        drop_stored(before)
+        given = links
     else:
         raise RuntimeError("components did not settle")
     roots = links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))

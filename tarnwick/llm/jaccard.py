@@ -12,10 +12,11 @@ Any fixed order is right; this one keeps frequent shingles out of prefixes.
    the centre. Each member of the others, in its own and the next size classes, is
    paired with the centre's leader, and each member of a group with its own leader.
    Pairs that pass the size and position filters are verified.
-3. What the links so far connect needs no more pairs. Under each token and size class, groups are
-   counted by size, position and component; where two such classes, of one size class or of
-   neighbouring ones, pass the filters and are not of one component, the groups and members of
-   different components are paired and verified. So every similar pair is verified or already connected.
+3. What the links so far connect needs no more pairs. Under each token, groups form
+   classes by size, position and component; where two such classes, of one size class or of
+   neighbouring ones, pass the filters and are not of one component, their groups, and of these the members of
+   different components, are paired and verified. So every similar pair is verified or already connected,
+   and a large component never meets itself.
 4. Components over all links; the smallest document id names each.
 
 Sets are made again for the nodes that pairs can ask for, found by a bitmap of their
@@ -41,9 +42,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.session import stored
+from tarnwick.session import drop_stored, stored
 
-from .common import SPACE, documents, free, text_batches
+from .common import SPACE, documents, free, text_batches, trimmed
 from .components import components, spread_join
 from .repeats import build, cell_bits
 from .scan import mix64, runs, words
@@ -222,10 +223,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, name: str) -> Dat
         pairs = spread_join(pairs, cells.select(F.col("node").alias(key), F.col("n").alias(f"n{side}"), F.col("cells").alias(f"c{side}")), [key])
     near = pairs.select("a", "b", "n1", "n2", "c1", "c2").mapInArrow(_bound(percent), "a binary, b binary")
     near = stored(near, f"{name}-near")
+    joined = near
     for side in ("1", "2"):
         key = "a" if side == "1" else "b"
-        near = spread_join(near, sets.select(F.col("node").alias(key), F.col("tokens").alias(f"s{side}")), [key])
-    return stored(near.select("a", "b", "s1", "s2").mapInArrow(_similar(percent), "a binary, b binary"), f"{name}-links")
+        joined = spread_join(joined, sets.select(F.col("node").alias(key), F.col("tokens").alias(f"s{side}")), [key])
+    links = stored(joined.select("a", "b", "s1", "s2").mapInArrow(trimmed(_similar(percent)), "a binary, b binary"), f"{name}-links")
+    drop_stored(near)
+    return links
 
 
 def _passes(percent: int, n1: str, p1: str, n2: str, p2: str) -> str:
@@ -247,7 +251,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     chars, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).head()
     bits = cell_bits(chars / 6, per_value=1.0)
     shared = spark.sparkContext.broadcast(build(rows.select("text"), _sketched(k), 1, bits, heavy=HEAVY))
-    found = stored(rows.mapInArrow(_prefixes(k, percent, shared), _DOC), "sets")
+    found = stored(rows.mapInArrow(trimmed(_prefixes(k, percent, shared)), _DOC), "sets")
     shared.destroy()
     posted = found.filter("token is not null")
     nodes = stored(posted.select("node", "grp").distinct(), "nodes", rows=n_rows)
@@ -264,7 +268,7 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     asked = posts.select("grp").unionByName(leads.filter("members > 1").select("grp")).distinct()
     asked = stored(nodes.join(asked, "grp", "left_semi").select("node"), "asked", rows=n_rows)
     known = spark.sparkContext.broadcast(build(asked, _node_values, 1, cell_bits(asked.count(), per_value=16.0), least=1)[0])
-    made = rows.select("text").mapInArrow(_chosen_sets(k, known), _SET)
+    made = rows.select("text").mapInArrow(trimmed(_chosen_sets(k, known)), _SET)
     sets = stored(made.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "cells", "tokens")]), "chosen-sets")
     known.destroy()
 
@@ -283,27 +287,33 @@ def similar_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     rooted = nodes.select("node", "grp").join(roots, "node", "left").select("node", "grp", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, "rooted", rows=n_rows)
     of = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    left = stored(spread_join(posts, of, ["grp"]), "posts-rooted")
+    posts_rooted = left = stored(spread_join(posts, of, ["grp"]), "posts-rooted")
     several = left.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l != h").select("token")
     left = spread_join(left, several, ["token"])
-    classes = left.groupBy("token", "n", "pos", "size_class").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    x, y = (classes.select("token", "size_class", *[F.col(c).alias(c + i) for c in ("n", "pos", "low", "high")]) for i in "12")
+    # A class is of one component, or (empty) of groups that hold several; classes of one component need not meet.
+    left = left.withColumn("of", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.lit(b"")))
+    classes = left.select("token", "n", "pos", "size_class", "of").distinct()
+    x, y = (classes.select("token", "size_class", *[F.col(c).alias(c + i) for c in ("n", "pos", "of")]) for i in "12")
     x = x.withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)))  # the larger one is here or next
     open_pairs = (
-        x.join(y, ["token", "size_class"]).filter("n1 < n2 or (n1 = n2 and pos1 <= pos2)").filter(_passes(percent, "n1", "pos1", "n2", "pos2"))
-        .filter("not (low1 = high1 and low2 = high2 and low1 = low2)").select("token", "n1", "pos1", "n2", "pos2")
+        x.join(y, ["token", "size_class"]).filter("n1 < n2 or (n1 = n2 and (pos1 < pos2 or (pos1 = pos2 and of1 <= of2)))")
+        .filter("of1 != of2 or of1 = X''").filter(_passes(percent, "n1", "pos1", "n2", "pos2")).select("token", "n1", "pos1", "of1", "n2", "pos2", "of2")
     )
     open_pairs = stored(open_pairs, "open-classes")
-    side = lambda i: left.select("token", F.col("n").alias("n" + i), F.col("pos").alias("pos" + i), *[F.col(c).alias(c + i) for c in ("grp", "low", "high")])
+    side = lambda i: left.select("token", *[F.col(c).alias(c + i) for c in ("n", "pos", "of", "grp")])
     cross = (
-        side("1").join(open_pairs, ["token", "n1", "pos1"]).join(side("2"), ["token", "n2", "pos2"])
-        .filter("grp1 != grp2 and not (low1 = high1 and low2 = high2 and low1 = low2)").select("grp1", "grp2").distinct()
+        side("1").join(open_pairs, ["token", "n1", "pos1", "of1"]).join(side("2"), ["token", "n2", "pos2", "of2"])
+        .filter("grp1 != grp2").select(F.least("grp1", "grp2").alias("grp1"), F.greatest("grp1", "grp2").alias("grp2")).distinct()
     )
     inside = of.filter("low != high").select(F.col("grp").alias("grp1"), F.col("grp").alias("grp2"))
-    both = cross.select(F.least("grp1", "grp2").alias("grp1"), F.greatest("grp1", "grp2").alias("grp2")).distinct().unionByName(inside)
+    # Of two groups, or one with itself, the members of different components meet; those of one component never do.
+    parts = rooted.select("grp", "root").distinct()
+    p1, p2 = (parts.select(F.col("grp").alias("grp" + i), F.col("root").alias("r" + i)) for i in "12")
+    apart = cross.unionByName(inside).join(p1, "grp1").join(p2, "grp2").filter("if(grp1 = grp2, r1 < r2, r1 != r2)")
     m1, m2 = (rooted.select(F.col("grp").alias("grp" + i), F.col("node").alias("ab"[int(i) - 1]), F.col("root").alias("r" + i)) for i in "12")
-    rest = both.join(m1, "grp1").join(m2, "grp2").filter("r1 != r2").select("a", "b")
+    rest = apart.join(m1, ["grp1", "r1"]).join(m2, ["grp2", "r2"]).select("a", "b")
     more = _verified(rest, sets, percent, "rest")
+    drop_stored(rooted, posts_rooted, open_pairs, posts, sets, asked, leads)
     if not more.isEmpty():
         roots = components(links.unionByName(more), n_rows)
 

@@ -210,7 +210,7 @@ def mixed_documents(docs: DataFrame, seed: int = 20240607, **options) -> DataFra
     plan = mix(docs, seed=seed, last="whole", key=whole_row, **options)
     plan = stored(plan.groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias(rows_)), "mix-plan")
     keyed = docs.withColumn(key, whole_row)
-    out = keyed.join(plan.filter(F.col(rows_) == 1).filter(F.col(copies) > 0).select(key, F.col(copies).cast("int").alias(n)), key)
+    out = keyed.join(plan.filter(F.col(rows_) == 1).filter(F.col(copies) > 0).select(key, F.col(copies).cast("int").alias(n)).hint("merge"), key)
     several = plan.filter(F.col(rows_) > 1)
     if not several.isEmpty():
         # Rows of one key share what the mix gave them, some get one more: numbers are given within salts, and the salts'

@@ -22,7 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.session import stored
+from tarnwick.session import drop_stored, stored
+
+from .common import trimmed
 
 BLOCK_BITS = 20
 #: Partition sketches that one merging group reads.
@@ -154,7 +156,7 @@ def build(
             for block, one, two in part.blocks():
                 yield _row(block, task, one, two)
 
-    parts = docs.mapInArrow(sketch, _SCHEMA)
+    parts = docs.mapInArrow(trimmed(sketch), _SCHEMA)
     if heavy:
         parts = stored(parts, "sketch")
     merged = parts.filter("block >= 0")
@@ -178,6 +180,7 @@ def build(
             .groupBy("value").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "value").limit(HEAVY_MOST).collect()
         )
         top = tuple(zip(*counted)) or top
+        drop_stored(parts)
     found = np.array(top[0], dtype=np.int64).view(np.uint64)
     order = np.argsort(found)
     return Repeats(rows, bits, bitmaps), found[order], np.array(top[1], dtype=np.int64)[order]

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tarnwick.session import stored
 
-from .common import documents, text_batches
+from .common import documents, text_batches, trimmed
 from .repeats import build, cell_bits
 from .scan import join64, mix64, run_minimum, runs, words
 
@@ -267,7 +267,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = ANCHOR, rows:
     bits = cell_bits(2.0 * chars / 6 / (size - anchor + 2))
     sketch = spark.sparkContext.broadcast(build(rows_in.select("text"), _sketched(size, anchor), rows, bits)[0])
     buckets = max(LEAST_BUCKETS, -(-chars // BUCKET_CHARS))
-    found = keyed.select("id", "tkey", "text").mapInArrow(_candidates(size, anchor, buckets, sketch), _CANDIDATE)
+    found = keyed.select("id", "tkey", "text").mapInArrow(trimmed(_candidates(size, anchor, buckets, sketch)), _CANDIDATE)
     later = (
         found.groupBy("bucket").applyInArrow(_settle_bucket, _GONE)
         .groupBy("id", "tkey").agg(F.flatten(F.collect_list("gone")).alias("gone"))

@@ -96,26 +96,32 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label
     return rows.join(F.broadcast(given), F.col("doc_id") == F.col("_id")).select("label", "doc_id", "text")
 
 
+def _weights_of(y: np.ndarray) -> np.ndarray:
+    """Weights of the texts: each grade weighs the same, so the thresholds stand between them, and grade 0 as much as all others."""
+    weight = np.array([len(y) / max((y == j).sum(), 1) for j in range(int(y.max()) + 1)])[y]
+    weight[y > 0] *= weight[y == 0].sum() / max(weight[y > 0].sum(), 1e-9)
+    return weight / weight.sum()
+
+
+def _gradient(w: np.ndarray, theta: np.ndarray, row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted negative log-likelihood with the penalties, and its slopes by weights and thresholds."""
+    z = np.bincount(row, weights=w[col] * x, minlength=len(y))
+    edge = np.concatenate([[-np.inf], theta, [np.inf]])
+    lo, hi = (1 / (1 + np.exp(-np.clip(edge[y + k] - z, -500, 500))) for k in (0, 1))
+    p = np.maximum(hi - lo, 1e-12)
+    dlo, dhi = lo * (1 - lo), hi * (1 - hi)
+    dw = np.bincount(col, weights=(weight * (dhi - dlo) / p)[row] * x, minlength=len(w)) + L1 + L2 * w
+    dt = np.array([(weight * dlo / p)[y == j + 1].sum() - (weight * dhi / p)[y == j].sum() for j in range(len(theta))])
+    return float(-(weight * np.log(p)).sum() + L1 * w.sum() + L2 / 2 * (w**2).sum()), dw, dt
+
+
 def _train(names: np.ndarray, row: np.ndarray, col: np.ndarray, x: np.ndarray, y: np.ndarray) -> Ordinal:
     """Fit by projected gradient steps with per-weight scaling."""
-    n_rows, n_cols, top = len(y), len(names), int(y.max())
-    w, theta = np.zeros(n_cols), np.arange(1.0, top + 1)
+    n_cols, top = len(names), int(y.max())
+    w, theta, weight = np.zeros(n_cols), np.arange(1.0, top + 1), _weights_of(y)
     gw, gt = np.full(n_cols, 1e-8), np.full(top, 1e-8)
-    # Each label weighs the same, so the thresholds stand between them.
-    weight = np.array([n_rows / max((y == j).sum(), 1) for j in range(top + 1)])[y]
-    weight[y > 0] *= weight[y == 0].sum() / max(weight[y > 0].sum(), 1e-9)
-    weight /= weight.sum()
-    bounds = np.full((n_rows, 2), 0)
-    bounds[:, 0], bounds[:, 1] = y - 1, y
     for step in range(ROUNDS):
-        z = np.bincount(row, weights=w[col] * x, minlength=n_rows)
-        edge = np.concatenate([[-np.inf], theta, [np.inf]])
-        lo, hi = (1 / (1 + np.exp(-np.clip(edge[bounds[:, k] + 1] - z, -500, 500))) for k in (0, 1))
-        p = np.maximum(hi - lo, 1e-12)
-        dlo, dhi = lo * (1 - lo), hi * (1 - hi)
-        dz = weight * (dhi - dlo) / p
-        dw = np.bincount(col, weights=dz[row] * x, minlength=n_cols) + L1 + L2 * w
-        dt = np.array([(weight * dlo / p)[y == j + 1].sum() - (weight * dhi / p)[y == j].sum() for j in range(top)])
+        _, dw, dt = _gradient(w, theta, row, col, x, y, weight)
         gw, gt = 0.95 * gw + 0.05 * dw**2, 0.95 * gt + 0.05 * dt**2
         rate = 0.1 * (1 - step / ROUNDS) + 0.005
         w = np.maximum(w - rate * dw / np.sqrt(gw + 1e-12), 0)

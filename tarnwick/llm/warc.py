@@ -4,6 +4,8 @@
 metadata), the latter two groups naming the capture they belong to in
 ``WARC-Concurrent-To``. Spark's text writer commits the files, so a lost task leaves
 no half archive; it ends each record with the blank line that the format asks for.
+A file stays within ``FILE_BYTES`` before compression, or holds one page: pages beyond ``LARGE`` bytes go to
+files of their own, of as few records as the largest of them asks for.
 ``read_records`` parses archives, plain or gzip, by their content lengths, a record
 at a time. ``assemble`` joins a capture's records through the identifiers they are
 concurrent to, and emits one nested row per capture.
@@ -39,8 +41,8 @@ DATE = "2024-01-01T00:00:00Z"
 BREAK = "\r\n"
 #: Stands for a null page_id.
 NO_ID = -(2**63)
-#: Records of one archive file at most.
-FILE_RECORDS = 15_000
+#: Bytes of one archive file, about, and its records, at most; bytes from which on a page goes to a file of large ones.
+FILE_BYTES, FILE_RECORDS, LARGE = 1 << 30, 15_000, 1 << 16
 
 
 def _urn(kind: str, key: Column) -> Column:
@@ -95,7 +97,12 @@ def write_pages(pages: DataFrame, path: str, revisit_from: int = 0, compression:
         _record("metadata", _urn("metadata", own), [("WARC-Concurrent-To", capture), ("Content-Type", F.lit("application/warc-fields"))],
                 F.coalesce(F.concat(F.lit("page-id: "), F.col("page_id").cast("string"), F.lit(BREAK)), F.lit(""))),
     )
-    joined.select(F.explode(records).alias("value")).write.option("lineSep", BREAK + BREAK).option("compression", compression).option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    largest = rows.agg(F.max("size")).head()[0] or 0
+    for folder, part, most in (("small", joined.filter(F.col("size") <= LARGE), LARGE), ("large", joined.filter(F.col("size") > LARGE), largest)):
+        if folder == "small" or largest > LARGE:
+            # Three records a page, of which one has the page; so a file stays within its bytes whichever pages it gets.
+            n = max(3, min(FILE_RECORDS, 3 * (FILE_BYTES // (most + 4096))))
+            part.select(F.explode(records).alias("value")).write.option("lineSep", BREAK + BREAK).option("compression", compression).option("maxRecordsPerFile", n).text(f"{path}/{folder}")
 
 
 def _records(stream):

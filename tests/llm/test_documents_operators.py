@@ -447,6 +447,66 @@ def test_language_learns_clusters_and_rejects(spark):
     assert got[103][0].nearest_lang == "aa"
 
 
+def _plain_counts(text):
+    """N-grams of the bytes of a text, letters in lower case and all else a space, by bucket."""
+    b = [c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()]
+    out = Counter()
+    for n in language.ORDERS:
+        for i in range(len(b) - n + 1):
+            h = sum(c << 8 * (n - 1 - k) for k, c in enumerate(b[i : i + n]))
+            h = ((h ^ (n * 0x9E3779B1 & 0xFFFFFFFF)) * 0x85EBCA6B) & 0xFFFFFFFF
+            h ^= h >> 15
+            out[((h * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - language.BUCKET_BITS)] += 1
+    return out
+
+
+def test_language_is_that_of_plain_tf_idf_and_centroids(spark):
+    """Counts, weights, centroids, cosines, distances and predictions by plain Python over a small sample."""
+    rng = np.random.default_rng(5)
+    make = lambda letters: " ".join("".join(rng.choice(list(letters), 3)) for _ in range(12))
+    rows = [(i, make("abcdé") if i % 2 else make("vwxyz") + " 12!", "aa" if i % 2 else "vv", *[None] * 9) for i in range(24)]
+    docs = frame(spark, rows)
+    model = language.fit(docs.filter("doc_id < 16").select("lang", "text"))
+    learned = [(r[2], _plain_counts(r[1])) for r in rows if r[0] < 16]
+    seen = Counter(g for _, c in learned for g in c)
+    idf = {g: math.log((1 + len(learned)) / (1 + n)) + 1 for g, n in seen.items()}
+    nothing = math.log(1 + len(learned)) + 1
+
+    def unit(counts):
+        v = {g: math.log1p(n) * idf.get(g, nothing) for g, n in counts.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {g: x / size for g, x in v.items()}
+
+    cosine = lambda v, c: sum(x * float(c[g]) for g, x in v.items())
+    members = defaultdict(list)
+    for lang, counts in learned:
+        v = unit(counts)
+        own = [j for j in range(len(model.vectors)) if model.langs[model.lang_of[j]] == lang]
+        members[max(own, key=lambda j: cosine(v, model.vectors[j]))].append(v)
+    assert set(members) == set(range(len(model.vectors)))
+    for j, vs in members.items():
+        mean = defaultdict(float)
+        for v in vs:
+            for g, x in v.items():
+                mean[g] += x
+        size = math.sqrt(sum(x * x for x in mean.values()))
+        assert all(float(model.vectors[j][g]) == pytest.approx(x / size, abs=1e-4) for g, x in mean.items())
+        far = 1.0
+        if len(vs) > 1:
+            far = 0.0
+            for v in vs:
+                rest = {g: x - v.get(g, 0.0) for g, x in mean.items()}
+                far = max(far, 1 - sum(x * rest[g] for g, x in v.items()) / math.sqrt(sum(x * x for x in rest.values())))
+        assert float(model.far[j]) == pytest.approx(min(1.0, language.SLACK * far), abs=1e-4)
+    for r in language.identify(docs, model).collect():
+        v = unit(_plain_counts(rows[r.doc_id][1]))
+        scores = [cosine(v, c) for c in model.vectors]
+        j = int(np.argmax(scores))
+        assert r.score == pytest.approx(scores[j], abs=1e-4) and r.nearest_lang == model.langs[model.lang_of[j]]
+        if abs(1 - scores[j] - model.far[j]) > 1e-4:
+            assert r.rejected == (1 - scores[j] > model.far[j])
+
+
 def test_language_without_anything_to_learn(spark):
     docs = frame(spark, made_documents(20))
     model = language.fit(language.sample(docs, F.lit(False)))
@@ -493,19 +553,99 @@ def test_toxicity_of_grades_and_edges(spark):
     assert {r.toxic for r in toxicity.score(docs, nothing).collect()} == {False}
 
 
-def test_likelihood_falls_with_every_step_away():
-    """The fitted weights are near a minimum of the penalised likelihood."""
+def _loss(w, theta, texts, y, weight):
+    """Penalised negative log-likelihood of a cumulative-link model, one text at a time; a text is {feature: value}."""
+    logistic = lambda v: 1 / (1 + math.exp(-v))
+    total = sum(toxicity.L1 * v + toxicity.L2 / 2 * v * v for v in w)
+    for text, grade, share in zip(texts, y, weight):
+        z = sum(w[f] * v for f, v in text.items())
+        below = logistic(theta[grade - 1] - z) if grade else 0.0
+        upto = logistic(theta[grade] - z) if grade < len(theta) else 1.0
+        total -= share * math.log(upto - below)
+    return total
+
+
+def test_gradient_is_that_of_the_likelihood():
+    """Slopes against differences of a plainly computed likelihood, and the fit against steps away from it."""
     rng = np.random.default_rng(2)
     row, col = np.repeat(np.arange(60), 2), rng.integers(0, 5, 120)
+    x = 1 + rng.random(120)
     y = np.minimum(np.bincount(row, weights=col >= 3, minlength=60).astype(int), 2)
-    model = toxicity._train(np.arange(5, dtype=np.uint64), row, col, np.ones(120), y)
+    texts = [defaultdict(float) for _ in range(60)]
+    for r, c, v in zip(row, col, x):
+        texts[r][int(c)] += v
+    weight = toxicity._weights_of(y)
+    assert weight[y == 0].sum() == pytest.approx(0.5) and weight.sum() == pytest.approx(1)
+    w, theta = rng.random(5), np.array([0.4, 1.7])
+    loss, dw, dt = toxicity._gradient(w, theta, row, col, x, y, weight)
+    assert loss == pytest.approx(_loss(w, theta, texts, y, weight))
+    for at, slope in ((w, dw), (theta, dt)):
+        for i in range(len(at)):
+            near = []
+            for e in (1e-6, -1e-6):
+                at[i] += e
+                near.append(_loss(w, theta, texts, y, weight))
+                at[i] -= e
+            assert slope[i] == pytest.approx((near[0] - near[1]) / 2e-6, abs=1e-5)
+    model = toxicity._train(np.arange(5, dtype=np.uint64), row, col, x, y)
     assert set(model.names.tolist()) <= {3, 4} and len(model.names) == 2
-    assert math.isclose(*model.weights, rel_tol=0.5)
+    w = np.zeros(5)
+    w[model.names.astype(int)] = model.weights
+    best = _loss(w, model.thresholds, texts, y, weight)
+    for i in range(5):
+        for e in (0.3, -0.3):
+            other = w.copy()
+            other[i] = max(0.0, other[i] + e)
+            assert _loss(other, model.thresholds, texts, y, weight) >= best - 2e-3
+    assert _loss(w, model.thresholds + 0.3, texts, y, weight) > best - 2e-3 and _loss(w, model.thresholds - 0.3, texts, y, weight) > best - 2e-3
+
+
+def test_severity_is_that_of_a_plain_model(spark):
+    """Every document's severity, grade and verdict from the fitted weights by plain Python over its words."""
+    import pyarrow as pa
+
+    from tarnwick.llm.scan import words as scanned
+
+    rows = made_documents(80)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(80)], "doc_id long, toxic int")
+    docs = frame(spark, rows)
+    model = toxicity.fit(toxicity.labelled(docs, labels))
+    weight = dict(zip(model.names.tolist(), model.weights.tolist()))
+    assert weight
+
+    def names(word):
+        """The word's feature and those of its beginnings, as hashes."""
+        w = next(scanned(pa.array([word], pa.binary()), table=None))
+        return [int(w.hashes()[0]), *(int(w.prefix_hashes(n)[0]) for n in toxicity.PREFIXES)]
+
+    letters = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+    hashes: dict = {}
+    for r in toxicity.score(docs.filter("doc_id < 120"), model).collect():
+        text = next(x[1] for x in rows if x[0] == r.doc_id)
+        if r.doc_id in (5, 2, 7):  # ids of several rows
+            continue
+        counted = Counter()
+        for word in (text or "").encode().translate(letters).split():
+            counted.update(hashes.setdefault(word, names(word)))
+        z = sum(weight[f] * (1 + math.log(n)) for f, n in counted.items() if f in weight)
+        at_least = [1 / (1 + math.exp(min(500, max(-500, t - z)))) for t in model.thresholds]
+        grades = [1 - at_least[0], *(a - b for a, b in zip(at_least, [*at_least[1:], 0.0]))]
+        assert r.severity == pytest.approx(sum(at_least)) and r.p_toxic == pytest.approx(at_least[0]) and r.toxic == (r.p_toxic >= toxicity.REJECT)
+        assert grades[r.grade] == pytest.approx(max(grades))
 
 
 # --- quality -------------------------------------------------------------------------------
 
 
+def test_ledger_of_nothing_and_of_white_space(spark):
+    none = quality.ledger(frame(spark, made_documents(12, long=False)).filter("doc_id < 0"))
+    assert none.count() == 0 and quality.ablation(none).collect() == []
+    rows = [(i, t, *[None] * 10) for i, t in enumerate([" " * 300_000, "\t" * 300_000 + "x", "\n" * 100_000, "a" * 300_000, "# " * 2_000])]
+    got = {r.doc_id: r for r in quality.ledger(frame(spark, rows, 2)).collect()}
+    assert [(got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_letters, got[i].n_letter_words) for i in range(5)] == [
+        (0, 0, 0, 0, 0), (1, 1, 0, 1, 1), (0, 0, 0, 0, 0), (1, 300_000, 0, 300_000, 1), (2_000, 2_000, 2_000, 0, 0)]
+
+
 def test_ledger_policies_and_ablation(spark):
     rows = quality.ledger(frame(spark, made_documents())).cache()
     found = rows.collect()

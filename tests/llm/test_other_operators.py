@@ -59,6 +59,22 @@ def test_captures_keep_payloads_and_neighbours(spark, compression):
     assert all(r.requests[0].http_header.startswith("GET http://h/") for r in got)
 
 
+def test_archive_files_stay_within_their_bytes(spark, monkeypatch):
+    """Many small pages and a few large ones: no file grows with the number of pages or with one page."""
+    import glob
+    import os
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 300_000)
+    monkeypatch.setattr(warc, "LARGE", 5_000)
+    rows = [(i, f"http://a/{i}", str(i) * (1_000 if i % 10 else 20_000)) for i in range(200)] + [(900, None, "z" * 400_000)]
+    path = new_table_path(spark, "warc")
+    warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, compression="none")
+    files = {f: os.path.getsize(f) for f in glob.glob(path.removeprefix("file://") + "/*/part-*")}
+    assert all(n < 300_000 for f, n in files.items() if "small" in f) and max(files.values()) < 1_300_000 and len(files) > 5
+    got = warc.assemble(warc.read_records(spark, path)).collect()
+    assert len(got) == 201 and {len(r.capture.payload) for r in got if r.capture.payload} >= {400_000}
+
+
 def test_reads_archives_it_has_not_written(spark, tmp_path):
     """One gzip member per record, headers in another case, records that are concurrent to nothing."""
 
@@ -135,6 +151,12 @@ def test_top_k_of_nothing(spark, tmp_path):
         assert topk.query(spark, saved(spark, rows, tmp_path, "embeddings", VECTOR)).collect() == []
 
 
+def test_components_of_nothing(spark):
+    for links in ([], [(3, 3)], [(None, 1), (2, None)]):
+        assert components(spark.createDataFrame(links, "a long, b long")).collect() == []
+    assert sorted(map(tuple, components(spark.createDataFrame([(2, 1), (1, 2), (2, 1)], "a long, b long"), 2).collect())) == [(1, 1), (2, 1)]
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, size=(220, 2))] + [(i, i + 1) for i in range(400, 460)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
