@@ -72,7 +72,8 @@ def write_pages(pages: DataFrame, path: str, revisit_from: int = 0, compression:
     first = keys.filter(F.col("size") >= revisit_from).groupBy("same").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     chosen = spread_join(keys.select("id", "same").distinct(), first, ["same"]).select("id", "same", "first")
     # Join and numbering of equal rows have the same keys and so share one shuffle.
-    copy = Window.partitionBy("id", "same").orderBy(F.col("url").asc_nulls_first())
+    # Equal texts have one size: as a key it lets the choice of large or small pages reach the scan.
+    copy = Window.partitionBy("id", "same", "size").orderBy(F.col("url").asc_nulls_first())
     joined = rows.join(chosen, ["id", "same"], "left").withColumn("copy", F.row_number().over(copy))
     joined = joined.withColumn("revisits", F.col("first").isNotNull() & ((F.col("id") != F.col("first")) | (F.col("copy") > 1)))
     key = lambda page, copy: F.concat_ws("|", page.cast("string"), F.col("same"), copy.cast("string"))
