@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, n_words, words
+from .common import SPACE, documents, n_words, words
 
 WINDOW = 5
 
@@ -87,8 +87,8 @@ def _repeat_words(w: str, size: int) -> str:
     )
 
 
-#: White space, and what is neither that nor a letter, as a run.
-_BLANKS, _NO_LETTERS = " \t\n\x0b\f\r", r"[^\x20\x09-\x0DA-Za-z\x{C0}-\x{24F}]++"
+#: A run of what is neither white space nor a letter.
+_NO_LETTERS = r"[^\x20\x09-\x0DA-Za-z\x{C0}-\x{24F}]++"
 
 
 def measures(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
@@ -97,20 +97,20 @@ def measures(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     text = F.col("_t")
     with_word = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     size = lambda x: F.length(x).cast("long")
-    without = lambda signs: size(F.translate(text, signs, ""))
+    without = lambda signs: size(F.regexp_replace(text, signs + "++", ""))
     # Words of the text without all but letters and white space are its words with a letter.
-    m = m.withColumn("_lines", with_word).withColumn("_letters", F.regexp_replace(text, _NO_LETTERS, "")).withColumn("_chars", without(_BLANKS))
+    m = m.withColumn("_lines", with_word).withColumn("_letters", F.regexp_replace(text, _NO_LETTERS, "")).withColumn("_chars", without(SPACE))
     return m.select(
         *keep,
         F.size("_w").cast("long").alias("n_words"),
         F.col("_chars").alias("word_chars"),
-        (F.col("_n") - without("#*$%&|<>")).alias("n_symbols"),
+        (F.col("_n") - without(r"[#*$%&|<>]")).alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.expr(_repeat_words("_w", WINDOW)).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (size("_letters") - (F.col("_n") - F.col("_chars"))).alias("n_letters"),
         (F.col("_n") - size(F.regexp_replace(text, r"[A-Z\x{C0}-\x{D6}\x{D8}-\x{DE}]++", ""))).alias("n_upper"),
-        (F.col("_n") - without("!?")).alias("n_marks"),
+        (F.col("_n") - without("[!?]")).alias("n_marks"),
         n_words(F.col("_letters")).alias("n_letter_words"),
     )
 
