@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from tarnwick.session import stored
 
 from .common import documents, text_batches
+from .tokens import BatchEncoder
 
 SALTS = 256
 CAPACITY = 2048
@@ -88,6 +89,7 @@ class Encoder:
         self.added = [x["content"] for x in spec.get("added_tokens") or []]
         self.first, self.rest = _Words(""), _Words(" ")
         self.line_break, self.signs = self._encoded("\n"), {c: self._encoded(c) for c in _SIGNS}
+        self.break_ids = self.whole.encode("\n", add_special_tokens=False).ids
 
     def _encoded(self, text: str) -> bytes:
         return struct.pack(f"<{len(ids := self.whole.encode(text, add_special_tokens=False).ids)}I", *ids)
@@ -141,6 +143,11 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@functools.lru_cache(maxsize=2)
+def batch_encoder(path: str) -> BatchEncoder:
+    return BatchEncoder(encoder(path))
+
+
 def cut_lengths(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: only the first may be shorter than ``capacity``."""
     first = n % capacity or min(n, capacity)
@@ -152,18 +159,22 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def cut(batches):
-        enc = encoder(path)
+        enc = batch_encoder(path)
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(enc.ids(text or ""), end).astype("<u4")
-                for i, (start, n) in enumerate(cut_lengths(len(ids), capacity)):
-                    own = ids[start : start + n]
-                    rows.append((doc_id, i, start, n, zlib.crc32(own.tobytes()), own if with_ids else None))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * with_ids
-            columns = list(zip(*rows))[: len(kinds)] or [()] * len(kinds)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=names)
+            ids, bounds = enc.ids(batch.column("text"), end)
+            n = np.diff(bounds)
+            per = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), per)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
+            # Only the first piece may be shorter than the capacity.
+            first = n - (per - 1) * capacity
+            start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[doc])
+            own = [ids[a : a + k] for a, k in zip((bounds[doc] + start).tolist(), length.tolist())]
+            crc = np.fromiter((zlib.crc32(x) for x in own), dtype=np.int64, count=len(own))
+            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
+            columns += [pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))] * with_ids
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     return cut
 

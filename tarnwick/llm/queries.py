@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, pii, quality, substrings, topk, toxicity, warc
+from . import histogram, jaccard, language, mixing, negatives, packing, pii, quality, substrings, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_jaccard_components": jaccard.query,
         "op9_toxicity": toxicity.query,
         "op10_quality_rules": quality.query,
+        "op11_packing": histogram.query,
+        "op12_hard_negatives": negatives.query,
     }
 
 
@@ -27,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substrings.SQL,
         "op8_jaccard_components": jaccard.SQL,
         "op10_quality_rules": quality.SQL,
+        "op12_hard_negatives": negatives.SQL,
     }
