@@ -296,17 +296,6 @@ def _numbered_pairs(spark, d):
     return stored(pairs.select(F.monotonically_increasing_id().alias("query_id"), "question", "answer"), "pairs")
 
 
-def _turn_id(turns):
-    """conv_id * 1000 + turn; where turns span more than 1000, times that, and beyond a long a number for each row (to be written once)."""
-    low, high, first, last = turns.agg(F.min("turn"), F.max("turn"), F.min("conv_id"), F.max("conv_id")).first()
-    step = 1000
-    if None not in (low, first):
-        step = max(step, high - low + 1)
-        if any(abs(c * step + t) >= 1 << 63 or abs(c * step) >= 1 << 63 for c in (first, last) for t in (low, high)):
-            return F.monotonically_increasing_id()
-    return F.col("conv_id").cast("long") * F.lit(step) + F.col("turn")
-
-
 def stage_comparison(spark, d):
     """Exact match of fixed and of class-wise retrieval over the question pairs, and the passages that each reads."""
     pairs = _numbered_pairs(spark, d).select("query_id", F.col("question").alias("text"), F.col("answer").alias("gold"))
@@ -347,11 +336,10 @@ def four_stage_eval(spark, d):
 def question_stream(spark, d):
     """All users' turns as a stream of questions, each micro-batch classified by the batch plan."""
     source, out, checkpoint = (new_table_path(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
-    turns = table(spark, d, "conversations").filter("role = 'user'")
-    turns.select(_turn_id(turns).alias("query_id"), "text").write.parquet(source)
-    answer = lambda batch: batch.select("query_id", agent.query_class(F.col("text")).alias("class"))
-    answer_stream(read_questions(spark, source), answer, out, checkpoint).awaitTermination()
-    return spark.read.parquet(out).select("query_id", "class")
+    table(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", "text").write.parquet(source)
+    answer = lambda batch: batch.select("conv_id", "turn", agent.query_class(F.col("text")).alias("class"))
+    answer_stream(read_questions(spark, source, "conv_id long, turn long, text string"), answer, out, checkpoint).awaitTermination()
+    return spark.read.parquet(out).select("conv_id", "turn", "class")
 
 
 QUERIES = {
@@ -542,5 +530,5 @@ s as (select 1 as stage, query_id, answer, null as status from said
 select cast(stage as int) as stage, count(*) as n, avg(coalesce({_MATCH('answer', 'gold')}, 0)) as exact_match,
   avg(cast(coalesce(status, '') = 'SUPPORTED' as int)) as supported, avg(cast(coalesce(status, '') = 'ABSTAINED' as int)) as abstained
 from s join t on id = query_id group by 1""",
-    "question_stream": f"select conv_id * 1000 + turn as query_id, {_CLASS} as class from conversations where role = 'user'",
+    "question_stream": f"select conv_id, turn, {_CLASS} as class from conversations where role = 'user'",
 }

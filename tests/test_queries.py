@@ -1,3 +1,5 @@
+import os
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -5,8 +7,9 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry
+from jobs.queries import QUERIES as JOBS
 from tarnwick.plans.queries import ORACLE_SQL, QUERIES
-from tests.llm.helpers import saved
+from tests.helpers import saved
 from tests.oracle import FOLDER, compare
 
 
@@ -25,16 +28,27 @@ def test_entry(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_nothing_else_needs_the_optional_subpackage(tmp_path):
-    """A copy without the optional folders and the pipeline still imports and lists the other queries."""
-    import shutil
+@pytest.fixture(scope="module")
+def without_optional(tmp_path_factory):
+    """A copy without the optional folders and the pipeline."""
+    root, copy = Path(entry.__file__).parent, tmp_path_factory.mktemp("copy")
+    for name in ("tarnwick", "jobs", "tests"):
+        shutil.copytree(root / name, copy / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", copy)
+    return lambda *a: subprocess.run([sys.executable, *a], cwd=copy, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(copy)})
 
-    root = Path(entry.__file__).parent
-    shutil.copytree(root / "tarnwick", tmp_path / "tarnwick", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(root / "__spark_entry__.py", tmp_path)
+
+def test_nothing_else_needs_the_optional_subpackage(without_optional):
+    """The copy still imports and lists the other queries."""
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q); print(len(q))"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**__import__("os").environ, "PYTHONPATH": str(tmp_path)})
-    assert done.returncode == 0 and int(done.stdout) == len(QUERIES), done.stderr
+    done = without_optional("-c", code)
+    assert done.returncode == 0 and int(done.stdout) == len(QUERIES) + len(JOBS), done.stderr
+
+
+def test_no_other_test_needs_the_optional_tests(without_optional):
+    """All tests of the copy are found without an error."""
+    done = without_optional("-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider")
+    assert done.returncode == 0 and "error" not in done.stdout.lower(), done.stdout
 
 
 def _long_conversations(spark, tmp_path, more=()):
@@ -54,10 +68,10 @@ def test_long_conversations_keep_their_pairs_apart(spark, tmp_path):
 
 
 @pytest.mark.parametrize("far", [7, 1 << 60])
-def test_long_conversations_keep_their_stream_ids_apart(spark, tmp_path, far):
+def test_long_conversations_stay_apart_in_the_stream(spark, tmp_path, far):
     folder = _long_conversations(spark, tmp_path, [(far, 5, "red")])
-    ids = [r.query_id for r in QUERIES["question_stream"](spark, folder).collect()]
-    assert len(ids) == 4 and len(set(ids)) == 4
+    asked = sorted((r.conv_id, r.turn) for r in QUERIES["question_stream"](spark, folder).collect())
+    assert asked == [(0, 0), (0, 1000), (1, 0), (far, 5)]
 
 
 def test_four_stages_cover_all_pairs(spark, tmp_path):
