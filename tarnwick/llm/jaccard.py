@@ -339,11 +339,11 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey")
     chosen = rows.filter("component is not null").groupBy("component").agg(F.min(first).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.tkey").alias("tkey"))
     chosen = stored(chosen, "chosen")
-    id_, key, own = free(docs, "_id"), free(docs, "_tkey"), [F.col(f"`{c}`") for c in docs.columns]
+    id_, key, chosen_key, own = free(docs, "_id"), free(docs, "_tkey"), free(docs, "_chosen"), [F.col(f"`{c}`") for c in docs.columns]
     keyed = docs.withColumn(key, text_key())
     wordless = F.coalesce(F.regexp_replace(F.col("text").cast("string"), SPACE + "+", ""), F.lit("")) == ""
-    match = (F.col("`doc_id`").cast("long").eqNullSafe(F.col(id_))) & (F.col(key) == F.col(key + "1"))
-    kept = keyed.filter(~wordless).join(chosen.select(F.col("doc_id").alias(id_), F.col("tkey").alias(key + "1")), match, "left_semi")
+    match = (F.col("`doc_id`").cast("long").eqNullSafe(F.col(id_))) & (F.col(key) == F.col(chosen_key))
+    kept = keyed.filter(~wordless).join(chosen.select(F.col("doc_id").alias(id_), F.col("tkey").alias(chosen_key)), match, "left_semi")
     if rows.filter("component is not null").groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", key])  # equal rows: either stands for both
     return kept.select(*own).unionByName(docs.filter(wordless).select(*own))

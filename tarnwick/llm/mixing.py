@@ -166,6 +166,8 @@ def mix(
     most = live.groupBy("source").count().agg(F.max("count")).head()[0] or 0
     # Of n equal rows all but one are settled here, some at a time; the last one carries what is left.
     equal = live.filter("n > 1").withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 2) div {EQUAL_ROWS})")))
+    # The rows of one key are made by several tasks; a given number of partitions is left as it is, however small they look.
+    equal = equal.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "part")
     equal = equal.withColumn("i", F.explode(F.expr(f"sequence(part * {EQUAL_ROWS} + 1, least(n - 1, (part + 1) * {EQUAL_ROWS}))")))
     out = out.unionByName(equal.select("key", "doc_id", "size", *about, (F.col("i") <= F.col("whole")).cast("double").alias("p")))
     left = F.greatest(F.col("n") * F.col("p") - F.col("whole"), F.lit(0.0))
@@ -204,7 +206,7 @@ def mix(
 def mixed_documents(docs: DataFrame, seed: int = 20240607, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, in whole copies."""
     own = [F.col(f"`{c}`") for c in docs.columns]
-    key, copies, rows_, n, nth = (free(docs, x) for x in ("_mix_key", "_mix_copies", "_mix_rows", "_mix_n", "_mix_nth"))
+    key, copies, rows_, n, nth, row, salt, base = (free(docs, f"_mix_{x}") for x in ("key", "copies", "rows", "n", "nth", "row", "salt", "base"))
     # Rows of one key are equal in every column, so it makes no difference which of them gets a copy more.
     whole_row = row_key(docs, seed, docs.columns)
     plan = mix(docs, seed=seed, last="whole", key=whole_row, **options)
@@ -215,14 +217,14 @@ def mixed_documents(docs: DataFrame, seed: int = 20240607, **options) -> DataFra
     if not several.isEmpty():
         # Rows of one key share what the mix gave them, some get one more: numbers are given within salts, and the salts'
         # counts say how many come before. Rows are stored with their salts, so a lost task does not number them anew.
-        same = keyed.join(several, key).withColumn(nth + "i", F.monotonically_increasing_id())
-        same = stored(same.withColumn(nth + "s", F.pmod(F.col(nth + "i"), F.lit(SALTS))), "mix-equal")
-        counts = same.groupBy(key, nth + "s").agg(F.count(F.lit(1)).alias(n))
-        before = F.coalesce(F.sum(n).over(Window.partitionBy(key).orderBy(nth + "s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.select(key, nth + "s", before.alias(nth + "b"))
-        order = Window.partitionBy(key, nth + "s").orderBy(nth + "i")
-        same = same.withColumn(nth, F.row_number().over(order)).join(counts, [key, nth + "s"])
-        each = F.floor(F.col(copies) / F.col(rows_)) + (F.col(nth) + F.col(nth + "b") <= F.col(copies) % F.col(rows_)).cast("long")
+        same = keyed.join(several, key).withColumn(row, F.monotonically_increasing_id())
+        same = stored(same.withColumn(salt, F.pmod(F.col(row), F.lit(SALTS))), "mix-equal")
+        counts = same.groupBy(key, salt).agg(F.count(F.lit(1)).alias(n))
+        before = F.coalesce(F.sum(n).over(Window.partitionBy(key).orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select(key, salt, before.alias(base))
+        order = Window.partitionBy(key, salt).orderBy(row)
+        same = same.withColumn(nth, F.row_number().over(order)).join(counts, [key, salt])
+        each = F.floor(F.col(copies) / F.col(rows_)) + (F.col(nth) + F.col(base) <= F.col(copies) % F.col(rows_)).cast("long")
         out = out.unionByName(same.select(*own, key, each.cast("int").alias(n)).filter(F.col(n) > 0))
     return out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*own)
 

@@ -95,6 +95,13 @@ def _run_starts(ids, keys, start, more=None) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _different(*columns) -> np.ndarray:
+    """Which of sorted rows differ from the one before."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
 def _later(h1, h2, ids, start) -> tuple[np.ndarray, np.ndarray]:
     """The order in which rows were compared, and which of these rows start later than an equal window."""
     order = np.lexsort((start, ids, h2, h1))
@@ -106,8 +113,9 @@ def _later(h1, h2, ids, start) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gone_rows(ids, keys, start) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Per document the runs (first place, number) of the places given."""
+    """Per document the runs (first place, number) of the places given; equal rows are one document."""
     order = np.lexsort((start, keys, ids))
+    order = order[_different(ids[order], keys[order], start[order])]
     ids, keys, start = ids[order], keys[order], start[order]
     at = _run_starts(ids, keys, start)
     n = np.diff(np.append(at, len(ids)))
@@ -139,6 +147,7 @@ def _candidates(size: int, anchor: int, buckets: int, sketch):
         if len(stay):
             bucket = (mix64(low[stay]) % np.uint64(buckets)).astype(np.int64)
             by = np.lexsort((start[stay], keys[stay], ids[stay], bucket))
+            by = by[_different(bucket[by], ids[stay[by]], keys[stay[by]], start[stay[by]])]  # equal rows send their windows once
             stay, bucket = stay[by], bucket[by]
             ids, keys, start = ids[stay], keys[stay], start[stay]
             at = _run_starts(ids, keys, start, bucket)
@@ -270,7 +279,7 @@ def remove_repeats(docs: DataFrame, size: int = 20, anchor: int = ANCHOR, rows:
     found = keyed.select("id", "tkey", "text").mapInArrow(trimmed(_candidates(size, anchor, buckets, sketch)), _CANDIDATE)
     later = (
         found.groupBy("bucket").applyInArrow(_settle_bucket, _GONE)
-        .groupBy("id", "tkey").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+        .groupBy("id", "tkey").agg(F.flatten(F.collect_set("gone")).alias("gone"))  # equal rows of several partitions send equal lists
     )
     later = stored(later, "gone")
     sketch.destroy()

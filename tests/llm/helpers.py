@@ -3,7 +3,8 @@
 import random
 import re
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, n int, size string, token int, node string, label string, row string"
+from tests.helpers import DOCS, frame, saved  # noqa: F401  (the tests of this folder take them from here)
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -45,13 +46,3 @@ def made_documents(n=120, seed=1, long=True):
     rows.append((None, texts[5], "en", "a", None, None, None, None, None, None, None, None))
     rows.append((7, "another text under a used id " * 3, None, None, None, None, None, None, None, None, None, None))
     return rows
-
-
-def frame(spark, rows, parts=3):
-    return spark.createDataFrame(rows, DOCS).repartition(parts)
-
-
-def saved(spark, rows, folder, name="documents", schema=DOCS):
-    """Write rows as the table ``name`` of a folder and return the folder."""
-    spark.createDataFrame(rows, schema).repartition(3).write.mode("overwrite").parquet(f"file://{folder}/{name}.parquet")
-    return f"file://{folder}"
