@@ -48,7 +48,7 @@ def test_nothing_else_needs_the_optional_subpackage(without_optional):
 def test_no_other_test_needs_the_optional_tests(without_optional):
     """All tests of the copy are found without an error."""
     done = without_optional("-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider")
-    assert done.returncode == 0 and "error" not in done.stdout.lower(), done.stdout
+    assert done.returncode == 0, done.stdout
 
 
 def _long_conversations(spark, tmp_path, more=()):
