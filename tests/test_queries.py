@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from jobs.queries import QUERIES as JOBS
-from tarnwick.plans.queries import ORACLE_SQL, QUERIES
+from tarnwick.plans.registered import ORACLE_SQL, QUERIES
 from tests.helpers import saved
 from tests.oracle import FOLDER, compare
 
