@@ -54,18 +54,20 @@ def _runs(words: Column, n: int) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
 
-def overlaps(answers: DataFrame, passages: DataFrame, by: str = "query_id") -> DataFrame:
+def overlaps(answers: DataFrame, passages: DataFrame, by: str = "query_id", on: str | None = None) -> DataFrame:
     """``by`` and the features' raw numbers: n, n_numbers, s1, s2, s3, missing, missing_numbers; shares are the best over the answer's passages.
 
-    Answers (``by``, answer) meet passages (``by``, title, text) by key; only numbers are
-    kept of a pair, so no texts of several passages ever meet in one row. A run of the
+    Answers (``by``, answer) meet passages (title, text) by ``on``, a column of both, or else
+    by ``by``; only numbers are kept of a pair, so no texts of several passages ever meet
+    in one row, and a passage of several answers moves once. A run of the
     answer is looked for in the passage's words, written with one space between them.
     """
-    own = answers.select(by, word_list(F.col("answer")).alias("own"))
-    own = own.select(by, F.array_distinct("own").alias("w1"), _runs(F.col("own"), 2).alias("w2"), _runs(F.col("own"), 3).alias("w3"))
+    keys = [by] if on in (None, by) else [by, on]
+    own = answers.select(*keys, word_list(F.col("answer")).alias("own"))
+    own = own.select(*keys, F.array_distinct("own").alias("w1"), _runs(F.col("own"), 2).alias("w2"), _runs(F.col("own"), 3).alias("w3"))
     own = own.withColumn("w0", F.filter("w1", lambda w: w.rlike("^[0-9]+$")))
     line = F.concat(F.lit(" "), F.regexp_replace(normalize_answer(F.concat_ws(" ", "title", "text")), r"\s+", " "), F.lit(" "))
-    pairs = own.join(passages.select(by, line.alias("seen")), by, "left").withColumn("seen", F.coalesce("seen", F.lit("")))
+    pairs = own.join(passages.select(keys[-1], line.alias("seen")), keys[-1], "left").withColumn("seen", F.coalesce("seen", F.lit("")))
     common = lambda mine: F.size(F.filter(mine, lambda w: F.contains(F.col("seen"), F.concat(F.lit(" "), w, F.lit(" ")))))
     found = pairs.select(by, *[F.size(f"w{i}").alias(f"n{i}") for i in range(4)], *[common(f"w{i}").alias(f"c{i}") for i in range(4)])
     found = found.groupBy(by).agg(*[F.max(c).alias(c) for c in found.columns if c != by])

@@ -11,7 +11,7 @@ import string
 from pyspark.sql import functions as F
 
 from tarnwick.functions.text import REFUSAL, exact_match, normalize_answer, passage_block, py_strip
-from tarnwick.operators import evaluate, generate, metrics, passages, vectors
+from tarnwick.operators import bounded, evaluate, generate, metrics, passages, vectors
 from tarnwick.operators.embed import HashingEmbedder, embed
 from tarnwick.operators.retrieve import gathered, top_k, top_k_sql, with_passages
 from tarnwick.plans import agent, rag, stages
@@ -99,6 +99,12 @@ def retrieve_topk_dense(spark, d):
     return _rounded(top_k(_asked(v), v, 10))
 
 
+def retrieve_topk_bounded(spark, d):
+    """The same by the search that skips what its bounds rule out."""
+    v = _vectors(spark, d)
+    return _rounded(bounded.top_k(_asked(v), v, 10))
+
+
 def retrieve_topk_expressions(spark, d):
     v = _vectors(spark, d)
     return _rounded(top_k_sql(_asked(v), v, 10))
@@ -301,7 +307,7 @@ def stage_comparison(spark, d):
     pairs = _numbered_pairs(spark, d).select("query_id", F.col("question").alias("text"), F.col("answer").alias("gold"))
     e = HashingEmbedder(256)
     index = _index(spark, d)
-    found = stored(with_passages(top_k(embed(pairs, e, keep=("query_id",)), index, 10), index), "compared")
+    found = stored(with_passages(bounded.top_k(embed(pairs, e, keep=("query_id",)), index, 10), index), "compared")
     out = None
     for stage, rows in ((1, found), (3, agent.adaptive(found, pairs))):
         said = generate.stub_answers(pairs, rows, Config().threshold)
@@ -345,7 +351,7 @@ def question_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        examples_scan, typed_questions, passages_flatten, passages_first_seen, passages_capped, unique_passages, l2_normalize, retrieve_topk_dense, retrieve_topk_expressions, retrieve_topk_text,
+        examples_scan, typed_questions, passages_flatten, passages_first_seen, passages_capped, unique_passages, l2_normalize, retrieve_topk_dense, retrieve_topk_bounded, retrieve_topk_expressions, retrieve_topk_text,
         prompt_context, prompt_full, normalized_answers, stripped_turns, question_pairs, exact_match_eval, eval_summary, eval_sample_prefix,
         eval_report_line, eval_report_files, rag_answer_stub, retrieved_titles, report_blocks, macro_f1, accuracy, query_class_samples, query_class,
         index_build_load, index_from_examples, rag_questions, rag_results, rag_report, evaluate_rag, eval_report_object, stage_comparison, agent_loop, four_stage_eval, question_stream,
@@ -459,6 +465,7 @@ select vec_id, i - 1 as i, round(case when n = 0 then x else x / n end, 6) as x
   select vec_id, unnest(range(1, len(embedding) + 1)) as i, unnest(list_transform(embedding, lambda x: cast(x as double))) as x,
     sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) as n from embeddings)""",
     "retrieve_topk_dense": _DENSE,
+    "retrieve_topk_bounded": _DENSE,
     "retrieve_topk_expressions": _DENSE,
     "retrieve_topk_text": f"""
 with {_documents(1024)}, {_search('r', 'benchmark', 'item_id', 1024)} select qid as query_id, rank, did as passage_id, round(score, 4) as score from r""",

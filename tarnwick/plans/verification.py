@@ -76,8 +76,7 @@ def made_answers(passages: DataFrame) -> DataFrame:
 def examples(passages: DataFrame, wanted: Column) -> DataFrame:
     """Made answers with their features and the passage's fold, of the passages that are wanted; any other may lend them words."""
     answers = stored(made_answers(passages).filter(wanted), "verifier-answers")
-    shown = answers.select("example_id", "passage_id").join(passages.select("passage_id", "title", "text").filter(wanted), "passage_id")
-    found = features(overlaps(answers, shown, "example_id"), "example_id")
+    found = features(overlaps(answers, passages.filter(wanted), "example_id", "passage_id"), "example_id")
     return answers.join(found, "example_id").withColumn("fold", fold())
 
 
