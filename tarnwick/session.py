@@ -81,14 +81,14 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage with files that outlive any executor. Where the caller knows that
-    there are ``rows`` rows at most, a small table is written as few files: one per
-    ``FILE_ROWS`` rows, however many partitions a shuffle was dealt over.
+    there are ``rows`` rows at most, a small table is dealt over few files once it is made: one per
+    ``FILE_ROWS`` rows, however many tasks made it.
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
     schema = df.schema
     if rows is not None and rows < FILE_ROWS * MOST_FILES:
-        df = df.coalesce(max(LEAST_FILES, -(-rows // FILE_ROWS)))
+        df = df.repartition(max(LEAST_FILES, -(-rows // FILE_ROWS)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(schema).parquet(path)
     out.__dict__["_stored_at"] = path
