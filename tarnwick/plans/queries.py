@@ -237,6 +237,20 @@ def index_build_load(spark, d):
     return spark.createDataFrame(rows, "step long, built boolean, dimensions long, vectors long")
 
 
+def index_of_changed_source(spark, d):
+    """An index that looks at its source: built, loaded, loaded when the rows were only dealt anew, and rebuilt when one row is missing or one text is another."""
+    path, docs = new_table_path(spark, "index"), table(spark, d, "documents")
+    rows = docs.select(F.col("doc_id").alias("passage_id"), F.split("text", "\n")[0].alias("title"), "text")
+    least = rows.agg(F.min("passage_id")).head()[0]
+    first = F.col("passage_id") == least
+    sources = [rows, rows, rows.repartition(7, "title"), rows.filter(~first), rows.withColumn("text", F.when(first, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), rows]
+    out = []
+    for source in sources:
+        found, built = index_.build_or_load(spark, path, lambda source=source: source, HashingEmbedder(16), Config(dimensions=16).index_fields(), check_source=True)
+        out.append((len(out), built, index_.size(found)))
+    return spark.createDataFrame(out, "step long, built boolean, vectors long")
+
+
 def _index(spark, d):
     path, docs = new_table_path(spark, "index"), table(spark, d, "documents")
     make = lambda: docs.select(F.col("doc_id").alias("passage_id"), F.split("text", "\n")[0].alias("title"), "text")
@@ -354,7 +368,7 @@ QUERIES = {
         examples_scan, typed_questions, passages_flatten, passages_first_seen, passages_capped, unique_passages, l2_normalize, retrieve_topk_dense, retrieve_topk_bounded, retrieve_topk_expressions, retrieve_topk_text,
         prompt_context, prompt_full, normalized_answers, stripped_turns, question_pairs, exact_match_eval, eval_summary, eval_sample_prefix,
         eval_report_line, eval_report_files, rag_answer_stub, retrieved_titles, report_blocks, macro_f1, accuracy, query_class_samples, query_class,
-        index_build_load, index_from_examples, rag_questions, rag_results, rag_report, evaluate_rag, eval_report_object, stage_comparison, agent_loop, four_stage_eval, question_stream,
+        index_build_load, index_of_changed_source, index_from_examples, rag_questions, rag_results, rag_report, evaluate_rag, eval_report_object, stage_comparison, agent_loop, four_stage_eval, question_stream,
     )
 }
 
@@ -499,6 +513,9 @@ select round(avg(f1), 9) as macro_f1 from f""",
     "index_build_load": """
 select cast(step as bigint) as step, built, cast(dim as bigint) as dimensions, (select count(*) from documents) as vectors
 from (values (0, true, 64), (1, false, 64), (2, true, 32)) v(step, built, dim)""",
+    "index_of_changed_source": """
+select cast(step as bigint) as step, built, (select count(*) from documents) - less as vectors
+from (values (0, true, 0), (1, false, 0), (2, false, 0), (3, true, 1), (4, true, 0), (5, true, 0)) v(step, built, less)""",
     "unique_passages": f"select count(*) as n from (select distinct title from ({_FLAT}))",
     "examples_scan": "select doc_id // 10 as example_ord, count(*) as n_titles, count(*) as n_texts from documents group by 1",
     "typed_questions": "select 2 * (row_number() over (order by item_id) - 1) as query_id, " + _STRIP.format("translate(text, chr(10) || chr(13), '  ')") + " as text from benchmark",

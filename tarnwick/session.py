@@ -59,14 +59,14 @@ def new_table_path(spark: SparkSession, name: str) -> str:
     return f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Remove the intermediate tables of this application, when no result that reads them is needed."""
-    _delete(spark, _tables(spark))
+    delete_folder(spark, _tables(spark))
 
 
 def drop_stored(*tables: DataFrame) -> None:
@@ -74,7 +74,7 @@ def drop_stored(*tables: DataFrame) -> None:
     for df in tables:
         path = df.__dict__.pop("_stored_at", None)
         if path:
-            _delete(df.sparkSession, path)
+            delete_folder(df.sparkSession, path)
 
 
 def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
