@@ -1,4 +1,4 @@
-"""Ways to retrieve that a class of question asks for: two hops, and a search for each thing compared.
+"""Ways to retrieve that a class of question asks for: two hops, a search for each thing compared, and feedback.
 
 Two hops: a passage that answers in part often names the next one. Titles that are
 mentioned in the passages found first are bridges; the question is asked again with each
@@ -12,6 +12,9 @@ Comparison: the question is cut at its "or" or "and" into the two things named;
 searched for by itself, and the lists are read in turns, so that neither thing crowds out
 the other.
 
+Feedback: a question that found no support is asked again with the words that weigh most
+in the passages it found.
+
 Defined results: ties go by passage id, of bridges by title; a title without words is no
 bridge, nor is one that a question has found already; a question without a bridge, or
 without two things, keeps its plain list; passages of score 0 take no part in a fusion; null questions find what empty ones do.
@@ -30,6 +33,8 @@ from tarnwick.session import stored
 
 #: Words of a title that can be a bridge, bridges of a question, and the constant of reciprocal ranks.
 TITLE_WORDS, BRIDGES, RANK_BASE = 8, 3, 60
+#: Words that feedback adds to a question, and the letters of the shortest of them.
+FEEDBACK_TERMS, TERM_LETTERS = 5, 4
 #: Two things, each of up to four words, around the first "or" or "and" (group 1 and group 2).
 TWO_THINGS = r"((?:[^\s,;:.?!]+ ){0,3}[^\s,;:.?!]+) (?:or|and) ((?:[^\s,;:.?!]+ ){0,3}[^\s,;:.?!]+)"
 #: Words that only ask.
@@ -104,3 +109,33 @@ def compared(questions: DataFrame, index: DataFrame, embedder, k: int = 10) -> D
     once = found.groupBy("query_id", "passage_id").agg(F.min(turn).alias("turn"), F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy("turn")  # a turn names one list and one place in it
     return once.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "passage_id", "score")
+
+
+def feedback_terms(questions: DataFrame, retrieved: DataFrame, most: int = FEEDBACK_TERMS) -> DataFrame:
+    """query_id, place (from 1), term, weight: the words that speak most for a question's passages and are not in it.
+
+    A word weighs the sum over the passages of its share of their words times their
+    scores, times the logarithm of one more than the questions asked per question in whose
+    passages it occurs. Words of less than ``TERM_LETTERS`` letters do not count; passages of score 0 say nothing.
+    """
+    words = lambda x: F.filter(_words(x), lambda w: F.length(w) >= TERM_LETTERS)
+    read = retrieved.filter("score > 0").join(questions.select("query_id"), "query_id", "left_semi").select("query_id", "score", words(F.concat_ws(" ", "title", "text")).alias("w"))
+    each = read.filter(F.size("w") > 0).select("query_id", (F.col("score") / F.size("w")).alias("part"), F.explode("w").alias("term"))
+    sums = each.groupBy("query_id", "term").agg(F.sum("part").alias("tf"))
+    asked = questions.agg(F.count(F.lit(1)).alias("asked"))  # one row
+    spread = sums.groupBy("term").agg(F.count(F.lit(1)).alias("in_questions")).crossJoin(F.broadcast(asked))
+    own = questions.select("query_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
+    new = sums.join(spread, "term").join(own, ["query_id", "term"], "left_anti")
+    new = new.withColumn("weight", F.round(F.col("tf") * F.log(1 + F.col("asked") / F.col("in_questions")), PLACES))
+    order = W.partitionBy("query_id").orderBy(F.desc("weight"), "term")
+    return new.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most).select("query_id", "place", "term", "weight")
+
+
+def widened(questions: DataFrame, retrieved: DataFrame, most: int = FEEDBACK_TERMS) -> DataFrame:
+    """query_id and text: questions without words that only ask, and with the feedback terms of their passages."""
+    terms = feedback_terms(questions, retrieved, most)
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "term"))), lambda t: t["term"]), " ")
+    short = F.trim(F.regexp_replace(F.regexp_replace(F.lower("text"), ASKING, " "), r"\s+", " "))
+    kept = F.when(F.length(short) > 0, short).otherwise(F.col("text"))
+    added = terms.groupBy("query_id").agg(listed.alias("terms"))
+    return questions.join(added, "query_id", "left").select("query_id", F.concat_ws(" ", kept, "terms").alias("text"))

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnwick.operators import strategies
+from tarnwick.operators import generate, strategies
 from tarnwick.operators.embed import HashingEmbedder
+from tarnwick.operators.retrieve import with_passages
 from tarnwick.plans import agent
-from tarnwick.plans.queries import _CLASS, _K, _NORMAL, _benchmark, _documents, _index, _search
+from tarnwick.plans.queries import _CLASS, _K, _NORMAL, _SHORT, _benchmark, _documents, _index, _said, _search, _verified
+from tarnwick.schemas import Config
+from tarnwick.session import stored
 
 
 def _listed(found):
@@ -44,7 +47,22 @@ def retrieve_by_class(spark, d):
     return _listed(agent.retrieve_by_class(_phrased(spark, d), _index(spark, d), HashingEmbedder(256)))
 
 
-QUERIES = {f.__name__: f for f in (retrieve_two_hop, bridge_titles, retrieve_compared, retrieve_by_class)}
+def reformulated_questions(spark, d):
+    """Every benchmark item with the words that speak for the passages it finds."""
+    items, index = _benchmark(spark, d), _index(spark, d)
+    found = with_passages(strategies.search(items, index, HashingEmbedder(256), 10), index)
+    return strategies.widened(items, stored(found, "feedback-found"))
+
+
+def agent_loop_feedback(spark, d):
+    """Every benchmark item through the loop that asks again with feedback."""
+    e, index = HashingEmbedder(256), _index(spark, d)
+    retrieve = lambda q: stored(agent.adaptive(with_passages(strategies.search(q, index, e, max(agent.TOP_K.values())), index), q), "feedback-found")
+    answer = lambda q, found: generate.stub_answers(q, found, Config().threshold)
+    return agent.agent_loop(_benchmark(spark, d), retrieve, answer, max_iterations=Config().max_iterations, again=strategies.widened)
+
+
+QUERIES = {f.__name__: f for f in (retrieve_two_hop, bridge_titles, retrieve_compared, retrieve_by_class, reformulated_questions, agent_loop_feedback)}
 
 _JOINED = lambda x: rf"array_to_string(list_filter(string_split_regex({_NORMAL(x)}, '\s+'), lambda t: t != ''), ' ')"
 _COUNT = lambda x: f"len(string_split({x}, ' '))"
@@ -86,6 +104,33 @@ thing as materialized (select row_number() over () as tid, qid, part, text from
   (select t.qid, did, min((rank, part)) as turn, max(score) as score from each e join thing t on e.qid = tid group by all)) where rank <= 10)"""
 
 
+def _widened(name: str, questions: str, found: str) -> str:
+    """CTEs, the last of them ``name``: qid, text of ``questions`` (qid, text) with the feedback of the lists in ``found``."""
+    split = lambda x: rf"list_filter(string_split_regex({_NORMAL(x)}, '\s+'), lambda t: t != '')"
+    return rf"""
+{name}_read as (select qid, score, list_filter({split("(title || ' ' || text)")}, lambda t: length(t) >= {strategies.TERM_LETTERS}) as w from {found} join dt using (did) where score > 0 and qid in (select qid from {questions})),
+{name}_sums as materialized (select qid, term, sum(part) as tf from (select qid, score / len(w) as part, unnest(w) as term from {name}_read where len(w) > 0) group by all),
+{name}_new as (select s.qid, term, round(tf * ln(1 + (select count(*) from {questions}) / n), 9) as weight from {name}_sums s join (select term, count(*) as n from {name}_sums group by 1) using (term)
+  join (select qid, {split('text')} as own from {questions}) q on q.qid = s.qid where not list_contains(own, term)),
+{name}_terms as (select qid, string_agg(term, ' ' order by place) as terms from (select *, row_number() over (partition by qid order by weight desc, term) as place from {name}_new) where place <= {strategies.FEEDBACK_TERMS} group by 1),
+{name} as materialized (select qid, concat_ws(' ', case when length({_SHORT}) > 0 then regexp_replace({_SHORT}, '\s+', ' ', 'g') else text end, terms) as text from {questions} left join {name}_terms using (qid))"""
+
+
+def _feedback_loop() -> str:
+    """CTEs of the loop with feedback; the last, ``looped``, has query_id, status, answer, iterations, confidence."""
+    parts, last = ["p1 as (select item_id as qid, text from benchmark)"], Config().max_iterations
+    for i in range(1, last + 1):
+        parts += [
+            _search(f"r{i}", f"p{i}", "qid"), f"k{i} as materialized (select r{i}.* from r{i} join p{i} using (qid) where rank <= {_K.format(_CLASS)})",
+            _said(f"a{i}", f"p{i}", "qid", f"k{i}"), _verified(f"v{i}", f"a{i}", f"k{i}"), f"q{i} as materialized (select qid, text from p{i} join v{i} on qid = query_id where confidence < 0.8)",
+        ]
+        if i < last:
+            parts.append(_widened(f"p{i + 1}", f"q{i}", f"k{i}"))
+    ends = [f"select query_id, 'SUPPORTED' as status, answer, {i} as iterations, confidence from v{i} where confidence >= 0.8" for i in range(1, last + 1)]
+    ends.append(f"select query_id, 'ABSTAINED' as status, null as answer, {last} as iterations, confidence from v{last} where confidence < 0.8")
+    return ",\n".join([*parts, "looped as (" + " union all ".join(ends) + ")"])
+
+
 _LISTED = "select qid as query_id, rank, did as passage_id, round(score, 6) as score from"
 _PART = lambda a: f"regexp_replace(array_to_string(w[{a}:{a + 2}], ' '), '[,;:.?!]', '', 'g')"
 ORACLE_SQL = {
@@ -99,4 +144,7 @@ plain as (select * from asked where class = 'SIMPLE'), hops as (select * from as
 {_search('p', 'plain', 'id')}, {_search('h', 'hops', 'id')}, {_two_hops('fused', 'hops', 'id', 'h')}, {_compared('turns', 'both_', 'id')}
 {_LISTED} (select qid, rank, did, score from (select p.*, class from p join asked on id = qid) where rank <= {_K.format('class')}
   union all select qid, rank, did, score from fused union all select qid, rank, did, score from turns)""",
+    "reformulated_questions": f"""
+with {_documents()}, b as (select item_id as qid, text from benchmark), {_search('r', 'benchmark', 'item_id')}, {_widened('wide', 'b', 'r')} select qid as query_id, text from wide""",
+    "agent_loop_feedback": f"with {_documents()}, {_feedback_loop()} select query_id, status, answer, cast(iterations as int) as iterations, confidence from looped",
 }

@@ -94,3 +94,37 @@ def test_strategies_over_nothing(spark):
         assert way(asked(spark, "x").limit(0), index, E, 3).count() == 0
         assert way(asked(spark, "x"), index.limit(0), E, 3).count() == 0
     index.unpersist()
+
+
+def test_feedback_adds_what_speaks_for_the_passages(spark):
+    questions = asked(spark, "Who is the owner of the red house?", "zzz", "what is")
+    found = spark.createDataFrame(
+        [(0, "House", "red house owner gardener gardener gardener", 0.9), (0, "x", "house painter", 0.1), (0, "y", "nothing " * 50, 0.0), (1, None, None, 0.5), (2, "of an", "in it", 0.7)],
+        "query_id long, title string, text string, score double",
+    )
+    terms = {(r.query_id, r.place): r.term for r in strategies.feedback_terms(questions, found).collect()}
+    assert terms == {(0, 1): "gardener", (0, 2): "painter"}
+    wide = {r.query_id: r.text for r in strategies.widened(questions, found).collect()}
+    assert wide == {0: "owner red house gardener painter", 1: "zzz", 2: "what is"}
+
+
+def test_second_round_is_supported_only_through_an_added_word(spark):
+    """The first passages do not say the answer; a word in them leads to the one that does."""
+    rows = [(1, "Painter", "lighthouse keeper storm lighthouse painter"), (2, "Mabel Grey", "lighthouse painter storm born mabel grey mabel grey storm"), *FILLER]
+    index = indexed(spark, rows)
+    questions = asked(spark, "who is the keeper")
+
+    def retrieve(q):
+        found = strategies.search(q, index, E, 2)
+        return index.select("passage_id", "title", "text").join(found, "passage_id").select("query_id", "rank", "passage_id", "title", "text", "score")
+
+    # Only the second passage supports an answer, and only where something is common with the question.
+    def answer(q, found):
+        said = found.filter("passage_id = 2 and score > 0").select("query_id", "title")
+        return q.select("query_id").join(said, "query_id", "left").selectExpr("query_id", "coalesce(title, 'unheard thing') as answer")
+
+    plain = agent.agent_loop(questions, retrieve, answer).head()
+    again = agent.agent_loop(questions, retrieve, answer, again=strategies.widened).head()
+    assert (plain.status, plain.answer) == ("ABSTAINED", None)
+    assert (again.status, again.answer, again.iterations) == ("SUPPORTED", "Mabel Grey", 2)
+    index.unpersist()
