@@ -1,0 +1,168 @@
+"""The pipeline, stage after stage on what the stage before has kept, against plain Python over the same rows."""
+
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import pyarrow as pa
+import pytest
+
+import corpus_pipeline
+from tarnwick.llm import packing, pii, toxicity
+from tarnwick.llm.scan import words as scanned
+from tarnwick.session import stored
+from tests.helpers import saved
+from tests.llm.helpers import made_documents, words
+from tests.llm.test_documents_operators import _base_plainly, _components, _pack_plainly, _plain_best, _targets
+
+
+def corpus():
+    """Some 200 rows: the usual cases, toxic texts, personal data, copies near and exact."""
+    rng = random.Random(12)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = [r[:5] for r in made_documents(90, seed=12, long=False)]
+    for i in range(100):
+        text = plain(rng.randint(20, 70))
+        if i % 6 == 0:
+            text += " grum vilest grum"
+        if i % 7 == 0:
+            text += rng.choice([" write me.too@mail.example.org", " at 10.20.30.40", " card 4111 1111 1111 1111 now", " call +1 743 555 3824", " or (743) 555-3824 at home"])
+        rows.append((1000 + i, text, "en", rng.choice("abc"), i))
+    for i in range(10):
+        w = rows[-1 - i][1].split()
+        w[3] = f"edit{i}"
+        rows.append((2000 + i, " ".join(w), "en", "a", None))
+    labels = [(1000 + i, int(i % 6 == 0)) for i in range(80)]
+    return rows, labels
+
+
+def _probability(model, text, weight):
+    letters = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+    counted = Counter()
+    for word in (text or "").encode().translate(letters).split():
+        w = next(scanned(pa.array([word], pa.binary()), table=None))
+        counted.update([int(w.hashes()[0]), *(int(w.prefix_hashes(n)[0]) for n in toxicity.PREFIXES)])
+    z = sum(weight[f] * (1 + math.log(n)) for f, n in counted.items() if f in weight)
+    return 1 / (1 + math.exp(min(500, max(-500, model.thresholds[0] - z))))
+
+
+def _masked(text, weights):
+    """Base spans by plain patterns; the spans of the best segmentation that touch none of them; each union of spans becomes a mark."""
+    if not text:
+        return text
+    base = _base_plainly(text)
+    spans = list(base)
+    for tokens in pii.stretches(text):
+        for s, k, e in _plain_best(text, tokens, weights, pii.LEAD):
+            if not any(s < b and a < e for a, _, b in base):
+                spans.append((s, k, e))
+    out, at = "", 0
+    for s, k, e in sorted(spans):
+        if s >= at:
+            out += text[at:s] + f"<{pii.KINDS[k]}>"
+        at = max(at, e)
+    return out + text[at:]
+
+
+def _rows(df):
+    return [tuple(r) for r in df.collect()]
+
+
+def test_every_stage_is_that_of_plain_python(spark, tmp_path):
+    rows, labels = corpus()
+    folder = saved(spark, rows, tmp_path, schema="doc_id long, text string, lang string, source string, n_chars long")
+    saved(spark, labels, tmp_path, "labels", "doc_id long, toxic int")
+    docs, stages = spark.read.parquet(f"{folder}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["toxicity", "near_duplicates", "personal_data", "mixing", "packing"]
+    there = _rows(docs)
+    assert Counter(there) == Counter(rows)
+
+    model = toxicity.fit(toxicity.labelled(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+    weight = dict(zip(model.names.tolist(), model.weights.tolist()))
+    clean = stored(stages["toxicity"](spark, docs, folder), "test-clean")
+    want = [r for r in there if _probability(model, r[1], weight) < toxicity.REJECT]
+    assert clean.columns == docs.columns and Counter(_rows(clean)) == Counter(want)
+    toxic = {1000 + i for i in range(0, 100, 6)}
+    assert toxic.isdisjoint(r[0] for r in want) and {1000 + i for i in range(100)} - toxic <= {r[0] for r in want}
+
+    single = stored(stages["near_duplicates"](spark, clean, folder), "test-single")
+    sets, root = _components(want, 5, 80)
+    groups = defaultdict(list)
+    for r, s, c in zip(want, sets, root):
+        groups[c if s else ("blank", len(groups))].append(r)
+    kept = Counter(_rows(single))
+    least = lambda own: min((r[0] is None, r[0] or 0) for r in own)
+    for key, own in groups.items():
+        mine = [r for r in own if r in kept]
+        if isinstance(key, int):  # of the smallest id one row; rows of one id and text may differ in other columns
+            assert [(r[0] is None, r[0] or 0) for r in set(mine)] == [least(own)] and kept[mine[0]] == 1
+        else:
+            assert mine == own
+    assert sum(kept.values()) == len(groups) < len(want)
+
+    redacted = stored(stages["personal_data"](spark, single, folder), "test-redacted")
+    weights = pii.fitted()
+    masked = Counter((r[0], _masked(r[1], weights), *r[2:]) for r in kept.elements())
+    assert Counter(_rows(redacted)) == masked
+    assert sum("<email>" in (r[1] or "") or "<phone>" in (r[1] or "") for r in masked) >= 3
+
+    mixed = stored(stages["mixing"](spark, redacted, folder), "test-mixed")
+    copies, sizes = Counter(_rows(mixed)), defaultdict(int)
+    assert mixed.columns == docs.columns and set(copies) <= set(masked)
+    for r, n in masked.items():
+        sizes[r[3]] += n * len(words(r[1]))
+    targets, taken, largest = _targets(sizes), Counter(), defaultdict(int)
+    for r, n in masked.items():
+        rate = targets[r[3]] / sizes[r[3]]
+        assert n * math.floor(rate + 1e-9) <= copies[r] <= n * math.ceil(rate - 1e-9)
+        taken[r[3]] += copies[r] * len(words(r[1]))
+        largest[r[3]] = max(largest[r[3]], len(words(r[1])))
+    assert all(abs(taken[s] - targets[s]) <= largest[s] for s in sizes)  # one document of each source is rounded
+
+    packed = stages["packing"](spark, mixed, folder).collect()
+    encode = packing.encoder(packing.tokenizer_path()).whole.encode
+    pieces = Counter()
+    for r, n in copies.items():
+        ids = [*encode(r[1] or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or min(2048, len(ids))
+        cuts = [0, *range(first, len(ids), 2048), len(ids)]
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            pieces[r[0], i, a, b - a, zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[a:b]))] += n
+    assert Counter(tuple(r)[:5] for r in packed) == pieces
+    bins = defaultdict(list)
+    for r in packed:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(bins) == _pack_plainly([r.length for r in packed], 2048)
+
+    # All stages in a row give what they gave one by one.
+    assert Counter(tuple(r)[:5] for r in corpus_pipeline.run(spark, folder).collect()) == pieces
+
+
+def test_edges_through_all_stages(spark, tmp_path):
+    """Nulls in every column, blanks, a very long text, repeated rows: what the last stage has is from what the first one got."""
+    rows = made_documents()
+    folder = saved(spark, rows, tmp_path)
+    saved(spark, [(1, 1), (4, 0), (None, 1), (5, None), (4, 0)], tmp_path, "labels", "doc_id long, toxic int")
+    got = corpus_pipeline.run(spark, folder).collect()
+    by_id = defaultdict(list)
+    for r in rows:
+        by_id[r[0]].append(r[1])
+    assert {r.doc_id for r in got} <= set(by_id)
+    encode = packing.encoder(packing.tokenizer_path()).whole.encode
+    longest = max(len(encode(t or "", add_special_tokens=False).ids) + 1 for t in by_id[120])
+    assert sum(r.length for r in got if r.doc_id == 120) in (longest, 2 * longest)
+    assert Counter(r.piece for r in got if r.doc_id == 120)[0] in (1, 2)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 0)]])
+def test_nothing_through_all_stages(spark, tmp_path, labels):
+    folder = saved(spark, [], tmp_path)
+    saved(spark, labels, tmp_path, "labels", "doc_id long, toxic int")
+    assert corpus_pipeline.run(spark, folder).count() == 0
