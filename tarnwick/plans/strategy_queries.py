@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tarnwick.operators import generate, strategies
 from tarnwick.operators.embed import HashingEmbedder
 from tarnwick.operators.retrieve import with_passages
 from tarnwick.plans import agent
-from tarnwick.plans.queries import _CLASS, _K, _NORMAL, _SHORT, _benchmark, _documents, _index, _said, _search, _verified
+from tarnwick.plans.queries import _CLASS, _K, _NORMAL, _SHORT, _benchmark, _documents, _found, _index, _questions, _said, _search, _verified
+from tarnwick.plans.queries import ORACLE_SQL as _SQL
 from tarnwick.schemas import Config
-from tarnwick.session import stored
+from tarnwick.session import new_table_path, stored
 
 
 def _listed(found):
@@ -62,7 +65,28 @@ def agent_loop_feedback(spark, d):
     return agent.agent_loop(_benchmark(spark, d), retrieve, answer, max_iterations=Config().max_iterations, again=strategies.widened)
 
 
-QUERIES = {f.__name__: f for f in (retrieve_two_hop, bridge_titles, retrieve_compared, retrieve_by_class, reformulated_questions, agent_loop_feedback)}
+def _failing_service():
+    """A stand-in for a service: it answers with the prompt's hash, but for one prompt in ten it fails."""
+
+    def ask(text: str) -> str:
+        h = hashlib.md5(text.encode()).hexdigest()
+        if int(h[:4], 16) % 10 == 0:
+            raise ConnectionError("busy")
+        return f" {h} "
+
+    return ask
+
+
+def answers_kept(spark, d):
+    """Prompts of all questions answered by a service that fails for some, twice over the same kept answers."""
+    prompted, folder = generate.prompts(_questions(spark, d), _found(spark, d)), new_table_path(spark, "kept-answers")
+    prompted = stored(prompted.select("query_id", "prompt"), "prompted")
+    for _ in range(2):
+        said = generate.kept_answers(prompted, _failing_service, folder, tries=1, slice_rows=200)
+    return said
+
+
+QUERIES = {f.__name__: f for f in (retrieve_two_hop, bridge_titles, retrieve_compared, retrieve_by_class, reformulated_questions, agent_loop_feedback, answers_kept)}
 
 _JOINED = lambda x: rf"array_to_string(list_filter(string_split_regex({_NORMAL(x)}, '\s+'), lambda t: t != ''), ' ')"
 _COUNT = lambda x: f"len(string_split({x}, ' '))"
@@ -147,4 +171,7 @@ plain as (select * from asked where class = 'SIMPLE'), hops as (select * from as
     "reformulated_questions": f"""
 with {_documents()}, b as (select item_id as qid, text from benchmark), {_search('r', 'benchmark', 'item_id')}, {_widened('wide', 'b', 'r')} select qid as query_id, text from wide""",
     "agent_loop_feedback": f"with {_documents()}, {_feedback_loop()} select query_id, status, answer, cast(iterations as int) as iterations, confidence from looped",
+    "answers_kept": f"""
+select query_id, case when cast('0x' || substr(h, 1, 4) as int) % 10 != 0 then h end as answer, case when cast('0x' || substr(h, 1, 4) as int) % 10 = 0 then 'ConnectionError: busy' end as error
+from (select query_id, md5(prompt) as h from ({_SQL['prompt_full']}))""",
 }

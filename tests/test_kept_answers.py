@@ -1,0 +1,99 @@
+"""Answers of a service that fails now and then: every prompt is answered or listed, none is asked twice."""
+
+import json
+import threading
+from collections import Counter
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import pytest
+
+from tarnwick.operators import generate
+
+
+@pytest.fixture
+def service():
+    """Fails the first call of every tenth prompt, counts calls, and how many are under way at once."""
+    calls, lock, most, now = Counter(), threading.Lock(), [0], [0]
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            text = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][0]["content"]
+            with lock:
+                calls[text] += 1
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+                first = calls[text] == 1
+            n = int(text.split()[1])
+            bad = (n % 10 == 0 and first) or n == 77
+            threading.Event().wait(0.01)
+            body = json.dumps({"message": {"content": f" answer {n}\n"}}).encode()
+            with lock:
+                now[0] -= 1
+            self.send_response(503 if bad else 200)
+            self.end_headers()
+            self.wfile.write(b"" if bad else body)
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/", calls, most
+    server.shutdown()
+
+
+def prompts(spark, n):
+    rows = [(i, f"prompt {i}") for i in range(n)] + [(1000, "prompt 3"), (1001, None), (3, "prompt 3")]
+    return spark.createDataFrame(rows, "query_id long, prompt string").repartition(3)
+
+
+def test_failures_are_rows_and_nothing_is_asked_twice(spark, tmp_path, service):
+    url, calls, most = service
+    folder, connect = f"file://{tmp_path}/answers", generate.chat_service(url, "m")
+    said = lambda: {(r.query_id, r.answer, r.error and r.error.split(":")[0]) for r in generate.kept_answers(prompts(spark, 200), connect, folder, in_flight=4, tries=1, slice_rows=60).collect()}
+    other = {(1000, "answer 3", None), (1001, None, None)}
+    first = said()
+    assert first == {(i, None, "HTTPError") if i % 10 == 0 or i == 77 else (i, f"answer {i}", None) for i in range(200)} | other
+    assert set(calls.values()) == {1} and len(calls) == 200 and 1 < most[0] <= 3 * 4
+    # The next run asks for what has failed alone.
+    second = said()
+    assert second == {(i, None, "HTTPError") if i == 77 else (i, f"answer {i}", None) for i in range(200)} | other
+    assert all(n == (2 if int(p.split()[1]) % 10 == 0 or p == "prompt 77" else 1) for p, n in calls.items())
+    before = sum(calls.values())
+    assert said() == second and sum(calls.values()) == before + 1
+
+
+def test_a_job_that_ends_early_keeps_its_slices(spark, tmp_path, service, monkeypatch):
+    url, calls, _ = service
+    folder, ask = f"file://{tmp_path}/answers", generate.chat_service(url, "m")
+    broken = f"{tmp_path}/broken"
+    open(broken, "w").close()
+
+    def connect():
+        import os
+
+        said = ask()
+
+        def one(text):
+            if os.path.exists(broken) and text.endswith("9"):
+                os._exit(1)  # the worker is lost, and with it the task
+            return said(text)
+
+        return one
+
+    with pytest.raises(Exception):
+        generate.kept_answers(prompts(spark, 40), connect, folder, tries=2, wait=0.0, slice_rows=4).collect()
+    kept = {r.answer for r in generate._answered(spark, folder).collect()} if generate._answered(spark, folder) is not None else set()
+    import os
+
+    os.remove(broken)
+    before = Counter(calls)
+    got = generate.kept_answers(prompts(spark, 40), connect, folder, tries=2, wait=0.0, slice_rows=4).collect()
+    assert {r.answer for r in got if r.query_id < 40} == {f"answer {i}" for i in range(40)} and all(r.error is None for r in got)
+    for a in kept:
+        assert calls[f"prompt {a.split()[1]}"] == before[f"prompt {a.split()[1]}"]
+
+
+def test_no_prompts(spark, tmp_path):
+    assert generate.kept_answers(prompts(spark, 0).filter("prompt is null"), lambda: str, f"file://{tmp_path}/a").collect() == [(1001, None, None)]
+    assert generate.kept_answers(prompts(spark, 0).limit(0), lambda: str, f"file://{tmp_path}/b").count() == 0
