@@ -10,7 +10,7 @@ itself. Pieces then find their place in the plan by their rank within their leng
 
 Ranks come from 256 salts per length: a row number within (length, salt) and the
 counts of all (length, salt) pairs, a table of fixed size. So a length that a third
-of all pieces share is ranked by 256 tasks, and no documents reach the driver.
+of all pieces share, or a third of equal rows, is ranked by 256 tasks, and no documents reach the driver.
 
 Defined results: a null text counts as empty, which is the end token alone; repeated
 rows are packed apart; an empty table packs into nothing; extra columns are not
@@ -28,6 +28,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,7 +160,7 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def _pieces(path: str, capacity: int, end: int, with_ids: bool):
     def cut(batches):
-        enc = batch_encoder(path)
+        enc, made = batch_encoder(path), TaskContext.get().partitionId()
         for batch in batches:
             ids, bounds = enc.ids(batch.column("text"), end)
             n = np.diff(bounds)
@@ -174,7 +175,9 @@ def _pieces(path: str, capacity: int, end: int, with_ids: bool):
             crc = np.fromiter((zlib.crc32(x) for x in own), dtype=np.int64, count=len(own))
             columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)]
             columns += [pa.array([x.astype(np.int64) for x in own], pa.list_(pa.int64()))] * with_ids
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+            salt = (made + np.arange(len(own))) % SALTS
+            made += len(own)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(salt.astype(np.int32))], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)] + ["salt"])
 
     return cut
 
@@ -248,8 +251,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, w
     spark = docs.sparkSession
     rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = _PIECE + ", ids array<long>" * with_ids
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(SALTS)).cast("int")
-    pieces = stored(rows.mapInArrow(_pieces(path, capacity, end, with_ids), schema).withColumn("salt", salt), "pieces")
+    # A salt is a piece's place in the task that writes it, so equal rows have different ones; written once, it is the same wherever it is read.
+    pieces = stored(rows.mapInArrow(_pieces(path, capacity, end, with_ids), schema + ", salt int"), "pieces")
     table = (
         pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("length").agg(F.sort_array(F.collect_list(F.struct("salt", "n"))).alias("by"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnwick.llm import jaccard, mixing, substrings
+from tarnwick.llm import jaccard, mixing, packing, substrings
 from tests.helpers import saved
 from tests.llm.helpers import made_documents
 
@@ -73,3 +73,14 @@ def test_all_stages_of_the_pipeline_keep_clashing_columns(spark, tmp_path):
             assert tuple(r)[5:] in there, name
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, f"file://{tmp_path}")
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in there.values()}
+
+
+def test_packing_deals_equal_rows_over_all_salts(spark, monkeypatch):
+    docs = spark.range(20_000).selectExpr("7L as doc_id", f"'{TEXT}' as text").repartition(4)
+    kept = []
+    whole = packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df, name: kept.append(whole(df, name)) or kept[-1])
+    out = packing.pack(docs, packing.tokenizer_path(), 256)
+    assert out.selectExpr("count(*) = 20000 and count(distinct sequence_id, offset) = 20000 and max(offset + length) <= 256 as ok").head().ok
+    counts = [r["count"] for r in kept[0].groupBy("salt").count().collect()]
+    assert len(counts) == packing.SALTS and max(counts) < 2 * 20_000 / packing.SALTS
