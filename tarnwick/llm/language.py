@@ -19,16 +19,18 @@ an empty table gives an empty result. Whole texts are counted, whatever their le
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwick.session import drop_stored, stored
+
 from .common import bounded_sample, documents, text_batches
 from .scan import LETTERS, column_bytes, pieces
 
@@ -127,7 +129,11 @@ def sample(docs: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) ->
 
 
 def fit(rows: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, slack: float = SLACK) -> Centroids:
-    """Fit the centroids of a bounded sample (lang, text); the texts' counts are made on the executors."""
+    """Fit the centroids of a bounded sample (lang, text).
+
+    Counts and clusters are made on the executors, one language's sample in a task; the
+    driver gets ``clusters`` vectors of each language, 32 kB each.
+    """
 
     def count(batches):
         for batch in batches:
@@ -139,25 +145,39 @@ def fit(rows: DataFrame, clusters: int = CLUSTERS, rounds: int = ROUNDS, slack:
                     names=["lang", "at", "n"],
                 )
 
-    found = sorted(rows.mapInArrow(count, "lang string, at binary, n binary").collect())  # of bounded size
-    seen = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
-    for _, at, _ in found:
-        seen[np.frombuffer(at, dtype=np.uint16)] += 1
-    idf = np.log((1 + len(found)) / (1 + seen)).astype(np.float32) + np.float32(1)
-    langs, vectors, lang_of, far = [], [], [], []
-    for i, (lang, rows_of) in enumerate(itertools.groupby(found, key=lambda r: r[0])):  # one language's matrix at a time
-        parts = list(rows_of)
+    found = stored(rows.mapInArrow(count, "lang string, at binary, n binary"), "language-sample")
+
+    def seen_in(batches):
+        seen, n = np.zeros(1 << BUCKET_BITS, dtype=np.int64), 0
+        for batch in batches:
+            n += batch.num_rows
+            for at in batch.column("at").to_pylist():
+                seen[np.frombuffer(at, dtype=np.uint16)] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(len(seen)), -1)), pa.array(np.append(seen, n))], names=["bucket", "n"])
+
+    total = {r["bucket"]: r["n"] for r in found.mapInArrow(seen_in, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}  # a row per bucket
+    seen = np.array([total.get(b, 0) for b in range(1 << BUCKET_BITS)])
+    idf = np.log((1 + total.get(-1, 0)) / (1 + seen)).astype(np.float32) + np.float32(1)
+    langs = sorted(r["lang"] for r in found.select("lang").distinct().collect())  # a name per language
+    shared = rows.sparkSession.sparkContext.broadcast((idf, {lang: i for i, lang in enumerate(langs)}))
+
+    def centroids(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The clusters of one language, from its sample."""
+        idf, number = shared.value
+        parts = sorted(zip(pdf["at"], pdf["n"]))  # however the rows arrive
         own = np.zeros((len(parts), 1 << BUCKET_BITS), dtype=np.float32)
-        for row, (_, at, n) in zip(own, parts):
+        for row, (at, n) in zip(own, parts):
             row[np.frombuffer(at, dtype=np.uint16)] = np.frombuffer(n, dtype=np.float32)
-        own = unit_rows(own, idf)
-        langs.append(lang)
+        own, i = unit_rows(own, idf), number[pdf["lang"].iloc[0]]
         c, at = cluster(own, clusters, rounds, seed=i)
-        vectors.append(c)
-        lang_of += [i] * len(c)
-        far += [min(1.0, slack * _reach(own[at == j])) for j in range(len(c))]
-    vectors = np.concatenate(vectors) if vectors else np.zeros((0, 1 << BUCKET_BITS))
-    return Centroids(idf, langs, np.array(lang_of, dtype=np.int64), vectors.astype(np.float32), np.array(far))
+        far = [min(1.0, slack * _reach(own[at == j])) for j in range(len(c))]
+        return pd.DataFrame({"i": i, "j": range(len(c)), "vector": [x.astype(np.float32).tobytes() for x in c], "far": far})
+
+    made = sorted(found.groupBy("lang").applyInPandas(centroids, "i int, j int, vector binary, far double").collect(), key=lambda r: (r["i"], r["j"]))  # some rows a language
+    shared.destroy()
+    drop_stored(found)
+    vectors = np.stack([np.frombuffer(r["vector"], dtype=np.float32) for r in made]) if made else np.zeros((0, 1 << BUCKET_BITS), dtype=np.float32)
+    return Centroids(idf, langs, np.array([r["i"] for r in made], dtype=np.int64), vectors, np.array([r["far"] for r in made]))
 
 
 def identify(docs: DataFrame, model: Centroids) -> DataFrame:
