@@ -147,7 +147,8 @@ def mix(
         n_words(F.col("text").cast("string")).alias("size"),
     )
     sized = stored(sized, "mix-sizes")
-    targets = stored(source_targets(sized, weights, share, cap), "mix-targets")
+    n_rows = sized.count()
+    targets = stored(source_targets(sized, weights, share, cap), "mix-targets", rows=n_rows)
     if targets.count() <= BROADCAST_SOURCES:
         targets = F.broadcast(targets)
     same = sized["source"].eqNullSafe(targets["source"])
@@ -162,7 +163,7 @@ def mix(
         F.when(F.col("p") > TINY, (unit_hash(F.lit(seed), F.col("key")) < F.col("p")).cast("double")).otherwise(F.lit(0.0)).alias("p"),
     )
     live = rated.filter(~small).groupBy("key", "doc_id", "size", *about, "p").agg(F.count(F.lit(1)).alias("n"))
-    live = stored(live.withColumn("whole", F.floor(F.col("n") * F.col("p") + TINY).cast("long")), "mix-live")
+    live = stored(live.withColumn("whole", F.floor(F.col("n") * F.col("p") + TINY).cast("long")), "mix-live", rows=n_rows)
     most = live.groupBy("source").count().agg(F.max("count")).head()[0] or 0
     # Of n equal rows all but one are settled here, some at a time; the last one carries what is left.
     equal = live.filter("n > 1").withColumn("part", F.explode(F.expr(f"sequence(0L, (n - 2) div {EQUAL_ROWS})")))
@@ -182,7 +183,7 @@ def mix(
             .agg(F.sort_array(F.collect_list(F.struct("key", "doc_id", "size", "p"))).alias("docs"))
             .select(*about, _fold(seed + level).alias("f"))
         )
-        folded = stored(folded, f"mix-level{level}")
+        folded = stored(folded, f"mix-level{level}", rows=n_rows)
         done = folded.select(*about, F.explode("f.done").alias("d"))
         out = out.unionByName(done.select("d.key", "d.doc_id", "d.size", *about, "d.p"))
         live = folded.filter("f.left is not null").select("f.left.key", "f.left.doc_id", "f.left.size", *about, "f.left.p")
