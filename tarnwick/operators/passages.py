@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnwick.session import stored
+
 #: Examples per range of the running total; each range is one task's work.
 RANGE = 100_000
+#: Examples of the first range of an early cap, and how much longer each further range is.
+FIRST_RANGE, GROWTH = 10_000, 4
 #: An example holds fewer passages than this.
 PLACES = 1 << 20
 
@@ -63,6 +67,36 @@ def capped(flat: DataFrame, cap: int) -> DataFrame:
     return capped_by(flat, [cap]).drop("cap")
 
 
+def capped_early(examples: DataFrame, cap: int, first: int = FIRST_RANGE, growth: int = GROWTH) -> tuple[DataFrame, int]:
+    """The passages of ``capped``, and the number of examples that were read for them.
+
+    Examples are read in ranges of ``example_ord``, each ``growth`` times as long as the one
+    before, until the cap holds; nothing beyond is read. The bounds of a range reach the
+    scan, so where files are sorted by ``example_ord`` only those of the range are opened. A
+    range's passages are those whose titles no earlier range has had. At most ``growth`` times
+    the examples that the cap needs are read, and ``first`` at least.
+    """
+    ends = examples.agg(F.min("example_ord"), F.max("example_ord")).head()  # from the files' statistics, where they have them
+    out, total, read, low = None, 0, 0, ends[0]
+    while low is not None and low <= ends[1] and (total == 0 or total < cap):
+        high = low + first
+        own = examples.filter((F.col("example_ord") >= low) & (F.col("example_ord") < high))
+        new = first_seen(flatten(own))
+        if out is not None:
+            new = new.join(out.select(F.col("title").alias("_title")), F.col("title").eqNullSafe(F.col("_title")), "left_anti")
+        new = stored(new, "capped-range")
+        counted = running_total(new.groupBy("example_ord").agg(F.count(F.lit(1)).alias("n")), "example_ord", "n", "before")
+        counted = counted.withColumn("before", F.col("before") + total)
+        # As in ``capped``: the very first example with passages is in, whatever the cap.
+        kept = new.join(counted.filter((F.col("before") == 0) | (F.col("before") < cap)).select("example_ord"), "example_ord", "left_semi")
+        total, read = total + new.count(), read + own.count()
+        out = kept if out is None else out.unionByName(kept)
+        low, first = high, first * growth
+    if out is None:
+        out = first_seen(flatten(examples))
+    return out, read
+
+
 def unique(flat: DataFrame) -> DataFrame:
     """One row: the number of different passages."""
     return flat.agg(F.count_distinct(F.coalesce("title", F.lit("")), F.col("title").isNull()).alias("n"))

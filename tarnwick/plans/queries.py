@@ -55,6 +55,14 @@ def passages_capped(spark, d):
     return passages.capped_by(_flat(spark, d), CAPS).select("cap", "example_ord", "pos", "title")
 
 
+def passages_capped_early(spark, d):
+    """The passages of a cap from examples that are sorted by their order, read only as far as the cap needs."""
+    path = new_table_path(spark, "sorted-examples")
+    write_examples(examples_from_documents(table(spark, d, "documents")).repartitionByRange("example_ord").sortWithinPartitions("example_ord"), path, "train")
+    found, read = passages.capped_early(read_examples(spark, path, "train"), 300, first=8)
+    return found.select("example_ord", "pos", "title", F.lit(read).cast("long").alias("examples_read"))
+
+
 def unique_passages(spark, d):
     return passages.unique(_flat(spark, d))
 
@@ -365,7 +373,7 @@ def question_stream(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        examples_scan, typed_questions, passages_flatten, passages_first_seen, passages_capped, unique_passages, l2_normalize, retrieve_topk_dense, retrieve_topk_bounded, retrieve_topk_expressions, retrieve_topk_text,
+        examples_scan, typed_questions, passages_flatten, passages_first_seen, passages_capped, passages_capped_early, unique_passages, l2_normalize, retrieve_topk_dense, retrieve_topk_bounded, retrieve_topk_expressions, retrieve_topk_text,
         prompt_context, prompt_full, normalized_answers, stripped_turns, question_pairs, exact_match_eval, eval_summary, eval_sample_prefix,
         eval_report_line, eval_report_files, rag_answer_stub, retrieved_titles, report_blocks, macro_f1, accuracy, query_class_samples, query_class,
         index_build_load, index_of_changed_source, index_from_examples, rag_questions, rag_results, rag_report, evaluate_rag, eval_report_object, stage_comparison, agent_loop, four_stage_eval, question_stream,
@@ -474,6 +482,12 @@ ORACLE_SQL = {
 with f as ({_FIRST}), n as (select e.example_ord, count(f.title) as n from (select distinct doc_id // 10 as example_ord from documents) e left join f using (example_ord) group by 1),
 b as (select example_ord, coalesce(sum(n) over (order by example_ord rows between unbounded preceding and 1 preceding), 0) as before, row_number() over (order by example_ord) as o from n)
 select cast(cap as bigint) as cap, example_ord, pos, title from f join b using (example_ord), unnest([{", ".join(map(str, CAPS))}]) c(cap) where o = 1 or before < cap""",
+    "passages_capped_early": f"""
+with f as ({_FIRST}), e as (select distinct doc_id // 10 as example_ord from documents), n as (select e.example_ord, count(f.title) as n from e left join f using (example_ord) group by 1),
+b as (select example_ord, n, coalesce(sum(n) over (order by example_ord rows between unbounded preceding and 1 preceding), 0) as before from n),
+u as (select example_ord, n, sum(n) over (order by example_ord) as upto, example_ord - (select min(example_ord) from e) as nth from b),
+r as (select min(x) as x from (values (8), (40), (168), (680), (2728), (10920), (43688), (174760), (699048)) v(x) where coalesce((select max(upto) from u where nth < x), 0) >= 300 or x > (select max(nth) from u))
+select example_ord, pos, title, (select count(*) from u where nth < (select x from r)) as examples_read from f join b using (example_ord) where before = 0 or before < 300""",
     "l2_normalize": """
 select vec_id, i - 1 as i, round(case when n = 0 then x else x / n end, 6) as x from (
   select vec_id, unnest(range(1, len(embedding) + 1)) as i, unnest(list_transform(embedding, lambda x: cast(x as double))) as x,
