@@ -2,6 +2,7 @@ import os
 import shutil
 import subprocess
 import sys
+import warnings
 from pathlib import Path
 
 import pytest
@@ -45,6 +46,23 @@ def test_nothing_else_needs_the_optional_subpackage(without_optional):
     assert done.returncode == 0 and int(done.stdout) == len(QUERIES) + len(JOBS), done.stderr
 
 
+def test_what_else_is_missing_is_told(monkeypatch):
+    """A missing library takes the optional queries away with a word, the missing subpackage without one."""
+    def fail(missing):
+        def importing(name):
+            raise ModuleNotFoundError(f"No module named '{missing}'", name=missing)
+
+        return importing
+
+    monkeypatch.setattr(entry.importlib, "import_module", fail("xxhash"))
+    with pytest.warns(UserWarning, match="xxhash"):
+        assert set(entry.queries()) == set(QUERIES) | set(JOBS)
+    monkeypatch.setattr(entry.importlib, "import_module", fail("tarnwick.llm"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert set(entry.queries()) == set(QUERIES) | set(JOBS)
+
+
 def test_no_other_test_needs_the_optional_tests(without_optional):
     """All tests of the copy are found without an error."""
     done = without_optional("-m", "pytest", "tests", "--collect-only", "-q", "-p", "no:cacheprovider")
