@@ -19,7 +19,7 @@ from tarnwick.schemas import Config
 from tarnwick.session import new_table_path, stored
 from tarnwick.sources import index as index_
 from tarnwick.sources.tables import examples_from_documents, question_answer_pairs, questions_from_lines, read_examples, table, write_examples
-from tarnwick.streaming.questions import answer_stream, read_questions
+from tarnwick.streaming.questions import answer_stream, asked_once, read_questions
 
 #: Documented sample questions with their classes (fixed values).
 SAMPLES = (
@@ -370,13 +370,28 @@ def question_stream(spark, d):
     return spark.read.parquet(out).select("conv_id", "turn", "class")
 
 
+def question_stream_answers(spark, d):
+    """All benchmark items as a stream that delivers each of them twice, every question answered once through retrieval."""
+    source, out, checkpoint = (new_table_path(spark, f"answers-{x}") for x in ("in", "out", "checkpoint"))
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod("query_id", F.lit(600)))
+    items = _benchmark(spark, d).select("query_id", "text", at.alias("at"))
+    half = F.col("query_id") % 2 == 0
+    for part in (items.filter(half), items, items.filter(~half)):  # a delivery each; those after the first repeat questions
+        part.coalesce(1).write.mode("append").parquet(source)
+    index, e, config = _index(spark, d), HashingEmbedder(256), Config(dimensions=256)
+    answer = lambda batch: rag.ask(batch, index, e, config).select("query_id", F.size("retrieved").cast("long").alias("n_retrieved"), "answer")
+    questions = asked_once(read_questions(spark, source, "query_id long, text string, at timestamp", files_per_batch=1), ["query_id"], "at")
+    answer_stream(questions, answer, out, checkpoint, with_state=True).awaitTermination()
+    return spark.read.parquet(out).select("query_id", "n_retrieved", "answer")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         examples_scan, typed_questions, passages_flatten, passages_first_seen, passages_capped, passages_capped_early, unique_passages, l2_normalize, retrieve_topk_dense, retrieve_topk_bounded, retrieve_topk_expressions, retrieve_topk_text,
         prompt_context, prompt_full, normalized_answers, stripped_turns, question_pairs, exact_match_eval, eval_summary, eval_sample_prefix,
         eval_report_line, eval_report_files, rag_answer_stub, retrieved_titles, report_blocks, macro_f1, accuracy, query_class_samples, query_class,
-        index_build_load, index_of_changed_source, index_from_examples, rag_questions, rag_results, rag_report, evaluate_rag, eval_report_object, stage_comparison, agent_loop, four_stage_eval, question_stream,
+        index_build_load, index_of_changed_source, index_from_examples, rag_questions, rag_results, rag_report, evaluate_rag, eval_report_object, stage_comparison, agent_loop, four_stage_eval, question_stream, question_stream_answers,
     )
 }
 
@@ -569,4 +584,6 @@ select cast(stage as int) as stage, count(*) as n, avg(coalesce({_MATCH('answer'
   avg(cast(coalesce(status, '') = 'SUPPORTED' as int)) as supported, avg(cast(coalesce(status, '') = 'ABSTAINED' as int)) as abstained
 from s join t on id = query_id group by 1""",
     "question_stream": f"select conv_id, turn, {_CLASS} as class from conversations where role = 'user'",
+    "question_stream_answers": _ITEMS + """
+select query_id, count(did) as n_retrieved, any_value(answer) as answer from said left join r on qid = query_id group by query_id""",
 }
