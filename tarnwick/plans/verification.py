@@ -37,30 +37,37 @@ def fold() -> Column:
     return F.pmod(hashed("fold"), F.lit(FOLDS))
 
 
-def made_answers(passages: DataFrame) -> DataFrame:
-    """example_id, passage_id, kind, verdict, answer: six answers for every passage that has the words.
-
-    said: a run of the passage's words; said_short: half as many. half: a run of which the
-    second half is from another passage; half_scattered: half a run, and other words of
-    the passage in no order of its own. other: a run of another passage. swapped: the
-    passage's own words, each moved away from its neighbours, so that all are there and
-    nothing that they say is.
+def runs(passages: DataFrame) -> DataFrame:
+    """passage_id, run, next, other: two runs of words that follow each other in a passage, and one of another passage; stored.
 
     The other passage is that of the next hash, within buckets of hashes, so that a passage
-    meets one other and no more, whatever their number.
+    meets one other and no more, whatever their number. Passages of too few words give none.
     """
     n = ANSWER_WORDS
-    rows = passages.select("passage_id", word_list(F.concat_ws(" ", "title", "text")).alias("w")).filter(F.size("w") >= 2 * n)
+    # Words are made once: what comes out of a generator is not made again where it is filtered.
+    rows = passages.select("passage_id", F.explode(F.array(word_list(F.concat_ws(" ", "title", "text")))).alias("w")).filter(F.size("w") >= 2 * n)
     place = F.pmod(hashed("place"), F.size("w") - (2 * n - 1)).cast("int") + 1
-    rows = rows.select("passage_id", F.slice("w", place, n).alias("run"), F.slice("w", place + n, n).alias("next"), F.array_distinct("w").alias("own"))
-    rows = stored(rows, "verifier-runs")
+    rows = stored(rows.select("passage_id", F.slice("w", place, n).alias("run"), F.slice("w", place + n, n).alias("next")), "verifier-runs")
     buckets, order = max(1, rows.count() // RING), hashed("order")
     keyed = rows.select("passage_id", "run", F.pmod(order, F.lit(buckets)).alias("bucket"), order.alias("o"))
-    ring = keyed.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("o", "passage_id", "run"))).alias("r"))  # a thousand a bucket
+    ring = keyed.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("o", "passage_id", "run"))).alias("r"))  # about RING a bucket
     ring = ring.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("r")), lambda i: F.struct(F.element_at("r", i)["passage_id"].alias("passage_id"), F.element_at("r", i % F.size("r") + 1)["run"].alias("other")))).alias("x"))
-    rows = rows.join(ring.select("x.passage_id", "x.other"), "passage_id")
+    out = stored(rows.join(ring.select("x.passage_id", "x.other"), "passage_id"), "verifier-runs")
+    drop_stored(rows)
+    return out
+
+
+def made_answers(found: DataFrame) -> DataFrame:
+    """example_id, passage_id, kind, verdict, answer: six answers for every passage of ``runs``.
+
+    said: a run of the passage's words; said_short: half as many. half: a run of which the
+    second half is from another passage; half_scattered: half a run, and other words of
+    the passage in no order of its own. other: a run of another passage. swapped: the
+    passage's own words, each moved away from its neighbours, so that all are there and
+    nothing that they say is.
+    """
     text = lambda words: F.array_join(words, " ")
-    half = n // 2
+    half = ANSWER_WORDS // 2
     # Every second word of two runs, backwards: no two of them are neighbours in the passage.
     far = F.filter(F.concat("run", "next"), lambda w, i: i % 2 == 0)
     made = [
@@ -70,29 +77,32 @@ def made_answers(passages: DataFrame) -> DataFrame:
         ("other", "UNSUPPORTED", text("other")), ("swapped", "UNSUPPORTED", text(F.reverse(far))),
     ]
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("verdict"), a.alias("answer")) for k, v, a in made])).alias("m")
-    return rows.select("passage_id", each).select(F.concat_ws(" ", F.col("passage_id").cast("string"), "m.kind").alias("example_id"), "passage_id", "m.kind", "m.verdict", "m.answer")
+    return found.select("passage_id", each).select(F.concat_ws(" ", F.col("passage_id").cast("string"), "m.kind").alias("example_id"), "passage_id", "m.kind", "m.verdict", "m.answer")
 
 
-def examples(passages: DataFrame, wanted: Column) -> DataFrame:
-    """Made answers with their features and the passage's fold, of the passages that are wanted; any other may lend them words."""
-    answers = stored(made_answers(passages).filter(wanted), "verifier-answers")
-    found = features(overlaps(answers, passages.filter(wanted), "example_id", "passage_id"), "example_id")
-    return answers.join(found, "example_id").withColumn("fold", fold())
+def examples(passages: DataFrame, wanted: Column, found: DataFrame | None = None) -> DataFrame:
+    """Made answers with their features and the passage's fold, of the passages that are wanted; any other may lend them words.
+
+    ``found`` are the passages' ``runs``, if they are at hand.
+    """
+    answers = stored(made_answers((runs(passages) if found is None else found).filter(wanted)), "verifier-answers")
+    seen = features(overlaps(answers, passages.filter(wanted), "example_id", "passage_id"), "example_id")
+    return answers.join(seen, "example_id").withColumn("fold", fold())
 
 
-def train(passages: DataFrame, path: str) -> Model:
+def train(passages: DataFrame, path: str, found: DataFrame | None = None) -> Model:
     """Fit on all folds but two, set the temperature on one, write the model; a bounded number of passages is learned from."""
     share = LEARNED * FOLDS / (FOLDS - 2) / max(1, passages.count())
-    rows = stored(examples(passages, (fold() > 0) & (hashed("learned") < int(min(1.0, share) * 2**48))), "verifier-made")
+    rows = stored(examples(passages, (fold() > 0) & (hashed("learned") < int(min(1.0, share) * 2**48)), found), "verifier-made")
     model = fit(rows.filter("fold > 1"), rows.filter("fold = 1"))
     model.write(passages.sparkSession, path)
     drop_stored(rows)
     return model
 
 
-def judged(passages: DataFrame, path: str) -> DataFrame:
+def judged(passages: DataFrame, path: str, found: DataFrame | None = None) -> DataFrame:
     """Answers made of the passages that are never learned from, with the stored model's verdict (``predicted``) and confidence."""
-    rows = examples(passages, fold() == 0).withColumnRenamed("verdict", "label")
+    rows = examples(passages, fold() == 0, found).withColumnRenamed("verdict", "label")
     return Model.read(passages.sparkSession, path).scored(rows).withColumnRenamed("verdict", "predicted").select("example_id", "passage_id", "kind", "label", "predicted", "confidence")
 
 

@@ -21,7 +21,7 @@ def _passages(spark, d):
 
 def verifier_answers(spark, d):
     """The answers made of every document, with their verdicts and the document's fold."""
-    return verification.made_answers(_passages(spark, d)).select("example_id", "verdict", "answer", verification.fold().alias("fold"))
+    return verification.made_answers(verification.runs(_passages(spark, d))).select("example_id", "verdict", "answer", verification.fold().alias("fold"))
 
 
 def verifier_overlaps(spark, d):
@@ -40,8 +40,9 @@ def verifier_overlaps(spark, d):
 def verifier_eval(spark, d):
     """Train on made answers of the documents, store the model, judge those of held-out documents with it."""
     passages, path = _passages(spark, d), new_table_path(spark, "verifier")
-    verification.train(passages, path)
-    return verification.report(verification.judged(passages, path))
+    found = verification.runs(passages)
+    verification.train(passages, path, found)
+    return verification.report(verification.judged(passages, path, found))
 
 
 def agent_loop_trained(spark, d):

@@ -115,7 +115,7 @@ def test_model_is_a_table(spark, tmp_path):
 def test_made_answers_are_what_they_say(spark):
     rows = passages(spark)
     texts = {r.passage_id: " ".join(plain_words(" ".join(x for x in (r.title, r.text) if x is not None))) for r in rows.collect()}
-    made = verification.made_answers(rows).collect()
+    made = verification.made_answers(verification.runs(rows)).collect()
     assert len({r.example_id for r in made}) == len(made) == 6 * sum(len(t.split()) >= 24 for t in texts.values())
     for r in made:
         own, answer = f" {texts[r.passage_id]} ", r.answer.split()
