@@ -31,7 +31,7 @@ from tarnwick.operators.retrieve import PLACES, PLAN_BLOCKS, QUERY_BLOCK, SCHEMA
 from tarnwick.session import stored
 
 #: Rows that are grouped at a time, rows of a group on average, and questions of one product.
-ROWS, GROUP, PART = 4096, 128, 512
+ROWS, GROUP, PART = 2048, 128, 256
 #: Share of (question, group) pairs beyond which a batch is scored in one product.
 MOST_NEEDED = 0.6
 
@@ -97,10 +97,11 @@ class _Held:
         self.kth[q[nth == self.k - 1]] = s[nth == self.k - 1]
 
 
-def _scan(ids: np.ndarray, questions: np.ndarray, k: int, skip_same: bool, places: int, counts=None):
+def _scan(ids: np.ndarray, questions32: np.ndarray, k: int, skip_same: bool, places: int, counts=None):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = 10.0**-places
-        q32, length = questions.astype(np.float32), np.sqrt((questions**2).sum(axis=1))
+        q32, questions = questions32, questions32.astype(np.float64)
+        length = np.sqrt((questions**2).sum(axis=1))
         held = {lo: _Held(len(ids[lo : lo + PART]), k) for lo in range(0, len(ids), PART)}
         for batch in batches:
             all_ids, all_v = batch.column(0).to_numpy(), _floats(batch.column(1))
@@ -169,7 +170,7 @@ def top_k(questions: DataFrame, vectors: DataFrame, k: int = 10, skip_same: bool
         block = (asked.filter(F.col("block") == b) if n_blocks > 1 else asked).toArrow()  # about QUERY_BLOCK rows
         ids = block.column("query_id").to_numpy().astype(np.int64)
         if len(ids):
-            shared = spark.sparkContext.broadcast((ids, _floats(block.column("embedding").combine_chunks()).astype(np.float64)))
+            shared = spark.sparkContext.broadcast((ids, _floats(block.column("embedding").combine_chunks())))  # a worker keeps those of all blocks
 
             def run(batches, shared=shared):
                 yield from _scan(*shared.value, k, skip_same, places, counts)(batches)
