@@ -172,9 +172,10 @@ def hard_negatives(
     asked = rows.filter("asks").select("vec_id", "label", "embedding")
     rows = rows.select("vec_id", "label", "embedding")
     n, wide = asked.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).head()
-    blocks = max(1, -(-n // max(PART, min(ANCHORS, BLOCK_BYTES // (8 * max(1, wide))))))
-    if blocks > 1:  # a block is read from its own files
-        asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks))).repartition("block").sortWithinPartitions("block"), "anchors")
+    blocks = max(1, -(-n // max(1, min(ANCHORS, BLOCK_BYTES // (8 * max(1, wide))))))
+    if blocks > 1:  # a block is read from its own files; equal anchors go to different blocks
+        asked = asked.withColumn("block", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("block"), F.lit(blocks)))
+        asked = stored(asked.repartition("block").sortWithinPartitions("block"), "anchors")
     out, parts = None, []
     for b in range(blocks):
         table = (asked.filter(F.col("block") == b).drop("block") if blocks > 1 else asked).toArrow().combine_chunks()

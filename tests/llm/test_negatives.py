@@ -70,6 +70,16 @@ def test_a_third_of_the_rows_equal(spark):
     assert mined(spark, rows, F.col("vec_id") % 300 == 0) == brute(rows, lambda i: i % 300 == 0)
 
 
+def test_equal_anchors_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(negatives, "ANCHORS", 10)
+    sizes = []
+    one = negatives._one_block
+    monkeypatch.setattr(negatives, "_one_block", lambda spark, rows, table, *a: sizes.append(table.num_rows) or one(spark, rows, table, *a))
+    rows = [(0, [0.5, 0.25], 1)] * 60 + [(i, [0.01 * i, 0.5], i % 3) for i in range(1, 12)]
+    assert mined(spark, rows, F.col("vec_id") % 10 == 0) == brute(rows, lambda i: i % 10 == 0)
+    assert sum(sizes) == 61 and max(sizes) < 30
+
+
 def test_nothing(spark):
     assert mined(spark, [], F.col("vec_id") % 10 == 0) == []
     assert mined(spark, [(1, [1.0], 1)], F.col("vec_id") % 10 == 0) == []
