@@ -200,7 +200,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     rows = rows.select("vec_id", "embedding")
     if blocks > 1:  # a block is read from its own files
-        asked = stored(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition("block").sortWithinPartitions("block"), "asked")
+        asked = asked.withColumn("block", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("block"), F.lit(blocks)))  # equal queries go to different blocks
+        asked = stored(asked.repartition("block").sortWithinPartitions("block"), "asked")
     out, parts = None, []
     order = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
     ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
