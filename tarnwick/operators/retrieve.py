@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnwick.operators.vectors import inner_product
 from tarnwick.session import stored
 
 #: Questions that are broadcast at a time; rows and questions that one product holds.
@@ -106,13 +105,36 @@ def ranked(scores: DataFrame, k: int) -> DataFrame:
 
 
 def top_k_sql(questions: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """``top_k`` as expressions: the questions are broadcast in blocks of about QUERY_BLOCK."""
-    n_blocks = max(1, -(-questions.count() // QUERY_BLOCK))
-    asked, found = questions.select("query_id", F.col("embedding").alias("_q")), None
+    """``top_k`` as expressions: the questions are broadcast in blocks of about QUERY_BLOCK.
+
+    Vectors become a column per component, so that a product is plain arithmetic that Spark compiles. All
+    rows are scored; so that only few have to be sorted, the k-th score of each question among a part of
+    the rows is found first, and what stays below it cannot be among the best of all.
+    """
+    size = lambda rows: rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(0)).alias("w")).head()
+    asked_n, n = size(questions), size(vectors)
+    wide = lambda rows, key, x: rows.select(key, *[F.get("embedding", F.lit(i)).cast("double").alias(f"{x}{i}") for i in range(width)])
+    width = max(asked_n["w"], n["w"])
+    asked, rows, n_blocks = wide(questions, "query_id", "_q"), wide(vectors, "passage_id", "_v"), max(1, -(-asked_n["n"] // QUERY_BLOCK))
+    product = functools.reduce(lambda a, b: a + b, [F.col(f"_q{i}") * F.col(f"_v{i}") for i in range(width)], F.lit(0.0))
+    # Among one of ``part`` rows about as many have to be sorted as there are rows above the k-th of those.
+    part = int((n["n"] / k) ** 0.5)
+
+    def scored(asked: DataFrame, rows: DataFrame) -> DataFrame:
+        pairs = rows.crossJoin(F.broadcast(asked))
+        if "_low" in asked.columns:
+            pairs = pairs.filter(F.col("_low").isNull() | (product >= F.col("_low")))
+        return pairs.select("query_id", "passage_id", F.round(product, PLACES).alias("score"))
+
+    found = None
     for b in range(n_blocks):
         q = asked if n_blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b)
-        scored = vectors.crossJoin(F.broadcast(q)).select("query_id", "passage_id", F.round(inner_product(F.col("_q"), F.col("embedding")), PLACES).alias("score"))
-        found = scored if found is None else found.unionByName(scored)
+        if part > 1:
+            some = ranked(scored(q, rows.filter(F.pmod(F.xxhash64("passage_id"), F.lit(part)) == 0)), k).filter(F.col("rank") == k)
+            low = stored(some.select("query_id", (F.col("score") - 2 * 10.0**-PLACES).alias("_low")), "bounds")
+            q = q.join(F.broadcast(low), "query_id", "left")
+        one = scored(q, rows)
+        found = one if found is None else found.unionByName(one)
     return ranked(found, k)
 
 

@@ -85,3 +85,17 @@ def test_dimension(spark):
     assert dimension(_vectors(spark, [])) is None
     with pytest.raises(ValueError):
         dimension(_vectors(spark, [(1, [1.0]), (2, [1.0, 2.0])]))
+
+
+def test_expressions_compile_their_products_and_sort_only_what_a_bound_leaves(spark):
+    rng = np.random.default_rng(4)
+    v = _vectors(spark, [(i, [float(x) for x in rng.normal(size=4)]) for i in range(900)] + [(900, [1.0]), (901, [None, 1.0, 1.0, 1.0]), (902, None)])
+    q = v.filter("passage_id in (3, 5)").select(F.col("passage_id").alias("query_id"), "embedding")
+    out = retrieve.top_k_sql(q, v, 3)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "_low" in plan
+    full = v.filter("passage_id < 900")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in retrieve.top_k(q, full, 3).collect())
+    # Fewer rows than asked for: a vector with a missing component has no score, and comes last.
+    got = [(r.rank, r.passage_id, r.score is None) for r in retrieve.top_k_sql(q.limit(1), v.filter("passage_id in (3, 900)"), 5).orderBy("rank").collect()]
+    assert got == [(1, 3, False), (2, 900, True)]
