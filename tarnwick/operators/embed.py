@@ -7,14 +7,17 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnwick.schemas import Config
 
 
+#: Texts that are embedded at a time.
+SLICE = 512
+
+
 class HashingEmbedder:
     """Counts of hashed words: plumbing that needs no model and that SQL can repeat."""
 
@@ -77,13 +80,14 @@ def embed(rows: DataFrame, embedder, text: str = "text", keep: tuple[str, ...] =
     """``keep`` and ``embedding`` (float, length one, zero vectors as they are) of each row's text."""
     schema = T.StructType([rows.schema[c] for c in keep] + [T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            v = embedder.encode(pdf[text].fillna("").tolist()).astype(np.float64)
-            n = np.linalg.norm(v, axis=1, keepdims=True) if len(v) else v
-            v = (v / np.where(n > 0, n, 1)).astype(np.float32) if len(v) else v
-            out = pdf[list(keep)].copy()
-            out["embedding"] = list(v)
-            yield out
-
-    return rows.select(*keep, F.col(text)).mapInPandas(run, schema) if text not in keep else rows.select(*keep).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):  # a worker holds a batch and what is made of a slice
+                part = batch.slice(at, SLICE)
+                v = embedder.encode([t or "" for t in part.column(text).to_pylist()]).astype(np.float64)
+                n = np.linalg.norm(v, axis=1, keepdims=True)
+                flat = (v / np.where(n > 0, n, 1)).astype(np.float32).ravel()
+                ends = np.arange(len(v) + 1, dtype=np.int32) * v.shape[1]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.ListArray.from_arrays(ends, flat)], names=[*keep, "embedding"])
+
+    return rows.select(*keep, *[text] * (text not in keep)).mapInArrow(run, schema)

@@ -99,3 +99,18 @@ def test_expressions_compile_their_products_and_sort_only_what_a_bound_leaves(sp
     # Fewer rows than asked for: a vector with a missing component has no score, and comes last.
     got = [(r.rank, r.passage_id, r.score is None) for r in retrieve.top_k_sql(q.limit(1), v.filter("passage_id in (3, 900)"), 5).orderBy("rank").collect()]
     assert got == [(1, 3, False), (2, 900, True)]
+
+
+def test_texts_are_embedded_in_slices(spark):
+    from tarnwick.operators.embed import SLICE, HashingEmbedder, embed
+
+    class Few(HashingEmbedder):
+        def encode(self, texts):
+            assert len(texts) <= 512
+            return super().encode(texts)
+
+    n = 2 * SLICE + 7
+    rows = spark.range(0, n, 1, 1).selectExpr("id as passage_id", "if(id % 5 = 0, null, concat('word', id % 3)) as text")
+    out = embed(rows, Few(16), keep=("passage_id", "text")).collect()
+    alone = {t: [float(y) for y in HashingEmbedder(16).encode([t])[0]] for t in (None, "word0", "word1", "word2")}
+    assert len(out) == n and all(list(r.embedding) == alone[r.text] for r in out)
