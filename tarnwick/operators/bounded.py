@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnwick.operators.retrieve import PLACES, PLAN_BLOCKS, QUERY_BLOCK, SCHEMA, ranked
+from tarnwick.operators.retrieve import PLACES, PLAN_BLOCKS, QUERY_BLOCK, SCHEMA, Held, few_of_equal, ranked
 from tarnwick.session import stored
 
 #: Rows that are grouped at a time, rows of a group on average, and questions of one product.
@@ -67,42 +67,12 @@ class Groups:
         self.far = np.sqrt((exact**2).sum(axis=1).max())
 
 
-def few_of_equal(ids: np.ndarray, v: np.ndarray, keep: int, always: np.ndarray) -> np.ndarray:
-    """Places of all rows, but of more than ``keep`` equal ones those with the smallest ids, and those of ids in ``always``."""
-    mark = v.astype(np.float64) @ np.cos(np.arange(v.shape[1]) + 1.0)
-    order = np.lexsort((ids, mark))
-    new = np.append(True, mark[order][1:] != mark[order][:-1])
-    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
-    if nth.max(initial=0) < keep:
-        return np.arange(len(ids))
-    # Equal marks are compared in full with the first of them: rows that differ from it all stay.
-    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    same = (v[order] == v[first]).all(axis=1)
-    return np.sort(order[(nth < keep) | ~same | np.isin(ids[order], always)])
-
-
-class _Held:
-    """The k best rows of a block of questions so far."""
-
-    def __init__(self, n: int, k: int):
-        self.k, self.q, self.p, self.s = k, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
-        self.kth = np.full(n, -np.inf)
-
-    def add(self, q: np.ndarray, p: np.ndarray, s: np.ndarray) -> None:
-        q, p, s = np.append(self.q, q), np.append(self.p, p), np.append(self.s, s)
-        order = np.lexsort((p, -s, q))
-        q, p, s = q[order], p[order], s[order]
-        nth = np.arange(len(q)) - np.searchsorted(q, q)
-        self.q, self.p, self.s = q[nth < self.k], p[nth < self.k], s[nth < self.k]
-        self.kth[q[nth == self.k - 1]] = s[nth == self.k - 1]
-
-
 def _scan(ids: np.ndarray, questions32: np.ndarray, k: int, skip_same: bool, places: int, counts=None):
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = 10.0**-places
         q32, questions = questions32, questions32.astype(np.float64)
         length = np.sqrt((questions**2).sum(axis=1))
-        held = {lo: _Held(len(ids[lo : lo + PART]), k) for lo in range(0, len(ids), PART)}
+        held = {lo: Held(len(ids[lo : lo + PART]), k) for lo in range(0, len(ids), PART)}
         for batch in batches:
             all_ids, all_v = batch.column(0).to_numpy(), _floats(batch.column(1))
             for at in range(0, len(all_ids), ROWS):

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +102,50 @@ def test_expressions_compile_their_products_and_sort_only_what_a_bound_leaves(sp
     assert got == [(1, 3, False), (2, 900, True)]
 
 
+def _batches(ids, x, rows):
+    kind = pa.float32() if x.dtype == np.float32 else pa.float64()
+    for at in range(0, len(ids), rows):
+        part = x[at : at + rows]
+        v = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32) * x.shape[1], pa.array(part.ravel(), kind))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + rows]), v], names=["passage_id", "embedding"])
+
+
+def _best(q_ids, q, ids, x, k, skip_same):
+    rows = []
+    for i, a in zip(q_ids, q.astype(np.float64)):
+        s = [(round(float(a @ b), 9) + 0.0, int(j)) for j, b in zip(ids, x.astype(np.float64)) if not (skip_same and i == j)]
+        rows += [(int(i), j, t) for t, j in sorted(s, key=lambda r: (-r[0], r[1]))[:k]]
+    return sorted(rows)
+
+
+@pytest.mark.parametrize("skip_same", [False, True])
+@pytest.mark.parametrize("kind,scale", [(np.float32, 1.0), (np.float64, 1.0), (np.float32, 1e18)])
+def test_scan_is_brute_force_on_ties_zeros_and_copies(monkeypatch, kind, scale, skip_same):
+    monkeypatch.setattr(retrieve, "ROW_BLOCK", 37)
+    monkeypatch.setattr(retrieve, "PART", 4)
+    rng = np.random.default_rng(5)
+    x = rng.integers(-2, 3, size=(400, 6)).astype(kind) * kind(scale)
+    x[50:150] = x[50]
+    x[200:210] = 0
+    ids = rng.permutation(400).astype(np.int64)
+    some = [0, 50, 60, 149, 200, 205, 300, 399, 17]
+    got = list(retrieve._scan(ids[some], x[some], 5, skip_same, 9)(_batches(ids, x, 90)))
+    rows = sorted((q, p, s + 0.0) for b in got for q, p, s in zip(*[c.to_pylist() for c in b.columns]))
+    want = _best(ids[some], x[some], ids, x, 5, skip_same)
+    assert [r[:2] for r in rows] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in rows], [r[2] for r in want])
+
+
+def test_scan_selects_by_what_it_holds(monkeypatch):
+    """Only the first rows are partitioned; later ones are compared with the k-th score so far."""
+    calls, part = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda *a, **b: calls.append(1) or part(*a, **b))
+    x = np.random.default_rng(6).normal(size=(2000, 8)).astype(np.float32)
+    ids = np.arange(2000)
+    list(retrieve._scan(ids[:40], x[:40], 5, False, 9)(_batches(ids, x, 100)))
+    assert len(calls) == 1
+
+
 def test_texts_are_embedded_in_slices(spark):
     from tarnwick.operators.embed import SLICE, HashingEmbedder, embed
 
@@ -114,3 +159,17 @@ def test_texts_are_embedded_in_slices(spark):
     out = embed(rows, Few(16), keep=("passage_id", "text")).collect()
     alone = {t: [float(y) for y in HashingEmbedder(16).encode([t])[0]] for t in (None, "word0", "word1", "word2")}
     assert len(out) == n and all(list(r.embedding) == alone[r.text] for r in out)
+
+
+def test_evaluation_does_not_read_texts_that_it_does_not_show(spark, tmp_path):
+    from tarnwick.operators.embed import HashingEmbedder, embed
+    from tarnwick.plans import rag
+
+    p = spark.createDataFrame([(1, "red", "red apple"), (2, "blue", "blue sky sea")], "passage_id long, title string, text string")
+    e, path = HashingEmbedder(32), f"file://{tmp_path}/index"
+    embed(p, e, keep=("passage_id", "title", "text")).write.parquet(path)
+    ex = spark.createDataFrame([(1, "red apple", "Red")], "query_id long, question string, answer string")
+    out = rag.evaluate_questions(ex, spark.read.parquet(path), e)
+    assert [(r.predicted, r.exact_match, r.retrieved_titles) for r in out.collect()] == [("red", 1, ["red", "blue"])]
+    reads = [x for x in out._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ") if x.startswith("struct<passage_id:bigint,title")]
+    assert reads and not any("text" in x.split(">")[0] for x in reads)
