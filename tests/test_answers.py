@@ -194,3 +194,37 @@ def test_sample_questions_get_their_classes(spark):
     from tarnwick.plans.queries import query_class_samples
 
     assert all(r.label == r.predicted for r in query_class_samples(spark, "").collect())
+
+
+def test_loop_retrieves_again_only_what_is_asked_in_other_words(spark):
+    q = spark.createDataFrame([(1, "who is it"), (2, "plain words"), (3, None)], "query_id long, text string")
+    asked = []
+
+    def retrieve(pending):
+        asked.append(sorted((r.query_id, r.text) for r in pending.collect()))
+        return pending.selectExpr("query_id", "1 as rank", "query_id as passage_id", "text as title", "text", "1.0D as score")
+
+    def check(said, found):
+        return said.join(found.groupBy("query_id").agg(F.max("title").alias("t")), "query_id").selectExpr("query_id", "'PARTIAL' as verdict", "if(t = 'it', 0.5D, 0.4D) as confidence")
+
+    answer = lambda p, found: p.join(found.select("query_id"), "query_id", "left_semi").selectExpr("query_id", "'x' as answer")
+    rows = agent.agent_loop(q, retrieve, answer, check).collect()
+    assert sorted((r.query_id, r.status, r.iterations, r.confidence) for r in rows) == [(1, "ABSTAINED", 3, 0.5), (2, "ABSTAINED", 3, 0.4), (3, "ABSTAINED", 3, 0.4)]
+    assert asked == [[(1, "who is it"), (2, "plain words"), (3, None)], [(1, "it")]]
+    first = q.selectExpr("query_id", "1 as rank", "query_id as passage_id", "text as title", "text", "1.0D as score")
+    asked.clear()
+    assert len(agent.agent_loop(q, retrieve, answer, check, first=first).collect()) == 3 and asked == [[(1, "it")]]
+
+
+def test_verify_groups_only_words_that_answers_have(spark):
+    a = spark.createDataFrame([(1, "Red, apple!"), (1, "green sky"), (2, "..."), (3, "red"), (4, None)], "query_id long, answer string")
+    found = spark.createDataFrame(
+        [(1, 1, 1, "Red", "an apple\n a day", 1.0), (1, 2, 2, None, "sky", 0.9), (2, 1, 1, "x", "...", 1.0), (4, 1, 1, "x", None, 1.0)],
+        "query_id long, rank int, passage_id long, title string, text string, score double",
+    )
+    out = agent.verify(a, found)
+    assert sorted((r.query_id, r.verdict, r.confidence) for r in out.collect()) == [
+        (1, "PARTIAL", 0.5), (1, "SUPPORTED", 1.0), (2, "UNSUPPORTED", 0.0), (3, "UNSUPPORTED", 0.0), (4, "UNSUPPORTED", 0.0)
+    ]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(array_intersect" in plan or "collect_list(hit" in plan
