@@ -115,8 +115,9 @@ def _scan(ids: np.ndarray, questions32: np.ndarray, k: int, skip_same: bool, pla
                             score = np.einsum("ij,ij->i", questions[lo + some[qi]], g.v[part][ci].astype(np.float64))
                             h.add(some[qi], g.ids[part][ci], np.round(score, places))
         for lo, h in held.items():
-            if len(h.q):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[h.q + lo]), pa.array(h.p), pa.array(h.s)], names=["query_id", "passage_id", "score"])
+            q, p, s = h.rows()
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q + lo]), pa.array(p), pa.array(s)], names=["query_id", "passage_id", "score"])
 
     return best
 

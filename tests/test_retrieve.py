@@ -173,3 +173,33 @@ def test_evaluation_does_not_read_texts_that_it_does_not_show(spark, tmp_path):
     assert [(r.predicted, r.exact_match, r.retrieved_titles) for r in out.collect()] == [("red", 1, ["red", "blue"])]
     reads = [x for x in out._jdf.queryExecution().executedPlan().toString().split("ReadSchema: ") if x.startswith("struct<passage_id:bigint,title")]
     assert reads and not any("text" in x.split(">")[0] for x in reads)
+
+
+def test_places_that_reach_a_bound():
+    rng = np.random.default_rng(7)
+    for shape in ((1, 1), (3, 8), (5, 13), (40, 100)):
+        s, low = rng.normal(size=shape).astype(np.float32), rng.normal(size=shape[0]).astype(np.float32)
+        got, want = retrieve._at_least(s, low), np.nonzero(s >= low[:, None])
+        assert [a.tolist() for a in got] == [a.tolist() for a in want]
+
+
+def test_held_rows_are_the_best_whatever_the_order():
+    rng = np.random.default_rng(8)
+    q, p, s = rng.integers(0, 6, 300), rng.permutation(300), rng.integers(-4, 5, 300).astype(float)
+    q[q == 2] = 3  # nothing is held for question 2
+    h = retrieve.Held(6, 4)
+    for at in range(0, 300, 17):
+        h.add(q[at : at + 17], p[at : at + 17], s[at : at + 17])
+    best = lambda i: sorted((-float(x), int(j)) for a, j, x in zip(q, p, s) if a == i)[:4]
+    assert sorted((int(i), -float(x), int(j)) for i, j, x in zip(*h.rows())) == sorted((i, *r) for i in range(6) for r in best(i))
+    assert np.isneginf(h.kth[2])
+
+
+def test_a_vector_that_is_no_number_hides_no_other():
+    x = np.random.default_rng(9).normal(size=(30, 4)).astype(np.float32)
+    x[7, 2] = np.nan
+    ids = np.arange(30)
+    got = list(retrieve._scan(ids[:3], x[:3], 4, False, 9)(_batches(ids, x, 30)))
+    rows = sorted((q, p, s) for b in got for q, p, s in zip(*[c.to_pylist() for c in b.columns]))
+    there = np.delete(ids, 7)
+    assert [r[:2] for r in rows] == [r[:2] for r in _best(ids[:3], x[:3], there, x[there], 4, False)]
