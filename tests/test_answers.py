@@ -228,3 +228,16 @@ def test_verify_groups_only_words_that_answers_have(spark):
     ]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(array_intersect" in plan or "collect_list(hit" in plan
+
+
+def test_verify_reads_a_passage_once_whatever_the_number_of_questions(spark):
+    a = spark.createDataFrame([(1, "Red, apple!"), (1, "green sky"), (2, "..."), (3, "red"), (4, None), (5, "an apple"), (6, " day")], "query_id long, answer string")
+    p = spark.createDataFrame([(1, "Red", "an apple\n a day "), (2, None, "sky"), (3, "x", "..."), (4, "x", None), (9, "red", "red")], "passage_id long, title string, text string")
+    found = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 1, 3), (4, 1, 4), (5, 1, 1), (5, 2, 1), (6, 1, 1)], "query_id long, rank int, passage_id long")
+    by_question = agent.verify(a, found.join(p, "passage_id"))
+    by_passage = agent.verify(a, found, passages=p)
+    rows = lambda out: sorted(tuple(r) for r in out.collect())
+    assert rows(by_passage) == rows(by_question) and len(rows(by_passage)) == 7
+    # Words are made in a generator on the passages alone, below the join with what was retrieved.
+    plan = by_passage._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan
