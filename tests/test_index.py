@@ -3,7 +3,9 @@
 import glob
 import os
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarnwick.operators.embed import HashingEmbedder
 from tarnwick.sources import index
@@ -72,3 +74,22 @@ def test_a_build_that_ends_early_leaves_the_version_before(spark, tmp_path, monk
 def test_no_index(spark, tmp_path):
     with pytest.raises(ValueError, match="no index"):
         index.load_index(spark, f"file://{tmp_path}/none")
+
+
+def test_a_build_sends_texts_to_python_in_small_batches_and_restores_the_setting(spark, tmp_path):
+    class Counting:
+        def encode(self, texts):
+            return np.array([[len(texts), 1.0]] * len(texts))
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 100, 1, 1).select(F.col("id").alias("passage_id"), F.lit("t").alias("title"), F.repeat(F.lit("word "), 20_000).alias("text"))
+    before = spark.conf.get(setting)
+    try:
+        for given, least, most in (("64MB", 1, 60), ("1MB", 1, 20)):  # of 100 texts of 100 KB
+            spark.conf.set(setting, given)
+            path = f"file://{tmp_path}/index-{given}"
+            index.write_index(rows, path, Counting(), {"d": 2})
+            seen = [round(float(r.embedding[0] / r.embedding[1])) for r in index.load_index(spark, path).collect()]
+            assert len(seen) == 100 and least <= max(seen) <= most and spark.conf.get(setting) == given
+    finally:
+        spark.conf.set(setting, before)
