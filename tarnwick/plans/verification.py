@@ -8,9 +8,8 @@ PASSAGES is a Parquet table of passage_id, title and text; MODEL is the folder o
 model's table. Training examples are made of the passages themselves, as no labelled
 answers are at hand: for each passage, answers that it supports, that it supports in
 part, and that it does not, each kind made in two ways (see ``made_answers``). A tenth of
-the passages is never learned from, and ``eval`` reports on all of it. Of the others
-about ``LEARNED`` are learned from and a ninth as many set the temperature of the
-confidence: those with the smallest hashes, so that a larger corpus is no longer training.
+the passages is never learned from, and ``eval`` reports on all of it. Another tenth sets
+the temperature of the confidence, and all others are learned from.
 """
 
 from __future__ import annotations
@@ -24,8 +23,8 @@ from tarnwick.operators import metrics
 from tarnwick.operators.verifier import Model, features, fit, overlaps, word_list
 from tarnwick.session import drop_stored, local_session, stored
 
-#: Words of a made answer, the folds of passages (0 is evaluated, 1 sets the temperature, the rest is learned from), passages that are learned from, and passages of a ring.
-ANSWER_WORDS, FOLDS, LEARNED, RING = 12, 10, 20_000, 1000
+#: Words of a made answer, the folds of passages (0 is evaluated, 1 sets the temperature, the rest is learned from), and passages of a ring.
+ANSWER_WORDS, FOLDS, RING = 12, 10, 1000
 
 
 def hashed(purpose: str) -> Column:
@@ -91,9 +90,8 @@ def examples(passages: DataFrame, wanted: Column, found: DataFrame | None = None
 
 
 def train(passages: DataFrame, path: str, found: DataFrame | None = None) -> Model:
-    """Fit on all folds but two, set the temperature on one, write the model; a bounded number of passages is learned from."""
-    share = LEARNED * FOLDS / (FOLDS - 2) / max(1, passages.count())
-    rows = stored(examples(passages, (fold() > 0) & (hashed("learned") < int(min(1.0, share) * 2**48)), found), "verifier-made")
+    """Fit on all passages of all folds but two, set the temperature on all of one, write the model."""
+    rows = stored(examples(passages, fold() > 0, found), "verifier-made")
     model = fit(rows.filter("fold > 1"), rows.filter("fold = 1"))
     model.write(passages.sparkSession, path)
     drop_stored(rows)
