@@ -203,3 +203,100 @@ def test_a_vector_that_is_no_number_hides_no_other():
     rows = sorted((q, p, s) for b in got for q, p, s in zip(*[c.to_pylist() for c in b.columns]))
     there = np.delete(ids, 7)
     assert [r[:2] for r in rows] == [r[:2] for r in _best(ids[:3], x[:3], there, x[there], 4, False)]
+
+
+def _counted(n, words, seed, width=32):
+    """Rows of length one that were counts of hashed words, some of zeros."""
+    rng = np.random.default_rng(seed)
+    c = np.stack([np.bincount(rng.zipf(1.5, m) % width, minlength=width) for m in rng.integers(0, words, n)]).astype(np.float64)
+    return (c / np.maximum(np.sqrt((c**2).sum(axis=1, keepdims=True)), 1e-9)).astype(np.float32)
+
+
+@pytest.mark.parametrize("skip_same", [False, True])
+def test_two_rows_share_a_product_and_none_is_lost(monkeypatch, skip_same):
+    monkeypatch.setattr(retrieve, "PART", 16)
+    monkeypatch.setattr(retrieve, "ROW_BLOCK", 301)
+    calls, hits = [], retrieve._hits
+    monkeypatch.setattr(retrieve, "_hits", lambda *a: calls.append(out := hits(*a)) or out)
+    q, x = _counted(90, 40, 1), _counted(4000, 300, 2)
+    q[7] *= np.float32(np.pi)  # no length of one
+    q[8] = np.random.default_rng(3).random(q.shape[1], dtype=np.float32)  # no counts
+    q[9] = 0
+    q[10] = np.eye(q.shape[1], dtype=np.float32)[31] * 2 / 3
+    x[100:140] = x[100]
+    x[500], x[501] = q[20], q[21]
+    ids = np.random.default_rng(4).permutation(len(x))
+    q_ids = ids[: len(q)] if skip_same else np.arange(len(q))
+    got = list(retrieve._scan(q_ids, q, 6, skip_same, 9)(_batches(ids, x, 700)))
+    rows = sorted((a, p, s + 0.0) for b in got for a, p, s in zip(*[c.to_pylist() for c in b.columns]))
+    want = _best(q_ids, q, ids, x, 6, skip_same)
+    assert [r[:2] for r in rows] == [r[:2] for r in want] and np.allclose([r[2] for r in rows], [r[2] for r in want], atol=2e-9)
+    assert sum(c is not None for c in calls) > 20
+
+
+def test_questions_that_are_counts():
+    q = np.array([[0, 1, 2, 0], [2, 3, 0, 4], [0.3, 0.4, 0.123, 0], [0, 0, 0, 0], [-1, 1, 0, 0], [np.nan, 1, 0, 0], [0, 0, 0, 5]], dtype=np.float32)
+    c = retrieve.Counts(q / np.float32(7))
+    assert (c.level >= 0).tolist() == [True, True, False, False, False, False, True]
+    assert c.whole[[0, 1, 6]].tolist() == [[0, 1, 2, 0], [2, 3, 0, 4], [0, 0, 0, 1]] and (c.off < 1e-6).all(where=c.level >= 0)
+    assert retrieve.Counts(q.astype(np.float64)).level.tolist() == [-1] * 7
+
+
+@pytest.mark.parametrize("most", [1, 1_000_000])
+def test_equal_vectors_are_scored_once(spark, monkeypatch, most):
+    monkeypatch.setattr(retrieve, "MANY", 1, raising=False)
+    monkeypatch.setattr(retrieve, "BROADCAST_ROWS", most)
+    scan, pairs = retrieve._scan, spark.sparkContext.accumulator(0)
+
+    def counted(ids, questions, *rest):
+        def run(batches):
+            def seen():
+                for b in batches:
+                    pairs.add(len(ids) * b.num_rows)
+                    yield b
+
+            yield from scan(ids, questions, *rest)(seen())
+
+        return run
+
+    monkeypatch.setattr(retrieve, "_scan", counted)
+    base = np.array([[3, 0, 1], [0, 2, 2], [1, 1, 1], [0, 0, 0], [2, 0, 0.0], [0, 3, 0]])
+    rows = [(i, [float(y) for y in base[i % 6]]) for i in range(60)] + [(60, None), (61, [9.0, 9.0, 9.0])]
+    v = _vectors(spark, rows).repartition(3)
+    q = _vectors(spark, [(100 + i, rows[i % 4][1]) for i in range(12)]).withColumnRenamed("passage_id", "query_id")
+    got = sorted(tuple(r) for r in retrieve.top_k(q, v, 13).collect())
+    there = [(j, x) for j, x in rows if x]
+    want = []
+    for i in range(12):
+        s = sorted((-sum(a * b for a, b in zip(rows[i % 4][1], x)), j) for j, x in there)[:13]
+        want += [(100 + i, r + 1, j, -t + 0.0) for r, (t, j) in enumerate(s)]
+    assert got == sorted(want)
+    some = spark.createDataFrame([(i,) for i in (0, 1, 2, 3, 4, 5, 61)], "p long").filter(F.pmod(F.xxhash64("p"), F.lit(32)) == 0).count()
+    assert pairs.value == 4 * (7 + some)  # of 12 questions and 61 vectors
+
+
+@pytest.mark.parametrize("skip_same", [False, True])
+def test_rows_that_are_searched_first_bound_the_others(spark, monkeypatch, skip_same):
+    scan, lows = retrieve._scan, spark.sparkContext.accumulator(0)
+
+    def seen(ids, questions, k, skip_same, places, low=None):
+        lows.add(0 if low is None else int(np.isfinite(low).sum()))
+        return scan(ids, questions, k, skip_same, places, low)
+
+    monkeypatch.setattr(retrieve, "_scan", seen)
+    x = _counted(500, 60, 5)
+    v = _vectors(spark, [(i, [float(y) for y in r]) for i, r in enumerate(x)]).repartition(3)
+    q = v.filter("passage_id < 40").select(F.col("passage_id").alias("query_id"), "embedding")
+    plain = sorted(tuple(r) for r in retrieve.top_k(q, v, 7, skip_same).collect())
+    assert not lows.value
+    monkeypatch.setattr(retrieve, "MANY", 40)
+    monkeypatch.setattr(retrieve, "FIRST", 4)
+    assert sorted(tuple(r) for r in retrieve.top_k(q, v, 7, skip_same).collect()) == plain
+    assert lows.value and [r[:3] for r in plain] == sorted((a, 1 + n, p) for a, n, p in _ranks(_best(np.arange(40), x[:40], np.arange(500), x, 7, skip_same)))
+
+
+def _ranks(rows):
+    """Question, place from 0 and row of what ``_best`` gives."""
+    for a in sorted({r[0] for r in rows}):
+        for n, r in enumerate(sorted((r for r in rows if r[0] == a), key=lambda r: (-r[2], r[1]))):
+            yield a, n, r[1]
